@@ -94,6 +94,8 @@ BALANCES = [
     ("LongTermDebtNoncurrent", USD, "rev", 1, 6, "cik % 6 IN (3, 4) AND yr <= 1996"),
     ("LongTermDebt", USD, "rev", 1, 5, "cik % 6 = 3"),
     ("LongTermDebt", USD, "rev", 1, 6, "cik % 6 = 4"),
+    ("LongTermDebtNoncurrent", USD, "rev", 0, 1, "cik % 12 = 11"),
+    ("LongTermDebt", USD, "rev", 1, 8, "cik % 60 = 11"),
     ("LongTermDebtCurrent", USD, "rev", 1, 30, "cik % 6 <> 5 OR cik % 4 = 1"),
     ("ShortTermBorrowings", USD, "rev", 1, 30, "cik % 12 = 0"),
     ("ShortTermBorrowings", USD, "rev", 1, 45, "cik % 12 = 2"),

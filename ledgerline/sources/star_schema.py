@@ -224,3 +224,162 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = s.where("s_suppkey % 2 = 0").select(ticker_of("s_suppkey").alias("symbol"),
                                               F.lit(9999.0).alias("price"), (at - F.expr("interval 1 day")).alias("at"))
     return now.unionByName(old)
+
+
+# Report names of the synthetic filing summaries.
+REPORT_NAMES = (
+    "Cover page", "CONSOLIDATED STATEMENTS OF EARNINGS", "CONSOLIDATED STATEMENTS OF COMPREHENSIVE INCOME",
+    "CONSOLIDATED BALANCE SHEETS", "CONSOLIDATED STATEMENTS OF CASH FLOWS",
+    "CONSOLIDATED STATEMENTS OF STOCKHOLDERS EQUITY", "Income Taxes", "Debt and Borrowings", "Leases",
+    "Segment &amp; Geographic Information", "Stock-Based Compensation", "Retirement Benefits and Pension",
+)
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filing summaries as text; every ninth filer's filing predates them."""
+    f = filers(spark, sf_dir)
+    cik = F.col("cik")
+    reports = [
+        F.when((cik + i) % 5 != 0, F.concat(
+            F.lit(f'<Report instance="{i}"><HtmlFileName>R{i}.htm</HtmlFileName>'),
+            F.lit("" if i == 0 else f"<ShortName> {name} </ShortName>"), F.lit("</Report>"))).otherwise("")
+        for i, name in enumerate(REPORT_NAMES)]
+    xml = F.concat(F.lit("<FilingSummary><MyReports>"), *reports, F.lit("</MyReports></FilingSummary>"))
+    accn = F.concat(F.lpad(cik.cast("string"), 10, "0"), F.lit("-01-000001"))
+    return f.select("cik", accn.alias("accn"), F.when(cik % 9 != 4, xml).alias("xml"))
+
+
+def form_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filing list printed as a fixed-width quarterly index, under slightly changed names."""
+    f = filings(spark, sf_dir).join(filers(spark, sf_dir).select("cik", "name"), "cik")
+    company = F.when(F.col("cik") % 4 == 1, F.concat(F.upper("name"), F.lit(" Corp"))).otherwise(F.col("name"))
+    path = F.concat(F.lit("edgar/data/"), F.col("cik").cast("string"), F.lit("/"), F.col("accn"), F.lit(".txt"))
+    return f.select(F.concat(
+        F.rpad("form", 12, " "), F.rpad(company, 40, " "), F.rpad(F.col("cik").cast("string"), 12, " "),
+        F.rpad(F.date_format("filed", "yyyy-MM-dd"), 12, " "), path).alias("value"))
+
+
+def segment_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales per supplier, year, part type and customer region of the last three full years."""
+    li = load(spark, sf_dir, "lineitem").where(F.year("l_shipdate").between(1998, 2000)).select(
+        "l_orderkey", "l_partkey", F.col("l_suppkey").alias("cik"), F.year("l_shipdate").alias("yr"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("ptype"))
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    where = (load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+             .join(load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+             .join(load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region")),
+                   "n_regionkey").select("c_custkey", "region"))
+    return (li.join(part, "l_partkey").join(orders, "l_orderkey").join(where, "c_custkey")
+            .groupBy("cik", "yr", "ptype", "region").agg(F.sum("cents").alias("cents")))
+
+
+def dim_facts(base: DataFrame) -> DataFrame:
+    """Dimensional facts of one annual report per supplier, shaped by the supplier's key."""
+    from ledgerline.operators import segments as G
+    cik = F.col("cik")
+    ax = lambda axis, member: F.struct(F.lit(axis).alias("axis"), member.alias("member"))
+    member = lambda c: F.concat(F.lit("x:"), F.initcap(c), F.lit("Member"))
+    q = lambda name: ax(G.QUALIFIER_AXIS, F.lit(name))
+    accn = F.concat(F.lpad(cik.cast("string"), 10, "0"), F.lit("-01-000001"))
+
+    def rows(df, ctx, axes, val="cents", tag="Revenues"):
+        return df.select(
+            "cik", accn.alias("accn"), F.lit("10-K").alias("form"), F.to_date(F.lit("2001-02-15")).alias("filed"),
+            F.lit(tag).alias("tag"), F.concat(ctx, F.lit("-"), F.col("yr").cast("string")).alias("context_id"),
+            F.make_date(F.col("yr"), F.lit(1), F.lit(1)).alias("period_start"),
+            F.make_date(F.col("yr"), F.lit(12), F.lit(31)).alias("period_end"),
+            axes.alias("axes"), F.expr(val).cast("double").alias("val"))
+
+    none = F.array().cast("array<struct<axis:string,member:string>>")
+    total = base.groupBy("cik", "yr").agg(F.sum("cents").alias("cents"))
+    by_type = base.groupBy("cik", "yr", "ptype").agg(F.sum("cents").alias("cents"))
+    by_region = base.groupBy("cik", "yr", "region").agg(F.sum("cents").alias("cents"))
+    single = by_type.where(cik % 3 != 2)
+    goods = base.where(cik % 3 == 0).withColumn(
+        "m", F.when(F.col("ptype").isin("ECONOMY", "STANDARD", "MEDIUM"), "us-gaap:ProductMember").otherwise(
+            "us-gaap:ServiceMember")).groupBy("cik", "yr", "m").agg(F.sum("cents").alias("cents"))
+    small_large = single.where((cik % 4 == 1) & F.col("ptype").isin("SMALL", "LARGE")).groupBy("cik", "yr").agg(
+        F.sum("cents").alias("cents"))
+    seg_name = (F.when(F.col("ptype").isin("SMALL", "MEDIUM"), "x:RetailMember")
+                .when(F.col("ptype").isin("LARGE", "STANDARD"), "x:IndustrialMember").otherwise("x:SpecialMember"))
+    seg = base.withColumn("m", seg_name).groupBy("cik", "yr", "m").agg(F.sum("cents").alias("cents"))
+    seg_ax = ax(G.SEGMENT_AXIS, F.col("m"))
+    inter = seg.where(cik % 5 % 2 == 0).where(cik % 5 != 4).groupBy("cik", "yr").agg(
+        F.sum("cents").alias("cents"), F.sum(F.expr("cents div 10")).alias("extra"))
+    cross = base.where(cik % 3 == 2)
+    world = by_type.where((cik % 6 == 5))
+    p_ctx = F.concat(F.lit("P-"), F.col("ptype"))
+    parts = [
+        rows(total, F.lit("C"), none),
+        rows(total, F.lit("C"), none, "cents div 10", "OperatingIncomeLoss"),
+        rows(single, p_ctx, F.array(ax(G.PRODUCT_AXIS, member("ptype")))),
+        rows(single.where(cik % 2 == 0), p_ctx, F.array(ax(G.PRODUCT_AXIS, member("ptype")))),
+        rows(single, p_ctx, F.array(ax(G.PRODUCT_AXIS, member("ptype"))), "cents div 10", "OperatingIncomeLoss"),
+        rows(goods, F.concat(F.lit("F-"), F.col("m")), F.array(ax(G.PRODUCT_AXIS, F.col("m")))),
+        rows(small_large, F.lit("T"), F.array(ax(G.PRODUCT_AXIS, F.lit("x:TotalSmallLargeMember")))),
+        rows(by_region.where((cik % 3 == 0) & ~((cik % 7 == 3) & (F.col("region") == "AMERICA"))),
+             F.concat(F.lit("G-"), F.col("region")), F.array(ax(G.GEOGRAPHY_AXIS, member("region")))),
+        rows(seg.where(cik % 5 == 0), F.concat(F.lit("SO-"), F.col("m")), F.array(seg_ax, q(G.OPERATING_SEGMENTS)),
+             "cents + cents div 10"),
+        rows(seg.where(F.col("cik") % 5 == 1), F.concat(F.lit("S-"), F.col("m")), F.array(seg_ax)),
+        rows(seg.where(F.col("cik") % 5 == 1), F.concat(F.lit("SO-"), F.col("m")), F.array(seg_ax, q(G.OPERATING_SEGMENTS)),
+             "cents * 9 div 10"),
+        rows(seg.where((cik % 5 == 2) & (F.col("m") == "x:RetailMember")), F.concat(F.lit("S-"), F.col("m")), F.array(seg_ax)),
+        rows(seg.where(cik % 5 == 2), F.concat(F.lit("SO-"), F.col("m")), F.array(seg_ax, q(G.OPERATING_SEGMENTS)),
+             "cents + cents div 10"),
+        rows(seg.where(cik % 5 == 3), F.concat(F.lit("S-"), F.col("m")), F.array(seg_ax)),
+        rows(total.where(cik % 5 == 3), F.lit("RC"), F.array(q("us-gaap:CorporateNonSegmentMember")), "45800000"),
+        rows(inter, F.lit("RO"), F.array(q(G.OPERATING_SEGMENTS)), "cents + extra"),
+        rows(inter.where(cik % 10 != 0), F.lit("RE"), F.array(q("us-gaap:IntersegmentEliminationMember")), "-extra"),
+        rows(inter.where(cik % 10 == 0), F.lit("RE"), F.array(q("us-gaap:IntersegmentEliminationMember")), "5000000 - extra"),
+        rows(inter.where(cik % 10 == 0), F.lit("RC"), F.array(q("us-gaap:CorporateNonSegmentMember")), "-5000000"),
+        rows(inter.where(cik % 10 == 0), F.lit("RS"), F.array(q("x:EliminationsAndReconcilingMember")), "-extra"),
+        rows(cross, F.concat(F.lit("X-"), F.col("ptype"), F.lit("-"), F.col("region")),
+             F.array(ax(G.PRODUCT_AXIS, member("ptype")), ax(G.GEOGRAPHY_AXIS, member("region")))),
+        rows(world, F.concat(F.lit("XW-"), F.col("ptype")),
+             F.array(ax(G.PRODUCT_AXIS, member("ptype")), ax(G.GEOGRAPHY_AXIS, F.lit("x:WorldMember")))),
+        rows(seg.where(cik % 2 == 1), F.concat(F.lit("A-"), F.col("m")),
+             F.array(seg_ax, ax("us-gaap:AccidentYearAxis", F.lit("x:Year1999Member")))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    older = rows(total, F.lit("C"), none, "cents * 2").withColumn(
+        "accn", F.concat(F.lpad(cik.cast("string"), 10, "0"), F.lit("-00-000001"))).withColumn(
+        "filed", F.to_date(F.lit("2000-02-15")))
+    return out.unionByName(older)
+
+
+# (role, axis, parent, member): which table declares which member.
+_TYPES = ("Economy", "Large", "Medium", "Promo", "Small", "Standard")
+_REGIONS = ("Africa", "America", "Asia", "Europe", "Middle East")
+
+
+def _role_rows() -> list:
+    from ledgerline.operators import segments as G
+    note = [("note", G.PRODUCT_AXIS, "x:TotalSmallLargeMember" if t in ("Small", "Large") else None, f"x:{t}Member") for t in _TYPES]
+    note.append(("note", G.PRODUCT_AXIS, None, "x:TotalSmallLargeMember"))
+    face = [("face", G.PRODUCT_AXIS, None, f"us-gaap:{m}Member") for m in ("Product", "Service")]
+    geo = [("geo", G.GEOGRAPHY_AXIS, None, f"x:{r}Member") for r in (*_REGIONS, "World")]
+    seg = [("seg", G.SEGMENT_AXIS, None, f"x:{m}Member") for m in ("Retail", "Industrial", "Special")]
+    items = [G.OPERATING_SEGMENTS, "us-gaap:CorporateNonSegmentMember", "us-gaap:IntersegmentEliminationMember",
+             "x:EliminationsAndReconcilingMember"]
+    return note + face + geo + seg + [("seg", G.QUALIFIER_AXIS, None, m) for m in items]
+
+
+def role_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filing declares the same fixed tables (about 25 rows each)."""
+    rows = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(a).alias("axis"), F.lit(p).cast("string").alias("parent_member"),
+                              F.lit(m).alias("member")) for r, a, p, m in _role_rows()])
+    accn = F.concat(F.lpad(F.col("cik").cast("string"), 10, "0"), F.lit("-01-000001"))
+    return filers(spark, sf_dir).select("cik", accn.alias("accn"), F.inline(rows))
+
+
+def member_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = [(f"x:{t}Member", "label", f"{t} goods") for t in _TYPES]
+    labels += [("us-gaap:CorporateNonSegmentMember", "terseLabel", "Corporate, Non-Segment [Member]"),
+               ("us-gaap:IntersegmentEliminationMember", "label", "Optional eliminations")]
+    rows = F.array(*[F.struct(F.lit(m).alias("member"), F.lit(r).alias("label_role"), F.lit(t).alias("label")) for m, r, t in labels])
+    accn = F.concat(F.lpad(F.col("cik").cast("string"), 10, "0"), F.lit("-01-000001"))
+    return filers(spark, sf_dir).select("cik", accn.alias("accn"), F.inline(rows))

@@ -7,7 +7,7 @@ Everything is grouped by filing, table, concept and period; a group never has
 more rows than a table has members and qualifiers.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # The axes that get a table, the qualifier axis and the subtotal member.
 SEGMENT_AXIS = "us-gaap:StatementBusinessSegmentsAxis"
@@ -135,53 +135,50 @@ def lead_view(rows: DataFrame) -> DataFrame:
                          "lead", "others")
 
 
-def _sums(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy(*VIEW, "tag", *PERIOD).agg(F.sum("val").alias(name), F.count("*").alias(f"n_{name}"))
-
-
-def closing_concepts(rows: DataFrame, consolidated: DataFrame) -> DataFrame:
-    """Concepts whose segment rows already sum to the consolidated figure, to the unit, in every period."""
-    s = _sums(rows, "seg").alias("s").join(
+def _with_consolidated(sums: DataFrame, consolidated: DataFrame) -> DataFrame:
+    return sums.alias("s").join(
         consolidated.alias("c"), (F.col("s.cik") == F.col("c.cik")) & (F.col("s.accn") == F.col("c.accn"))
         & (F.col("s.tag") == F.col("c.tag")) & _same_period("s", "c"), "left").select("s.*", "c.consolidated")
-    closes = F.coalesce(F.col("seg") == F.col("consolidated"), F.lit(False))
-    return s.groupBy(*VIEW, "tag").agg(F.min(closes).alias("closes")).where("closes").select(*VIEW, "tag")
 
 
-def reconciling_rows(rows: DataFrame, recon: DataFrame, role_members: DataFrame, consolidated: DataFrame) -> DataFrame:
+def table_sums(rows: DataFrame, consolidated: DataFrame) -> DataFrame:
+    """Sum of the segment rows per table, concept and period, and whether the concept already closes.
+
+    A concept closes when every period's rows sum to the consolidated figure, to the unit.
+    """
+    sums = rows.groupBy(*VIEW, "tag", *PERIOD).agg(F.sum("val").alias("seg"))
+    s = _with_consolidated(sums, consolidated)
+    exact = F.coalesce(F.col("seg") == F.col("consolidated"), F.lit(False))
+    return s.withColumn("closes", F.min(exact).over(Window.partitionBy(*VIEW, "tag")))
+
+
+def reconciling_rows(sums: DataFrame, recon: DataFrame, role_members: DataFrame) -> DataFrame:
     """Reconciling rows that belong beside the segment rows.
 
     Dropped: rows of a concept that already closes, a row equal to the sum of
     the segments, and the one row equal to the sum of at least two others.
+    ``sums`` comes from ``table_sums``.
     """
     declared = role_members.where(F.col("axis") == QUALIFIER_AXIS).select(*FILING, "role", "member").distinct()
-    open_tables = rows.select(*VIEW, "tag").distinct().join(closing_concepts(rows, consolidated), [*VIEW, "tag"], "left_anti")
-    cand = recon.join(declared, [*FILING, "member"]).join(open_tables, [*FILING, "role", "tag"])
-    seg = _sums(rows, "seg")
+    tables = sums.where("NOT closes").select(*VIEW, "tag").distinct()
+    cand = recon.join(declared, [*FILING, "member"]).join(tables, [*FILING, "role", "tag"])
+    seg = sums.where("NOT closes").select(*VIEW, "tag", *PERIOD, "seg")
     c = cand.alias("c").join(seg.alias("s"), [F.col(f"c.{k}") == F.col(f"s.{k}") for k in [*VIEW, "tag"]] + [_same_period("c", "s")])
     c = c.where(F.col("c.val") != F.col("s.seg")).select("c.*")
-    key = [*VIEW, "tag", *PERIOD]
-    total = c.groupBy(*key).agg(F.sum("val").alias("total"), F.count("*").alias("n"))
-    t = c.alias("c").join(total.alias("t"), [F.col(f"c.{k}") == F.col(f"t.{k}") for k in [*VIEW, "tag"]] + [_same_period("c", "t")])
-    t = t.select("c.*", "t.total", "t.n").withColumn("is_sum", (F.col("n") >= 3) & (F.col("val") == F.col("total") - F.col("val")))
-    only = t.groupBy(*key).agg(F.count_if("is_sum").alias("sums"))
-    out = t.alias("t").join(only.alias("o"), [F.col(f"t.{k}") == F.col(f"o.{k}") for k in [*VIEW, "tag"]] + [_same_period("t", "o")])
-    out = out.select("t.*", "o.sums").where("NOT (is_sum AND sums = 1)")
-    return out.select(*VIEW, "tag", *PERIOD, "member", "val")
+    # the handful of reconciling rows of one table and period
+    w = Window.partitionBy(*VIEW, "tag", *PERIOD)
+    c = c.withColumn("is_sum", (F.count("*").over(w) >= 3) & (F.col("val") * 2 == F.sum("val").over(w)))
+    c = c.withColumn("sums", F.count_if("is_sum").over(w)).where("NOT (is_sum AND sums = 1)")
+    return c.select(*VIEW, "tag", *PERIOD, "member", "val")
 
 
 def reconcile(rows: DataFrame, consolidated: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """Keep a (view, concept) only if every period sums to within ``tol`` of consolidated."""
-    s = _sums(rows, "total").alias("s").join(
-        consolidated.alias("c"), (F.col("s.cik") == F.col("c.cik")) & (F.col("s.accn") == F.col("c.accn"))
-        & (F.col("s.tag") == F.col("c.tag")) & _same_period("s", "c"), "left").select("s.*", "c.consolidated")
+    s = _with_consolidated(rows, consolidated).withColumn(
+        "total", F.sum("val").over(Window.partitionBy(*VIEW, "tag", *PERIOD)))
     off = F.abs(F.col("total") - F.col("consolidated"))
     fits = F.coalesce(off <= F.abs("consolidated") * tol, F.lit(False))
-    kept = s.groupBy(*VIEW, "tag").agg(F.min(fits).alias("ok")).where("ok").select(*VIEW, "tag")
-    lines = s.join(kept, [*VIEW, "tag"], "left_semi").select(*VIEW, "tag", *PERIOD, "total", "consolidated")
-    return rows.alias("r").join(
-        lines.alias("l"), [F.col(f"r.{k}") == F.col(f"l.{k}") for k in [*VIEW, "tag"]] + [_same_period("r", "l")]
-    ).select("r.*", "l.total", "l.consolidated")
+    return s.withColumn("ok", F.min(fits).over(Window.partitionBy(*VIEW, "tag"))).where("ok").drop("ok")
 
 
 def clean_labels(rows: DataFrame, member_labels: DataFrame) -> DataFrame:
@@ -193,11 +190,15 @@ def clean_labels(rows: DataFrame, member_labels: DataFrame) -> DataFrame:
     return rows.join(own, [*FILING, "member"], "left").withColumn("label", F.coalesce("label", bare))
 
 
-def assemble(rows: DataFrame, facts: DataFrame, role_members: DataFrame) -> DataFrame:
-    """Rows on one axis -> kept tables with reconciling and consolidated figures."""
+def assemble(rows: DataFrame, facts: DataFrame, role_members: DataFrame, stage) -> DataFrame:
+    """Rows on one axis -> kept tables with reconciling and consolidated figures.
+
+    The chosen rows and their sums are each read more than once, so they are staged.
+    """
     cons = consolidated_facts(facts)
-    lead = lead_view(drop_subtotals(views(rows, role_members), containment(role_members)))
-    recon = reconciling_rows(lead, reconciling_facts(facts), role_members, cons)
+    lead = stage(lead_view(drop_subtotals(views(rows, role_members), containment(role_members))), "lead-view")
+    sums = stage(table_sums(lead, cons), "table-sums")
+    recon = reconciling_rows(sums, reconciling_facts(facts), role_members)
     both = lead.withColumn("recon", F.lit(False)).unionByName(recon.withColumn("recon", F.lit(True)), allowMissingColumns=True)
     return reconcile(both, cons)
 
@@ -226,16 +227,14 @@ def collapse_crosstab(facts: DataFrame, surviving: DataFrame) -> DataFrame:
     return safe.select(*FILING, "tag", *PERIOD, "axis", "member", "qualifier", "along", "val")
 
 
-def segment_tables(dim_facts: DataFrame, role_members: DataFrame, member_labels: DataFrame, stage=None) -> DataFrame:
+def segment_tables(facts: DataFrame, role_members: DataFrame, member_labels: DataFrame, stage) -> DataFrame:
     """All kept tables of every filer's newest annual report.
 
-    ``stage`` writes the prepared facts and the single-axis result, each of which
-    is read several times.
+    ``facts`` are prepared by ``newest_annual``, ``allowed`` and ``dedupe``;
+    ``stage`` writes a table that is read several times.
     """
-    stage = stage or (lambda df, name: df)
-    facts = stage(dedupe(allowed(newest_annual(dim_facts))), "dim-facts")
-    single = stage(assemble(breakdown_facts(facts), facts, role_members), "single-axis")
-    collapsed = assemble(collapse_crosstab(facts, single), facts, role_members)
+    single = stage(assemble(breakdown_facts(facts), facts, role_members, stage), "single-axis")
+    collapsed = assemble(collapse_crosstab(facts, single), facts, role_members, stage)
     return clean_labels(single.unionByName(collapsed), member_labels).select(
         *VIEW, "tag", *PERIOD, "member", "label", "recon", "val", "qualifier", "lead", "others", "total", "consolidated")
 

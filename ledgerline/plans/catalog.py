@@ -513,7 +513,8 @@ def _(w):
 @query("seg6_to_9_reconciling")
 def _(w):
     cons = segments.consolidated_facts(w.segment_facts)
-    rec = segments.reconciling_rows(_lead(w), segments.reconciling_facts(w.segment_facts), w.role_members, cons)
+    sums = segments.table_sums(_lead(w), cons)
+    rec = segments.reconciling_rows(sums, segments.reconciling_facts(w.segment_facts), w.role_members)
     return rec.select("cik", "axis", "role", "tag", "period_end", "member", "val")
 
 

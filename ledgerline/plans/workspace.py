@@ -58,7 +58,7 @@ class Workspace(SheetPlan):
     @cached_property
     def segment_tables(self) -> DataFrame:
         labels = S.member_labels(self.spark, self.sf_dir)
-        return write_stage(segments.segment_tables(self.dim_facts, self.role_members, labels, write_stage), "segments")
+        return write_stage(segments.segment_tables(self.segment_facts, self.role_members, labels, write_stage), "segments")
 
     @cached_property
     def comps_members(self) -> DataFrame:

@@ -15,7 +15,7 @@ SELECT cik, CAST(filing_ord AS INTEGER) AS filing_ord, form, filed, accn, doc, p
 SQL["src3_tickers"] = """
 SELECT cik, ticker, title FROM ticker_list"""
 SQL["src4_quotes"] = """
-SELECT symbol, price, strftime(at, '%Y-%m-%d') AS day FROM last_quote"""
+SELECT symbol, price, strftime("at", '%Y-%m-%d') AS day FROM last_quote"""
 SQL["src8_concept_frame"] = f"""
 SELECT cik, tag, unit, form, filed, accn, val FROM facts
 WHERE tag IN ({names(T.REVENUE_TAGS)}) AND start = DATE '1999-01-01' AND "end" = DATE '1999-12-31'"""

@@ -177,25 +177,39 @@ step("requests", """
   UNION SELECT cik, cur_end, ccy, 'I', 0, 0 FROM windows
   UNION SELECT cik, cur_end, ccy, 'D', cur_days - 8, cur_days + 8 FROM windows
   UNION SELECT cik, prior_end, ccy, 'D', prior_days - 8, prior_days + 8 FROM windows""")
-step("matches", """
-  SELECT r.cik, r."end", r.shape, r.dmin, r.dmax, f.tag, f.val, f.unit, f.accn, f.form, f.filed, f.start, f.unit_ord, f.pos, f.rk,
-         row_number() OVER (PARTITION BY r.cik, r."end", r.shape, r.dmin, f.tag ORDER BY f.filed DESC, f.rk DESC, f.unit_ord, f.pos) AS r
-  FROM requests r JOIN facts f ON f.cik = r.cik AND f."end" = r."end" AND f.per AND f.dur = (r.shape = 'D')
-       AND (r.shape = 'I' OR f.days BETWEEN r.dmin AND r.dmax) AND (f.uccy IS NULL OR r.ccy IS NULL OR f.uccy = r.ccy)""")
-step("witnesses", """
-  SELECT cik, "end", shape, dmin, tag, val, count(DISTINCT accn) AS n, min(r) AS first_r FROM matches WHERE form NOT LIKE '%/A' GROUP BY ALL""")
-step("amended", "SELECT * FROM matches WHERE r = 1 AND form LIKE '%/A'")
-step("slips", """
-  SELECT a.cik, a."end", a.shape, a.dmin, a.tag, bool_or(w.val = a.val) AS agreed,
-         min(w.first_r) FILTER (WHERE w.n >= 2 AND a.val <> 0 AND w.val <> 0
-           AND abs(log10(abs(a.val) / abs(w.val)) - round(log10(abs(a.val) / abs(w.val)))) < 1e-9
-           AND round(log10(abs(a.val) / abs(w.val))) <> 0) AS rival_r
-  FROM amended a JOIN witnesses w ON w.cik = a.cik AND w."end" = a."end" AND w.shape = a.shape AND w.dmin = a.dmin AND w.tag = a.tag
-  GROUP BY ALL""")
-step("picks", """
-  SELECT m.* EXCLUDE (r) FROM matches m LEFT JOIN slips s ON s.cik = m.cik AND s."end" = m."end" AND s.shape = m.shape
-       AND s.dmin = m.dmin AND s.tag = m.tag
-  WHERE m.r = CASE WHEN s.rival_r IS NOT NULL AND NOT s.agreed THEN s.rival_r ELSE 1 END""")
+def _picking(x, requests, source, ccy):
+    """Newest filed value per request and tag with scale slips put right; ``x`` names the variant."""
+    key = f'r.cik, r."end", r.shape, r.dmin, f.tag'
+    same = lambda a, b: " AND ".join(f'{a}.{c} = {b}.{c}' for c in ('cik', '"end"', "shape", "dmin", "tag"))
+    step(f"matches{x}", f"""
+      SELECT r.cik, r."end", r.shape, r.dmin, r.dmax, f.tag, f.val, f.unit, f.accn, f.form, f.filed, f.start, f.unit_ord, f.pos, f.rk,
+             row_number() OVER (PARTITION BY {key} ORDER BY f.filed DESC, f.rk DESC, f.unit_ord, f.pos) AS r
+      FROM {requests} r JOIN facts f ON f.cik = r.cik AND f."end" = r."end" AND f.per AND f.dur = (r.shape = 'D') AND {source}
+           AND (r.shape = 'I' OR f.days BETWEEN r.dmin AND r.dmax) AND {ccy}""")
+    step(f"witnesses{x}", f"""
+      SELECT cik, "end", shape, dmin, tag, val, count(DISTINCT accn) AS n, min(r) AS first_r FROM matches{x} WHERE form NOT LIKE '%/A' GROUP BY ALL""")
+    step(f"amended{x}", f"SELECT * FROM matches{x} WHERE r = 1 AND form LIKE '%/A'")
+    e = "log10(abs(a.val) / abs(w.val))"
+    step(f"slips{x}", f"""
+      SELECT a.cik, a."end", a.shape, a.dmin, a.tag, bool_or(w.val = a.val) AS agreed,
+             min(w.first_r) FILTER (WHERE w.n >= 2 AND a.val <> 0 AND w.val <> 0 AND abs({e} - round({e})) < 1e-9 AND round({e}) <> 0) AS rival_r
+      FROM amended{x} a JOIN witnesses{x} w ON {same('a', 'w')} GROUP BY ALL""")
+    step(f"picks{x}", f"""
+      SELECT m.* EXCLUDE (r) FROM matches{x} m LEFT JOIN slips{x} s ON {same('s', 'm')}
+      WHERE m.r = CASE WHEN s.rival_r IS NOT NULL AND NOT s.agreed THEN s.rival_r ELSE 1 END""")
+    step(f"offers{x}", f"""
+      SELECT c.cik, c.basis, c."end", l.k, l.inst, p.tag, p.val, p.unit, p.accn, p.form, p.filed, p.start,
+             row_number() OVER (PARTITION BY c.cik, c.basis, c."end", l.k ORDER BY CASE WHEN l.nz AND p.val = 0 THEN 1 ELSE 0 END, l.ord) AS r_nz,
+             row_number() OVER (PARTITION BY c.cik, c.basis, c."end", l.k ORDER BY l.ord) AS r_first
+      FROM cols c JOIN picks{x} p ON p.cik = c.cik AND p."end" = c."end" AND (p.shape = 'I' OR (c.basis = 'FY' AND p.dmin = 358))
+           JOIN line_ord l ON l.cik = c.cik AND l.tag = p.tag AND l.inst = (p.shape = 'I')""")
+
+
+_GATE = "(f.uccy IS NULL OR r.ccy IS NULL OR f.uccy = r.ccy)"
+step("fy_requests", "SELECT * FROM requests WHERE (shape = 'I' OR dmin = 358) AND \"end\" IN (SELECT p.\"end\" FROM periods p WHERE p.cik = requests.cik)")
+_picking("", "requests", "TRUE", _GATE)
+_picking("_early", "fy_requests", "f.filed < DATE '2001-01-01'", _GATE)
+_picking("_free", "fy_requests", "TRUE", "TRUE")
 # the pinned cost line
 PIN = ("CostOfGoodsAndServicesSold", "CostOfRevenue", "CostOfServices")
 step("free_all", f"""
@@ -241,12 +255,6 @@ step("lines", "SELECT DISTINCT industry, k, inst, latest, nz FROM line_tags")
 step("line_ord", """
   SELECT c.cik, l.k, l.tag, CASE WHEN l.k = 'cogs' THEN p.ord ELSE l.ord END AS ord, l.inst, l.nz
   FROM filers c JOIN line_tags l ON l.industry = c.industry LEFT JOIN pins p ON p.cik = c.cik AND p.tag = l.tag WHERE NOT l.latest""")
-step("offers", """
-  SELECT c.cik, c.basis, c."end", l.k, l.inst, p.tag, p.val, p.unit, p.accn, p.form, p.filed, p.start,
-         row_number() OVER (PARTITION BY c.cik, c.basis, c."end", l.k ORDER BY CASE WHEN l.nz AND p.val = 0 THEN 1 ELSE 0 END, l.ord) AS r_nz,
-         row_number() OVER (PARTITION BY c.cik, c.basis, c."end", l.k ORDER BY l.ord) AS r_first
-  FROM cols c JOIN picks p ON p.cik = c.cik AND p."end" = c."end" AND (p.shape = 'I' OR (c.basis = 'FY' AND p.dmin = 358))
-       JOIN line_ord l ON l.cik = c.cik AND l.tag = p.tag AND l.inst = (p.shape = 'I')""")
 step("foreign_seen", """
   SELECT c.cik, c.basis, c."end", l.k, arg_max(f.uccy, l.ord * 1000 + f.unit_ord) AS ccy
   FROM cols c JOIN facts f ON f.cik = c.cik AND f."end" = c."end" AND f.per AND f.uccy <> c.ccy

@@ -178,7 +178,7 @@ def more_sql() -> dict:
     out = {}
     out["src5_reports"] = """
 SELECT p.cik, p.accn, p.cik % 9 <> 4 AS rendered, r.name, p.base || '/R' || CAST(r.i AS VARCHAR) || '.htm' AS url, p.base || '/' AS index_url,
-       CAST(r.ord_in AS INTEGER) AS report_ord, CASE WHEN r.name IS NOT NULL THEN coalesce(k.kinds, '') END AS kinds
+       CAST(r.ord_in AS INTEGER) AS report_ord, coalesce(k.kinds, '') AS kinds
 FROM filing_path p LEFT JOIN reps r USING (cik) LEFT JOIN (SELECT i, string_agg(kind, ',' ORDER BY ko) AS kinds FROM rep_kinds GROUP BY i) k ON k.i = r.i"""
     out["src6_dim_facts"] = """
 SELECT tag, CAST((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT AS INTEGER) AS axes, CAST(yr AS INTEGER) AS yr, count(*) AS facts,
@@ -230,6 +230,27 @@ LEFT JOIN (SELECT cik, max(period) AS newest FROM listed WHERE regexp_matches(fo
         for k, n, d, lo, hi in rng)
     out["qa5_ranges"] = f"""
 SELECT cik, basis, "end", ratio, round(value, 6) AS value, CASE WHEN oe AND thin THEN 'thin equity' WHEN abs(den) < abs(num) THEN 'small denominator' ELSE 'unexplained' END AS cause FROM ({parts})"""
+    moves = lambda a, b, form: f"""
+  SELECT coalesce(x.cik, y.cik) AS cik, CASE WHEN x.val IS NULL THEN 'appeared' WHEN y.val IS NULL THEN 'vanished' WHEN x.val <> y.val THEN 'changed'
+       WHEN {form} THEN 'form moved' END AS change
+  FROM (SELECT * FROM {a} WHERE r_nz = 1 AND basis = 'FY') x FULL JOIN (SELECT * FROM {b} WHERE r_nz = 1 AND basis = 'FY') y
+    ON x.cik = y.cik AND x."end" = y."end" AND x.k = y.k"""
+    out["qa6_snapshot_diff"] = f"""
+SELECT change, count(*) AS cells, count(DISTINCT cik) AS filers FROM ({moves('offers_early', 'offers', 'x.form <> y.form')}) WHERE change IS NOT NULL GROUP BY change"""
+    ccy = "CASE WHEN regexp_matches(unit, '^[A-Z]{3}(/shares)?$') THEN left(unit, 3) END"
+    mixed = lambda t: f"""SELECT count(*) FROM (SELECT cik, "end" FROM {t} WHERE r_nz = 1 AND basis = 'FY' GROUP BY cik, "end" HAVING count(DISTINCT {ccy}) > 1)"""
+    out["qa8_currency_audit"] = f"""
+SELECT 'cells that differ' AS measure, count(*) AS n FROM ({moves('offers', 'offers_free', 'x.unit <> y.unit')}) WHERE change IS NOT NULL
+UNION ALL SELECT 'mixed columns with the gate', ({mixed('offers')}) UNION ALL SELECT 'mixed columns without', ({mixed('offers_free')})
+UNION ALL SELECT 'filers changing currency', (SELECT count(*) FROM (SELECT cik FROM annual_anchor WHERE uccy IS NOT NULL GROUP BY cik HAVING count(DISTINCT uccy) > 1))"""
+    nm = lambda c: (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), "
+                    "'\\b(inc|corp|corporation|co|company|ltd|llc|plc|holdings|group|the|new|old)\\b', ' ', 'g'), '\\s+', ' ', 'g'))")
+    recent = "regexp_matches(form, '^(10-K|20-F|40-F)T?(/A)?$') AND filed >= DATE '1999-01-01'"
+    out["qa14_ticker_suspects"] = f"""
+SELECT t.cik, t.ticker, t.title, o.nm2 AS other_name, o.other_cik, o.companies, CAST(levenshtein({nm('t.title')}, o.nm2) AS INTEGER) AS edits
+FROM ticker_list t JOIN (SELECT nm2, min(cik) AS other_cik, count(*) AS companies FROM (
+  SELECT cik, {nm('max(company)')} AS nm2 FROM idx WHERE {recent} GROUP BY cik) GROUP BY nm2) o ON levenshtein({nm('t.title')}, o.nm2) <= 1
+WHERE t.cik NOT IN (SELECT cik FROM idx WHERE {recent})"""
     out["qa7_segment_diff"] = "SELECT 'appeared' AS change, count(*) AS cells, count(DISTINCT cik) AS filers FROM y_done HAVING count(*) > 0"
     out["qa9_distribution"] = """
 SELECT basis, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.1), 6) AS p10, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.01), 6) AS p01

@@ -9,8 +9,7 @@ from ledgerline.operators.select import annual_anchor_readings
 def candidate_calendars(obs: DataFrame, filers: DataFrame) -> DataFrame:
     """Distinct annual period ends per anchor tag; the first fact in the document dates the start."""
     rows = annual_anchor_readings(obs, filers)
-    first = F.min_by("days", F.struct("unit_ord", F.col("first.pos")))
-    cal = rows.groupBy("cik", "industry", "tag", "tag_ord", "end").agg(first.alias("days"))
+    cal = rows.groupBy("cik", "industry", "tag", "tag_ord", "end").agg(F.min("seen")["days"].alias("days"))
     return cal.select("cik", "industry", "tag", "tag_ord", F.date_sub("end", F.col("days")).alias("start"), "end")
 
 

@@ -12,11 +12,14 @@ def interim_spans(obs: DataFrame, filers: DataFrame) -> DataFrame:
     """Distinct spans of one to three quarters reported for an anchor tag."""
     rows = obs.where(F.col("is_duration") & F.col("days").between(C.YTD_MIN, C.YTD_MAX)
                      & F.col("tag").isin(T.anchor_tags()))
+    # folded per tag and span before the filer's industry is joined
+    first = F.min(F.struct("unit_ord", F.col("first.pos").alias("pos")))
+    rows = rows.groupBy("cik", "tag", "end", "days").agg(first.alias("first"), F.max(F.col("n_10q") > 0).alias("on_10q"))
     rows = rows.join(filers.select("cik", "industry"), "cik").join(
         F.broadcast(T.period_tags(obs.sparkSession)), ["industry", "tag"])
-    seen = F.struct("tag_ord", "unit_ord", F.col("first.pos").alias("pos"))
+    seen = F.struct("tag_ord", F.col("first.unit_ord").alias("unit_ord"), F.col("first.pos").alias("pos"))
     return rows.groupBy("cik", "end", "days").agg(
-        F.min(seen).alias("seen"), F.max(F.col("n_10q") > 0).alias("on_10q")
+        F.min(seen).alias("seen"), F.max("on_10q").alias("on_10q")
     ).withColumn("start", F.date_sub("end", F.col("days")))
 
 
@@ -79,7 +82,7 @@ def basis_check(obs: DataFrame, facts: DataFrame, legs: DataFrame) -> DataFrame:
     asked = legs.join(suspect, key, "left_semi").select(*key, F.col("prev_fy_end").alias("end"), "fy_accn")
     prev = h.where(C.is_annual()).join(asked, ["cik", "tag", "end"]).groupBy(*key).agg(*ends[:2])
     in_fy = (facts.where(F.col("is_duration") & C.is_annual())
-             .join(asked, ["cik", "tag", "end"]).where(F.col("accn") == F.col("fy_accn"))
+             .join(asked.withColumnRenamed("fy_accn", "accn"), ["cik", "tag", "end", "accn"])
              .groupBy(*key).agg(F.max_by("val", F.struct("filed", "unit_ord", "pos")).alias("in_fy")))
     followed = prev.join(in_fy, key).where((F.col("n") > 1) & C.moved("v0", "in_fy")).select(*key)
     return suspect.join(followed, key, "left_anti")

@@ -18,6 +18,16 @@ PIN_LINE = next(line for sec in CORE_SECTIONS for line in sec.lines if line.pinn
 PIN_WHOLE = T.REVENUE_TAGS
 PIN_PART = ("GrossProfit",)
 REQUEST_KEY = ["cik", "end", "shape", "dmin", "dmax", "gate"]
+# Requests are few and readings many, so each request is offered to this many slices of a filer's readings.
+SLICES = 16
+
+
+def _slice_of(*cols):
+    return F.pmod(F.xxhash64(*cols), F.lit(SLICES)).cast("int")
+
+
+def _every_slice():
+    return F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
 
 
 def observations(facts: DataFrame) -> DataFrame:
@@ -42,9 +52,15 @@ def observations(facts: DataFrame) -> DataFrame:
 
 
 def annual_anchor_readings(obs: DataFrame, filers: DataFrame) -> DataFrame:
-    """Annual periodic readings of the tags that date a filer's calendar."""
+    """Annual periodic readings of the tags that date a filer's calendar.
+
+    Folded per (filer, tag, end, currency) before the filer's industry is joined,
+    so the join by filer alone sees a few dozen rows of even the largest filer.
+    """
     rows = obs.where(F.col("is_duration") & F.col("is_periodic") & C.is_annual()
                      & F.col("tag").isin(T.anchor_tags()))
+    seen = F.min(F.struct("unit_ord", F.col("first.pos").alias("pos"), "days"))
+    rows = rows.groupBy("cik", "tag", "end", "unit_ccy").agg(F.sum("n").alias("n"), seen.alias("seen"))
     return rows.join(filers.select("cik", "industry"), "cik").join(
         F.broadcast(T.period_tags(obs.sparkSession)), ["industry", "tag"])
 
@@ -88,12 +104,15 @@ def candidates(obs: DataFrame, requests: DataFrame) -> DataFrame:
     """Distinct values that answer a request, with the rank of their best filing.
 
     Readings in another currency stay as evidence (``wrong_ccy``) and never win.
-    Requests without the currency gate serve the identity pin only.
+    Requests without the currency gate serve the identity pin only.  Readings are
+    sliced by (tag, value) so that no task receives all readings of a very large
+    filer's year end; the slice is part of the group, so it costs no further shuffle.
     """
     pin_tags = sorted({*PIN_LINE.tags, *PIN_WHOLE, *PIN_PART})
     o = obs.where("is_periodic").withColumn("shape", F.when(F.col("is_duration"), "D").otherwise("I"))
-    r = requests.withColumnRenamed("shape", "r_shape")
-    hit = o.join(r, ["cik", "end"]).where(
+    o = o.withColumn("slice", _slice_of("tag", "val"))
+    r = requests.withColumnRenamed("shape", "r_shape").withColumn("slice", _every_slice())
+    hit = o.join(r, ["cik", "end", "slice"]).where(
         (F.col("shape") == F.col("r_shape"))
         & ((F.col("shape") == "I") | F.col("days").between(F.col("dmin"), F.col("dmax")))
         & (F.col("gate") | F.col("tag").isin(pin_tags)))
@@ -102,10 +121,10 @@ def candidates(obs: DataFrame, requests: DataFrame) -> DataFrame:
         F.col(f"{b}.filed").alias("filed"), F.col(f"{b}.form_rank").alias("form_rank"),
         (-F.col("unit_ord")).alias("nunit"), F.col(f"{b}.npos").alias("npos"), F.col(f"{b}.accn").alias("accn"),
         F.col(f"{b}.form").alias("form"), F.col("unit").alias("unit"), F.col("days").alias("days"))
-    return hit.withColumn("wrong_ccy", wrong).groupBy(*REQUEST_KEY, "tag", "wrong_ccy", "val").agg(
+    return hit.withColumn("wrong_ccy", wrong).groupBy(*REQUEST_KEY, "slice", "tag", "wrong_ccy", "val").agg(
         F.max(ranked("best")).alias("top"),
         F.max(F.when(F.col("best_plain").isNotNull(), ranked("best_plain"))).alias("plain"),
-        F.min("accn_lo").alias("accn_lo"), F.max("accn_hi").alias("accn_hi"), F.max("unit_ord").alias("last_unit"))
+        F.min("accn_lo").alias("accn_lo"), F.max("accn_hi").alias("accn_hi"), F.max("unit_ord").alias("last_unit")).drop("slice")
 
 
 def _winner(rank: str):
@@ -127,10 +146,10 @@ def scale_slips(cands: DataFrame, winners: DataFrame) -> DataFrame:
     amendment's own value.  Two distinct filings exist exactly when the smallest
     and the largest accession differ, so no set of accessions is gathered.
     """
-    amended = winners.where(C.is_amendment(F.col("w.form")))
+    amended = winners.where(C.is_amendment(F.col("w.form"))).withColumn("slice", _every_slice())
     reports = cands.where("wrong_ccy IS NULL AND plain IS NOT NULL").select(
-        *REQUEST_KEY, "tag", "val", "plain", "accn_lo", "accn_hi")
-    pairs = amended.join(reports, [*REQUEST_KEY, "tag"])
+        *REQUEST_KEY, "tag", "val", "plain", "accn_lo", "accn_hi", _slice_of("val").alias("slice"))
+    pairs = amended.join(reports, [*REQUEST_KEY, "tag", "slice"])
     slipped = C.is_power_of_ten(F.col("w.val"), F.col("val")) & (F.col("accn_lo") != F.col("accn_hi"))
     return pairs.groupBy(*REQUEST_KEY, "tag").agg(
         F.max(F.col("val") == F.col("w.val")).alias("agreed"),
@@ -181,10 +200,9 @@ def pin_by_identity(picks: DataFrame, tags=PIN_LINE.tags, whole=PIN_WHOLE, part=
 
 def pin_order(runs: DataFrame, scores: DataFrame, periods: DataFrame, line=PIN_LINE) -> DataFrame:
     """Tag order of the pinned line per filer: identity first, else the longest run."""
-    spark = periods.sparkSession
-    declared = spark.createDataFrame([(line.key, t, i) for i, t in enumerate(line.tags)],
-                                     "k string, tag string, declared int")
-    grid = periods.select("cik").distinct().crossJoin(F.broadcast(declared))  # three rows per filer
+    declared = F.array(*[F.struct(F.lit(line.key).alias("k"), F.lit(t).alias("tag"), F.lit(i).alias("declared"))
+                         for i, t in enumerate(line.tags)])
+    grid = periods.where("idx = 0").select("cik", F.inline(declared))  # three rows per filer
     full = grid.join(runs, ["cik", "tag"], "left").join(scores, ["cik", "tag"], "left").fillna(0, ["run", "score"])
     per_cik = Window.partitionBy("cik")
     full = full.withColumn("by_identity", F.max("score").over(per_cik) > 0)
@@ -269,12 +287,14 @@ def latest_facts(obs: DataFrame, filers: DataFrame) -> DataFrame:
     """Newest fact per line marked latest: no form, currency or shape filter."""
     lt = T.line_tags(obs.sparkSession).where("latest").select("industry", "tag", "k", "tag_ord")
     tags = sorted({t for r in T.template_rows() if r[11] for t in r[14]})
-    rows = (obs.where(F.col("tag").isin(tags)).join(filers.select("cik", "industry"), "cik")
-            .join(F.broadcast(lt), ["industry", "tag"]))
-    rank = F.struct("end", (-F.col("tag_ord")).alias("o"), (-F.col("unit_ord")).alias("u"), (-F.col("first.pos")).alias("p"))
+    # one candidate per (filer, tag) is left before the filer's industry is joined
+    rank = F.struct("end", (-F.col("unit_ord")).alias("u"), (-F.col("first.pos")).alias("p"))
     body = F.struct(F.col("val").alias("value"), "unit", "tag", F.col("first.accn").alias("accn"),
                     F.col("first.form").alias("form"), F.col("first.filed").alias("filed"), F.col("end").alias("fact_end"))
-    return rows.groupBy("cik", "k").agg(F.max_by(body, rank).alias("b")).select("cik", "k", "b.*")
+    newest = obs.where(F.col("tag").isin(tags)).groupBy("cik", "tag").agg(F.max_by(body, rank).alias("b"))
+    rows = newest.join(filers.select("cik", "industry"), "cik").join(F.broadcast(lt), ["industry", "tag"])
+    best = F.struct(F.col("b.fact_end").alias("e"), (-F.col("tag_ord")).alias("o"))
+    return rows.groupBy("cik", "k").agg(F.max_by("b", best).alias("b")).select("cik", "k", "b.*")
 
 
 def debt_scope(obs: DataFrame, tags=None) -> DataFrame:

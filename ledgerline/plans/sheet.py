@@ -13,9 +13,9 @@ from ledgerline.sources import readers
 class SheetPlan:
     """Named steps of the pipeline; each is built on first use.
 
-    Five steps are written as stages because several later steps read them: the
-    facts, their distinct readings, the columns, the cells and the sheet.  The
-    readings hold one row per (filer, tag, unit, shape, value), the rest only a
+    Steps that several later steps read are written as stages: the facts, their
+    distinct readings, the columns, the picks, the cells and the sheet.  The readings
+    hold one row per (filer, tag, unit, shape, value), the rest only a
     template-sized multiple of the number of filers.
     """
 
@@ -49,7 +49,7 @@ class SheetPlan:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return ltm.ltm_windows(self.rungs, self.periods)
+        return write_stage(ltm.ltm_windows(self.rungs, self.periods), "windows")
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -69,7 +69,8 @@ class SheetPlan:
 
     @cached_property
     def pins(self) -> DataFrame:
-        return select.pin_order(select.pin_by_run(self.obs, self.periods), select.pin_by_identity(self.picks), self.periods)
+        runs, scores = select.pin_by_run(self.obs, self.periods), select.pin_by_identity(self.picks)
+        return write_stage(select.pin_order(runs, scores, self.periods), "pins")
 
     @cached_property
     def read_cells(self) -> DataFrame:

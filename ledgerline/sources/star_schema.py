@@ -69,11 +69,12 @@ def _period_rows() -> list:
 
 
 def _reported_periods(spark, sf_dir):
-    dim = spark.createDataFrame(_period_rows(), "kind string, yr int, q int, ym0 int, ym1 int")
-    m = monthly(spark, sf_dir)
-    # the period list is fixed (about 50 rows), so it is broadcast
-    joined = m.join(F.broadcast(dim), m.ym.between(dim.ym0, dim.ym1))
-    sums = joined.groupBy("cik", "kind", "yr", "q", "ym0", "ym1").agg(
+    # the period list is fixed (about 50 entries), so each month picks its periods in place, without a join
+    listed = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(yr).alias("yr"), F.lit(q).alias("q"), F.lit(a).alias("ym0"), F.lit(b).alias("ym1"))
+        for kind, yr, q, a, b in _period_rows()])
+    hit = F.filter(listed, lambda p: F.col("ym").between(p["ym0"], p["ym1"]))
+    sums = monthly(spark, sf_dir).select("*", F.inline(hit)).groupBy("cik", "kind", "yr", "q", "ym0", "ym1").agg(
         *[F.sum(c).alias(c) for c in ("rev_all", "rev_cut", "fin_all", "fin_cut", "qty")])
     first_day = F.make_date((F.col("ym0") / 12).cast("int"), (F.col("ym0") % 12 + 1).cast("int"), F.lit(1))
     last_day = F.last_day(F.make_date((F.col("ym1") / 12).cast("int"), (F.col("ym1") % 12 + 1).cast("int"), F.lit(1)))
@@ -131,7 +132,9 @@ def _reported(recipes):
 
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts in the shape of ``readers.read_company_facts``."""
-    p = _reported_periods(spark, sf_dir).withColumn("industry", C.industry_of(_industry_code().cast("int")))
+    # a filer has at most about fifty periods and each fans out some forty-fold, so the fan-out gets every core
+    p = _reported_periods(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "cik", "ym1")
+    p = p.withColumn("industry", C.industry_of(_industry_code().cast("int")))
     lines = F.when(F.col("kind") == "INST", _reported(BALANCES)).otherwise(_reported(SPANS))
     rows = (p.withColumn("ver", F.explode(_versions())).select("*", "ver.*").drop("ver")
             .withColumn("line", F.explode(lines)).select("*", "line.*").drop("line"))

@@ -330,20 +330,31 @@ step("scope", f"""
 RECURSIVE = {"walk"}
 
 
+_NAMED = re.compile(r"\b(?:FROM|JOIN)\s+(\w+)|,\s*(\w+)(?=\s+\w+\s+WHERE)")
+_NEEDS: dict = {}
+
+
+def _needs(text: str) -> list:
+    return [n for n in dict.fromkeys(a or b for a, b in _NAMED.findall(text)) if n in STEPS]
+
+
 def with_steps(final: str) -> str:
     """``final`` preceded by every step it names, directly or through other steps."""
-    need, order = set(), []
+    seen, order = set(), []
 
-    def visit(text, me=None):
-        for n in STEPS:
-            if n != me and n not in need and re.search(rf"\b(FROM|JOIN)\s+{n}\b|,\s*{n}\b(?=\s+\w+\s+WHERE)", text):
-                need.add(n)
-                visit(STEPS[n], n)
-                order.append(n)
+    def visit(names_):
+        for n in names_:
+            if n in seen:
+                continue
+            seen.add(n)
+            if n not in _NEEDS:
+                _NEEDS[n] = [m for m in _needs(STEPS[n]) if m != n]
+            visit(_NEEDS[n])
+            order.append(n)
 
-    visit(final)
+    visit(_needs(final))
     if not order:
-        return final
+        return final.strip()
     ctes = []
     for n in order:
         kind = "" if n in RECURSIVE else "MATERIALIZED "

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import bpe, preferences, sharding, urlfilter
+from ledgerline.llm import bpe, parity, preferences, sharding, urlfilter
 from ledgerline.llm.tables import read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.near_classes(read(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(read(spark, sf_dir, "documents"), sharding.tree(SHARDS), sharding.tree(SHARDS + 1))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -37,4 +41,4 @@ def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.withColumn("loss_spans", spans)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op4_sharding, op5_byte_bpe, op10_chat_preferences)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op10_chat_preferences)}

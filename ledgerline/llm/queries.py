@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import bpe, parity, preferences, sharding, urlfilter
-from ledgerline.llm.tables import read
+from ledgerline.llm import bpe, crf, parity, preferences, sharding, urlfilter
+from ledgerline.llm.tables import fold_of, read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,10 +35,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), RANK_FILE)
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the rows of four of five folds; every row is predicted from its text alone."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = crf.fit(docs.where(~held_out))
+    return crf.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = preferences.format_pairs(*preferences.swapped_replies(read(spark, sf_dir, "conversations")))
     spans = F.array_join(F.transform("loss_spans", lambda s: F.concat_ws("-", s.start, s.end)), ",")
     return formatted.withColumn("loss_spans", spans)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op10_chat_preferences)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op10_chat_preferences)}

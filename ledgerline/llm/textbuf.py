@@ -38,12 +38,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+class Spans:
+    """64-bit hashes of spans of bytes; equal spans have equal hashes wherever they stand."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, _U)
+        np.cumsum(_BYTE_CODE[data] * up[:-1], out=self.total[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + mix((end - start).astype(_U)))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_CODE[data] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + mix((end - start).astype(_U)))
+    return Spans(data).hash(start, end)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

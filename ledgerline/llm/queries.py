@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import bpe, crf, parity, preferences, sharding, urlfilter
+from ledgerline.llm import bpe, crf, parity, preferences, sharding, toxicity, urlfilter
 from ledgerline.llm.tables import fold_of, read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,15 @@ LISTED_DOMAINS = ("example.com", "example.net", "example.org")
 SHARDS = 8
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labelled rows of two of three folds; every row is scored from its text alone."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold_of(F.col("doc_id"), 3) != 1))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(f"{s}.{d}",) for s in LISTED_SITES for d in LISTED_DOMAINS], "key string")
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES, listed)
@@ -49,4 +58,4 @@ def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.withColumn("loss_spans", spans)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op10_chat_preferences)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op10_chat_preferences)}

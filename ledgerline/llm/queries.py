@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import bpe, crf, parity, preferences, sharding, toxicity, urlfilter
+from ledgerline.llm import bpe, crf, onebit, parity, preferences, sharding, toxicity, urlfilter
 from ledgerline.llm.tables import fold_of, read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -52,10 +52,14 @@ def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.search(read(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = preferences.format_pairs(*preferences.swapped_replies(read(spark, sf_dir, "conversations")))
     spans = F.array_join(F.transform("loss_spans", lambda s: F.concat_ws("-", s.start, s.end)), ",")
     return formatted.withColumn("loss_spans", spans)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op10_chat_preferences)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op9_nearest_vectors, op10_chat_preferences)}

@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     most = F.when(F.col("y") == 1, 3 * toxic).otherwise(3 * ordinary)
     counts = marks.groupBy("y").agg(F.count("*").alias("n"))
     order = F.xxhash64("id")
-    likely = marks.join(F.broadcast(counts), "y").where(F.pmod(order, F.lit(1 << 30)) * F.col("n") <= 2 * most * (1 << 30))
+    likely = marks.join(F.broadcast(counts), "y").where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) * F.col("n") <= 2.0 * most)
     chosen = likely.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(order, "id"))).where(F.col("r") <= most).select("id", "y", "r")
     texts = docs.select(F.col(id_column).alias("id"), F.substring(text_column, 1, TRAIN_CHARS).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").collect()  # at most 3 (TOXIC + ORDINARY) texts

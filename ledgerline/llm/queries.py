@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import bpe, crf, onebit, parity, preferences, sharding, toxicity, urlfilter
+from ledgerline.llm import bpe, crf, divergence, mixing, onebit, parity, preferences, sharding, toxicity, urlfilter
 from ledgerline.llm.tables import fold_of, read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -52,6 +52,15 @@ def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
+def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(read(spark, sf_dir, "documents"))
+
+
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(read(spark, sf_dir, "embeddings"), every=100, k=10)
 
@@ -62,4 +71,4 @@ def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.withColumn("loss_spans", spans)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op9_nearest_vectors, op10_chat_preferences)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op7_source_mixing, op8_quality_divergence, op9_nearest_vectors, op10_chat_preferences)}

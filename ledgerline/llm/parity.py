@@ -12,12 +12,21 @@ Bands.  Level l has 2**l parts and serves pairs whose larger set allows at most
 _most(l) differing shingles.  A set speaks at its own level and at that of the
 largest set that could match it, so every pair meets at the larger set's level.
 
-Empty parts prove nothing.  A set is sure at a level if its parts that hold
-shingles outnumber the differences allowed; a pair with one sure set shares such a
-part.  A set that is not sure speaks again: first with shingles that are common
-in the corpus put back in, then at ever finer levels, until it is sure.  Common
-shingles (boilerplate, large groups) are left out of the first attempt only; they
-are estimated on a sample of documents and change the work, never the result.
+Empty parts prove nothing.  A set is sure of a way of cutting if its parts that
+hold shingles outnumber the differences allowed; a pair with one sure set shares
+such a part.  A set that is not sure speaks again in the next way, until it is:
+
+1. its usual shingles at the level, leaving out those common in the corpus;
+2. each usual shingle as a part of its own;
+3. all shingles at the level;
+4. each shingle as a part of its own, which is always sure.
+
+Common shingles (boilerplate, large groups) are estimated on a sample of documents
+and change the work, never the result.  In ways 3 and 4 two sets can only match
+without sharing a usual shingle if one of them is light: if its usual shingles are
+at most half the differences allowed.  Heavy sets are not compared there with each
+other, so texts around one common passage do not meet in pairs, and light sets with
+the same common part are near copies of each other anyway.
 
 A large group is not expanded into pairs.  Parts first link to one member, texts
 of one component need no further look, and only parts that still hold several
@@ -39,7 +48,9 @@ from ledgerline.plans.stage import write_stage
 
 WORDS, NUM, DEN = 5, 75, 100
 #: The sample that finds common shingles: one document in SAMPLE_OF, fewer beyond SAMPLE_ROWS; COMMON_IN sampled documents make a shingle common.
-SAMPLE_OF, SAMPLE_ROWS, COMMON_IN, MOST_COMMON = 64, 200_000, 4, 1 << 17
+SAMPLE_OF, SAMPLE_ROWS, COMMON_IN, MOST_COMMON = 16, 500_000, 4, 1 << 17
+#: Kinds of parts: usual shingles; all shingles of a light or of a heavy set.
+USUAL, LIGHT, HEAVY = 0, 1, 2
 #: Rows of a part that are compared with each other in one block.
 BLOCK = 256
 _U = np.uint64
@@ -118,8 +129,8 @@ def _allowed(total, num: int, den: int):
     return total * (den - num) // (den + num)
 
 
-def part_keys(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of every part that a text speaks with; common is sorted."""
+def part_keys(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, kind) of every part that a text speaks with; common is sorted."""
     size = np.diff(offsets)
     own = np.searchsorted(_MOST, _allowed(2 * size, num, den))
     largest = size * den // num
@@ -136,31 +147,35 @@ def part_keys(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, num: int =
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         usual = common[at] != h
     value = mix(h ^ _U(0x5851F42D4C957F2D))
-    texts_out, keys_out = [], []
-    attempt, level = 0, base.copy()
-    while len(text):
+    texts_out, keys_out, kinds_out = [], [], []
+    cold = np.bincount(np.repeat(np.arange(len(size)), size)[usual], minlength=len(size)) if len(common) else size
+    light = 2 * cold <= _allowed(size + largest, num, den)
+    for full, fine in ((False, False), (False, True), (True, False), (True, True)):
+        if not len(text):
+            break
+        if full and not len(common):
+            full, fine = False, True  # nothing was left out: only the finest parts are left to say
         item = np.repeat(np.arange(len(text)), size[text])
         token = ragged(np.arange(len(h)), offsets[text], size[text])
-        if attempt == 0 and len(common):
+        if not full and len(common):
             item, token = item[usual[token]], token[usual[token]]
-        depth = level[item].astype(_U)
-        part = np.where(depth == 0, _U(0), h[token] >> (_U(64) - np.maximum(depth, _U(1))))
+        depth = np.full(len(item), 64, _U) if fine else base[item].astype(_U)
+        part = h[token] if fine else np.where(depth == 0, _U(0), h[token] >> (_U(64) - np.maximum(depth, _U(1))))
         new = np.ones(len(item), bool)
         new[1:] = (item[1:] != item[:-1]) | (part[1:] != part[:-1])
         begin = np.flatnonzero(new)
         filled = np.bincount(item[begin], minlength=len(text))
         if len(begin):
             parity = np.bitwise_xor.reduceat(value[token], begin)
-            place = part[begin] | depth[begin] << _U(48) | _U(min(attempt, 1)) << _U(60)
-            keys_out.append(mix(parity ^ mix(place)))
+            keys_out.append(mix(parity ^ mix(mix(part[begin]) + depth[begin] * _U(2) + _U(full))))
             texts_out.append(text[item[begin]])
+            kinds_out.append(np.where(light[texts_out[-1]], LIGHT, HEAVY) if full else np.full(len(begin), USUAL))
         unsure = filled <= most
-        if attempt > 0 or not len(common):
-            level = level + 1
-        text, level, most = text[unsure], level[unsure], most[unsure]
-        attempt += 1
+        text, base, most = text[unsure], base[unsure], most[unsure]
     none = np.zeros(0, np.int64)
-    return (np.concatenate(texts_out), np.concatenate(keys_out).view(np.int64)) if keys_out else (none, none)
+    if not keys_out:
+        return none, none, none
+    return np.concatenate(texts_out), np.concatenate(keys_out).view(np.int64), np.concatenate(kinds_out)
 
 
 def document_sets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -196,7 +211,7 @@ def common_shingles(docs: DataFrame, rows: int, id_column: str, text_column: str
 
 
 def parts(docs: DataFrame, common: np.ndarray, text_column: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
-    """(key, node) of every part of every distinct set; a set seen again in the same task is not repeated."""
+    """(key, kind, node) of every part of every distinct set; a set seen again in the same task is not repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -211,10 +226,10 @@ def parts(docs: DataFrame, common: np.ndarray, text_column: str = "text", num: i
                     seen.update(nodes[fresh].tolist())
                 size = np.diff(offsets)[fresh]
                 h, offsets, nodes = ragged(h, offsets[:-1][fresh], size), np.append(0, np.cumsum(size)), nodes[fresh]
-                text, key = part_keys(h, offsets, common, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(nodes[text], pa.int64())], names=["key", "node"])
+                text, key, kind = part_keys(h, offsets, common, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int8()), pa.array(nodes[text], pa.int64())], names=["key", "kind", "node"])
 
-    return docs.select(F.col(text_column).alias("text")).mapInArrow(run, "key long, node long")
+    return docs.select(F.col(text_column).alias("text")).mapInArrow(run, "key long, kind byte, node long")
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -281,20 +296,23 @@ class Join:
         return write_stage(verified(close, write_stage(self.texts_of(wanted), f"{name}-texts"), self.num, self.den), f"{name}-links")
 
     def shared(self) -> DataFrame:
-        """(key, node, hub): members of parts that several sets share; the hub is the least."""
+        """(key, kind, node, hub, hub_kind): members of parts that several sets share; the hub is a light one if there is any, and the least."""
         common = common_shingles(self.docs, self.sets.count(), "id", "text")
-        run = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-        told = parts(self.docs, common, "text", self.num, self.den).withColumn("hub", F.min("node").over(run))
-        return write_stage(told.where("node <> hub").distinct(), "shared-parts")
+        run = Window.partitionBy("key").orderBy("kind", "node").rowsBetween(Window.unboundedPreceding, 0)
+        told = parts(self.docs, common, "text", self.num, self.den).withColumn("h", F.first(F.struct("kind", "node")).over(run))
+        told = told.where((F.col("node") != F.col("h.node")) & ((F.col("kind") != HEAVY) | (F.col("h.kind") != HEAVY)))
+        return write_stage(told.select("key", "kind", "node", F.col("h.node").alias("hub"), F.col("h.kind").alias("hub_kind")).distinct(), "shared-parts")
 
     def open_parts(self, shared: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-        """(key, node, comp) of parts that still hold more than one component."""
+        """(key, kind, node, comp) of parts that still hold more than one component."""
         comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
         told = (shared.join(comp("node"), "node", "left").join(comp("hub"), "hub", "left")
                 .withColumn("node_comp", F.coalesce("node_comp", "node")).withColumn("hub_comp", F.coalesce("hub_comp", "hub")))
         keys = told.where("node_comp <> hub_comp").select("key").distinct()
-        members = told.select("key", F.explode(F.array(F.struct("node", F.col("node_comp").alias("comp")), F.struct(F.col("hub").alias("node"), F.col("hub_comp").alias("comp")))).alias("m"))
-        return write_stage(members.join(keys, "key", "leftsemi").select("key", "m.node", "m.comp").distinct(), name)
+        both = F.array(F.struct("kind", "node", F.col("node_comp").alias("comp")),
+                       F.struct(F.col("hub_kind").alias("kind"), F.col("hub").alias("node"), F.col("hub_comp").alias("comp")))
+        members = told.select("key", F.explode(both).alias("m"))
+        return write_stage(members.join(keys, "key", "leftsemi").select("key", "m.kind", "m.node", "m.comp").distinct(), name)
 
     def links(self) -> DataFrame:
         """Links (a, b) that connect exactly the components of all links; see the module's text."""
@@ -305,9 +323,9 @@ class Join:
         left = self.open_parts(shared, labels, "open-1")
         if left.limit(1).count():
             turn = F.xxhash64("node", F.pmod("key", F.lit(16)))
-            run = Window.partitionBy("key").orderBy(turn, "node").rowsBetween(Window.unboundedPreceding, 0)
-            first = F.first(F.struct("node", "comp")).over(run)
-            pairs = (left.withColumn("h", first).where("h.comp <> comp")
+            run = Window.partitionBy("key").orderBy(F.col("kind") == HEAVY, turn, "node").rowsBetween(Window.unboundedPreceding, 0)
+            first = F.first(F.struct("kind", "node", "comp")).over(run)
+            pairs = (left.withColumn("h", first).where((F.col("h.comp") != F.col("comp")) & ((F.col("kind") != HEAVY) | (F.col("h.kind") != HEAVY)))
                      .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct())
             found = found.unionByName(self.check(pairs, "turned"))
             labels = components(found, "turned")
@@ -323,10 +341,10 @@ class Join:
         blocks = sized.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         rows = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        lower = every.where("block <= other").select("key", "block", "other", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"))
-        upper = every.where("other <= block").select("key", F.col("other").alias("block"), F.col("block").alias("other"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
+        lower = every.where("block <= other").select("key", "block", "other", F.col("node").alias("a"), F.col("kind").alias("ka"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"))
+        upper = every.where("other <= block").select("key", F.col("other").alias("block"), F.col("block").alias("other"), F.col("node").alias("b"), F.col("kind").alias("kb"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
         fit = (F.col("na") * self.den >= F.col("nb") * self.num) & (F.col("nb") * self.den >= F.col("na") * self.num)
-        met = lower.join(upper, ["key", "block", "other"]).where((F.col("ca") != F.col("cb")) & fit & ((F.col("block") < F.col("other")) | (F.col("a") < F.col("b"))))
+        met = lower.join(upper, ["key", "block", "other"]).where((F.col("ca") != F.col("cb")) & ((F.col("ka") != HEAVY) | (F.col("kb") != HEAVY)) & fit & ((F.col("block") < F.col("other")) | (F.col("a") < F.col("b"))))
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def classes(self) -> DataFrame:

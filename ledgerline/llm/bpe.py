@@ -317,10 +317,10 @@ def decode(df: DataFrame, path: str, id_column: str = "doc_id", ids_column: str
     return slim.mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_column)
 
 
-def round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Encodes each text and decodes its ids again, in one pass: (id, n_tokens, ids_sha256, decoded_sha256).
+def round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes each text and decodes its ids again, in one pass: (id, n_tokens, ids_sha256, decoded_sha256[, ids]).
 
-    The ids themselves stay in the worker, so nothing of the size of the corpus leaves it.
+    Without with_ids the ids stay in the worker, so nothing of the size of the corpus leaves it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,12 +331,15 @@ def round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_column:
                 data, at = decode_ids(ids, offsets, vocab)
                 packed = memoryview(ids.astype("<u4").view(np.uint8))
                 text = memoryview(np.ascontiguousarray(data))
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(np.diff(offsets), pa.int64()),
-                    pa.array([hashlib.sha256(packed[4 * a:4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])], pa.string()),
-                    pa.array([hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string()),
-                ], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {
+                    "id": part.column(0), "n_tokens": pa.array(np.diff(offsets), pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(packed[4 * a:4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = df.schema[id_column].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _slim(df, id_column, text_column).mapInArrow(run, schema).withColumnRenamed("id", id_column)

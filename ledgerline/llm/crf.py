@@ -12,7 +12,7 @@ text's label, so a text's foreign passages are noise; weights decay against it.
 
 Null texts and texts without a letter give "und" with score 0.  With no labelled
 text at all every text is "und".  Ties go to the language that is first in order.
-Rows are kept one to one; other columns are not read.
+Rows are kept one to one with all their columns.
 """
 
 from collections.abc import Iterator
@@ -22,6 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ledgerline.llm.textbuf import Spans, mix, pieces_of_batch, text_buffer, word_spans
 
@@ -268,16 +269,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_column: str
     return train([r["text"] for r in found], [r["label"] for r in found])
 
 
-def identify(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row."""
+def identify(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """df with lang_pred and score for every row."""
+    at = df.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for part in pieces_of_batch(batch, "text"):
-                best, share = label_texts(*text_buffer(part.column(1)), model)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(share, pa.float64())], names=["id", "lang_pred", "score"])
+            for part in pieces_of_batch(batch, text_column):
+                best, share = label_texts(*text_buffer(part.column(at)), model)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(share, pa.float64())],
+                                                 names=[*part.schema.names, "lang_pred", "score"])
 
-    kind = df.schema[id_column].dataType.simpleString()
-    slim = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -49,7 +49,7 @@ def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold_of(F.col("doc_id"), 5) == 0
     model = crf.fit(docs.where(~held_out))
-    return crf.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return crf.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

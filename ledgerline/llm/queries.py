@@ -58,7 +58,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(read(spark, sf_dir, "documents"))
+    return divergence.judge(read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

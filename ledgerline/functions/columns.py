@@ -30,20 +30,6 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def safe_div(a, b) -> Column:
-    """Null for a null operand or a zero divisor."""
-    return F.try_divide(col(a).cast("double"), col(b).cast("double"))
-
-
-def sum_nn(*cols) -> Column:
-    """Null only if every operand is null; otherwise nulls count as zero."""
-    cs = [col(c) for c in cols]
-    total = F.coalesce(cs[0], F.lit(0.0))
-    for c in cs[1:]:
-        total = total + F.coalesce(c, F.lit(0.0))
-    return F.when(F.coalesce(*cs).isNotNull(), total)
-
-
 def is_periodic(form="form") -> Column:
     return F.coalesce(col(form).rlike(PERIODIC_FORM), F.lit(False))
 
@@ -70,6 +56,7 @@ def is_annual(days="days") -> Column:
 
 
 def industry_of(sic="sic_code") -> Column:
+    # The ranges of industry codes.
     n = F.expr(f"try_cast({sic} as int)") if isinstance(sic, str) else sic
     return (
         F.when(n.between(6020, 6199), "bank")
@@ -83,6 +70,7 @@ def industry_of(sic="sic_code") -> Column:
     )
 
 
+# The tolerances of the next three tests.
 def is_power_of_ten(a, b) -> Column:
     """True when two non-zero values differ by a whole, non-zero power of ten."""
     a, b = col(a), col(b)

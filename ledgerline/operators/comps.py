@@ -5,18 +5,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerline.dims import template as T
 from ledgerline.functions.quantiles import exact_percentiles
 
-SET_LIMIT = 8
-SCAN_LIMIT = 400
 HITS = 8
 
 
 def build_set(tickers: DataFrame, wanted: list) -> DataFrame:
-    """Members of one typed-in set: upper-cased, de-duplicated, eight at most, unknown ones marked.
+    """Members of one typed-in set: upper-cased, de-duplicated, unknown ones marked.
 
     ``wanted`` is what a reader typed, so it is short and may live on the driver.
     """
     clean = [str(t).strip().upper() for t in wanted]
-    clean = list(dict.fromkeys(t for t in clean if t))[:SET_LIMIT]
+    clean = list(dict.fromkeys(t for t in clean if t))
     ask = tickers.sparkSession.createDataFrame([(i, t) for i, t in enumerate(clean)], "ord int, ticker string")
     known = tickers.where(F.col("ticker").isin(clean)).groupBy("ticker").agg(F.min("cik").alias("cik"))
     return F.broadcast(ask).join(known, "ticker", "left").select("ord", "ticker", "cik", F.col("cik").isNotNull().alias("known"))
@@ -88,8 +86,8 @@ def carried(chosen: DataFrame) -> DataFrame:
 def search(tickers: DataFrame, queries: list, k: int = HITS) -> DataFrame:
     """Company search for a batch of typed queries over a list ordered by ``ord``.
 
-    Every ticker row tests the queries in place; nothing is cross joined.  The
-    scan of one query ends after its 401st hit, as a person's search would.
+    Every ticker row tests the queries in place; nothing is cross joined.  All
+    hits are ranked and the best ``k`` are kept.
     """
     asked = [(i, q, q.strip().upper()) for i, q in enumerate(queries) if q.strip()]
     title = F.upper("title")
@@ -99,8 +97,6 @@ def search(tickers: DataFrame, queries: list, k: int = HITS) -> DataFrame:
                .when(title.contains(s), 2))
         tests.append(F.when(cls.isNotNull(), F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("query"), cls.alias("cls"))))
     hits = tickers.select("ord", "cik", "ticker", "title", F.inline(F.array_compact(F.array(*tests))))
-    scan = Window.partitionBy("query_id").orderBy("ord")
-    seen = hits.withColumn("hit", F.row_number().over(scan)).where(F.col("hit") <= SCAN_LIMIT + 1)
     best = Window.partitionBy("query_id").orderBy("cls", "ord")
-    return seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "query", "rank", "cik", "ticker", "title", "cls")

@@ -4,9 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.dims import template as T
 
-MAX_COLUMNS = 8
-
-
 def _positions(long: DataFrame) -> DataFrame:
     """Number a filer's fiscal-year columns from the oldest (c1)."""
     from pyspark.sql import Window
@@ -15,13 +12,26 @@ def _positions(long: DataFrame) -> DataFrame:
     return ends.withColumn("pos", F.concat(F.lit("c"), F.row_number().over(w).cast("string")))
 
 
-def _spread(rows: DataFrame, key: list, value) -> DataFrame:
-    names = [f"c{i}" for i in range(1, MAX_COLUMNS + 1)]
+def _spread(rows: DataFrame, key: list, value, columns: int) -> DataFrame:
+    names = [f"c{i}" for i in range(1, columns + 1)]
     return rows.groupBy(*key).pivot("pos", names).agg(F.first(value))
 
 
-def sheet_rows(long: DataFrame, tab: str, priced: DataFrame) -> DataFrame:
-    """Rows of one workbook tab in statement order; the valuation bridge only for priced filers."""
+def header_rows(periods: DataFrame, filers: DataFrame) -> DataFrame:
+    """What stands over a sheet's columns: company, tickers, currency, and each column's year and end, oldest first."""
+    from pyspark.sql import Window
+    at = F.row_number().over(Window.partitionBy("cik").orderBy("end"))  # as many rows as a sheet has columns
+    cols = periods.select("cik", "end", "fy", "ccy", at.alias("pos"))
+    return cols.join(filers.select("cik", "name", F.array_join("tickers", ", ").alias("tickers")), "cik").select(
+        "cik", "name", "tickers", F.concat(F.lit("c"), F.col("pos").cast("string")).alias("column"),
+        F.concat(F.lit("FY"), F.col("fy").cast("string")).alias("year"), "end", "ccy")
+
+
+def sheet_rows(long: DataFrame, tab: str, priced: DataFrame, columns: int) -> DataFrame:
+    """Rows of one workbook tab in statement order; the valuation bridge only for priced filers.
+
+    ``columns`` is the plan's own limit, so no column of the sheet is left out.
+    """
     t = T.template_lines(long.sparkSession).select("industry", "section", "k", "tab", "section_title")
     fy = long.where("basis = 'FY' AND how <> 'manual'").join(F.broadcast(t), ["industry", "section", "k"])
     own = fy.where(F.col("tab") == tab)
@@ -29,17 +39,17 @@ def sheet_rows(long: DataFrame, tab: str, priced: DataFrame) -> DataFrame:
         bridge = fy.where("section = 'ev'").join(priced.select("cik").distinct(), "cik", "left_semi")
         own = own.unionByName(bridge.withColumn("section_ord", F.lit(1000)))
     rows = own.join(_positions(long), ["cik", "end"])
-    return _spread(rows, ["cik", "section_ord", "section_title", "line_ord", "k", "label"], F.col("value"))
+    return _spread(rows, ["cik", "section_ord", "section_title", "line_ord", "k", "label"], F.col("value"), columns)
 
 
-def tab_rows(long: DataFrame, tab: str) -> DataFrame:
+def tab_rows(long: DataFrame, tab: str, columns: int) -> DataFrame:
     """Rows of the copied tab: no manual or market rows, amounts to two decimals, blanks empty."""
     t = T.template_lines(long.sparkSession).select("industry", "section", "k", "tab", "section_title")
     fy = long.where("basis = 'FY' AND how NOT IN ('manual', 'market')").join(F.broadcast(t), ["industry", "section", "k"])
     raw = F.col("k").isin([*T.PERCENT_KEYS, *T.MULTIPLE_KEYS])
     shown = F.when(raw, F.col("value")).otherwise(F.floor(F.col("value") * 100 + 0.5) / 100)
     rows = fy.where(F.col("tab") == tab).withColumn("shown", shown).join(_positions(long), ["cik", "end"])
-    return _spread(rows, ["cik", "section_ord", "section_title", "line_ord", "k", "label"], F.col("shown"))
+    return _spread(rows, ["cik", "section_ord", "section_title", "line_ord", "k", "label"], F.col("shown"), columns)
 
 
 def comps_table(rows: DataFrame, medians: DataFrame, priced: DataFrame) -> DataFrame:
@@ -62,9 +72,9 @@ def segment_rows(views: DataFrame) -> DataFrame:
     return members.unionByName(total)
 
 
-def export_sheet(long: DataFrame, tab: str, priced: DataFrame, path: str) -> None:
+def export_sheet(long: DataFrame, tab: str, priced: DataFrame, columns: int, path: str) -> None:
     """One folder per filer would mean millions of files; rows are clustered by filer instead."""
-    out = sheet_rows(long, tab, priced)
+    out = sheet_rows(long, tab, priced, columns)
     out.repartitionByRange("cik").sortWithinPartitions("cik", "section_ord", "line_ord").write.mode("errorifexists").parquet(path)
 
 
@@ -73,8 +83,12 @@ def _write_tsv(df: DataFrame, path: str, *order: str) -> None:
      .write.mode("errorifexists").option("sep", "\t").option("nullValue", "").option("header", True).csv(path))
 
 
-def export_tab_tsv(long: DataFrame, tab: str, path: str) -> None:
-    _write_tsv(tab_rows(long, tab), path, "cik", "section_ord", "line_ord")
+def export_header_tsv(periods: DataFrame, filers: DataFrame, path: str) -> None:
+    _write_tsv(header_rows(periods, filers), path, "cik", "end")
+
+
+def export_tab_tsv(long: DataFrame, tab: str, columns: int, path: str) -> None:
+    _write_tsv(tab_rows(long, tab, columns), path, "cik", "section_ord", "line_ord")
 
 
 def export_segments(views: DataFrame, path: str) -> None:

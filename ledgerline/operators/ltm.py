@@ -23,39 +23,39 @@ def interim_spans(obs: DataFrame, filers: DataFrame) -> DataFrame:
     ).withColumn("start", F.date_sub("end", F.col("days")))
 
 
-def rung_options(spans: DataFrame, periods: DataFrame) -> DataFrame:
+def rung_options(spans: DataFrame, periods: DataFrame, rungs: int = RUNGS) -> DataFrame:
     """Spans that start with the year after one of the newest fiscal years.
 
     The +-10 day tolerance becomes 21 start dates per year, so the match is an
     equi-join on (cik, start) instead of a comparison of all pairs.
     """
-    years = periods.where(F.col("idx") <= RUNGS).select(
+    years = periods.where(F.col("idx") <= rungs).select(
         "cik", F.col("idx").alias("k"), F.col("end").alias("fy_end"),
         F.explode(F.sequence(F.date_sub("end", 9), F.date_add("end", 11))).alias("start"))
     return spans.join(years, ["cik", "start"]).where(F.col("end") > F.col("fy_end"))
 
 
-def ytd_rungs(spans: DataFrame, periods: DataFrame) -> DataFrame:
+def ytd_rungs(spans: DataFrame, periods: DataFrame, rungs: int = RUNGS) -> DataFrame:
     """Rung 0 is the newest 10-Q span; rung k the span like it, k years earlier.
 
     Rungs after the first missing one are dropped.
     """
-    opts = rung_options(spans, periods)
+    opts = rung_options(spans, periods, rungs)
     rung0 = opts.where("k = 0 AND on_10q").groupBy("cik").agg(F.max(F.struct("end", "days", "start")).alias("r"))
     base = rung0.select("cik", F.col("r.end").alias("end0"), F.col("r.days").alias("days0"))
     older = opts.where("k > 0").join(base, "cik").withColumn(
         "off", F.abs(F.date_diff("end", F.date_sub("end0", F.col("k") * 365))))
     older = older.where((F.abs(F.col("days") - F.col("days0")) <= C.SPAN_SLACK) & (F.col("off") <= 35))
     near = older.groupBy("cik", "k").agg(F.min_by(F.struct("end", "days", "start"), F.struct("off", "seen")).alias("r"))
-    rungs = rung0.select("cik", F.lit(0).alias("k"), "r").unionByName(near)
-    w = Window.partitionBy("cik").orderBy("k")  # at most five rows per filer
-    rungs = rungs.withColumn("unbroken", F.row_number().over(w) - 1 == F.col("k")).where("unbroken")
-    return rungs.select("cik", "k", "r.start", "r.end", "r.days")
+    found = rung0.select("cik", F.lit(0).alias("k"), "r").unionByName(near)
+    w = Window.partitionBy("cik").orderBy("k")  # one row more than there are rungs
+    found = found.withColumn("unbroken", F.row_number().over(w) - 1 == F.col("k")).where("unbroken")
+    return found.select("cik", "k", "r.start", "r.end", "r.days")
 
 
 def ltm_windows(rungs: DataFrame, periods: DataFrame) -> DataFrame:
     """Pair rung k with rung k + 1 and with the fiscal years they follow."""
-    cur = rungs.where(F.col("k") < RUNGS).select("cik", "k", F.col("start").alias("cur_start"), F.col("end").alias("cur_end"),
+    cur = rungs.select("cik", "k", F.col("start").alias("cur_start"), F.col("end").alias("cur_end"),
                        F.col("days").alias("cur_days"))
     prior = rungs.where("k > 0").select("cik", (F.col("k") - 1).alias("k"), F.col("start").alias("prior_start"),
                                         F.col("end").alias("prior_end"), F.col("days").alias("prior_days"))

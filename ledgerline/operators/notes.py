@@ -20,7 +20,6 @@ FLAG_NOTES = (
     ("debtEquity", "equityThin", None),
     ("roe", "equityThin", None),
 )
-SECTION_KIND = "section_kind"
 
 
 def long_sheet(sheet: DataFrame, cells: DataFrame) -> DataFrame:
@@ -150,10 +149,6 @@ def format_cells(long: DataFrame) -> DataFrame:
     return long.join(F.broadcast(style), "k", "left").withColumn("shown", C.display("value", "style", "unit"))
 
 
-def report_kind_counts(reports: DataFrame) -> DataFrame:
-    return reports.select("cik", "accn", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 def section_links(reports: DataFrame, industries: DataFrame) -> DataFrame:
     """For each section of a filer's sheet, the first report of its kind, else the filing folder.
 

@@ -18,11 +18,13 @@ def _near(a, b, tol=0.005):
     return F.abs(a - b) <= F.greatest(F.abs(b), F.lit(1.0)) * tol
 
 
+# where only the parent's equity is known, the outside holders' share is added to it
+CLAIMS = "totalLiab + coalesce(equityAll, equity + coalesce(nciBs, 0D)) + coalesce(tempEquity, 0D)"
 IDENTITIES = (
     ("gross profit = revenue - cogs", "grossProfit", "revenue - cogs"),
     ("ebitda = ebit + da", "ebitda", "ebit + coalesce(da, 0D)"),
     ("assets = liabilities + equity", "totalAssets",
-     "totalLiab + coalesce(equityAll, equity) + coalesce(tempEquity, 0D)"),
+     CLAIMS),
     ("fcf = cfo - capex", "fcf", "cfo - coalesce(capex, 0D)"),
 )
 
@@ -149,7 +151,7 @@ def leg_sources(cells: DataFrame, sheet: DataFrame) -> DataFrame:
     legs = cells.where(F.col("k").isin("totalAssets", "totalLiab", "equity") & F.col("value").isNotNull())
     per = legs.groupBy("cik", "basis", "end").agg(F.count("*").alias("legs"), F.countDistinct("accn").alias("filings")).where("legs = 3")
     s = sheet.select("cik", "basis", "end", "totalAssets",
-                     F.expr("totalLiab + coalesce(equityAll, equity) + coalesce(tempEquity, 0D)").alias("claims"))
+                     F.expr(CLAIMS).alias("claims"))
     rows = per.join(s, ["cik", "basis", "end"]).withColumn("closes", _near(F.col("totalAssets"), F.col("claims")))
     return rows.groupBy((F.col("filings") > 1).alias("split")).agg(
         F.count("*").alias("columns"), F.count_if("closes").alias("closing"))
@@ -202,20 +204,19 @@ def ticker_suspects(tickers: DataFrame, form_index: DataFrame, since: str) -> Da
 
     Two names one edit apart share a name or a name less one character, so an
     equi-join on those forms finds every pair and ``levenshtein`` confirms it.
-    Both sides are reduced to distinct names first: a name carried by very many
-    companies is compared once, and its companies are counted, not listed.
+    Names are compared once each; then every company of a name is returned beside
+    every silent ticker of the other, whatever the length of the names.
     """
     annual = form_index.where(F.col("form").rlike(C.ANNUAL_FORM) & (F.col("filed") >= F.to_date(F.lit(since))))
     silent = tickers.join(annual.select("cik").distinct(), "cik", "left_anti").withColumn("nm", normal_name("title"))
-    silent = silent.where(F.length("nm") > 3)
+    silent = silent.where(F.length("nm") > 0)
     named = annual.groupBy("cik").agg(F.max_by("company", F.struct("filed", "company")).alias("company"))
-    named = named.withColumn("nm2", normal_name("company")).where(F.length("nm2") > 3).groupBy("nm2").agg(
-        F.min("cik").alias("other_cik"), F.count("*").alias("companies"))
+    named = named.select(normal_name("company").alias("nm2"), F.col("cik").alias("other_cik")).where(F.length("nm2") > 0)
     a = silent.select("nm").distinct().withColumn("block", F.explode(_deletions("nm")))
-    b = named.select("nm2", "other_cik", "companies", F.explode(_deletions("nm2")).alias("block"))
+    b = named.select("nm2").distinct().withColumn("block", F.explode(_deletions("nm2")))
     near = a.join(b, "block").where(F.levenshtein("nm", "nm2") <= 1).select(
-        "nm", "nm2", "other_cik", "companies", F.levenshtein("nm", "nm2").alias("edits")).distinct()
-    return silent.join(near, "nm").select("cik", "ticker", "title", F.col("nm2").alias("other_name"), "other_cik", "companies", "edits")
+        "nm", "nm2", F.levenshtein("nm", "nm2").alias("edits")).distinct()
+    return silent.join(near, "nm").join(named, "nm2").select("cik", "ticker", "title", F.col("nm2").alias("other_name"), "other_cik", "edits")
 
 
 def stride_sample(df: DataFrame, order: str, lo: int, hi: int, step: int, key: str = "cik") -> DataFrame:

@@ -32,7 +32,6 @@ STANDARD_LABELS = (
     ("Intersegment Eliminations [Member]", "Eliminations"),
 )
 TOLERANCE = 0.001
-DEPTH = 3
 
 FILING = ["cik", "accn"]
 PERIOD = ["period_start", "period_end"]
@@ -92,17 +91,24 @@ def views(rows: DataFrame, role_members: DataFrame) -> DataFrame:
     return rows.join(roles, [*FILING, "axis", "member"])
 
 
-def containment(role_members: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(role, axis, ancestor, member) pairs of the member trees, a few levels deep."""
-    arcs = role_members.where("parent_member IS NOT NULL").select(
-        *FILING, "role", "axis", F.col("parent_member").alias("ancestor"), "member").distinct()
-    out, level = arcs, arcs
-    for _ in range(depth - 1):
-        up = arcs.select(*FILING, "role", "axis", "ancestor", F.col("member").alias("mid"))
-        level = level.withColumnRenamed("ancestor", "mid").join(up, [*FILING, "role", "axis", "mid"]).select(
-            *FILING, "role", "axis", "ancestor", "member")
-        out = out.unionByName(level)
-    return out.distinct()
+def containment(role_members: DataFrame, stage) -> DataFrame:
+    """(role, axis, ancestor, member) pairs of the member trees, at any depth.
+
+    Each step joins the pairs found so far with themselves, so the depth reached
+    doubles; it ends when a step finds no new pair.
+    """
+    key = [*FILING, "role", "axis"]
+    pairs = stage(role_members.where("parent_member IS NOT NULL").select(
+        *key, F.col("parent_member").alias("ancestor"), "member").distinct(), "member-tree")
+    found = pairs.count()
+    while True:
+        up = pairs.select(*key, F.col("ancestor"), F.col("member").alias("mid"))
+        down = pairs.select(*key, F.col("ancestor").alias("mid"), "member")
+        pairs = stage(pairs.unionByName(down.join(up, [*key, "mid"]).select(*key, "ancestor", "member")).distinct(), "member-tree")
+        reached = pairs.count()
+        if reached == found:
+            return pairs
+        found = reached
 
 
 def subtotals(rows: DataFrame, tree: DataFrame) -> DataFrame:
@@ -190,13 +196,13 @@ def clean_labels(rows: DataFrame, member_labels: DataFrame) -> DataFrame:
     return rows.join(own, [*FILING, "member"], "left").withColumn("label", F.coalesce("label", bare))
 
 
-def assemble(rows: DataFrame, facts: DataFrame, role_members: DataFrame, stage) -> DataFrame:
+def assemble(rows: DataFrame, facts: DataFrame, role_members: DataFrame, tree: DataFrame, stage) -> DataFrame:
     """Rows on one axis -> kept tables with reconciling and consolidated figures.
 
     The chosen rows and their sums are each read more than once, so they are staged.
     """
     cons = consolidated_facts(facts)
-    lead = stage(lead_view(drop_subtotals(views(rows, role_members), containment(role_members))), "lead-view")
+    lead = stage(lead_view(drop_subtotals(views(rows, role_members), tree)), "lead-view")
     sums = stage(table_sums(lead, cons), "table-sums")
     recon = reconciling_rows(sums, reconciling_facts(facts), role_members)
     both = lead.withColumn("recon", F.lit(False)).unionByName(recon.withColumn("recon", F.lit(True)), allowMissingColumns=True)
@@ -227,14 +233,14 @@ def collapse_crosstab(facts: DataFrame, surviving: DataFrame) -> DataFrame:
     return safe.select(*FILING, "tag", *PERIOD, "axis", "member", "qualifier", "along", "val")
 
 
-def segment_tables(facts: DataFrame, role_members: DataFrame, member_labels: DataFrame, stage) -> DataFrame:
+def segment_tables(facts: DataFrame, role_members: DataFrame, member_labels: DataFrame, tree: DataFrame, stage) -> DataFrame:
     """All kept tables of every filer's newest annual report.
 
     ``facts`` are prepared by ``newest_annual``, ``allowed`` and ``dedupe``;
-    ``stage`` writes a table that is read several times.
+    ``tree`` is ``containment``'s; ``stage`` writes a table that is read several times.
     """
-    single = stage(assemble(breakdown_facts(facts), facts, role_members, stage), "single-axis")
-    collapsed = assemble(collapse_crosstab(facts, single), facts, role_members, stage)
+    single = stage(assemble(breakdown_facts(facts), facts, role_members, tree, stage), "single-axis")
+    collapsed = assemble(stage(collapse_crosstab(facts, single), "collapsed-cross-tab"), facts, role_members, tree, stage)
     return clean_labels(single.unionByName(collapsed), member_labels).select(
         *VIEW, "tag", *PERIOD, "member", "label", "recon", "val", "qualifier", "lead", "others", "total", "consolidated")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerline.dims import template as T
 from ledgerline.functions import columns as C
 from ledgerline.operators import calendar, comps, derive, export, ltm, notes, quality, segments, select
+from ledgerline.plans.stage import write_stage
 from ledgerline.plans.workspace import workspace
 from ledgerline.sources import readers, star_schema as S
 
@@ -110,8 +111,8 @@ def _(w):
 
 @query("prj12_display")
 def _(w):
-    shown = notes.format_cells(w.long.where("value IS NOT NULL AND basis = 'FY'"))
-    return shown.where("style IS NOT NULL OR abs(value) >= 1000").select("cik", "end", "k", "shown")
+    shown = notes.format_cells(w.long.where("value IS NOT NULL"))
+    return shown.select("cik", "basis", "end", "k", "shown")
 
 
 @query("prj14_links")
@@ -135,7 +136,7 @@ def _(w):
 
 @query("sel1_picks")
 def _(w):
-    return w.picks.where(f"gate AND (shape = 'I' OR dmin = {C.ANNUAL_MIN})").select(
+    return w.picks.where("gate").select(
         "cik", "end", "shape", "tag", "val", "unit", "accn", "form", "filed", "days").distinct()
 
 
@@ -232,7 +233,7 @@ def _(w):
 
 @query("cal10_stale")
 def _(w):
-    return calendar.stale_sheets(w.periods, w.listed_filings)
+    return calendar.stale_sheets(w.periods, w.all_listed)
 
 
 # ---- LTM -----------------------------------------------------------------------------------------
@@ -270,7 +271,7 @@ def _(w):
 
 @query("ltm9_reconstruction")
 def _(w):
-    picks = select.tag_picks(select.candidates(w.obs, ltm.quarter_requests(w.windows)))
+    picks = write_stage(select.tag_picks(write_stage(select.candidates(w.obs, ltm.quarter_requests(w.windows)), "quarter-candidates")), "quarter-picks")
     rebuilt = ltm.reconstruct_ltm(picks, w.windows)
     cells = w.cells.where("basis = 'LTM' AND status = 'ltm'").select("cik", "end", "k", "tag", "value")
     gap = F.abs(F.try_divide(F.col("rebuilt") - F.col("value"), F.col("value")))
@@ -370,7 +371,7 @@ def _(w):
 
 @query("note5_header")
 def _(w):
-    return notes.filer_header(w.filers, readers.keep_counts(w.raw_facts), w.listed_filings, w.periods, w.currency)
+    return notes.filer_header(w.filers, readers.keep_counts(w.raw_facts), w.all_listed, w.periods, w.currency)
 
 
 @query("note6_gaps")
@@ -455,15 +456,24 @@ def _priced(w):
 def _(w):
     out = None
     for tab in ("statements", "ratios", "valuation"):
-        part = export.sheet_rows(w.long, tab, _priced(w)).withColumn("tab", F.lit(tab))
+        part = export.sheet_rows(w.long, tab, _priced(w), w.limit).withColumn("tab", F.lit(tab))
         out = part if out is None else out.unionByName(part)
     return out.select("tab", "cik", "section_ord", "section_title", "line_ord", "k", "label", *r6(*[f"c{i}" for i in range(1, 9)]))
 
 
+@query("snk1_header")
+def _(w):
+    return export.header_rows(w.periods, w.filers)
+
+
 @query("snk2_tab")
 def _(w):
-    return export.tab_rows(w.long, "ratios").select(
-        "cik", "section_ord", "section_title", "line_ord", "k", "label", *r6(*[f"c{i}" for i in range(1, 9)]))
+    out = None
+    for tab in ("statements", "ratios", "valuation"):
+        part = export.tab_rows(w.long, tab, w.limit).withColumn("tab", F.lit(tab))
+        out = part if out is None else out.unionByName(part)
+    return out.select(
+        "tab", "cik", "section_ord", "section_title", "line_ord", "k", "label", *r6(*[f"c{i}" for i in range(1, 9)]))
 
 
 @query("snk3_segments")
@@ -496,12 +506,12 @@ def _(w):
 @query("seg5_subtotals")
 def _(w):
     v = segments.views(segments.breakdown_facts(w.segment_facts), w.role_members)
-    return segments.subtotals(v, segments.containment(w.role_members)).select("cik", "axis", "role", "tag", "member")
+    return segments.subtotals(v, w.member_tree).select("cik", "axis", "role", "tag", "member")
 
 
 def _lead(w):
     v = segments.views(segments.breakdown_facts(w.segment_facts), w.role_members)
-    return segments.lead_view(segments.drop_subtotals(v, segments.containment(w.role_members)))
+    return segments.lead_view(segments.drop_subtotals(v, w.member_tree))
 
 
 @query("seg10_lead_view")
@@ -559,7 +569,7 @@ def _(w):
 
 @query("qa4_calendar")
 def _(w):
-    return quality.check_calendar(w.periods, w.listed_filings)
+    return quality.check_calendar(w.periods, w.all_listed)
 
 
 @query("qa5_ranges")
@@ -570,9 +580,9 @@ def _(w):
 def _first_filed_cells(w):
     """The annual cells as a reader saw them before the last reporting year."""
     early = w.facts.where("filed < DATE'2001-01-01'")
-    obs = select.observations(early)
+    obs = write_stage(select.observations(early), "early-readings")
     asked = select.annual_requests(w.periods)
-    cands = select.candidates(obs, asked)
+    cands = write_stage(select.candidates(obs, asked), "early-candidates")
     cols = w.columns.where("basis = 'FY'")
     picked = select.line_cells(select.tag_picks(cands), cands, cols, w.pins)
     return picked.select("cik", "basis", "end", "k", F.col("pick.val").alias("value"), F.col("pick.form").alias("form"))
@@ -595,7 +605,7 @@ def _(w):
 
 def _ungated(w):
     asked = select.annual_requests(w.periods.withColumn("ccy", F.lit(None).cast("string")))
-    cands = select.candidates(w.obs, asked)
+    cands = write_stage(select.candidates(w.obs, asked), "ungated-candidates")
     cols = w.columns.where("basis = 'FY'")
     picked = select.line_cells(select.tag_picks(cands), cands, cols, w.pins)
     return picked.select("cik", "basis", "end", "k", F.col("pick.val").alias("value"), F.col("pick.unit").alias("unit"))
@@ -604,7 +614,8 @@ def _ungated(w):
 @query("qa8_currency_audit")
 def _(w):
     gated = w.read_cells.where("basis = 'FY' AND value IS NOT NULL").select(*KEYS, "k", "value", "unit")
-    d, m1, m2, ch = quality.currency_audit(gated, _ungated(w).where("value IS NOT NULL"), w.obs, w.filers)
+    free = write_stage(_ungated(w).where("value IS NOT NULL"), "ungated-cells")
+    d, m1, m2, ch = quality.currency_audit(gated, free, w.obs, w.filers)
     one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
     return (one(d, "cells that differ").unionByName(one(m1, "mixed columns with the gate"))
             .unionByName(one(m2, "mixed columns without")).unionByName(one(ch, "filers changing currency")))

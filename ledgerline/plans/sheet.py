@@ -32,7 +32,7 @@ class SheetPlan:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return write_stage(select.observations(self.facts), "readings")
+        return write_stage(select.observations(self.facts).sortWithinPartitions("tag", "cik", "end"), "readings")
 
     @cached_property
     def currency(self) -> DataFrame:

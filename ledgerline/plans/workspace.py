@@ -25,8 +25,13 @@ class Workspace(SheetPlan):
 
     @cached_property
     def listed_filings(self) -> DataFrame:
+        """What a filer's page lists: the first forms only.  Rules about all filings read ``all_listed``."""
         return readers.trim_filings(self.filings)
 
+    @cached_property
+    def all_listed(self) -> DataFrame:
+        return readers.listed(self.filings)
+
     @cached_property
     def tickers(self) -> DataFrame:
         return S.tickers(self.spark, self.sf_dir)
@@ -51,6 +56,10 @@ class Workspace(SheetPlan):
     def role_members(self) -> DataFrame:
         return S.role_members(self.spark, self.sf_dir)
 
+    @cached_property
+    def member_tree(self) -> DataFrame:
+        return segments.containment(self.role_members, write_stage)
+
     @cached_property
     def segment_facts(self) -> DataFrame:
         return write_stage(segments.dedupe(segments.allowed(segments.newest_annual(self.dim_facts))), "segment-facts")
@@ -58,7 +67,7 @@ class Workspace(SheetPlan):
     @cached_property
     def segment_tables(self) -> DataFrame:
         labels = S.member_labels(self.spark, self.sf_dir)
-        return write_stage(segments.segment_tables(self.segment_facts, self.role_members, labels, write_stage), "segments")
+        return write_stage(segments.segment_tables(self.segment_facts, self.role_members, labels, self.member_tree, write_stage), "segments")
 
     @cached_property
     def comps_members(self) -> DataFrame:

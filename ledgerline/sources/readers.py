@@ -58,11 +58,20 @@ def read_filers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tickers(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``[cik, ticker, title]``, one JSON array per line."""
-    raw = spark.read.text(path).where(F.length("value") > 2)
-    row = F.from_json(F.regexp_replace("value", r",\s*$", ""), "array<string>")
-    return raw.select(row.alias("r")).where(F.size("r") == 3).select(
-        F.col("r")[0].cast("long").alias("cik"), F.col("r")[1].alias("ticker"), F.col("r")[2].alias("title"))
+    """Rows ``[cik, ticker, title]``: one JSON array of rows, or one row per line.
+
+    The list of all tickers is one small document, so a file may be read whole.
+    """
+    return parse_tickers(spark.read.text(path, wholetext=True))
+
+
+def parse_tickers(files: DataFrame) -> DataFrame:
+    """The rows of a file's text; a number that does not parse is null, so that the row can be counted."""
+    text = F.trim("value")
+    lines = F.concat(F.lit("["), F.regexp_replace(text, r"\]\s*,?\s*\[", "],["), F.lit("]"))
+    whole = F.when(text.rlike(r"^\[\s*\["), text).otherwise(lines)
+    return files.select(F.explode(F.from_json(whole, "array<array<string>>")).alias("r")).select(
+        F.expr("try_cast(get(r, 0) as bigint)").alias("cik"), F.expr("get(r, 1)").alias("ticker"), F.expr("get(r, 2)").alias("title"))
 
 
 def clean_quotes(quotes: DataFrame) -> DataFrame:
@@ -105,19 +114,14 @@ def read_form_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_form_index(lines: DataFrame) -> DataFrame:
-    """The last three columns carry no blanks, so they anchor the split."""
-    rx = r"^(\S+(?: \S+)*?)\s{2,}(\S.*?)\s{2,}(\d{1,10})\s+(\d{4}-\d{2}-\d{2}|\d{8})\s+\S+\s*$"
+    """The last three columns carry no blanks, so they anchor the split, also where a name fills its column."""
+    rx = r"^(\S+(?: \S+)*?)\s{2,}(\S.*?)\s+(\d{1,10})\s+(\d{4}-\d{2}-\d{2}|\d{8})\s+\S+\s*$"
     g = lambda i: F.regexp_extract("value", rx, i)
     day = F.when(g(4).contains("-"), F.to_date(g(4), "yyyy-MM-dd")).otherwise(F.to_date(g(4), "yyyyMMdd"))
     return lines.where(F.col("value").rlike(rx)).select(
         g(1).alias("form"), g(2).alias("company"), g(3).cast("long").alias("cik"), day.alias("filed"))
 
 
-def read_dim_facts(spark: SparkSession, path: str) -> tuple:
-    """Dimensional facts, role members and member labels, already extracted to parquet."""
-    return tuple(spark.read.parquet(f"{path}/{n}") for n in ("dim_facts", "role_members", "member_labels"))
-
-
 def concept_frame(facts: DataFrame, tags: list, start: str | None, end: str) -> DataFrame:
     """Every filer reporting one of some concepts for one exact period."""
     shape = F.col("start").isNull() if start is None else F.col("start") == F.to_date(F.lit(start))
@@ -158,16 +162,20 @@ def with_industry(filers: DataFrame) -> DataFrame:
     return filers.withColumn("industry", C.industry_of())
 
 
+def listed(filings: DataFrame) -> DataFrame:
+    """All filings of the listed forms."""
+    return filings.where(F.col("form").rlike(C.LISTED_FORM))
+
+
 def trim_filings(filings: DataFrame, n: int = 120) -> DataFrame:
-    """The first ``n`` listed forms of each filer, in list order.
+    """The first ``n`` listed forms of each filer, in list order: what its page shows.
 
     The rank is exact: the threshold position is found by a window over the few
     columns needed, and the feature itself is a top-n.
     """
     from pyspark.sql import Window
     w = Window.partitionBy("cik").orderBy("filing_ord")
-    return (filings.where(F.col("form").rlike(C.LISTED_FORM))
-            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn"))
+    return (listed(filings).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn"))
 
 
 def quarantine_ids(df: DataFrame) -> DataFrame:

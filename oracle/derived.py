@@ -257,10 +257,11 @@ SELECT industry, section, CAST(section_ord AS INTEGER) AS section_ord, k, CAST(l
 FROM long GROUP BY ALL"""
     pct, mult, days = names(T.PERCENT_KEYS), names(T.MULTIPLE_KEYS), names(T.DAY_KEYS)
     out["prj12_display"] = f"""
-SELECT cik, "end", k, CASE WHEN k IN ({pct}) THEN printf('%.1f', value * 100) || '%' WHEN k IN ({mult}) THEN printf('%.2f', value) || 'x'
+SELECT cik, basis, "end", k, CASE WHEN k IN ({pct}) THEN printf('%.1f', value * 100) || '%' WHEN k IN ({mult}) THEN printf('%.2f', value) || 'x'
   WHEN k IN ({days}) THEN CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) || 'd'
+  WHEN abs(value) < 1000 OR coalesce(unit = 'pure', FALSE) THEN regexp_replace(regexp_replace(format('{{:,.2f}}', floor(value * 100 + 0.5) / 100), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')
   ELSE format('{{:,}}', CAST(floor(value + 0.5) AS BIGINT)) END AS shown
-FROM long WHERE basis = 'FY' AND value IS NOT NULL AND (k IN ({pct}, {mult}, {days}) OR abs(value) >= 1000)"""
+FROM long WHERE value IS NOT NULL"""
     out["prj14_links"] = """
 SELECT 'https://www.sec.gov/Archives/edgar/data/' || CAST(cik AS VARCHAR) || '/' || replace(accn, '-', '') || '/' || accn || '-index.htm' AS url, count(*) AS cells
 FROM long WHERE status IN ('reported', 'ltm') AND accn IS NOT NULL GROUP BY ALL"""
@@ -291,7 +292,7 @@ SELECT cik, k, 'flag', cause, "end", note FROM (SELECT *, row_number() OVER (PAR
     out["note5_header"] = f"""
 SELECT f.cik, f.name, f.industry, coalesce(c.kept, 0) AS tags_kept, coalesce(c.dropped, 0) AS tags_dropped, coalesce(l.n, 0) AS filings,
        CASE WHEN y.ccy <> 'USD' THEN y.ccy END AS notice_ccy, NOT EXISTS (SELECT 1 FROM periods p WHERE p.cik = f.cik) AS "empty"
-FROM filers f LEFT JOIN ccys y USING (cik) LEFT JOIN (SELECT cik, count(*) AS n FROM listed GROUP BY cik) l USING (cik)
+FROM filers f LEFT JOIN ccys y USING (cik) LEFT JOIN (SELECT cik, count(*) AS n FROM filing_list WHERE regexp_matches(form, '^(10-K|10-Q|20-F|40-F)T?(/A)?$|^8-K$') GROUP BY cik) l USING (cik)
 LEFT JOIN (SELECT cik, count(DISTINCT tag) FILTER (WHERE kp) AS kept, count(DISTINCT tag) FILTER (WHERE NOT kp) AS dropped FROM (
   SELECT cik, tag, tag IN ({names(T.keep_list())}) OR ns = 'dei' AS kp FROM raw WHERE ns IN ('us-gaap', 'dei')) GROUP BY cik) c USING (cik)"""
     out["note6_gaps"] = """
@@ -303,7 +304,7 @@ WHERE l.basis = 'FY' AND l.section = 'ev' AND l.value IS NOT NULL AND l."end" =
     out["cmp1_2_set"] = "SELECT set_id, ticker, cik, basis, \"end\", CAST(fy AS INTEGER) AS fy, stitched FROM chosen"
     out["cmp1_typed_set"] = """
 SELECT CAST(w.ord AS INTEGER) AS ord, w.ticker, t.cik, t.cik IS NOT NULL AS known
-FROM (VALUES (0, 'SB'), (1, 'SC'), (2, 'SDD'), (3, 'NOSUCH'), (4, 'SBA'), (5, 'SCB'), (6, 'SDC'), (7, 'SED')) w(ord, ticker)
+FROM (VALUES (0, 'SB'), (1, 'SC'), (2, 'SDD'), (3, 'NOSUCH'), (4, 'SBA'), (5, 'SCB'), (6, 'SDC'), (7, 'SED'), (8, 'SFE')) w(ord, ticker)
 LEFT JOIN ticker_list t USING (ticker)"""
     out["cmp3_metrics"] = "SELECT set_id, ticker, CAST(row_ord AS INTEGER) AS row_ord, grp, k, label, round(value, 6) AS value FROM comp_rows"
     out["cmp4_median"] = "SELECT set_id, k, count(value) AS n, round(median(value), 6) AS median FROM comp_rows WHERE med AND value IS NOT NULL GROUP BY set_id, k"
@@ -323,23 +324,25 @@ FROM comp_rows r JOIN chosen c ON c.cik = r.cik AND c.basis = 'LTM' WHERE r.k IN
     out["cmp10_search"] = """
 SELECT query, rank, cik, ticker, title FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY cls, ord) AS rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query ORDER BY ord) AS hit FROM (
       SELECT u.query, t.cik, t.ticker, t.title, CAST(right(t.title, 9) AS BIGINT) AS ord,
         CASE WHEN t.ticker = upper(u.query) THEN 0 WHEN starts_with(t.ticker, upper(u.query)) OR starts_with(upper(t.title), upper(u.query)) THEN 1
              WHEN contains(upper(t.title), upper(u.query)) THEN 2 END AS cls
-      FROM ticker_list t, (VALUES ('sba'), ('Supplier#00000001'), ('1'), ('#000'), ('zzz')) u(query)) WHERE cls IS NOT NULL) WHERE hit <= 401) WHERE rank <= 8"""
+      FROM ticker_list t, (VALUES ('sba'), ('Supplier#00000001'), ('1'), ('#000'), ('zzz')) u(query)) WHERE cls IS NOT NULL) WHERE rank <= 8"""
     cs = ", ".join(f"round(max(value) FILTER (WHERE pos = {i}), 6) AS c{i}" for i in range(1, 9))
     out["snk1_workbook"] = f"""
 SELECT tab, cik, CAST(section_ord AS INTEGER) AS section_ord, section_title, CAST(line_ord AS INTEGER) AS line_ord, k, label, {cs} FROM (
   SELECT cik, "end", tab, section_ord, section_title, line_ord, k, label, value, how FROM long WHERE basis = 'FY' AND how <> 'manual' AND tab IS NOT NULL
   UNION ALL SELECT cik, "end", 'valuation', 1000, section_title, line_ord, k, label, value, how FROM long WHERE basis = 'FY' AND how <> 'manual'
     AND section = 'ev' AND cik IN (SELECT cik FROM sheet0 WHERE mstat IS NOT NULL)) JOIN positions USING (cik, "end") GROUP BY ALL"""
+    out["snk1_header"] = """
+SELECT p.cik, f.name, f.ticker AS tickers, 'c' || CAST(row_number() OVER (PARTITION BY p.cik ORDER BY p."end") AS VARCHAR) AS "column",
+       'FY' || CAST(p.fy AS VARCHAR) AS year, p."end", y.ccy FROM periods p JOIN filers f USING (cik) LEFT JOIN ccys y USING (cik)"""
     pm = names(T.PERCENT_KEYS + T.MULTIPLE_KEYS)
     out["snk2_tab"] = f"""
-SELECT cik, CAST(section_ord AS INTEGER) AS section_ord, section_title, CAST(line_ord AS INTEGER) AS line_ord, k, label, {cs} FROM (
+SELECT tab, cik, CAST(section_ord AS INTEGER) AS section_ord, section_title, CAST(line_ord AS INTEGER) AS line_ord, k, label, {cs} FROM (
   SELECT * REPLACE (CASE WHEN k IN ({pm}) THEN value ELSE floor(value * 100 + 0.5) / 100 END AS value) FROM long
-  WHERE basis = 'FY' AND how NOT IN ('manual', 'market') AND tab = 'ratios') JOIN positions USING (cik, "end")
-GROUP BY cik, section_ord, section_title, line_ord, k, label"""
+  WHERE basis = 'FY' AND how NOT IN ('manual', 'market') AND tab IS NOT NULL) JOIN positions USING (cik, "end")
+GROUP BY tab, cik, section_ord, section_title, line_ord, k, label"""
     out["snk4_comps"] = """
 SELECT r.set_id, CAST(r.group_ord AS INTEGER) AS group_ord, r.grp, CAST(r.row_ord AS INTEGER) AS row_ord, r.k, r.label, r.ticker, r."end", round(r.value, 6) AS value,
   round(CASE WHEN r.med THEN median(r.value) OVER (PARTITION BY r.set_id, r.k) END, 6) AS median

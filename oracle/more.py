@@ -203,7 +203,7 @@ UNION ALL SELECT DISTINCT cik, axis, role, tag, period_end, 'Consolidated', cons
 SELECT CASE WHEN total = consolidated THEN 'exact' WHEN abs((total - consolidated) / consolidated) <= 0.0005 THEN 'within 0.05%' ELSE 'within 0.1%' END AS band, count(*) AS n
 FROM (SELECT DISTINCT cik, axis, role, along, tag, period_end, total, consolidated FROM g_done) GROUP BY ALL
 UNION ALL SELECT 'filers with segments', count(DISTINCT cik) FROM g_done WHERE axis = '{_SEG}' UNION ALL SELECT 'filers', count(*) FROM filers"""
-    claims = "totalLiab + coalesce(equityAll, equity) + coalesce(tempEquity, 0)"
+    claims = "totalLiab + coalesce(equityAll, equity + coalesce(nciBs, 0)) + coalesce(tempEquity, 0)"
     ident = [("gross profit = revenue - cogs", "grossProfit", "revenue - cogs"), ("ebitda = ebit + da", "ebitda", "ebit + coalesce(da, 0)"),
              ("assets = liabilities + equity", "totalAssets", claims), ("fcf = cfo - capex", "fcf", "cfo - coalesce(capex, 0)")]
     both = " UNION ALL ".join(f"SELECT {q(n)} AS \"check\", cik, basis, \"end\", {a} AS l, {b} AS r FROM sheet0" for n, a, b in ident)
@@ -222,7 +222,7 @@ SELECT 'zero debt contradicted' AS "check", cik, basis, "end", intExp AS detail
 SELECT p.cik, count(*) AS columns, count(*) FILTER (WHERE p.start < o."end") AS overlaps, count(*) FILTER (WHERE p.fy <= o.fy) AS bad_labels,
        count(*) FILTER (WHERE p.gap > 0) AS gaps, coalesce(max(n.newest) > max(p."end"), FALSE) AS stale
 FROM periods p LEFT JOIN periods o ON o.cik = p.cik AND o.idx = p.idx + 1
-LEFT JOIN (SELECT cik, max(period) AS newest FROM listed WHERE regexp_matches(form, '^(10-K|20-F|40-F)T?(/A)?$') GROUP BY cik) n ON n.cik = p.cik GROUP BY p.cik"""
+LEFT JOIN (SELECT cik, max(period) AS newest FROM filing_list WHERE regexp_matches(form, '^(10-K|20-F|40-F)T?(/A)?$') GROUP BY cik) n ON n.cik = p.cik GROUP BY p.cik"""
     rng = [("netMargin", "netIncome", "revenue", -1, 1), ("ebitdaMargin", "ebitda", "revenue", -1, 1), ("roe", "netIncome", "equity", -1, 1),
            ("taxRate", "tax", "pretax", 0, 0.6), ("debtEquity", "totalDebt", "equity", 0, 10)]
     parts = " UNION ALL ".join(
@@ -247,10 +247,9 @@ UNION ALL SELECT 'filers changing currency', (SELECT count(*) FROM (SELECT cik F
                     "'\\b(inc|corp|corporation|co|company|ltd|llc|plc|holdings|group|the|new|old)\\b', ' ', 'g'), '\\s+', ' ', 'g'))")
     recent = "regexp_matches(form, '^(10-K|20-F|40-F)T?(/A)?$') AND filed >= DATE '1999-01-01'"
     out["qa14_ticker_suspects"] = f"""
-SELECT t.cik, t.ticker, t.title, o.nm2 AS other_name, o.other_cik, o.companies, CAST(levenshtein({nm('t.title')}, o.nm2) AS INTEGER) AS edits
-FROM ticker_list t JOIN (SELECT nm2, min(cik) AS other_cik, count(*) AS companies FROM (
-  SELECT cik, {nm('max(company)')} AS nm2 FROM idx WHERE {recent} GROUP BY cik) GROUP BY nm2) o ON levenshtein({nm('t.title')}, o.nm2) <= 1
-WHERE t.cik NOT IN (SELECT cik FROM idx WHERE {recent})"""
+SELECT t.cik, t.ticker, t.title, o.nm2 AS other_name, o.other_cik, CAST(levenshtein({nm('t.title')}, o.nm2) AS INTEGER) AS edits
+FROM ticker_list t JOIN (SELECT cik AS other_cik, {nm('max(company)')} AS nm2 FROM idx WHERE {recent} GROUP BY cik) o ON nm2 <> '' AND levenshtein({nm('t.title')}, o.nm2) <= 1
+WHERE {nm('t.title')} <> '' AND t.cik NOT IN (SELECT cik FROM idx WHERE {recent})"""
     out["qa7_segment_diff"] = "SELECT 'appeared' AS change, count(*) AS cells, count(DISTINCT cik) AS filers FROM y_done HAVING count(*) > 0"
     out["qa9_distribution"] = """
 SELECT basis, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.1), 6) AS p10, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.01), 6) AS p01

@@ -35,7 +35,7 @@ SELECT cik, CAST(filing_ord AS INTEGER) AS filing_ord, lpad(CAST(cik AS VARCHAR)
        regexp_full_match(CASE WHEN filing_ord % 7 = 3 THEN left(accn, 12) ELSE accn END, '[0-9]{10}-[0-9]{2}-[0-9]{6}') AS id_ok FROM filing_list"""
 SQL["sel1_picks"] = """
 SELECT DISTINCT cik, "end", shape, tag, val, unit, accn, form, filed, CASE WHEN shape = 'D' THEN date_diff('day', start, "end") END AS days
-FROM picks WHERE shape = 'I' OR dmin = 358"""
+FROM picks"""
 SQL["sel2_prefer_nonzero"] = """
 SELECT c.cik, c.basis, c."end", c.k, c.value, c.tag, c.status FROM read_cells c
 WHERE c.k IN ('otherInc', 'stDebt', 'debtIssued', 'impairment')"""
@@ -80,7 +80,7 @@ UNION ALL SELECT c_custkey, 'C' || CAST(c_custkey AS VARCHAR), c_name FROM custo
 SQL["cal10_stale"] = """
 SELECT n.cik, p."end" AS newest_end, n.period, n.form, n.accn,
        CASE WHEN regexp_matches(n.form, 'T(/A)?$') THEN 'transition' WHEN n.form LIKE '20-F%' OR n.form LIKE '40-F%' THEN 'foreign' ELSE 'plain' END AS wording
-FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY period DESC, filing_ord) AS r FROM listed
+FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY period DESC, filing_ord) AS r FROM filing_list
       WHERE regexp_matches(form, '^(10-K|20-F|40-F)T?(/A)?$')) n
 JOIN periods p ON p.cik = n.cik AND p.idx = 0 WHERE n.r = 1 AND n.period > p."end" """
 SQL["ltm1_2_rungs"] = """

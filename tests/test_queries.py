@@ -9,7 +9,10 @@ from ledgerline.operators import comps, export
 from ledgerline.plans.workspace import workspace
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("src1_facts", "sel3_scale_slips", "cells_all", "cal3_to_6_periods", "ltm4_5_stitched", "der2_corporate", "val1_multiples",
+SAMPLE = ("src2_filings", "src3_tickers", "src4_quotes", "src5_reports", "src7_form_index", "prj1_keep_counts", "prj2_listed_filings", "prj8_industry",
+          "prj12_display", "prj16_section_links", "prj17_identifiers", "sel1_picks", "sel5_currency", "sel7_runs", "sel8_identity", "cal2_chosen", "cal10_stale",
+          "ltm1_2_rungs", "ltm9_reconstruction", "note5_header", "note6_gaps", "cmp1_typed_set", "cmp10_search", "snk1_header", "snk2_tab", "seg5_subtotals",
+          "seg10_lead_view", "qa1_identities", "qa4_calendar", "qa8_currency_audit", "src1_facts", "sel3_scale_slips", "cells_all", "cal3_to_6_periods", "ltm4_5_stitched", "der2_corporate", "val1_multiples",
           "note1_status_chips", "cmp4_median", "snk1_workbook", "seg11_13_14_tables", "qa6_snapshot_diff", "qa9_distribution", "qa14_ticker_suspects")
 
 
@@ -32,7 +35,8 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_checking_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from ledgerline.plans.catalog import QUERIES
+    assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())
 
 
 def test_entry(spark):
@@ -43,11 +47,14 @@ def test_entry(spark):
 def test_sinks_write_what_they_show(spark, tmp_path):
     w = workspace(spark, SF)
     priced = w.stitched_sheet.where("market_status IS NOT NULL").select("cik")
-    export.export_sheet(w.long, "valuation", priced, str(tmp_path / "sheet"))
-    assert spark.read.parquet(str(tmp_path / "sheet")).count() == export.sheet_rows(w.long, "valuation", priced).count()
-    export.export_tab_tsv(w.long, "statements", str(tmp_path / "tab"))
+    export.export_sheet(w.long, "valuation", priced, w.limit, str(tmp_path / "sheet"))
+    assert spark.read.parquet(str(tmp_path / "sheet")).count() == export.sheet_rows(w.long, "valuation", priced, w.limit).count()
+    export.export_tab_tsv(w.long, "statements", w.limit, str(tmp_path / "tab"))
     back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tab"))
-    assert back.count() == export.tab_rows(w.long, "statements").count() and "adjEbitda" not in {r["k"] for r in back.collect()}
+    assert back.count() == export.tab_rows(w.long, "statements", w.limit).count() and "adjEbitda" not in {r["k"] for r in back.collect()}
+    export.export_header_tsv(w.periods, w.filers, str(tmp_path / "head"))
+    head = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "head"))
+    assert head.count() == w.periods.count() and set(head.columns) == {"cik", "name", "tickers", "column", "year", "end", "ccy"}
     export.export_segments(w.segment_tables, str(tmp_path / "seg"))
     chosen = comps.comps_set(w.sheet, w.comps_members)
     rows = comps.comps_rows(chosen)

@@ -78,7 +78,7 @@ def tables(spark):
     labels = spark.createDataFrame(f.labels, "cik bigint, accn string, member string, label_role string, label string")
     facts = G.dedupe(G.allowed(G.newest_annual(dim)))
     out = {}
-    for r in G.segment_tables(facts, roles, labels, write_stage).collect():
+    for r in G.segment_tables(facts, roles, labels, G.containment(roles, write_stage), write_stage).collect():
         out.setdefault(r["cik"], {})[(r["role"], r["member"])] = r
     return out
 
@@ -114,3 +114,9 @@ def test_gate_and_crosstab(tables):
 def test_lead_view(tables):
     assert values(tables, 10) == {("r", "X"): 60, ("r", "Y"): 40, ("r", "Elim"): -10}
     assert tables[10][("r", "X")]["others"] == [""]
+
+
+def test_member_trees_have_any_depth(spark):
+    arcs = [(1, "a", "r", "x", f"m{i - 1}" if i else None, f"m{i}") for i in range(12)]
+    tree = spark.createDataFrame(arcs, "cik bigint, accn string, role string, axis string, parent_member string, member string")
+    assert G.containment(tree, write_stage).count() == 12 * 11 // 2

@@ -43,6 +43,14 @@ def test_filing_list_tickers_and_index(spark, tmp_path):
     assert readers.read_filers(spark, str(tmp_path / "sub.json")).first()["industry"] == "bank"
     (tmp_path / "t.json").write_text('[\n[1,"AA","ALPHA INC"],\n[2,"BB","BETA"]\n]\n')
     assert readers.read_tickers(spark, str(tmp_path / "t.json")).count() == 2
+    (tmp_path / "one.json").write_text('[[1,"AA","ALPHA, \\"INC\\""],[2,"BB","BETA"],["x3","CC","GAMMA"]]')
+    one = sorted((r["ticker"], r["cik"], r["title"]) for r in readers.read_tickers(spark, str(tmp_path / "one.json")).collect())
+    assert one == [("AA", 1, 'ALPHA, "INC"'), ("BB", 2, "BETA"), ("CC", None, "GAMMA")]
+    (tmp_path / "lines.json").write_text('[1,"AA","A"],\n[2,"BB","B"]\n')
+    assert readers.read_tickers(spark, str(tmp_path / "lines.json")).where("cik is not null").count() == 2
+    (tmp_path / "full.idx").write_text(f"{'10-K':<12}{'N' * 59 + ' 12'}{'123':<12}{'2024-03-01':<12}edgar/data/123/x.txt\n".replace("N 12", "N 12 "))
+    full = readers.read_form_index(spark, str(tmp_path / "full.idx")).first()
+    assert (full["company"], full["cik"]) == ("N" * 59 + " 12", 123)
     line = f"{'10-12B/A':<12}{'NEW CO INC':<62}{'123':<12}{'2024-03-01':<12}edgar/data/123/x.txt"
     (tmp_path / "form.idx").write_text("Form Type   Company\n-----\n" + line + "\n")
     row = readers.read_form_index(spark, str(tmp_path / "form.idx")).first()
@@ -106,10 +114,31 @@ def test_ticker_rules(spark):
     assert found == {("bb", 1): "BB", ("a", 1): "AA", ("a", 2): "BB", ("a", 3): "CC"}
 
 
-def test_search_stops_scanning_after_401_hits(spark):
+def test_search_ranks_every_hit(spark):
     rows = [(i, i, f"T{i}", "ABC") for i in range(500)] + [(500, 500, "ABC", "exact")]
     t = spark.createDataFrame(rows, "ord bigint, cik bigint, ticker string, title string")
-    assert all(r["ticker"] != "ABC" for r in comps.search(t, ["abc"]).collect())
+    best = comps.search(t, ["abc"]).where("rank = 1").first()
+    assert (best["ticker"], best["cik"]) == ("ABC", 500)
+
+
+def test_suspects_of_short_and_shared_names(spark):
+    t = spark.createDataFrame([(1, "MMM", "3M Co"), (9, "YY", "!!")], "cik bigint, ticker string, title string")
+    idx = spark.createDataFrame([("10-K", "3M", 50, dt.date(2024, 3, 1)), ("10-K", "3M Corp", 51, dt.date(2024, 3, 1)), ("10-K", "-", 52, dt.date(2024, 3, 1))],
+                                "form string, company string, cik bigint, filed date")
+    assert {(r["ticker"], r["other_cik"]) for r in quality.ticker_suspects(t, idx, "2024-01-01").collect()} == {("MMM", 50), ("MMM", 51)}
+
+
+def test_rules_about_all_filings_read_past_the_page(spark):
+    rows = [(1, "8-K", i, None, f"a{i}") for i in range(300)] + [(1, "10-K", 300, dt.date(2024, 12, 31), "b")]
+    f = spark.createDataFrame(rows, "cik bigint, form string, filing_ord int, period date, accn string")
+    p = spark.createDataFrame([(1, 0, dt.date(2023, 12, 31))], "cik bigint, idx int, end date")
+    assert readers.trim_filings(f).count() == 120 and readers.listed(f).count() == 301
+    assert calendar.stale_sheets(p, readers.listed(f)).count() == 1
+
+
+def test_typed_set_has_no_limit(spark):
+    t = spark.createDataFrame([(i, f"T{i}", "x") for i in range(30)], "cik bigint, ticker string, title string")
+    assert comps.build_set(t, [f"t{i}" for i in range(12)]).where("known").count() == 12
 
 
 def test_snapshot_diff(spark):

@@ -30,7 +30,7 @@ the same common part are near copies of each other anyway.
 
 A large group is not expanded into pairs.  Parts first link to one member, texts
 of one component need no further look, and only parts that still hold several
-components are compared in full, in blocks.
+components are compared in full, in blocks, by their dense sketches.
 
 Null and empty texts have no shingles and link with nothing.  Equal sets are one
 node.  A null id counts in no component's least id.  Repeated rows return repeated.
@@ -51,8 +51,8 @@ WORDS, NUM, DEN = 5, 75, 100
 SAMPLE_OF, SAMPLE_ROWS, COMMON_IN, MOST_COMMON = 16, 500_000, 4, 1 << 17
 #: Kinds of parts: usual shingles; all shingles of a light or of a heavy set.
 USUAL, LIGHT, HEAVY = 0, 1, 2
-#: Rows of a part that are compared with each other in one block.
-BLOCK = 256
+#: Members of a part in one block of comparisons, and of parts whose pairs are joined.
+BLOCK, SMALL = 2048, 48
 _U = np.uint64
 _TURN = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -106,14 +106,18 @@ def dense_sketches(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [packed[a // 8:b // 8] for a, b in zip(base[:-1], base[1:])]
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """The distance of two sketches, the wider one folded to the other's width."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
+def folded(sketch: bytes, width: int) -> np.ndarray:
+    """A sketch at a lesser width: halves laid over each other, as if its shingles had been hashed to fewer bits."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > width:
         x = x[:len(x) // 2] ^ x[len(x) // 2:]
-    while len(y) > len(x):
-        y = y[:len(y) // 2] ^ y[len(y) // 2:]
-    return int(np.bitwise_count(x ^ y).sum())
+    return x
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """The distance of two sketches at the lesser of their widths."""
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum())
 
 
 def _most(level: int) -> int:
@@ -314,11 +318,23 @@ class Join:
         members = told.select("key", F.explode(both).alias("m"))
         return write_stage(members.join(keys, "key", "leftsemi").select("key", "m.kind", "m.node", "m.comp").distinct(), name)
 
-    def links(self) -> DataFrame:
-        """Links (a, b) that connect exactly the components of all links; see the module's text."""
+    def merged(self, labels: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+        """Labels (node, comp) after more links: only the components that the links join are looked at again."""
+        if labels is None:
+            return components(links, name)
+        old = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        met = (links.join(old("a"), "a", "left").join(old("b"), "b", "left")
+               .select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b"))
+        up = components(met, name)
+        fresh = up.select("node", F.col("node").alias("comp")).join(labels.select("node"), "node", "leftanti")
+        to = up.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        return write_stage(labels.unionByName(fresh).join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), f"{name}-labels")
+
+    def labels(self) -> DataFrame:
+        """(node, comp) of all sets that link with another; see the module's text."""
         shared = self.shared()
-        found = self.check(shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
-        labels = components(found, "star")
+        stars = self.check(shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
+        labels = self.merged(None, stars, "star")
         # parts of several components: other hubs, which differ from part to part
         left = self.open_parts(shared, labels, "open-1")
         if left.limit(1).count():
@@ -327,30 +343,70 @@ class Join:
             first = F.first(F.struct("kind", "node", "comp")).over(run)
             pairs = (left.withColumn("h", first).where((F.col("h.comp") != F.col("comp")) & ((F.col("kind") != HEAVY) | (F.col("h.kind") != HEAVY)))
                      .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct())
-            found = found.unionByName(self.check(pairs, "turned"))
-            labels = components(found, "turned")
+            labels = self.merged(labels, self.check(pairs, "turned"), "turned")
             left = self.open_parts(shared, labels, "open-2")
         # what is still apart is compared in full
         if left.limit(1).count():
-            found = found.unionByName(self.check(self.all_pairs(left), "rest"))
-        return found
+            labels = self.merged(labels, self.check(self.all_pairs(left), "rest"), "rest")
+        return labels
 
     def all_pairs(self, left: DataFrame) -> DataFrame:
-        """All pairs of different components in each part, in blocks of about BLOCK rows against each other."""
-        sized = left.join(self.nodes.select("node", "n_shingles"), "node")
-        blocks = sized.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        lower = every.where("block <= other").select("key", "block", "other", F.col("node").alias("a"), F.col("kind").alias("ka"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"))
-        upper = every.where("other <= block").select("key", F.col("other").alias("block"), F.col("block").alias("other"), F.col("node").alias("b"), F.col("kind").alias("kb"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
+        """Pairs of different components in each part that their sizes and sketches allow.
+
+        A part's largest component is not compared with itself: all other members
+        meet all members.  In small parts they are joined; in large ones blocks of
+        at most about BLOCK members of either side meet in one task.
+        """
+        each = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        stats = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).select(
+            F.col("key"), "n", F.col("m.comp").alias("major"), (F.col("n") - F.col("m.c")).alias("minors"))
+        rows = write_stage(left.join(stats, "key").join(self.nodes.select("node", "n_shingles"), "node"), "open-rows")
+        few, many = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
+        side = lambda df, c: df.select("key", F.col("node").alias(c), F.col("kind").alias(f"k{c}"), F.col("comp").alias(f"c{c}"), F.col("n_shingles").alias(f"n{c}"), "major")
         fit = (F.col("na") * self.den >= F.col("nb") * self.num) & (F.col("nb") * self.den >= F.col("na") * self.num)
-        met = lower.join(upper, ["key", "block", "other"]).where((F.col("ca") != F.col("cb")) & ((F.col("ka") != HEAVY) | (F.col("kb") != HEAVY)) & fit & ((F.col("block") < F.col("other")) | (F.col("a") < F.col("b"))))
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = (side(few.where("comp <> major"), "a").drop("major").join(side(few, "b"), "key")
+               .where((F.col("ca") != F.col("cb")) & ((F.col("ka") != HEAVY) | (F.col("kb") != HEAVY)) & fit & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))))
+        found = met.select("a", "b").unionByName(self.block_pairs(many))
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def block_pairs(self, rows: DataFrame) -> DataFrame:
+        num, den = self.num, self.den
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        dealt = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+        told = rows.join(self.nodes.select("node", "sketch"), "node")
+        cols = ["key", "kind", "node", "comp", "n_shingles", "sketch", "minors", "n"]
+        one = told.where("comp <> major").select(*cols, dealt("minors").alias("x")).select("*", every("n").alias("y")).drop("minors", "n")
+        two = told.select(*cols, dealt("n").alias("y")).select("*", every("minors").alias("x")).drop("minors", "n")
+
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            a, b = (sides(t) for t in (left, right))
+            width = min(len(x) for t in (a, b) for x in t["sketch"]) if len(a["node"]) and len(b["node"]) else 0
+            out_a, out_b = [], []
+            if width:
+                p, q = (np.stack([folded(x, width) for x in t["sketch"]]).view(np.uint64) for t in (a, b))
+                step = max(1, (1 << 22) // q.size)
+                for at in range(0, len(p), step):
+                    s = slice(at, at + step)
+                    na, nb = a["n_shingles"][s, None], b["n_shingles"][None]
+                    may = ((a["comp"][s, None] != b["comp"][None]) & ((a["kind"][s, None] != HEAVY) | (b["kind"][None] != HEAVY))
+                           & (na * den >= nb * num) & (nb * den >= na * num))
+                    i, j = np.nonzero(may & (np.bitwise_count(p[s, None, :] ^ q[None]).sum(axis=2, dtype=np.int64) <= _allowed(na + nb, num, den)))
+                    out_a.append(a["node"][s][i]), out_b.append(b["node"][j])
+            join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            return pa.table({"a": join(out_a), "b": join(out_b)})
+
+        def sides(t: pa.Table) -> dict:
+            out = {c: np.asarray(t[c]).astype(np.int64) for c in ("kind", "node", "comp", "n_shingles")}
+            return out | {"sketch": t["sketch"].to_pylist()}
+
+        two = two.toDF(*two.columns)  # columns of its own, as both sides come from one table
+        found = one.groupBy("key", "x", "y").cogroup(two.groupBy("key", "x", "y")).applyInArrow(run, "a long, b long")
+        return found.where("a is not null")
 
     def classes(self) -> DataFrame:
         """(id, n_shingles, component_id) for every row."""
-        labels = components(self.links(), "all")
-        named = self.nodes.join(labels, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
+        named = self.nodes.join(self.labels(), "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
         least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
         of_node = write_stage(named.join(least, "comp").select("node", "component_id"), "component-of-set")
         return self.sets.join(of_node, "node", "left").select(

@@ -64,6 +64,8 @@ def test_large_groups_and_common_passages(spark, monkeypatch):
     workers_find_us(spark)
     monkeypatch.setattr(parity, "SAMPLE_OF", 1)
     monkeypatch.setattr(parity, "COMMON_IN", 5)
+    monkeypatch.setattr(parity, "SMALL", 6)
+    monkeypatch.setattr(parity, "BLOCK", 16)
     rows = []
     for i in range(60):  # copies of one text with two words changed: linked to few others
         w = list(BASE[:80])

@@ -30,7 +30,7 @@ from ledgerline.plans.stage import write_stage
 
 MOST, REPAIRS, STEPS, TOLERANCE = 3, 4, 40, 2e-4
 #: Documents of one source and size that are ranked together.
-GROUP = 10_000
+GROUP = 512
 #: Fixed point of summed rates.
 _UNIT = float(1 << 20)
 

@@ -3,8 +3,12 @@
 A stage is a parquet table in the folder that the cluster names in
 ``spark.checkpoint.dir``.  Unlike executor-local storage it survives the loss of
 an executor, and unlike an RDD checkpoint it keeps column pruning and statistics.
+
+A stage is written while the plan is being built and stays until the folder is
+cleared, unless it is written inside ``passing_stages``.
 """
 
+import contextlib
 import itertools
 import tempfile
 import uuid
@@ -13,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SEQ = itertools.count()
 _ROOTS: dict = {}
+_PASSING: list = []
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -29,8 +34,22 @@ def stage_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def passing_stages(spark: SparkSession):
+    """Stages written inside are deleted at the end, but for those written with ``keep``."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{next(_SEQ):05d}-{name}"
+    if _PASSING and not keep:
+        _PASSING[-1].append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerline.llm.components import components, of_ids
 from ledgerline.llm.textbuf import lowered, mix, pieces_of_batch, ragged, span_hashes, text_buffer, word_spans
-from ledgerline.plans.stage import write_stage
+from ledgerline.plans.stage import passing_stages, write_stage
 
 WORDS, NUM, DEN = 5, 75, 100
 #: The sample that finds common shingles: one document in SAMPLE_OF, fewer beyond SAMPLE_ROWS; COMMON_IN sampled documents make a shingle common.
@@ -406,9 +406,10 @@ class Join:
 
     def classes(self) -> DataFrame:
         """(id, n_shingles, component_id) for every row."""
-        named = self.nodes.join(self.labels(), "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
-        least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-        of_node = write_stage(named.join(least, "comp").select("node", "component_id"), "component-of-set")
+        with passing_stages(self.docs.sparkSession):  # the result reads no more than the sets and their components
+            named = self.nodes.join(self.labels(), "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
+            least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+            of_node = write_stage(named.join(least, "comp").select("node", "component_id"), "component-of-set", keep=True)
         return self.sets.join(of_node, "node", "left").select(
             "id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -47,11 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked texts the one with the least id stays; texts without words stay."""
     rows = _rows(docs)
     classes = write_stage(parity.near_classes(rows, "_row").where("n_shingles > 0"), "classes")
-    kept = write_stage(_without(rows, classes.where("not (_row <=> component_id)").select("_row")), "first-of-group")
+    kept = _without(rows, classes.where("not (_row <=> component_id)").select("_row"))
     # the same row, given twice, is both times the first of its group
     twice = write_stage(classes.groupBy("_row").count().where("count > 1").select("_row"), "twice")
-    once = of_ids(kept, "_row", twice, "leftanti").select(*COLUMNS)
-    return once.unionByName(of_ids(kept, "_row", twice, "leftsemi").select(*COLUMNS).dropDuplicates())
+    if not twice.limit(1).count():
+        return kept.select(*COLUMNS)
+    return of_ids(kept, "_row", twice, "leftanti").select(*COLUMNS).unionByName(of_ids(kept, "_row", twice, "leftsemi").select(*COLUMNS).dropDuplicates())
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ _FFO = (
     "ELSE niToCommon + da - coalesce(gainOnPropertySale, 0D) + coalesce(reImpairment, 0D) END"
 )
 
+# The definitions of the computed lines, here and in INDUSTRY below.
 # (key, expression) in the order they are evaluated; revenue keeps the first slot.
 CORE = (
     ("revenue", "NULL"),

@@ -42,6 +42,21 @@ def _same_period(a: str, b: str):
     return (F.col(f"{a}.period_end") == F.col(f"{b}.period_end")) & F.col(f"{a}.period_start").eqNullSafe(F.col(f"{b}.period_start"))
 
 
+def annual_report(dim_facts: DataFrame, back: int) -> DataFrame:
+    """Facts of each filer's 10-K that has ``back`` newer ones."""
+    k = dim_facts.where("form = '10-K'")
+    order = Window.partitionBy("cik").orderBy(F.desc("filed"), F.desc("accn"))
+    at = k.select(*FILING, "filed").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") == back + 1)
+    return k.join(at.select(*FILING), FILING)
+
+
+def report_cells(facts: DataFrame) -> DataFrame:
+    """(cik, tag, period_end, cell, value, form): one row per cell, named by its axes and members."""
+    cell = F.array_join(F.transform("axes", lambda a: F.concat_ws("=", a["axis"], a["member"])), ",")
+    return dedupe(allowed(facts)).groupBy("cik", "tag", "period_end", cell.alias("cell")).agg(
+        F.min("val").alias("value"), F.lit("10-K").alias("form"))
+
+
 def newest_annual(dim_facts: DataFrame) -> DataFrame:
     """Facts of each filer's newest 10-K."""
     k = dim_facts.where("form = '10-K'")

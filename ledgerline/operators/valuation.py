@@ -6,6 +6,7 @@ from ledgerline.dims import template as T
 
 _NZ = "nullif({}, 0D)".format
 
+# The definitions of the multiples.
 # (key, expression over price and the sheet); a zero counts as missing where the rule says so.
 MARKET = (
     ("mktCap", "q_price * sharesOut"),

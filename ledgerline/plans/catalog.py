@@ -597,10 +597,9 @@ def _(w):
 
 @query("qa7_segment_diff")
 def _(w):
-    key = ["cik", "axis", "role", "tag", "period_end", "member"]
-    one = w.segment_tables.where("along = ''").select(*key, F.col("val").alias("value"), F.lit("10-K").alias("form"))
-    two = w.segment_tables.select(*key, F.col("val").alias("value"), F.lit("10-K").alias("form"))
-    return quality.diff_summary(quality.snapshot_diff(one, two, key))
+    key = ["cik", "tag", "period_end", "cell"]
+    one, two = (segments.report_cells(segments.annual_report(w.dim_facts, back)) for back in (1, 0))
+    return quality.snapshot_diff(one, two, key).select(*key, "change", "before", "after")
 
 
 def _ungated(w):

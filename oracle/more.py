@@ -250,7 +250,14 @@ UNION ALL SELECT 'filers changing currency', (SELECT count(*) FROM (SELECT cik F
 SELECT t.cik, t.ticker, t.title, o.nm2 AS other_name, o.other_cik, CAST(levenshtein({nm('t.title')}, o.nm2) AS INTEGER) AS edits
 FROM ticker_list t JOIN (SELECT cik AS other_cik, {nm('max(company)')} AS nm2 FROM idx WHERE {recent} GROUP BY cik) o ON nm2 <> '' AND levenshtein({nm('t.title')}, o.nm2) <= 1
 WHERE {nm('t.title')} <> '' AND t.cik NOT IN (SELECT cik FROM idx WHERE {recent})"""
-    out["qa7_segment_diff"] = "SELECT 'appeared' AS change, count(*) AS cells, count(DISTINCT cik) AS filers FROM y_done HAVING count(*) > 0"
+    cells = """SELECT cik, tag, make_date(yr, 12, 31) AS period_end, concat_ws(',', a1 || '=' || m1, a2 || '=' || m2) AS cell, min(CAST(val AS DOUBLE)) AS v
+  FROM g_dim WHERE {} GROUP BY ALL"""
+    out["qa7_segment_diff"] = f"""
+SELECT *, CASE WHEN "before" IS NULL THEN 'appeared' WHEN "after" IS NULL THEN 'vanished' ELSE 'changed' END AS change FROM (
+  SELECT coalesce(a.cik, b.cik) AS cik, coalesce(a.tag, b.tag) AS tag, coalesce(a.period_end, b.period_end) AS period_end, coalesce(a.cell, b.cell) AS cell,
+         b.v AS "before", a.v AS "after"
+  FROM ({cells.format('NOT old')}) a FULL JOIN ({cells.format('old')}) b ON a.cik = b.cik AND a.tag = b.tag AND a.period_end = b.period_end AND a.cell = b.cell)
+WHERE "before" IS DISTINCT FROM "after\""""
     out["qa9_distribution"] = """
 SELECT basis, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.1), 6) AS p10, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.01), 6) AS p01
 FROM (SELECT basis, abs(equity / nullif(totalAssets, 0)) AS r FROM sheet0) WHERE r IS NOT NULL GROUP BY basis"""

@@ -280,3 +280,16 @@ def test_row_order_does_not_matter(spark):
     one = {tuple(r) for r in SheetPlan(facts, filers).cells.select(keep).collect()}
     two = {tuple(r) for r in SheetPlan(mixed, filers.repartition(3)).cells.select(keep).collect()}
     assert one == two
+
+
+def test_impossible_figures_of_every_kind(spark):
+    from ledgerline.operators import quality
+    end = dt.date(2023, 12, 31)
+    sheet = spark.createDataFrame([(1, "FY", end, 5.0, 9.0, None, None), (2, "FY", end, None, None, 3.0, 4.0), (3, "FY", end, 9.0, 5.0, 4.0, 3.0)],
+                                  "cik bigint, basis string, end date, totalDebt double, ltDebt double, loansGross double, loans double")
+    cells = spark.createDataFrame([(4, "FY", end, "revenue", 10.0, "SalesRevenueNet"), (5, "FY", end, "revenue", 10.0, "Revenues")],
+                                  "cik bigint, basis string, end date, k string, value double, tag string")
+    picks = spark.createDataFrame([(4, end, "D", True, 358, "Revenues", 12.0), (5, end, "D", True, 358, "Revenues", 12.0)],
+                                  "cik bigint, end date, shape string, gate boolean, dmin int, tag string, val double")
+    found = {(r["cik"], r["check"]): r["detail"] for r in quality.check_impossible(sheet, cells, picks).collect()}
+    assert found == {(1, "total debt below long-term debt"): -4.0, (2, "gross loans below net loans"): -1.0, (4, "revenue taken from a slice"): 2.0}

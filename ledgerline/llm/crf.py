@@ -6,8 +6,9 @@ neighbouring words are learned too.  Forward-backward gives each word's marginal
 over the whole text, without cutting it; a text's language is the one with the
 largest sum of marginals over words that hold a letter.
 
-Training takes at most PER_LANGUAGE labelled texts of each language (the least
-hashes of the text), at most TRAIN_WORDS words of each.  Words of a text carry the
+Training takes at most PER_LANGUAGE labelled texts of each of the MOST_LANGUAGES
+most frequent labels (the least hashes of the text), at most TRAIN_WORDS words of
+each.  Words of a text carry the
 text's label, so a text's foreign passages are noise; weights decay against it.
 
 Null texts and texts without a letter give "und" with score 0.  With no labelled
@@ -27,6 +28,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ledgerline.llm.textbuf import Spans, mix, pieces_of_batch, text_buffer, word_spans
 
 PER_LANGUAGE, TRAIN_WORDS, EPOCHS = 250, 400, 3
+#: Labels that are learned: the most frequent.
+MOST_LANGUAGES = 64
 BITS = 16
 #: Words that one step of the scan takes together.
 BLOCK = 64
@@ -259,7 +262,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_column: str
     rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("text is not null and label is not null")
     order = F.xxhash64("text")
     # from the languages' counts, a bound on the hash that leaves about twice the texts that are wanted
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES)
     taken = rows.join(F.broadcast(counts.select("label", (F.lit(2.0 * per_language) / F.col("n")).alias("share"))), "label")
     taken = taken.where(F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30))
     taken = taken.dropDuplicates(["label", "text"])

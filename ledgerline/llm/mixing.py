@@ -18,6 +18,8 @@ never off by more than a half at any size.  What is then missing or too much in
 words is mended with the largest sizes that still fit, REPAIRS times.  Which of
 the equal-sized documents get one copy more is drawn by a hash of the row.
 
+Windows run over sources, or over the sizes of a source, never over documents of a
+source; documents are ranked within parts of about GROUP of one source and size.
 Sums that decide anything are whole numbers, so reruns agree.  Null texts have size
 0 and are never taken; a null source is a source; repeated rows are documents of
 their own; a source with only empty documents has target 0.

@@ -173,7 +173,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
         toxic: int = TOXIC, ordinary: int = ORDINARY) -> Model:
     """A model from a bounded sample of the labelled rows: three times the wanted texts of each class by the hash of their id."""
-    marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     most = F.when(F.col("y") == 1, 3 * toxic).otherwise(3 * ordinary)
     counts = marks.groupBy("y").agg(F.count("*").alias("n"))
     order = F.xxhash64("id")

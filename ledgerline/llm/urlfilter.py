@@ -22,6 +22,8 @@ from ledgerline.plans.stage import write_stage
 
 #: 64-bit words that one slice's first level may take: 1 MB.  Slices are counted with MOST_BITS bits a key.
 MOST_WORDS, MOST_BITS = 1 << 17, 32
+#: Fixed value: characters of the longest domain name.
+LONGEST_NAME = 253
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,9 +55,9 @@ def path_of(url: Column) -> Column:
 
 
 def keys_of(host: Column) -> Column:
-    """The host and its parent domains."""
+    """The host and its parent domains; a text too long to be a domain name has only itself."""
     labels = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
+    return F.when(host == "", F.array().cast("array<string>")).when(F.length(host) > LONGEST_NAME, F.array(host)).otherwise(
         F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 

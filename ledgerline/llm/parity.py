@@ -354,8 +354,9 @@ class Join:
         """Pairs of different components in each part that their sizes and sketches allow.
 
         A part's largest component is not compared with itself: all other members
-        meet all members.  In small parts they are joined; in large ones blocks of
-        at most about BLOCK members of either side meet in one task.
+        meet all members.  In small parts they are joined.  Large parts with the same
+        largest component are laid together, and blocks of about BLOCK members of
+        either side meet in one task.
         """
         each = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
         stats = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).select(
@@ -374,8 +375,11 @@ class Join:
         blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
         dealt = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
         every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-        told = rows.join(self.nodes.select("node", "sketch"), "node")
-        cols = ["key", "kind", "node", "comp", "n_shingles", "sketch", "minors", "n"]
+        # members of large parts with one largest component meet once, however many parts they share
+        told = rows.groupBy("major", "node").agg(F.min("kind").alias("kind"), F.max("comp").alias("comp"), F.max("n_shingles").alias("n_shingles"))
+        stats = told.groupBy("major").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("major")).alias("minors"))
+        told = write_stage(told.join(stats, "major").join(self.nodes.select("node", "sketch"), "node"), "open-blocks")
+        cols = ["major", "kind", "node", "comp", "n_shingles", "sketch", "minors", "n"]
         one = told.where("comp <> major").select(*cols, dealt("minors").alias("x")).select("*", every("n").alias("y")).drop("minors", "n")
         two = told.select(*cols, dealt("n").alias("y")).select("*", every("minors").alias("x")).drop("minors", "n")
 
@@ -401,7 +405,7 @@ class Join:
             return out | {"sketch": t["sketch"].to_pylist()}
 
         two = two.toDF(*two.columns)  # columns of its own, as both sides come from one table
-        found = one.groupBy("key", "x", "y").cogroup(two.groupBy("key", "x", "y")).applyInArrow(run, "a long, b long")
+        found = one.groupBy("major", "x", "y").cogroup(two.groupBy("major", "x", "y")).applyInArrow(run, "a long, b long")
         return found.where("a is not null")
 
     def classes(self) -> DataFrame:

@@ -261,8 +261,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_column: str
     """A model from a bounded sample of labelled texts: the least hashes of each language's texts."""
     rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("text is not null and label is not null")
     order = F.xxhash64("text")
-    # from the languages' counts, a bound on the hash that leaves about twice the texts that are wanted
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES)
+    # from the counts of the languages' distinct texts, a bound on the hash that leaves about twice the texts that are wanted
+    counts = rows.select("label", order.alias("h")).distinct().groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES)
     taken = rows.join(F.broadcast(counts.select("label", (F.lit(2.0 * per_language) / F.col("n")).alias("share"))), "label")
     taken = taken.where(F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30))
     taken = taken.dropDuplicates(["label", "text"])

@@ -270,3 +270,13 @@ def test_models_on_tables(docs, nothing, spark):
     named = crf.identify(docs, crf.fit(docs))
     assert named.count() == docs.count() and {r.lang_pred for r in named.where("doc_id in (1, 2, 3, 14)").collect()} == {"und"}
     assert crf.identify(nothing, crf.fit(nothing)).count() == 0
+
+
+def test_copies_leave_the_language_its_texts(spark, monkeypatch):
+    # 20,000 copies of one text and 40 others: a bound from the rows leaves next to none of the others
+    copies = spark.range(20000).select(F.lit("aa bb cc").alias("text"), F.lit("x").alias("lang"))
+    others = spark.range(80).select(F.concat(F.lit("dd ee "), F.col("id")).alias("text"), F.when(F.col("id") < 40, "x").otherwise("y").alias("lang"))
+    seen = []
+    monkeypatch.setattr(crf, "train", lambda texts, labels: seen.extend(zip(labels, texts)))
+    crf.fit(copies.unionByName(others), per_language=20)
+    assert len(seen) == len(set(seen)) and collections.Counter(label for label, _ in seen) == {"x": 20, "y": 20}

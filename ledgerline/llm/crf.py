@@ -6,9 +6,11 @@ neighbouring words are learned too.  Forward-backward gives each word's marginal
 over the whole text, without cutting it; a text's language is the one with the
 largest sum of marginals over words that hold a letter.
 
-Training takes at most PER_LANGUAGE labelled texts of each of the MOST_LANGUAGES
-most frequent labels (the least hashes of the text), at most TRAIN_WORDS words of
-each.  Words of a text carry the
+Training learns every label.  It takes at most PER_LANGUAGE labelled texts of each
+(the least hashes of the text), and fewer, but LEAST_TEXTS, where the labels are so
+many that this makes more than MOST_TEXTS in all; at most TRAIN_WORDS words of each.
+The driver holds about 2 MB of weights a label while it trains, a worker 0.25 MB.
+Words of a text carry the
 text's label, so a text's foreign passages are noise; weights decay against it.
 
 Null texts and texts without a letter give "und" with score 0.  With no labelled
@@ -26,13 +28,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ledgerline.llm.textbuf import Spans, mix, pieces_of_batch, text_buffer, word_spans
+from ledgerline.plans.stage import write_stage
 
 PER_LANGUAGE, TRAIN_WORDS, EPOCHS = 250, 400, 3
-#: Labels that are learned: the most frequent.
-MOST_LANGUAGES = 64
+#: Training texts of all labels together, and of one label however many labels there are.
+MOST_TEXTS, LEAST_TEXTS = 16000, 25
 BITS = 16
 #: Words that one step of the scan takes together.
 BLOCK = 64
+#: With more languages texts are scanned whole: a block's product costs a factor of them a word.
+MOST_CHAINED = 16
+#: A piece of the texts to label holds so many bytes, times languages beyond MOST_CHAINED the less.
+PIECE = 1 << 20
 UNKNOWN = "und"
 _U = np.uint64
 _GRAMS = ((1, 0), (2, 0), (3, 0), (1, 1), (2, 1), (3, 1))
@@ -125,18 +132,19 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) ->
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
     move = np.exp(transitions - transitions.max())
     count = np.diff(first)
-    blocks = -(-count // BLOCK)
+    block = BLOCK if k <= MOST_CHAINED else int(count.max())
+    blocks = -(-count // block)
     text = np.repeat(np.arange(len(count)), blocks)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = first[:-1][text] + nth * BLOCK
-    size = np.minimum(count[text] - nth * BLOCK, BLOCK)
+    begin = first[:-1][text] + nth * block
+    size = np.minimum(count[text] - nth * block, block)
     order = np.argsort(-size, kind="stable")
     begin, size, text, nth = begin[order], size[order], text[order], nth[order]
-    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(BLOCK)]  # blocks longer than t
+    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(block)]  # blocks longer than t
     # the block's product: from the state before the block to the state at its end
     chained = np.flatnonzero(blocks[text] > 1)  # a text of one block needs none; still in falling order of size
     start_c, size_c, own = begin[chained], size[chained], np.tile(np.eye(k), (len(chained), 1, 1))
-    for t in range(BLOCK):
+    for t in range(block if len(chained) else 0):
         n = int(np.searchsorted(-size_c, -t, side="left"))
         if not n:
             break
@@ -145,7 +153,7 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) ->
         if t % 8 == 7:
             step /= (step.reshape(n, -1) @ np.ones(k * k))[:, None, None]
         own[:n] = step
-    product = np.zeros((len(size), k, k))
+    product = np.zeros((len(size) if len(chained) else 0, k, k))
     product[chained] = own
     by_place = np.lexsort((nth, text))
     where = np.empty(len(order), np.int64)
@@ -168,7 +176,7 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) ->
         leave[rows] = x / x.sum(axis=1, keepdims=True)
     out = np.zeros((total, k))
     forward, ones = enter.copy(), np.ones(k)
-    for t in range(BLOCK):
+    for t in range(block):
         n = live[t]
         if not n:
             break
@@ -176,7 +184,7 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) ->
         forward[:n] = x / (x @ ones)[:, None]
         out[begin[:n] + t] = forward[:n]
     back = leave.copy()
-    for t in range(BLOCK - 1, -1, -1):
+    for t in range(block - 1, -1, -1):
         n = live[t]
         if not n:
             continue
@@ -219,19 +227,22 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
             gold[np.arange(len(of)), truth] = 1
             step = (gold - seen) * full[of][:, None]
             of_word = np.stack([np.bincount(of, step[:, j], minlength=len(rows)) for j in range(k)], axis=1)
-            grad = np.stack([np.bincount(rows.ravel(), np.repeat(of_word[:, j], rows.shape[1]), minlength=1 << BITS) for j in range(k)], axis=1) / len(of) * 1000
-            touched = np.abs(grad).sum(axis=1) > 0
-            g = grad[touched] - decay * weights[touched]
+            met = np.unique(rows)
+            grad = np.stack([np.bincount(rows.ravel(), np.repeat(of_word[:, j], rows.shape[1]), minlength=1 << BITS)[met] for j in range(k)], axis=1) / len(of) * 1000
+            moved = np.abs(grad).sum(axis=1) > 0
+            touched = met[moved]
+            g = grad[moved] - decay * weights[touched]
             seen_w[touched] += g * g
             weights[touched] += rate * g / np.sqrt(seen_w[touched]) * 0.2
             # expected transitions from neighbouring marginals
             now = np.flatnonzero(inside)
             before = seen[now - 1]
-            pair = np.exp(transitions - transitions.max())[None] * before[:, :, None] * seen[now][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            move = np.exp(transitions - transitions.max())
+            # summed over the neighbours without a table of languages by languages for each
+            pair = move * (before.T @ (seen[now] / ((before @ move) * seen[now]).sum(axis=1, keepdims=True)))
             wanted = np.zeros((k, k))
             np.add.at(wanted, (truth[now - 1], truth[now]), 1.0)
-            g = (wanted - pair.sum(axis=0)) / max(len(now), 1) - 0.05 * transitions
+            g = (wanted - pair) / max(len(now), 1) - 0.05 * transitions
             seen_t += g * g
             transitions += rate * g / np.sqrt(seen_t) * 0.2
     return Model(languages, weights.astype(np.float32), transitions)
@@ -262,7 +273,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_column: str
     rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("text is not null and label is not null")
     order = F.xxhash64("text")
     # from the counts of the languages' distinct texts, a bound on the hash that leaves about twice the texts that are wanted
-    counts = rows.select("label", order.alias("h")).distinct().groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES)
+    counts = rows.select("label", order.alias("h")).distinct().groupBy("label").agg(F.count("*").alias("n"))
+    counts = write_stage(counts, "label-counts")
+    per_language = min(per_language, max(LEAST_TEXTS, MOST_TEXTS // max(counts.count(), 1)))
     taken = rows.join(F.broadcast(counts.select("label", (F.lit(2.0 * per_language) / F.col("n")).alias("share"))), "label")
     taken = taken.where(F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30))
     taken = taken.dropDuplicates(["label", "text"])
@@ -279,7 +292,7 @@ def identify(df: DataFrame, model: Model, text_column: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for part in pieces_of_batch(batch, text_column):
+            for part in pieces_of_batch(batch, text_column, PIECE * MOST_CHAINED // max(MOST_CHAINED, len(model.languages))):
                 best, share = label_texts(*text_buffer(part.column(at)), model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(share, pa.float64())],
                                                  names=[*part.schema.names, "lang_pred", "score"])

@@ -126,6 +126,14 @@ def test_marginals_are_exact_over_whole_texts():
             assert np.allclose(want / want.sum(axis=1, keepdims=True), got[a:b], atol=1e-9)
 
 
+def test_whole_scans_and_blocks_agree(monkeypatch):
+    rng = np.random.default_rng(2)
+    score, move, first = rng.normal(size=(230, 20)), rng.normal(size=(20, 20)), np.array([0, 0, 200, 201, 230])
+    whole = crf.marginals(score, move, first)
+    monkeypatch.setattr(crf, "MOST_CHAINED", 20)
+    assert np.allclose(whole, crf.marginals(score, move, first), atol=1e-9)
+
+
 def test_language_labels_and_guards():
     en, de = "the cat and the dog of this house is with that", "der hund und die katze mit dem haus von nicht das"
     model = crf.train([f"{en} {i}" for i in range(40)] + [f"{de} {i}" for i in range(40)], ["en"] * 40 + ["de"] * 40)

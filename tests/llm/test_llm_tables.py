@@ -280,3 +280,12 @@ def test_copies_leave_the_language_its_texts(spark, monkeypatch):
     monkeypatch.setattr(crf, "train", lambda texts, labels: seen.extend(zip(labels, texts)))
     crf.fit(copies.unionByName(others), per_language=20)
     assert len(seen) == len(set(seen)) and collections.Counter(label for label, _ in seen) == {"x": 20, "y": 20}
+
+
+def test_every_label_is_learned(spark):
+    word = F.format_string("q%s%s", F.expr("char(97 + n % 26)"), F.expr("char(97 + n div 26)"))
+    rows = spark.range(70).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(1), 2 + (F.col("id") < 10).cast("int"))).alias("i"))
+    rows = rows.select(F.format_string("l%02d", "n").alias("lang"), F.concat_ws(" ", F.array_repeat(word, 30), F.repeat(F.lit("z"), F.col("i"))).alias("text"))
+    model = crf.fit(rows)
+    assert len(model.languages) == 70
+    assert all(r.lang == r.lang_pred for r in crf.identify(rows, model).collect())

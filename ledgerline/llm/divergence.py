@@ -4,8 +4,11 @@ Two histograms of a text are compared with those of its language by the
 Jensen-Shannon distance (square root, base 2, so between 0 and 1): the shares of
 six character classes, and the shares of the language's common words among all
 words.  A language's reference is the sum over all its texts in the table that
-pass the counting rules and are not far from the sum of them all.  Short texts scatter by chance alone, so each comparison has a least length, below which
-it raises no objection.
+pass the counting rules and are not far from a first look at them: the medians of
+the shares, where each different text of the least length has one vote, however
+long or often repeated it is.  Where no text is near the first
+look, it is the reference itself.  Short texts scatter by chance alone, so each
+comparison has a least length, below which it raises no objection.
 
 Null texts count as empty and fail the base rule.  Texts with a null or unlisted
 language are compared with the texts of that same label, by characters only.
@@ -14,7 +17,7 @@ Repeated rows are judged alike, each by itself.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.llm.tables import WORD, words
 from ledgerline.plans.stage import write_stage
@@ -33,6 +36,8 @@ FIRST_DISTANCE, MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.15, 0.3
 #: Short texts may be farther by this over their characters.
 SHORT_ALLOWANCE = 50.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Shares are counted in steps of one in so many for their medians.
+SHARE_STEPS = 2000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -112,13 +117,13 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def measure(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(id, lang, base counts, chars and common histograms) for every row; one pass over the texts."""
+    """(id, lang, text_hash, base counts, chars and common histograms) for every row; one pass over the texts."""
     slim = df.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), F.col(lang_column).alias("lang"))
     slim = slim.withColumn("words", words(F.col("text")))
     text, found = F.col("text"), F.col("words")
-    counted = slim.select("id", "lang", F.length("text").cast("long").alias("n_chars"), *[c.alias(n) for n, c in base_columns(text, found).items()],
+    counted = slim.select("id", "lang", F.xxhash64("text").alias("text_hash"), F.length("text").cast("long").alias("n_chars"), *[c.alias(n) for n, c in base_columns(text, found).items()],
                           *[c.alias(n) for n, c in histograms(text, found, F.col("lang")).items()])
-    return counted.select("id", "lang", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return counted.select("id", "lang", "text_hash", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           with_rest(F.col("classes"), F.col("n_chars")).alias("chars"), with_rest(F.col("common"), F.col("n_words")).alias("common"))
 
 
@@ -128,6 +133,34 @@ def references(measured: DataFrame) -> DataFrame:
     return measured.groupBy(F.col("lang").alias("_lang")).agg(add("chars", len(CLASSES) + 1).alias("ref_chars"), add("common", 13).alias("ref_common"))
 
 
+def first_look(measured: DataFrame) -> DataFrame:
+    """(_lang, ref_chars, ref_common): medians of the shares of texts that pass the counting rules, one vote a different text."""
+    long_enough = F.coalesce(F.col("n_chars") >= LEAST_CHARS, F.lit(False))
+    many_words = F.coalesce((F.col("n_words") >= LEAST_WORDS) & F.col("common").isNotNull(), F.lit(False))
+    votes = measured.where(~F.col("base_failed")).select(
+        "lang", "text_hash", F.when(long_enough, F.col("chars")).alias("chars"), F.when(many_words, F.col("common")).alias("common")).distinct()
+    steps = lambda c: F.transform(F.col(c), lambda x: F.round(x * SHARE_STEPS / F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, y: a + y)).cast("int"))
+    shares = votes.select("lang", F.posexplode(F.concat(
+        F.coalesce(steps("chars"), F.array_repeat(F.lit(None).cast("int"), len(CLASSES) + 1)),
+        F.coalesce(steps("common"), F.array_repeat(F.lit(None).cast("int"), 13)))).alias("i", "step")).where("step is not null")
+    counted = shares.groupBy("lang", "i", "step").agg(F.count("*").alias("n"))  # at most SHARE_STEPS + 1 rows of each share
+    upto = Window.partitionBy("lang", "i").orderBy("step")
+    half = counted.withColumn("run", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang", "i")))
+    medians = half.where("2 * run >= all").groupBy("lang", "i").agg(F.min("step").cast("long").alias("m"))
+    found = medians.groupBy(F.col("lang").alias("_lang")).agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("by"))
+    at = lambda a, b: F.array(*[F.coalesce(F.try_element_at("by", F.lit(i)), F.lit(0)) for i in range(a, b)])
+    return found.select("_lang", at(0, len(CLASSES) + 1).alias("ref_chars"), at(len(CLASSES) + 1, len(CLASSES) + 14).alias("ref_common"))
+
+
+def with_first(reference: DataFrame, first: DataFrame) -> DataFrame:
+    """Both, the first look's only where a language's reference is missing or empty."""
+    given = first.select("_lang", F.col("ref_chars").alias("c"), F.col("ref_common").alias("w"))
+    filled = lambda own, other: F.when(F.exists(own, lambda x: x > 0), F.col(own)).otherwise(F.coalesce(other, own))
+    both = reference.withColumnRenamed("_lang", "_own").join(given, F.col("_own").eqNullSafe(F.col("_lang")), "full")
+    known = F.col("ref_chars").isNotNull()
+    return both.select(F.when(known, F.col("_own")).otherwise(F.col("_lang")).alias("_lang"), filled("ref_chars", "c").alias("ref_chars"), filled("ref_common", "w").alias("ref_common"))
+
+
 def compared(measured: DataFrame, reference: DataFrame) -> DataFrame:
     """Adds char_distance and word_distance, null below the least lengths."""
     doubles = lambda c: F.col(c).cast("array<double>")
@@ -141,9 +174,10 @@ def judge(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     """(id, base counts, base_failed, char_distance, word_distance, kept) for every row."""
     measured = write_stage(measure(df, id_column, text_column, lang_column), "measured")
     measured = measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    ordinary = compared(measured, references(measured)).where(
+    first = write_stage(first_look(measured), "first-look")
+    ordinary = compared(measured, first).where(
         ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= FIRST_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= FIRST_DISTANCE))
-    told = compared(measured, references(ordinary))
+    told = compared(measured, with_first(references(ordinary), first))
     fine = (F.coalesce(F.col("char_distance") <= MOST_CHAR_DISTANCE + SHORT_ALLOWANCE / F.col("n_chars"), F.lit(True)) & F.coalesce(F.col("word_distance") <= MOST_WORD_DISTANCE, F.lit(True)))
     return told.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        "char_distance", "word_distance", (~F.col("base_failed") & fine).alias("kept"))

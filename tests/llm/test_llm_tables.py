@@ -289,3 +289,12 @@ def test_every_label_is_learned(spark):
     model = crf.fit(rows)
     assert len(model.languages) == 70
     assert all(r.lang == r.lang_pred for r in crf.identify(rows, model).collect())
+
+
+def test_junk_does_not_set_the_reference(spark):
+    clean = [(i, " ".join(f"w{chr(97 + (i * 7 + j) % 26)}{chr(97 + j % 26)}ord{chr(97 + j // 26)}" for j in range(150)), "xx") for i in range(30)]
+    junk = [(100 + i, " ".join(str(10**6 + 7919 * (i * 500 + j)) for j in range(300)), "xx") for i in range(8)]
+    junk += [(200, " ".join(str(10**7 + 7919 * j) for j in range(3000)), "xx")]
+    rows = divergence.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id: r.kept for r in rows} == {i: i < 100 for i, _, _ in clean + junk}

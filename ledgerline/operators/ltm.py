@@ -126,35 +126,76 @@ def carried_filers(periods: DataFrame, windows: DataFrame, rungs: DataFrame) ->
             .join(rungs.where("k = 0").select("cik"), "cik", "left_anti").select("cik", "end"))
 
 
-def reconstruct_ltm(picks: DataFrame, windows: DataFrame, tags=None) -> DataFrame:
+#: Days from the end of a fiscal year to the ends of its first three quarters, and so the lengths of their year-to-date spans.
+SLOTS = ((C.QUARTER_MIN, C.QUARTER_MAX), (170, 195), (262, 284))
+
+
+def quarter_ends(obs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(cik, side, slot, end): where the first three quarters of the newest window's two fiscal years end.
+
+    Ends are those of the filer's own quarters and year-to-date spans; where
+    several fit a quarter, the window's own end goes first, then the most reported.
+    """
+    w = windows.where("k = 0")
+    at = lambda days: F.coalesce(*[F.when(days.between(lo, hi), n + 1) for n, (lo, hi) in enumerate(SLOTS)])
+    nth = F.coalesce(at(F.col("cur_days")), F.when(F.col("cur_days").between(260, 290), 3))
+    sides = w.select("cik", nth.alias("nth"), F.inline(F.array(
+        F.struct(F.lit("cur").alias("side"), F.col("fy_end").alias("base"), F.col("cur_end").alias("own")),
+        F.struct(F.lit("prior").alias("side"), F.col("prev_fy_end").alias("base"), F.col("prior_end").alias("own"))))).where("nth IS NOT NULL")
+    fits = F.lit(False)
+    for lo, hi in SLOTS:
+        fits = fits | F.col("days").between(lo, hi)
+    seen = obs.where(F.col("is_duration") & F.col("is_periodic") & fits).groupBy("cik", "end").agg(F.count("*").alias("n"))
+    found = seen.join(sides, "cik").withColumn("slot", F.when(F.col("end") == F.col("own"), F.col("nth")).otherwise(
+        at(F.date_diff("end", "base")))).where("slot IS NOT NULL AND (side = 'prior' OR slot <= nth)")
+    best = F.max(F.struct((F.col("end") == F.col("own")).alias("is_own"), "n", "end"))
+    return found.groupBy("cik", "side", "slot", "nth").agg(best.alias("b")).select("cik", "side", "slot", "nth", "b.end")
+
+
+def reconstruct_ltm(picks: DataFrame, windows: DataFrame, ends: DataFrame, tags=None) -> DataFrame:
     """Rebuild the newest LTM of a tag without the stitch: four discrete quarters.
 
     Each quarter is the filed one where it exists and otherwise the difference of
-    neighbouring year-to-date figures; the missing fourth is the year less its
-    nine months.  ``picks`` must hold the quarter and year-to-date requests.
+    neighbouring year-to-date figures; the fourth is the year less its nine months.
+    ``picks`` must hold ``quarter_requests``, ``ends`` is ``quarter_ends``.  A tag
+    with a quarter that neither is filed nor is such a difference has no row.
     """
-    p = picks.where("shape = 'D' AND gate").select("cik", "tag", "end", "dmin", "dmax", "val", "unit")
+    p = picks.where("shape = 'D' AND gate").select("cik", "tag", "end", "dmin", "val")
     if tags:
         p = p.where(F.col("tag").isin(list(tags)))
-    w = windows.where("k = 0 AND cur_days BETWEEN 260 AND 290").select("cik", "fy_end", "cur_end", "cur_start", "prior_end")
-    q = p.where(f"dmin = {C.QUARTER_MIN}")
-    full = p.where(f"dmin = {C.ANNUAL_MIN}")
-    nine = p.where("dmin = 262")
-    quarters = (q.join(w, "cik").where((F.col("end") > F.col("fy_end")) & (F.col("end") <= F.col("cur_end")))
-                .groupBy("cik", "tag", "cur_end", "fy_end", "prior_end").agg(F.count("*").alias("nq"), F.sum("val").alias("q123")))
-    y = full.select("cik", "tag", F.col("end").alias("fy_end"), F.col("val").alias("fy"))
-    n = nine.select("cik", "tag", F.col("end").alias("prior_end"), F.col("val").alias("nine"))
-    rows = quarters.where("nq = 3").join(y, ["cik", "tag", "fy_end"]).join(n, ["cik", "tag", "prior_end"])
-    return rows.select("cik", "tag", F.col("cur_end").alias("end"), (F.col("q123") + F.col("fy") - F.col("nine")).alias("rebuilt"))
-
-
-def quarter_requests(windows: DataFrame) -> DataFrame:
-    """Requests of ``reconstruct_ltm``: three quarters, the year and the nine months before."""
-    w = windows.where("k = 0 AND cur_days BETWEEN 260 AND 290")
-    ask = lambda end, lo, hi: F.struct(end.alias("end"), F.lit("D").alias("shape"), F.lit(lo).alias("dmin"),
+    w = windows.where("k = 0").select("cik", "fy_end", "cur_end")
+    hit = p.join(ends, ["cik", "end"])
+    value = lambda side, slot, dmin: F.max(F.when(
+        (F.col("side") == side) & (F.col("slot") == slot) & (F.col("dmin") == dmin), F.col("val")))
+    cells = [value(side, slot, dmin).alias(f"{side}_{name}{slot}") for side in ("cur", "prior")
+             for name, slot, dmin in (*[("q", n, C.QUARTER_MIN) for n in (1, 2, 3)], *[("y", n, SLOTS[n - 1][0]) for n in (2, 3)])]
+    rows = hit.groupBy("cik", "tag", "nth").agg(*cells).join(w, "cik")
+    y = p.where(f"dmin = {C.ANNUAL_MIN}").select("cik", "tag", F.col("end").alias("fy_end"), F.col("val").alias("fy"))
+    rows = rows.join(y, ["cik", "tag", "fy_end"])
+
+    def quarters(side: str) -> tuple:
+        q1, q2, q3, y2, y3 = (F.col(f"{side}_{c}") for c in ("q1", "q2", "q3", "y2", "y3"))
+        first = F.coalesce(q1, y2 - q2)
+        half = F.coalesce(y2, q1 + q2)
+        second, third = F.coalesce(q2, y2 - q1), F.coalesce(q3, y3 - half)
+        return first, second, third, F.coalesce(y3, half + q3)
+
+    a, b, c, _ = quarters("cur")
+    _, second, third, nine = quarters("prior")
+    fourth = F.col("fy") - nine
+    rebuilt = (F.when(F.col("nth") == 3, a + b + c + fourth).when(F.col("nth") == 2, a + b + third + fourth)
+               .when(F.col("nth") == 1, a + second + third + fourth))
+    return rows.select("cik", "tag", F.col("cur_end").alias("end"), rebuilt.alias("rebuilt")).where("rebuilt IS NOT NULL")
+
+
+def quarter_requests(windows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Requests of ``reconstruct_ltm``: the quarters and year-to-date spans of two fiscal years, and the year between."""
+    ask = lambda end, lo, hi: F.struct(end.alias("end"), F.lit("D").alias("shape"), F.lit(lo).alias("dmin"),
                                        F.lit(hi).alias("dmax"), F.lit(True).alias("gate"))
-    q = (C.QUARTER_MIN, C.QUARTER_MAX)
-    month_end = lambda n: F.last_day(F.add_months(F.col("cur_end"), -n))
-    asks = F.array(ask(F.col("cur_end"), *q), ask(month_end(3), *q), ask(month_end(6), *q),
-                   ask(F.col("fy_end"), C.ANNUAL_MIN, C.ANNUAL_MAX), ask(F.col("prior_end"), 262, 284))
-    return w.select("cik", "ccy", F.inline(asks)).select("cik", "end", "ccy", "shape", "dmin", "dmax", "gate").distinct()
+    w = windows.where("k = 0")
+    spans = ends.join(w.select("cik", "ccy"), "cik")
+    asked = w.select("cik", "ccy", F.inline(F.array(ask(F.col("fy_end"), C.ANNUAL_MIN, C.ANNUAL_MAX))))
+    for slot, (lo, hi) in enumerate(SLOTS, 1):
+        asks = [ask(F.col("end"), C.QUARTER_MIN, C.QUARTER_MAX)] + ([ask(F.col("end"), lo, hi)] if slot > 1 else [])
+        asked = asked.unionByName(spans.where(F.col("slot") == slot).select("cik", "ccy", F.array(*asks).alias("a")).select("cik", "ccy", F.inline("a")))
+    return asked.select("cik", "end", "ccy", "shape", "dmin", "dmax", "gate").distinct()

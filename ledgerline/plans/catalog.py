@@ -271,8 +271,9 @@ def _(w):
 
 @query("ltm9_reconstruction")
 def _(w):
-    picks = write_stage(select.tag_picks(write_stage(select.candidates(w.obs, ltm.quarter_requests(w.windows)), "quarter-candidates")), "quarter-picks")
-    rebuilt = ltm.reconstruct_ltm(picks, w.windows)
+    ends = write_stage(ltm.quarter_ends(w.obs, w.windows), "quarter-ends")
+    picks = write_stage(select.tag_picks(write_stage(select.candidates(w.obs, ltm.quarter_requests(w.windows, ends)), "quarter-candidates")), "quarter-picks")
+    rebuilt = ltm.reconstruct_ltm(picks, w.windows, ends)
     cells = w.cells.where("basis = 'LTM' AND status = 'ltm'").select("cik", "end", "k", "tag", "value")
     gap = F.abs(F.try_divide(F.col("rebuilt") - F.col("value"), F.col("value")))
     return rebuilt.join(cells, ["cik", "end", "tag"]).select("cik", "end", "k", "rebuilt", "value", F.round(gap, 6).alias("gap"))

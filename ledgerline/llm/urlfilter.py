@@ -54,11 +54,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column) -> Column:
-    """The host and its parent domains; a text too long to be a domain name has only itself."""
-    labels = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).when(F.length(host) > LONGEST_NAME, F.array(host)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+def keys_of(host: Column, longest: int = LONGEST_NAME) -> Column:
+    """The host and its parent domains; of a longer host, itself and the parents of at most longest characters."""
+    parents = lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tail = F.substring(host, -(longest + 1), longest + 1)
+    dot = F.instr(tail, ".")
+    short = F.when(dot > 0, parents(F.split(tail.substr(dot + 1, F.lit(longest + 1)), r"\."))).otherwise(F.array().cast("array<string>"))
+    return F.when(host == "", F.array().cast("array<string>")).when(F.length(host) > longest, F.concat(F.array(host), short)).otherwise(
+        parents(F.split(host, r"\.")))
 
 
 def fits(rule: Rule, host: Column, path: Column) -> Column:
@@ -134,13 +137,14 @@ def cascade(keys: DataFrame, seed: int) -> list[Level]:
     return levels
 
 
-def _hit(host: Column, levels: Sequence[Level], mine) -> Column:
-    return F.exists(keys_of(host), lambda k: mine(k) & member(k, levels))
+def _hit(host: Column, levels: Sequence[Level], mine, longest: int) -> Column:
+    return F.exists(keys_of(host, longest), lambda k: mine(k) & member(k, levels))
 
 
 def listed_hosts(pages: DataFrame, host: str, listed: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """Adds listed: whether the host column's value or a parent domain of it is in listed (key)."""
-    universe = pages.select(F.explode(keys_of(F.col(host))).alias("key")).distinct().withColumn("listed", F.lit(False))
+    longest = max(LONGEST_NAME, listed.agg(F.max(F.length("key"))).first()[0] or 0)
+    universe = pages.select(F.explode(keys_of(F.col(host), longest)).alias("key")).distinct().withColumn("listed", F.lit(False))
     ours = listed.select("key").where("key is not null").withColumn("listed", F.lit(True))
     keys = write_stage(universe.unionByName(ours).groupBy("key").agg(F.max("listed").alias("listed")), "url-keys")
     slices = max(1, math.ceil(keys.where("listed").count() * MOST_BITS / 64 / most_words))
@@ -150,7 +154,7 @@ def listed_hosts(pages: DataFrame, host: str, listed: DataFrame, most_words: int
             return F.lit(True) if slices == 1 else F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(slices)) == s
 
         levels = cascade(keys.where(mine(F.col("key"))), 1000 * s)
-        out = out.withColumn("listed", F.col("listed") | _hit(F.col(host), levels, mine))
+        out = out.withColumn("listed", F.col("listed") | _hit(F.col(host), levels, mine, longest))
         if slices > 1:
             out = write_stage(out, f"url-slice-{s}")
     return out

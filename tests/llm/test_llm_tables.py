@@ -298,3 +298,12 @@ def test_junk_does_not_set_the_reference(spark):
     rows = divergence.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()
     assert not any(r.base_failed for r in rows)
     assert {r.doc_id: r.kept for r in rows} == {i: i < 100 for i, _, _ in clean + junk}
+
+
+def test_long_hosts_keep_their_parents(spark):
+    deep, far = "a." * 200, ".".join(["b" * 60] * 5)
+    hosts = [f"{deep}bad.org", f"{deep}notbad.org", "c" * 300 + ".bad.org", "d" * 300, f"x.{far}", f"{deep}{far}"]
+    pages = spark.createDataFrame([(h,) for h in hosts], "host string")
+    listed = spark.createDataFrame([("bad.org",), (far,)], "key string")
+    got = {r.host: r.listed for r in urlfilter.listed_hosts(pages, "host", listed).collect()}
+    assert [got[h] for h in hosts] == [True, False, True, False, True, True]

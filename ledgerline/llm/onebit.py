@@ -14,6 +14,7 @@ bounded size, so a task holds one block of each; the blocks' best k meet per que
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows with a null id.  Vectors of another dimension than the most common take
 no part either.  Ties go to the smaller id; a repeated id counts once per vector.
+A query's row that stands twice is asked once.
 """
 
 from collections.abc import Iterator
@@ -143,7 +144,7 @@ def search(vectors: DataFrame, every: int, k: int = 10, id_column: str = "vec_id
     deal = lambda blocks, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
     side = [F.col("vec_id"), F.col("v"), F.col("code"), F.col("norm"), F.col("own")]
     rows = table.select(*side, deal(row_blocks, 1).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    queries = table.where(asked).select("vec_id", "v", deal(query_blocks, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
+    queries = table.where(asked).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", deal(query_blocks, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = not (left.num_rows and right.num_rows)

@@ -307,3 +307,10 @@ def test_long_hosts_keep_their_parents(spark):
     listed = spark.createDataFrame([("bad.org",), (far,)], "key string")
     got = {r.host: r.listed for r in urlfilter.listed_hosts(pages, "host", listed).collect()}
     assert [got[h] for h in hosts] == [True, False, True, False, True, True]
+
+
+def test_a_repeated_query_keeps_its_neighbours(spark):
+    rows = [(i, [float((i * j) % 7 - 3) + i / 100 for j in range(1, 9)]) for i in range(1, 31)]
+    table = spark.createDataFrame(rows + [rows[19]], "vec_id long, embedding array<double>")
+    got = onebit.search(table, every=20, k=10).collect()
+    assert len(got) == len({r.vec_id for r in got}) == 10 and {r.query_id for r in got} == {20}

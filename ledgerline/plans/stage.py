@@ -46,9 +46,14 @@ def passing_stages(spark: SparkSession):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path beside the stages."""
+    return f"{stage_root(spark)}/{next(_SEQ):05d}-{name}"
+
+
 def write_stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{next(_SEQ):05d}-{name}"
+    path = stage_path(spark, name)
     if _PASSING and not keep:
         _PASSING[-1].append(path)
     df.write.mode("errorifexists").parquet(path)

@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import bpe, crf, divergence, mixing, onebit, parity, preferences, sharding, toxicity, urlfilter
+from ledgerline.llm import bpe, crf, divergence, interaction, ledger, mixing, onebit, parity, preferences, sharding, toxicity, urlfilter, whitening
 from ledgerline.llm.tables import fold_of, read
+from ledgerline.plans.stage import stage_path
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -71,4 +72,25 @@ def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.withColumn("loss_spans", spans)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op7_source_mixing, op8_quality_divergence, op9_nearest_vectors, op10_chat_preferences)}
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against a ledger that is new to this run."""
+    found = ledger.scan(read(spark, sf_dir, "documents"), stage_path(spark, "secret-ledger"))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f.kind == kind)).cast("long")
+    return found.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in ledger.BASE],
+                        F.sha2(ledger.joined("findings", *[r.kind for r in ledger.BASE]), 256).alias("base_sha256"), ledger.joined("findings").alias("spans"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.fit(read(spark, sf_dir, "embeddings"))
+    told = whitening.apply(rows, model).select("vec_id", F.expr("try_cast(deviation as long)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    return told.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+                       F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), interaction.text_filters(F.col("text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_ngram_jaccard, op4_sharding, op5_byte_bpe, op6_language_crf, op7_source_mixing, op8_quality_divergence, op9_nearest_vectors, op10_chat_preferences,
+                                   op11_secret_ledger, op12_embedding_whitening, op13_filter_audit)}

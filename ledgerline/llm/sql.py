@@ -176,6 +176,70 @@ SELECT pair_id, part, chunk, count(*)::INTEGER AS n_turns, string_agg(head || bo
 FROM run GROUP BY pair_id, part, chunk
 """
 
+
+def _any_case(word: str) -> str:
+    """Letters in either case, and no others that fold to them."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: (kind, pattern, group, least length of the group); the base kinds first.
+SECRETS = (
+    ("assign", "(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")[\"\']?\\x20*[:=]\\x20*[\"\']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16),
+    ("private_key", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 1), ("code_host", "gh[opsu]_[A-Za-z0-9]+", 0, 40), ("chat_bot", "xox[abprs]-[0-9A-Za-z-]+", 0, 15))
+
+
+def _matches(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: a match starts after the gaps up to it and the matches before it."""
+    p = pattern.replace("'", "''")
+    return f"""
+    SELECT r, '{kind}' AS kind, {place} AS place, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start, length(whole[i]) AS size
+    FROM (SELECT r, regexp_extract_all(text, '{p}') AS whole, regexp_extract_all(text, '{p}', {group}) AS judged, string_split_regex(text, '{p}') AS gaps FROM d) m, unnest(range(1, len(whole) + 1)) AS t(i)
+    WHERE length(judged[i]) >= {least}"""
+
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_matches(i, *s) for i, s in enumerate(SECRETS))}),
+told AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+           string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, place) AS spans
+    FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (r)
+"""
+
+OP13 = f"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+    SELECT part, 16 * (len(ws) < 200)::INT + 8 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+               + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+               + 2 * regexp_matches(text, '[#$%&*|]')::INT + coalesce(doc_id > first_id, false)::INT AS code,
+           count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM d JOIN firsts USING (text) LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 16), ('B', 8), ('C', 4), ('D', 2), ('E', 1)) AS v(x, b)),
+orders AS (
+    SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order, [l1.b, l2.b, l3.b, l4.b, l5.b] AS bits
+    FROM letters l1, letters l2, letters l3, letters l4, letters l5 WHERE l1.b | l2.b | l3.b | l4.b | l5.b = 31),
+steps AS (
+    SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, range(1, 6) AS t(step)),
+sums AS (
+    SELECT part, filter_order, step, bit,
+           coalesce(sum(n) FILTER (code & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (code & before = 0 AND code & bit > 0), 0) AS removed,
+           coalesce(sum(n) FILTER (code & before > 0 AND code & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (code = bit), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (code & before = 0 AND code & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (code & before = 0 AND code & bit > 0), 0) AS toxic_lost
+    FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM sums
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": OP2, "op3_ngram_jaccard": OP3, "op4_sharding": OP4, "op8_quality_divergence": OP8, "op9_nearest_vectors": OP9, "op10_chat_preferences": OP10,
+    "op11_secret_ledger": OP11, "op13_filter_audit": OP13,
 }

@@ -57,10 +57,10 @@ def comps_table(rows: DataFrame, medians: DataFrame, priced: DataFrame) -> DataF
 
     The company side stays long, so a set may have any number of members.
     """
-    sets = priced.select("set_id").distinct().withColumn("any_priced", F.lit(True))
-    r = rows.join(sets, "set_id", "left").where("any_priced OR NOT is_market")
-    return r.join(medians.select("set_id", "k", "median"), ["set_id", "k"], "left").select(
-        "set_id", "group_ord", "grp", "row_ord", "k", "label", "ticker", "end", "value", "median")
+    sets = priced.select("set_id", "basis").distinct().withColumn("any_priced", F.lit(True))
+    r = rows.join(sets, ["set_id", "basis"], "left").where("any_priced OR NOT is_market")
+    return r.join(medians.select("set_id", "basis", "k", "median"), ["set_id", "basis", "k"], "left").select(
+        "set_id", "basis", "group_ord", "grp", "row_ord", "k", "label", "ticker", "end", "value", "median")
 
 
 def segment_rows(views: DataFrame) -> DataFrame:

@@ -4,14 +4,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerline.dims import template as T
 from ledgerline.functions import columns as C
+from ledgerline.sources.layout import of_tags
 
 RUNGS = 4
 
 
 def interim_spans(obs: DataFrame, filers: DataFrame) -> DataFrame:
     """Distinct spans of one to three quarters reported for an anchor tag."""
-    rows = obs.where(F.col("is_duration") & F.col("days").between(C.YTD_MIN, C.YTD_MAX)
-                     & F.col("tag").isin(T.anchor_tags()))
+    rows = of_tags(obs, T.anchor_tags()).where(F.col("is_duration") & F.col("days").between(C.YTD_MIN, C.YTD_MAX))
     # folded per tag and span before the filer's industry is joined
     first = F.min(F.struct("unit_ord", F.col("first.pos").alias("pos")))
     rows = rows.groupBy("cik", "tag", "end", "days").agg(first.alias("first"), F.max(F.col("n_10q") > 0).alias("on_10q"))

@@ -1,11 +1,12 @@
 """Checks over whole populations of filers: what a sheet must satisfy on its own terms."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.dims import template as T
 from ledgerline.functions import columns as C
 from ledgerline.functions.quantiles import exact_percentiles
 from ledgerline.operators import select
+from ledgerline.sources.layout import of_tags
 
 FINDING = ["check", "cik", "basis", "end", "detail"]
 
@@ -116,18 +117,35 @@ def diff_summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change").agg(F.count("*").alias("cells"), F.countDistinct("cik").alias("filers"))
 
 
-def currency_audit(gated: DataFrame, ungated: DataFrame, obs: DataFrame, filers: DataFrame) -> tuple:
-    """Cells that differ without the currency gate, columns mixing currencies, filers changing currency.
+def currency_differences(gated: DataFrame, free: DataFrame) -> DataFrame:
+    """Cells that differ without the currency gate, the unit on either side.
 
-    ``gated`` and ``ungated`` are cells of the same columns (cik, basis, end, k, value, unit).
+    ``gated`` are the cells of the sheet and ``free`` those chosen without the gate,
+    (cik, basis, end, k, value, unit); ``free`` holds the columns alone in which the
+    gate shut something out, so the others are not compared.
     """
-    ccy = C.unit_currency("unit")
     keys = ["cik", "basis", "end", "k"]
-    d = snapshot_diff(gated.withColumn("form", ccy), ungated.withColumn("form", ccy), keys)
-    mixed = lambda df: df.where(ccy.isNotNull()).groupBy("cik", "basis", "end").agg(F.countDistinct(ccy).alias("n")).where("n > 1")
+    same = gated.join(free.select(*keys[:3]).distinct(), keys[:3], "left_semi")
+    d = snapshot_diff(same, free, keys, form="unit")
+    return d.withColumn("change", F.when(F.col("change") == "form moved", "unit moved").otherwise(F.col("change"))).select(
+        *keys, "change", "before", "after", F.col("form_before").alias("unit_before"), F.col("form_after").alias("unit_after"))
+
+
+def mixed_columns(cells: DataFrame) -> DataFrame:
+    """Columns whose cells are in several currencies."""
+    ccy = C.unit_currency("unit")
+    return cells.where(ccy.isNotNull()).groupBy("cik", "basis", "end").agg(F.countDistinct(ccy).alias("currencies")).where("currencies > 1")
+
+
+def currency_summary(gated: DataFrame, free: DataFrame, differences: DataFrame, obs: DataFrame, filers: DataFrame) -> DataFrame:
+    """(measure, n): cells that differ, columns mixing currencies with and without the gate, filers changing currency."""
+    column = ["cik", "basis", "end"]
+    untouched = gated.join(free.select(*column).distinct(), column, "left_anti")
     changing = select.annual_anchor_readings(obs, filers).where("unit_ccy IS NOT NULL").groupBy("cik").agg(
         F.countDistinct("unit_ccy").alias("currencies")).where("currencies > 1")
-    return d, mixed(gated), mixed(ungated), changing
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
+    return (one(differences, "cells that differ").unionByName(one(mixed_columns(gated), "mixed columns with the gate"))
+            .unionByName(one(mixed_columns(untouched.unionByName(free)), "mixed columns without")).unionByName(one(changing, "filers changing currency")))
 
 
 def ratio_distribution(sheet: DataFrame, num: str, den: str, by: list | None = None) -> DataFrame:
@@ -244,8 +262,46 @@ def draw_population(form_index: DataFrame) -> DataFrame:
     return form_index.select("cik", F.explode(marks).alias("population")).distinct()
 
 
+# Concepts that tell a reorganisation under Chapter 11; spans of a calendar year, balances at a quarter's end.
+CHAPTER_11 = (
+    ("chapter 11", "ReorganizationItems", True),
+    ("chapter 11", "DebtorReorganizationItemsLegalAndAdvisoryProfessionalFees", True),
+    ("chapter 11", "DebtorReorganizationItemsProvisionForExpectedAllowedClaims", True),
+    ("chapter 11", "DebtorReorganizationItemsWriteoffOfDeferredFinancingCostsAndDebtDiscounts", True),
+    ("chapter 11", "LiabilitiesSubjectToCompromise", False),
+    ("fresh start", "ReorganizationValue", False),
+    ("fresh start", "PostconfirmationStockholdersEquity", False),
+)
+#: Days by which a span or a balance may miss its calendar period.
+FRAME_SLACK = 30
+
+
+def frame_of(start="start", end="end") -> Column:
+    """The calendar period that a fact covers: CY2019 for a year, CY2019Q4I for a balance, null for a stub."""
+    start, end = F.col(start), F.col(end)
+    days = F.date_diff(end, start)
+    middle = F.date_add(start, F.floor(days / 2).cast("int"))
+    off = F.abs(F.date_diff(start, F.trunc(middle, "year")))
+    year = F.when(days.between(365 - FRAME_SLACK, 365 + FRAME_SLACK) & (off <= FRAME_SLACK), F.concat(F.lit("CY"), F.year(middle)))
+    quarter = F.date_sub(F.trunc(F.date_add(end, FRAME_SLACK + 1), "quarter"), 1)
+    balance = F.when(F.abs(F.date_diff(end, quarter)) <= FRAME_SLACK, F.concat(F.lit("CY"), F.year(quarter), F.lit("Q"), F.quarter(quarter), F.lit("I")))
+    return F.when(start.isNull(), balance).otherwise(year)
+
+
+def concept_population(facts: DataFrame, rules=CHAPTER_11) -> DataFrame:
+    """(population, cik, tag, frame): filers drawn by the concepts that they report for a calendar period.
+
+    ``facts`` are all facts, not the template's alone; of a table written by concept
+    only the asked concepts' files are read.
+    """
+    dim = facts.sparkSession.createDataFrame(list(rules), "population string, tag string, is_span boolean")
+    rows = of_tags(facts, [t for _, t, _ in rules]).where("ns = 'us-gaap'")
+    framed = rows.select("cik", "tag", F.col("start").isNotNull().alias("is_span"), frame_of().alias("frame")).where("frame IS NOT NULL").distinct()
+    return framed.join(F.broadcast(dim), ["tag", "is_span"]).select("population", "cik", "tag", "frame")
+
+
 def duration_histogram(obs: DataFrame) -> DataFrame:
-    rows = obs.where(F.col("is_duration") & F.col("is_periodic") & F.col("tag").isin(T.anchor_tags()))
+    rows = of_tags(obs, T.anchor_tags()).where(F.col("is_duration") & F.col("is_periodic"))
     return rows.groupBy("days").agg(F.sum("n").alias("facts"))
 
 

@@ -42,12 +42,12 @@ def _same_period(a: str, b: str):
     return (F.col(f"{a}.period_end") == F.col(f"{b}.period_end")) & F.col(f"{a}.period_start").eqNullSafe(F.col(f"{b}.period_start"))
 
 
-def annual_report(dim_facts: DataFrame, back: int) -> DataFrame:
-    """Facts of each filer's 10-K that has ``back`` newer ones."""
-    k = dim_facts.where("form = '10-K'")
+def annual_report(rows: DataFrame, back: int) -> DataFrame:
+    """Rows (documents or facts) of each filer's 10-K that has ``back`` newer ones."""
+    k = rows.where("form = '10-K'")
     order = Window.partitionBy("cik").orderBy(F.desc("filed"), F.desc("accn"))
     at = k.select(*FILING, "filed").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") == back + 1)
-    return k.join(at.select(*FILING), FILING)
+    return k.join(at.select(*FILING), FILING, "left_semi")
 
 
 def report_cells(facts: DataFrame) -> DataFrame:
@@ -57,11 +57,11 @@ def report_cells(facts: DataFrame) -> DataFrame:
         F.min("val").alias("value"), F.lit("10-K").alias("form"))
 
 
-def newest_annual(dim_facts: DataFrame) -> DataFrame:
-    """Facts of each filer's newest 10-K."""
-    k = dim_facts.where("form = '10-K'")
+def newest_annual(rows: DataFrame) -> DataFrame:
+    """Rows of each filer's newest 10-K."""
+    k = rows.where("form = '10-K'")
     last = k.groupBy("cik").agg(F.max(F.struct("filed", "accn"))["accn"].alias("accn"))
-    return k.join(last, FILING)
+    return k.join(last, FILING, "left_semi")
 
 
 def dedupe(facts: DataFrame) -> DataFrame:
@@ -232,31 +232,35 @@ def crosstab_cells(facts: DataFrame) -> DataFrame:
     return rows.select(*FILING, "tag", *PERIOD, "qualifier", "val", F.inline(F.array(turn(0, 1), turn(1, 0))))
 
 
-def collapse_crosstab(facts: DataFrame, surviving: DataFrame) -> DataFrame:
-    """Cells summed along the second axis, only for axes that have no kept table.
+def collapse_crosstab(facts: DataFrame) -> DataFrame:
+    """Cells summed along the second axis.
 
     A member worth half of its line's sum is the sum of the others, so the second
     axis carries a total; the whole collapse of that concept is then refused.
     """
-    cells = crosstab_cells(facts).join(surviving.select(*FILING, "axis").distinct(), [*FILING, "axis"], "left_anti")
     line = [*FILING, "tag", *PERIOD, "qualifier", "axis", "member", "along"]
-    sums = cells.groupBy(*line).agg(F.sum("val").alias("val"), F.count("*").alias("n"))
-    on = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in line if k not in PERIOD] + [_same_period("c", "s")]
-    totals = cells.alias("c").join(sums.alias("s"), on).where("s.n >= 3 AND c.val * 2 = s.val AND c.val <> 0").select(
-        *[F.col(f"c.{k}").alias(k) for k in (*FILING, "tag", "axis", "along")]).distinct()
-    safe = sums.join(totals, [*FILING, "tag", "axis", "along"], "left_anti")
-    return safe.select(*FILING, "tag", *PERIOD, "axis", "member", "qualifier", "along", "val")
+    over = Window.partitionBy(*line)
+    cells = crosstab_cells(facts).withColumn("sum", F.sum("val").over(over)).withColumn("n", F.count("*").over(over))
+    total = (F.col("n") >= 3) & (F.col("val") * 2 == F.col("sum")) & (F.col("val") != 0)
+    sums = cells.groupBy(*line).agg(F.first("sum").alias("val"), F.max(total).alias("total"))
+    refused = F.max("total").over(Window.partitionBy(*FILING, "tag", "axis", "along"))
+    return sums.withColumn("refused", refused).where("NOT refused").select(*FILING, "tag", *PERIOD, "axis", "member", "qualifier", "along", "val")
 
 
 def segment_tables(facts: DataFrame, role_members: DataFrame, member_labels: DataFrame, tree: DataFrame, stage) -> DataFrame:
     """All kept tables of every filer's newest annual report.
 
-    ``facts`` are prepared by ``newest_annual``, ``allowed`` and ``dedupe``;
-    ``tree`` is ``containment``'s; ``stage`` writes a table that is read several times.
+    Rows on one axis and collapsed cross-tabs go through the rules together, as a
+    table knows what it lies along; collapsed ones then give way on every axis that
+    has a kept table of its own.  ``facts`` are prepared by ``newest_annual``,
+    ``allowed`` and ``dedupe``; ``tree`` is ``containment``'s; ``stage`` writes a
+    table that is read several times.
     """
-    single = stage(assemble(breakdown_facts(facts), facts, role_members, tree, stage), "single-axis")
-    collapsed = assemble(stage(collapse_crosstab(facts, single), "collapsed-cross-tab"), facts, role_members, tree, stage)
-    return clean_labels(single.unionByName(collapsed), member_labels).select(
+    rows = breakdown_facts(facts).unionByName(collapse_crosstab(facts))
+    kept = stage(assemble(rows, facts, role_members, tree, stage), "kept-tables")
+    single = kept.where("along = ''").select(*FILING, "axis").distinct()
+    done = kept.where("along = ''").unionByName(kept.where("along <> ''").join(single, [*FILING, "axis"], "left_anti"))
+    return clean_labels(done, member_labels).select(
         *VIEW, "tag", *PERIOD, "member", "label", "recon", "val", "qualifier", "lead", "others", "total", "consolidated")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ledgerline.dims import template as T
 from ledgerline.dims.core import CORE_SECTIONS
 from ledgerline.functions import columns as C
+from ledgerline.sources.layout import of_tags
 
 PIN_LINE = next(line for sec in CORE_SECTIONS for line in sec.lines if line.pinned)
 PIN_WHOLE = T.REVENUE_TAGS
@@ -57,8 +58,7 @@ def annual_anchor_readings(obs: DataFrame, filers: DataFrame) -> DataFrame:
     Folded per (filer, tag, end, currency) before the filer's industry is joined,
     so the join by filer alone sees a few dozen rows of even the largest filer.
     """
-    rows = obs.where(F.col("is_duration") & F.col("is_periodic") & C.is_annual()
-                     & F.col("tag").isin(T.anchor_tags()))
+    rows = of_tags(obs, T.anchor_tags()).where(F.col("is_duration") & F.col("is_periodic") & C.is_annual())
     seen = F.min(F.struct("unit_ord", F.col("first.pos").alias("pos"), "days"))
     rows = rows.groupBy("cik", "tag", "end", "unit_ccy").agg(F.sum("n").alias("n"), seen.alias("seen"))
     return rows.join(filers.select("cik", "industry"), "cik").join(
@@ -127,6 +127,19 @@ def candidates(obs: DataFrame, requests: DataFrame) -> DataFrame:
         F.min("accn_lo").alias("accn_lo"), F.max("accn_hi").alias("accn_hi"), F.max("unit_ord").alias("last_unit")).drop("slice")
 
 
+def any_currency(cands: DataFrame) -> DataFrame:
+    """What the candidates would be without the currency gate, for the requests where it shut something out.
+
+    The readings that the gate kept as evidence are candidates of their own, so the
+    readings are not asked again: values of all currencies are folded together.
+    """
+    shut = cands.where("gate AND wrong_ccy IS NOT NULL").select(*REQUEST_KEY).distinct()
+    rows = cands.where("gate").join(shut, REQUEST_KEY, "left_semi")
+    return rows.groupBy(*REQUEST_KEY, "tag", "val").agg(
+        F.lit(None).cast("string").alias("wrong_ccy"), F.max("top").alias("top"), F.max("plain").alias("plain"),
+        F.min("accn_lo").alias("accn_lo"), F.max("accn_hi").alias("accn_hi"), F.max("last_unit").alias("last_unit"))
+
+
 def _winner(rank: str):
     return F.struct(*[F.col(f"{rank}.{f}").alias(f) for f in ("filed", "form_rank", "nunit", "npos")],
                     F.col("val").alias("val"),
@@ -172,7 +185,7 @@ def pin_by_run(obs: DataFrame, periods: DataFrame, tags=PIN_LINE.tags) -> DataFr
     ``periods.idx`` counts a filer's columns; at most eight exist, so the set of
     hit columns is a bounded array and the run is folded in place.
     """
-    hits = (obs.where(F.col("is_duration") & F.col("is_periodic") & C.is_annual() & F.col("tag").isin(list(tags)))
+    hits = (of_tags(obs, tags).where(F.col("is_duration") & F.col("is_periodic") & C.is_annual())
             .select("cik", "tag", "end").join(periods.select("cik", "end", "idx"), ["cik", "end"])
             .groupBy("cik", "tag").agg(F.sort_array(F.collect_set("idx")).alias("hit")))
     step = lambda acc, i: F.struct(
@@ -291,7 +304,7 @@ def latest_facts(obs: DataFrame, filers: DataFrame) -> DataFrame:
     rank = F.struct("end", (-F.col("unit_ord")).alias("u"), (-F.col("first.pos")).alias("p"))
     body = F.struct(F.col("val").alias("value"), "unit", "tag", F.col("first.accn").alias("accn"),
                     F.col("first.form").alias("form"), F.col("first.filed").alias("filed"), F.col("end").alias("fact_end"))
-    newest = obs.where(F.col("tag").isin(tags)).groupBy("cik", "tag").agg(F.max_by(body, rank).alias("b"))
+    newest = of_tags(obs, tags).groupBy("cik", "tag").agg(F.max_by(body, rank).alias("b"))
     rows = newest.join(filers.select("cik", "industry"), "cik").join(F.broadcast(lt), ["industry", "tag"])
     best = F.struct(F.col("b.fact_end").alias("e"), (-F.col("tag_ord")).alias("o"))
     return rows.groupBy("cik", "k").agg(F.max_by("b", best).alias("b")).select("cik", "k", "b.*")
@@ -307,7 +320,7 @@ def debt_scope(obs: DataFrame, tags=None) -> DataFrame:
     tags = list(tags or [t for t in lines if t not in ("LongTermDebtNoncurrent", "ConvertibleDebtNoncurrent")])
     legs = ["LongTermDebtNoncurrent", "LongTermDebtCurrent"]
     rank = F.struct(F.col("late.filed").alias("filed"), (-F.col("unit_ord")).alias("u"), F.col("late.npos").alias("p"))
-    at = (obs.where(~F.col("is_duration") & F.col("is_periodic") & F.col("tag").isin([*tags, *legs]))
+    at = (of_tags(obs, [*tags, *legs]).where(~F.col("is_duration") & F.col("is_periodic"))
           .groupBy("cik", "tag", "end").agg(F.max_by("val", rank).alias("val")))
     leg = lambda tag, name: F.max(F.when(F.col("tag") == tag, F.col("val"))).alias(name)
     totals = F.map_from_entries(F.collect_list(F.when(F.col("tag").isin(tags), F.struct("tag", "val"))))

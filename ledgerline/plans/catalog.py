@@ -11,7 +11,7 @@ from ledgerline.functions import columns as C
 from ledgerline.operators import calendar, comps, derive, export, ltm, notes, quality, segments, select
 from ledgerline.plans.stage import write_stage
 from ledgerline.plans.workspace import workspace
-from ledgerline.sources import readers, star_schema as S
+from ledgerline.sources import instances, readers, star_schema as S
 
 QUERIES: dict = {}
 
@@ -35,19 +35,32 @@ def big(c, name=None):
 
 @query("src1_facts")
 def _(w):
-    return w.raw_facts.groupBy("ns", "tag", "unit", "form", "fp").agg(
-        F.count("*").alias("facts"), F.countDistinct("accn").alias("filings"),
-        F.sum(F.col("val").cast("decimal(38,0)")).cast("double").alias("total"))
+    return w.sent_facts.where("reason IS NULL").drop("reason", "label")
+
+
+@query("src1_rejects")
+def _(w):
+    return w.sent_facts.where("reason IS NOT NULL").groupBy("cik", "ns", "tag", "unit", "reason").agg(F.count("*").alias("n"))
 
 
 @query("src2_filings")
 def _(w):
-    return w.filings
+    return w.sent_filings.where("reason IS NULL").drop("reason")
+
+
+@query("src2_rejects")
+def _(w):
+    return w.sent_filings.where("reason IS NOT NULL").select("cik", "filing_ord", "form", "accn", "reason")
 
 
 @query("src3_tickers")
 def _(w):
-    return w.tickers
+    return w.sent_tickers.where("reason IS NULL").drop("reason")
+
+
+@query("src3_rejects")
+def _(w):
+    return w.sent_tickers.where("reason IS NOT NULL")
 
 
 @query("src4_quotes")
@@ -63,19 +76,39 @@ def _(w):
 
 @query("src6_dim_facts")
 def _(w):
-    return w.dim_facts.groupBy("tag", F.size("axes").alias("axes"), F.year("period_end").alias("yr")).agg(
-        F.count("*").alias("facts"), F.countDistinct("context_id").alias("contexts"),
-        F.sum(F.col("val").cast("decimal(38,0)")).cast("double").alias("total"))
+    cell = F.array_join(F.transform("axes", lambda a: F.concat_ws("=", a["axis"], a["member"])), ",")
+    return w.all_dim_facts.where("reason IS NULL").select("cik", "accn", "filed", "tag", "context_id", "period_start", "period_end", cell.alias("cell"), "val")
+
+
+@query("src6_rejects")
+def _(w):
+    return w.all_dim_facts.where("reason IS NOT NULL").select("cik", "accn", "tag", "context_id", "reason")
+
+
+@query("src6_role_members")
+def _(w):
+    return w.role_members.select("cik", "accn", "role", "axis", "parent_member", "member")
+
+
+@query("src6_member_labels")
+def _(w):
+    return w.member_labels
 
 
 @query("src7_form_index")
 def _(w):
-    return w.form_index
+    return w.sent_index.where("reason IS NULL").drop("value", "reason")
+
+
+@query("src7_rejects")
+def _(w):
+    return w.sent_index.where("reason IS NOT NULL").select(F.regexp_extract("value", r"edgar/data/(\d+)/", 1).cast("bigint").alias("filer"), "form", "cik", "reason")
 
 
 @query("src8_concept_frame")
 def _(w):
-    return readers.concept_frame(w.facts, list(T.REVENUE_TAGS), "1999-01-01", "1999-12-31").select(
+    year = w.years[1] - 2
+    return readers.concept_frame(w.facts, list(T.REVENUE_TAGS), f"{year}-01-01", f"{year}-12-31").select(
         "cik", "tag", "unit", "form", "filed", "accn", "val")
 
 
@@ -387,64 +420,54 @@ def _(w):
 
 # ---- comparables ---------------------------------------------------------------------------------
 
-def _chosen(w, basis="LTM"):
-    return comps.comps_set(w.sheet, w.comps_members, basis)
-
-
 @query("cmp1_2_set")
 def _(w):
-    both = _chosen(w).unionByName(_chosen(w, "FY"))
-    return both.select("set_id", "ticker", "cik", "basis", "end", "fy", "stitched")
+    return w.chosen.select("set_id", "ticker", "cik", "basis", "end", "fy", "stitched")
 
 
 @query("cmp1_typed_set")
 def _(w):
-    wanted = ["sb", " SC", "SC", "sdd", "nosuch", "SBA", "SCB", "SDC", "SED", "SFE"]
-    return comps.build_set(w.tickers, wanted)
+    return w.typed_members
 
 
 @query("cmp3_metrics")
 def _(w):
-    return comps.comps_rows(_chosen(w)).select("set_id", "ticker", "row_ord", "grp", "k", "label", *r6("value"))
+    return w.comps_rows.select("set_id", "basis", "ticker", "row_ord", "grp", "k", "label", *r6("value"))
 
 
 @query("cmp4_median")
 def _(w):
-    return comps.comps_median(comps.comps_rows(_chosen(w))).select("set_id", "k", "n", *r6("median"))
+    return comps.comps_median(w.comps_rows).select("set_id", "basis", "k", "n", *r6("median"))
 
 
 @query("cmp5_spread")
 def _(w):
-    return comps.period_spread(_chosen(w))
+    return comps.period_spread(w.chosen)
 
 
 @query("cmp6_gap_notes")
 def _(w):
-    return comps.gap_notes(_chosen(w), w.long)
+    return comps.gap_notes(w.chosen, w.long)
 
 
 @query("cmp7_currency")
 def _(w):
-    chosen = _chosen(w)
-    return comps.currency_marks(comps.comps_rows(chosen), chosen)
+    return comps.currency_marks(w.comps_rows, w.chosen)
 
 
 @query("cmp8_thin")
 def _(w):
-    chosen = _chosen(w)
-    return comps.thin_marks(comps.comps_rows(chosen), chosen).select("set_id", "ticker", "cik", "k", *r6("value", "share"))
+    return comps.thin_marks(w.comps_rows, w.chosen).select("set_id", "basis", "ticker", "cik", "k", *r6("value", "share"))
 
 
 @query("cmp9_carried")
 def _(w):
-    return comps.carried(_chosen(w))
+    return comps.carried(w.chosen)
 
 
 @query("cmp10_search")
 def _(w):
-    ordered = w.tickers.withColumn("ord", F.regexp_extract("title", r"(\d+)$", 1).cast("bigint"))
-    return comps.search(ordered, ["sba", "Supplier#00000001", "1", "#000", "zzz"]).select(
-        "query", "rank", "cik", "ticker", "title")
+    return comps.search(w.search_index, S.typed_queries(w.spark, w.sf_dir)).select("query_id", "query", "rank", "cik", "ticker", "title")
 
 
 # ---- sinks (the table each sink writes) ------------------------------------------------------------
@@ -484,11 +507,9 @@ def _(w):
 
 @query("snk4_comps")
 def _(w):
-    chosen = _chosen(w)
-    rows = comps.comps_rows(chosen)
-    priced = chosen.where("market_status IS NOT NULL").select("set_id")
-    return export.comps_table(rows, comps.comps_median(rows), priced).select(
-        "set_id", "group_ord", "grp", "row_ord", "k", "label", "ticker", "end", *r6("value", "median"))
+    priced = w.chosen.where("market_status IS NOT NULL")
+    return export.comps_table(w.comps_rows, comps.comps_median(w.comps_rows), priced).select(
+        "set_id", "basis", "group_ord", "grp", "row_ord", "k", "label", "ticker", "end", *r6("value", "median"))
 
 
 # ---- segments ------------------------------------------------------------------------------------
@@ -501,7 +522,7 @@ def _(w):
 @query("seg2_views")
 def _(w):
     v = segments.views(segments.breakdown_facts(w.segment_facts), w.role_members)
-    return v.groupBy("axis", "role", "tag", "period_end").agg(F.count("*").alias("facts"), F.countDistinct("cik").alias("filers"))
+    return v.select("cik", "axis", "role", "tag", "period_end", "member", "qualifier", "val")
 
 
 @query("seg5_subtotals")
@@ -578,47 +599,28 @@ def _(w):
     return quality.classify_range(w.stitched_sheet).select(*KEYS, "ratio", *r6("value"), "cause")
 
 
-def _first_filed_cells(w):
-    """The annual cells as a reader saw them before the last reporting year."""
-    early = w.facts.where("filed < DATE'2001-01-01'")
-    obs = write_stage(select.observations(early), "early-readings")
-    asked = select.annual_requests(w.periods)
-    cands = write_stage(select.candidates(obs, asked), "early-candidates")
-    cols = w.columns.where("basis = 'FY'")
-    picked = select.line_cells(select.tag_picks(cands), cands, cols, w.pins)
-    return picked.select("cik", "basis", "end", "k", F.col("pick.val").alias("value"), F.col("pick.form").alias("form"))
-
-
 @query("qa6_snapshot_diff")
 def _(w):
+    then = w.before_last_year.annual_picks.where("pick IS NOT NULL").select(*KEYS, "k", F.col("pick.val").alias("value"), F.col("pick.form").alias("form"))
     now = w.read_cells.where("basis = 'FY' AND value IS NOT NULL").select(*KEYS, "k", "value", "form")
-    before = _first_filed_cells(w).where("value IS NOT NULL")
-    return quality.diff_summary(quality.snapshot_diff(before, now, [*KEYS, "k"]))
+    return quality.snapshot_diff(then, now, [*KEYS, "k"]).select(*KEYS, "k", "change", "before", "after", "form_before", "form_after")
 
 
 @query("qa7_segment_diff")
 def _(w):
     key = ["cik", "tag", "period_end", "cell"]
-    one, two = (segments.report_cells(segments.annual_report(w.dim_facts, back)) for back in (1, 0))
-    return quality.snapshot_diff(one, two, key).select(*key, "change", "before", "after")
+    older = instances.usable(w.dim_facts_of(segments.annual_report(w.instances, 1)))
+    return quality.snapshot_diff(segments.report_cells(older), segments.report_cells(w.dim_facts), key).select(*key, "change", "before", "after")
 
 
-def _ungated(w):
-    asked = select.annual_requests(w.periods.withColumn("ccy", F.lit(None).cast("string")))
-    cands = write_stage(select.candidates(w.obs, asked), "ungated-candidates")
-    cols = w.columns.where("basis = 'FY'")
-    picked = select.line_cells(select.tag_picks(cands), cands, cols, w.pins)
-    return picked.select("cik", "basis", "end", "k", F.col("pick.val").alias("value"), F.col("pick.unit").alias("unit"))
+@query("qa8_currency_audit")
+def _(w):
+    return quality.currency_differences(w.gated, w.ungated)
 
 
-@query("qa8_currency_audit")
+@query("qa8_currency_summary")
 def _(w):
-    gated = w.read_cells.where("basis = 'FY' AND value IS NOT NULL").select(*KEYS, "k", "value", "unit")
-    free = write_stage(_ungated(w).where("value IS NOT NULL"), "ungated-cells")
-    d, m1, m2, ch = quality.currency_audit(gated, free, w.obs, w.filers)
-    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
-    return (one(d, "cells that differ").unionByName(one(m1, "mixed columns with the gate"))
-            .unionByName(one(m2, "mixed columns without")).unionByName(one(ch, "filers changing currency")))
+    return quality.currency_summary(w.gated, w.ungated, quality.currency_differences(w.gated, w.ungated), w.obs, w.filers)
 
 
 @query("qa9_distribution")
@@ -650,14 +652,14 @@ def _(w):
 
 @query("qa14_ticker_suspects")
 def _(w):
-    return quality.ticker_suspects(w.tickers, w.form_index, "1999-01-01")
+    return quality.ticker_suspects(w.tickers, w.form_index, f"{w.years[1] - 2}-01-01")
 
 
 @query("qa15_stride_sample")
 def _(w):
     # the supplier number in the title is the list's own rank
     ranked = w.tickers.withColumn("ord", F.regexp_extract("title", r"(\d+)$", 1).cast("bigint"))
-    active = w.filings.where("form = '10-K' AND filed >= DATE'2000-06-01'").select("cik").distinct()
+    active = w.filings.where(f"form = '10-K' AND filed >= DATE'{w.years[1] - 1}-06-01'").select("cik").distinct()
     return quality.stride_sample(ranked, "ord", 2, 1 << 40, 7).join(active, "cik", "left_semi").select("cik", "ticker", "ord")
 
 
@@ -666,6 +668,11 @@ def _(w):
     return quality.draw_population(w.form_index)
 
 
+@query("qa16_by_concept")
+def _(w):
+    return quality.concept_population(w.facts_by_tag)
+
+
 @query("qa17_durations")
 def _(w):
     return quality.duration_histogram(w.obs)

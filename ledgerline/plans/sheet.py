@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerline.dims import template as T
 from ledgerline.operators import calendar, derive, ltm, select, valuation
 from ledgerline.plans.stage import write_stage
-from ledgerline.sources import readers
+from ledgerline.sources import layout, readers
 
 
 class SheetPlan:
@@ -32,7 +32,22 @@ class SheetPlan:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return write_stage(select.observations(self.facts).sortWithinPartitions("tag", "cik", "end"), "readings")
+        return layout.write_by_tag(select.observations(self.facts), "readings", ["cik", "end"])
+
+    def as_of(self, day: str) -> "SheetPlan":
+        """The plan as it stood before a day: every step from the facts filed until then, calendars, currencies and pins included."""
+        plan = SheetPlan(self.raw_facts, self.filers, self.raw_quotes, self.limit)
+        plan.facts = self.facts.where(F.col("filed") < F.to_date(F.lit(day)))
+        return plan
+
+    @cached_property
+    def annual_picks(self) -> DataFrame:
+        """Chosen tags of the fiscal-year columns alone."""
+        cands = write_stage(select.candidates(self.obs, select.annual_requests(self.periods)), "annual-candidates")
+        picks = write_stage(select.tag_picks(cands), "annual-picks")
+        pins = select.pin_order(select.pin_by_run(self.obs, self.periods), select.pin_by_identity(picks), self.periods)
+        years = self.periods.select("cik", "industry", F.lit("FY").alias("basis"), "end")
+        return write_stage(select.line_cells(picks, cands, years, pins), "annual-cells")
 
     @cached_property
     def currency(self) -> DataFrame:

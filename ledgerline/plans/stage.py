@@ -51,10 +51,11 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/{next(_SEQ):05d}-{name}"
 
 
-def write_stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def write_stage(df: DataFrame, name: str, keep: bool = False, by: list[str] | None = None) -> DataFrame:
+    """df written and read again, in folders by the columns of ``by`` if there are any."""
     spark = df.sparkSession
     path = stage_path(spark, name)
     if _PASSING and not keep:
         _PASSING[-1].append(path)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,77 +1,144 @@
 """File sources: nested filing documents to long tables."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.dims import template as T
 from ledgerline.functions import columns as C
 
-_FACT = ("struct<start:date,end:date,val:double,accn:string,fy:int,fp:string,form:string,"
-         "filed:date,frame:string>")
+# Every value is read as text: one that does not parse then spoils its own row, not the document.
+_FACT = "struct<start:string,end:string,val:string,accn:string,fy:string,fp:string,form:string,filed:string>"
 COMPANY_FACTS_SCHEMA = (
-    "cik bigint, entityName string, "
-    f"facts map<string,map<string,struct<label:string,units:map<string,array<{_FACT}>>>>>"
+    "cik string, entityName string, "
+    f"facts map<string,map<string,struct<label:string,units:map<string,array<{_FACT}>>>>>, _corrupt string"
 )
 SUBMISSIONS_SCHEMA = (
-    "cik bigint, name string, tickers array<string>, sic string, sicDescription string, fiscalYearEnd string, "
-    "filings struct<recent:struct<form:array<string>,filingDate:array<date>,accessionNumber:array<string>,"
-    "primaryDocument:array<string>,reportDate:array<date>>>"
+    "cik string, name string, tickers array<string>, sic string, sicDescription string, fiscalYearEnd string, "
+    "filings struct<recent:struct<form:array<string>,filingDate:array<string>,accessionNumber:array<string>,"
+    "primaryDocument:array<string>,reportDate:array<string>>>, _corrupt string"
 )
+_LENIENT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+FACT = ["cik", "ns", "tag", "label", "unit", "unit_ord", "pos", "start", "end", "val", "accn", "fy", "fp", "form", "filed"]
+FILING = ["cik", "filing_ord", "form", "filed", "accn", "doc", "period"]
 
 
-def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
-    """One nested document per filer -> one row per fact, document order kept.
+def _day(c: Column) -> Column:
+    """A date written in full, else null."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def _documents(texts: DataFrame, schema: str) -> DataFrame:
+    """Texts (value), one JSON document each, parsed; a text that is no document keeps itself in ``_corrupt``."""
+    return texts.select(F.from_json("value", schema, _LENIENT).alias("d"), "value").select("d.*", "value")
+
+
+def _no_document() -> Column:
+    return F.col("_corrupt").isNotNull() | (F.col("value").isNull())
+
 
-    Documents of 10-15 MB arrive one per line, so a split holds few of them; the
-    explodes are narrow and stream, nothing is grouped here.
+def _filer_in(c: str) -> Column:
+    """The filer's number, looked up in the text where the text is no document."""
+    found = F.coalesce(F.col("cik"), F.nullif(F.regexp_extract(c, r'"cik"\s*:\s*"?(\d+)', 1), F.lit("")))
+    return found.try_cast("bigint")
+
+
+def checked_company_facts(texts: DataFrame) -> DataFrame:
+    """One nested document per filer (value) -> one row per fact, document order kept, with a ``reason`` where it cannot be used.
+
+    A document that holds no facts, or is none, is one row that says so.  Columns
+    that did not parse are null.  Documents of 10-15 MB arrive one per line, so a
+    split holds few of them; the explodes are narrow and stream, nothing is
+    grouped here.
     """
-    docs = spark.read.schema(COMPANY_FACTS_SCHEMA).json(path)
-    by_ns = docs.select("cik", F.explode("facts").alias("ns", "tags"))
-    by_tag = by_ns.select("cik", "ns", F.explode("tags").alias("tag", "def"))
-    by_unit = by_tag.select("cik", "ns", "tag", F.col("def.label").alias("label"),
-                            F.posexplode(F.map_entries("def.units")).alias("unit_ord", "u"))
-    facts = by_unit.select("cik", "ns", "tag", "label", F.col("u.key").alias("unit"), "unit_ord",
-                           F.posexplode("u.value").alias("pos", "f"))
-    return facts.select("cik", "ns", "tag", "label", "unit", "unit_ord", F.col("pos").cast("long").alias("pos"),
-                        "f.start", "f.end", "f.val", "f.accn", "f.fy", "f.fp", "f.form", "f.filed")
+    docs = _documents(texts, COMPANY_FACTS_SCHEMA).select(_filer_in("value").alias("cik"), "facts", _no_document().alias("broken"))
+    by_ns = docs.select("cik", "broken", F.explode_outer("facts").alias("ns", "tags"))
+    by_tag = by_ns.select("cik", "broken", "ns", F.explode_outer("tags").alias("tag", "def"))
+    by_unit = by_tag.select("cik", "broken", "ns", "tag", F.col("def.label").alias("label"),
+                            F.posexplode_outer(F.map_entries("def.units")).alias("unit_ord", "u"))
+    facts = by_unit.select("cik", "broken", "ns", "tag", "label", F.col("u.key").alias("unit"), "unit_ord",
+                           F.posexplode_outer("u.value").alias("pos", "f"))
+    days = {c: _day(F.col(f"f.{c}")) for c in ("start", "end", "filed")}
+    val = F.col("f.val").try_cast("double")
+    reason = (F.when(F.col("broken"), "no document").when(F.col("cik").isNull(), "no filer").when(F.col("f").isNull(), "no facts")
+              .when(F.col("f.end").isNull(), "no end").when(days["end"].isNull(), "end is no date")
+              .when(F.col("f.start").isNotNull() & days["start"].isNull(), "start is no date")
+              .when(F.col("f.filed").isNotNull() & days["filed"].isNull(), "filed is no date")
+              .when(val.isNull(), "val is no number"))
+    return facts.select(
+        "cik", "ns", "tag", "label", "unit", "unit_ord", F.col("pos").cast("long").alias("pos"), days["start"].alias("start"), days["end"].alias("end"),
+        val.alias("val"), "f.accn", F.col("f.fy").try_cast("int").alias("fy"), "f.fp", "f.form", days["filed"].alias("filed"), reason.alias("reason"))
 
 
-def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    """Parallel arrays of the filing list -> rows, with their position."""
-    docs = spark.read.schema(SUBMISSIONS_SCHEMA).json(path)
-    return explode_filings(docs)
+def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The usable facts of a file of company documents, one document a line."""
+    return checked_company_facts(spark.read.text(path)).where("reason IS NULL").select(FACT)
 
 
-def explode_filings(docs: DataFrame) -> DataFrame:
+def _recent(docs: DataFrame) -> DataFrame:
+    """The parallel arrays of a filing list side by side; a shorter array ends in nulls."""
     r = "filings.recent"
-    zipped = F.arrays_zip(
-        F.col(f"{r}.form").alias("form"), F.col(f"{r}.filingDate").alias("filed"),
-        F.col(f"{r}.accessionNumber").alias("accn"), F.col(f"{r}.primaryDocument").alias("doc"),
-        F.col(f"{r}.reportDate").alias("period"))
-    rows = docs.select("cik", F.posexplode(zipped).alias("filing_ord", "z"))
-    return rows.select("cik", "filing_ord", "z.form", "z.filed", "z.accn", "z.doc", "z.period")
+    zipped = F.arrays_zip(*[F.coalesce(F.col(f"{r}.{c}"), F.array().cast("array<string>")).alias(n) for c, n in _ARRAYS])
+    return docs.withColumn("rows", zipped)
+
+
+# (array of the document, column); the last two may be absent as a whole
+_ARRAYS = (("form", "form"), ("filingDate", "filed"), ("accessionNumber", "accn"), ("primaryDocument", "doc"), ("reportDate", "period"))
+
+
+def checked_filings(texts: DataFrame) -> DataFrame:
+    """Parallel arrays of filing lists (value) -> rows with their position, with a ``reason`` where one cannot be used.
+
+    Arrays of different lengths give a row of their own, position null, beside
+    the rows of their positions: what is missing at a position is null there, and
+    a filing without form, date or accession number is not used.
+    """
+    docs = _recent(_documents(texts, SUBMISSIONS_SCHEMA))
+    lengths = [F.size(F.col(f"filings.recent.{c}")) for c, _ in _ARRAYS]
+    whole = [n for n in lengths[:3]] + [F.when(n >= 0, n) for n in lengths[3:]]
+    uneven = F.greatest(*whole) != F.least(*whole)
+    broken = F.when(_no_document(), "no document").when(F.col("filings.recent.form").isNull(), "no filings").when(uneven, "arrays of different lengths")
+    named = docs.select(_filer_in("value").alias("cik"), broken.alias("broken"), "rows")
+    none = F.struct(*[F.lit(None).cast("string").alias(n) for _, n in _ARRAYS])
+    at = F.transform("rows", lambda z, i: F.struct(i.alias("filing_ord"), z.alias("z"), F.lit(None).cast("string").alias("broken")))
+    told = F.when(F.col("broken").isNotNull(), F.array(F.struct(F.lit(None).cast("int").alias("filing_ord"), none.alias("z"), F.col("broken").alias("broken"))))
+    rows = named.select("cik", F.inline(F.concat(at, F.coalesce(told, F.filter(at, lambda x: F.lit(False))))))
+    filed, period = _day(F.col("z.filed")), _day(F.col("z.period"))
+    reason = (F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("cik").isNull(), "no filer")
+              .when(F.coalesce("z.form", F.lit("")) == "", "no form").when(F.coalesce("z.accn", F.lit("")) == "", "no accession number")
+              .when(F.coalesce("z.filed", F.lit("")) == "", "no filing date").when(filed.isNull(), "filed is no date")
+              .when((F.coalesce("z.period", F.lit("")) != "") & period.isNull(), "period is no date"))
+    return rows.select("cik", "filing_ord", "z.form", filed.alias("filed"), "z.accn", "z.doc", period.alias("period"), reason.alias("reason"))
+
+
+def read_filings(spark: SparkSession, path: str) -> DataFrame:
+    """The usable filings of a file of filing lists, one document a line."""
+    return checked_filings(spark.read.text(path)).where("reason IS NULL").select(FILING)
 
 
 def read_filers(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(SUBMISSIONS_SCHEMA).json(path)
-    return with_industry(docs.select("cik", "name", "tickers", F.col("sicDescription").alias("sic"),
+    docs = _documents(spark.read.text(path), SUBMISSIONS_SCHEMA).where(~_no_document())
+    return with_industry(docs.select(F.col("cik").try_cast("bigint").alias("cik"), "name", "tickers", F.col("sicDescription").alias("sic"),
                                      F.col("sic").alias("sic_code"), F.col("fiscalYearEnd").alias("fiscal_year_end")))
 
 
 def read_tickers(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``[cik, ticker, title]``: one JSON array of rows, or one row per line.
+    """Usable rows ``[cik, ticker, title]``: one JSON array of rows, or one row per line.
 
     The list of all tickers is one small document, so a file may be read whole.
     """
-    return parse_tickers(spark.read.text(path, wholetext=True))
+    return checked_tickers(spark.read.text(path, wholetext=True)).where("reason IS NULL").drop("reason")
 
 
-def parse_tickers(files: DataFrame) -> DataFrame:
-    """The rows of a file's text; a number that does not parse is null, so that the row can be counted."""
+def checked_tickers(texts: DataFrame) -> DataFrame:
+    """The rows of lists (value), a list being one array of rows, lines of rows, or a single row; with a ``reason`` where one cannot be used."""
     text = F.trim("value")
-    lines = F.concat(F.lit("["), F.regexp_replace(text, r"\]\s*,?\s*\[", "],["), F.lit("]"))
+    lines = F.concat(F.lit("["), F.regexp_replace(F.regexp_replace(text, r",\s*$", ""), r"\]\s*,?\s*\[", "],["), F.lit("]"))
     whole = F.when(text.rlike(r"^\[\s*\["), text).otherwise(lines)
-    return files.select(F.explode(F.from_json(whole, "array<array<string>>")).alias("r")).select(
-        F.expr("try_cast(get(r, 0) as bigint)").alias("cik"), F.expr("get(r, 1)").alias("ticker"), F.expr("get(r, 2)").alias("title"))
+    rows = texts.where(text != "").select(F.explode_outer(F.from_json(whole, "array<array<string>>")).alias("r"))
+    cik = F.get("r", F.lit(0)).try_cast("bigint")
+    ticker = F.get("r", F.lit(1))
+    reason = (F.when(F.col("r").isNull(), "no row").when(F.size("r") != 3, "not three values").when(cik.isNull(), "no filer")
+              .when(F.trim(ticker) == "", "no ticker").when(ticker.isNull(), "no ticker"))
+    return rows.select(cik.alias("cik"), ticker.alias("ticker"), F.get("r", F.lit(2)).alias("title"), reason.alias("reason"))
 
 
 def clean_quotes(quotes: DataFrame) -> DataFrame:
@@ -114,12 +181,22 @@ def read_form_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_form_index(lines: DataFrame) -> DataFrame:
-    """The last three columns carry no blanks, so they anchor the split, also where a name fills its column."""
+    return checked_form_index(lines).where("reason IS NULL").drop("reason", "value")
+
+
+def checked_form_index(lines: DataFrame) -> DataFrame:
+    """Lines (value) that name a file, with a ``reason`` where the rest does not parse; headings name none.
+
+    The last three columns carry no blanks, so they anchor the split, also where a
+    name fills its column.
+    """
     rx = r"^(\S+(?: \S+)*?)\s{2,}(\S.*?)\s+(\d{1,10})\s+(\d{4}-\d{2}-\d{2}|\d{8})\s+\S+\s*$"
     g = lambda i: F.regexp_extract("value", rx, i)
-    day = F.when(g(4).contains("-"), F.to_date(g(4), "yyyy-MM-dd")).otherwise(F.to_date(g(4), "yyyyMMdd"))
-    return lines.where(F.col("value").rlike(rx)).select(
-        g(1).alias("form"), g(2).alias("company"), g(3).cast("long").alias("cik"), day.alias("filed"))
+    fits = F.col("value").rlike(rx)
+    day = F.try_to_timestamp(g(4), F.when(g(4).contains("-"), "yyyy-MM-dd").otherwise("yyyyMMdd")).cast("date")
+    reason = F.when(~fits, "columns missing").when(day.isNull(), "filed is no date")
+    return lines.where(F.col("value").rlike(r"\s\S+/\S+\.\w+\s*$")).select(
+        "value", *[F.when(fits, c).alias(n) for c, n in ((g(1), "form"), (g(2), "company"), (g(3).try_cast("long"), "cik"), (day, "filed"))], reason.alias("reason"))
 
 
 def concept_frame(facts: DataFrame, tags: list, start: str | None, end: str) -> DataFrame:

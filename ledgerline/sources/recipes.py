@@ -3,8 +3,8 @@
 One row: (tag, unit, shape, measure, numerator, denominator, condition).  The
 reported figure is ``measure * numerator div denominator`` in whole cents, so
 every engine gets the same integer.  Conditions are plain comparisons over
-``cik``, ``industry``, ``yr`` (the year of the period's end) and ``q`` (its
-quarter).
+``cik``, ``industry``, ``yr`` (the year of the period's end), ``q`` (its
+quarter) and ``{y0}``, the first year of the sales.
 """
 
 USD, PER_SHARE, SHARES = "USD", "USD/shares", "shares"
@@ -28,7 +28,7 @@ SPANS = [
     ("NoninterestExpense", USD, "fin", 1, 2, "industry = 'bank'"),
     ("ProvisionForLoanLeaseAndOtherLosses", USD, "rev", 1, 20, "industry = 'bank'"),
     ("CostOfGoodsAndServicesSold", USD, "fin", 1, 1, "cik % 4 = 1"),
-    ("CostOfGoodsAndServicesSold", USD, "fin", 1, 1000, "cik % 4 = 0 AND yr >= 1997"),
+    ("CostOfGoodsAndServicesSold", USD, "fin", 1, 1000, "cik % 4 = 0 AND yr >= {y0} + 2"),
     ("CostOfRevenue", USD, "fin", 1, 1, "cik % 4 IN (0, 2)"),
     ("GrossProfit", USD, "gp", 1, 1, "cik % 8 IN (0, 1)"),
     ("OperatingIncomeLoss", USD, "gp", 1, 2, f"{_OPERATING} AND cik % 10 <> 9"),
@@ -71,6 +71,8 @@ SPANS = [
     ("ImpairmentOfRealEstate", USD, "rev", 1, 80, "industry = 'reit' AND cik % 4 = 2"),
     ("AdvertisingExpense", USD, "rev", 1, 77, "cik % 2 = 0"),
     ("Supplies", USD, "rev", 1, 99, "cik % 3 = 0"),
+    ("ReorganizationItems", USD, "rev", 1, 200, "cik % 20 = 9 AND yr <= {y0} + 3"),
+    ("DebtorReorganizationItemsLegalAndAdvisoryProfessionalFees", USD, "rev", 1, 400, "cik % 40 = 9 AND yr <= {y0} + 3"),
 ]
 
 BALANCES = [
@@ -91,7 +93,7 @@ BALANCES = [
     ("Goodwill", USD, "rev", 1, 14, "cik % 2 = 0"),
     ("IntangibleAssetsNetExcludingGoodwill", USD, "rev", 1, 28, "cik % 4 = 0"),
     ("LongTermDebtNoncurrent", USD, "rev", 1, 6, "cik % 6 IN (0, 1, 2)"),
-    ("LongTermDebtNoncurrent", USD, "rev", 1, 6, "cik % 6 IN (3, 4) AND yr <= 1996"),
+    ("LongTermDebtNoncurrent", USD, "rev", 1, 6, "cik % 6 IN (3, 4) AND yr <= {y0} + 1"),
     ("LongTermDebt", USD, "rev", 1, 5, "cik % 6 = 3"),
     ("LongTermDebt", USD, "rev", 1, 6, "cik % 6 = 4"),
     ("LongTermDebtNoncurrent", USD, "rev", 0, 1, "cik % 12 = 11"),
@@ -118,6 +120,8 @@ BALANCES = [
     ("AccumulatedOtherComprehensiveIncomeLossNetOfTax", USD, "rev", 1, 500, "industry = 'life'"),
     ("RealEstateGrossAtCarryingValue", USD, "rev", 9, 10, "industry = 'reit'"),
     ("RealEstateAccumulatedDepreciation", USD, "rev", 1, 5, "industry = 'reit'"),
+    ("LiabilitiesSubjectToCompromise", USD, "rev", 1, 7, "cik % 20 = 9 AND yr <= {y0} + 3"),
+    ("ReorganizationValue", USD, "rev", 1, 3, "cik % 60 = 9 AND yr = {y0} + 3"),
     ("EntityCommonStockSharesOutstanding", SHARES, "qty", 1, 1, "cik % 17 <> 16"),
 ]
 
@@ -128,4 +132,3 @@ REVENUE_LIKE = [
 ]
 DUAL_CURRENCY = [*REVENUE_LIKE, "NetIncomeLoss", "ProfitLoss"]
 SIC_BY_REMAINDER = ["7372", "6021", "6331", "6311", "6324", "6211", "6798"]
-FIRST_YEAR, LAST_YEAR = 1995, 2001

@@ -21,7 +21,7 @@ def names(xs):
 
 def _lines(recipes):
     return "[" + ", ".join(
-        f"CASE WHEN {cond} THEN {{'tag': {q(tag)}, 'unit0': {q(unit)}, 'measure': {q(m)}, "
+        f"CASE WHEN {cond.format(y0='(SELECT y0 FROM yrs)')} THEN {{'tag': {q(tag)}, 'unit0': {q(unit)}, 'measure': {q(m)}, "
         f"'num': {num}::BIGINT, 'den': {den}::BIGINT}} END" for tag, unit, m, num, den, cond in recipes) + "]"
 
 
@@ -45,13 +45,15 @@ step("sales", """
          CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS qy,
          l_returnflag AS rf, l_linestatus AS ls
   FROM lineitem""")
+step("yrs", "SELECT min(year(l_shipdate)) AS y0, max(year(l_shipdate)) AS y1 FROM lineitem")
+step("each_year", "SELECT unnest(range(y0, y1 + 1)) AS y, y0, y1 FROM yrs")
 step("asked", """
-  SELECT 'FY' AS kind, y AS yr, 4 AS q, y * 12 AS ym0, y * 12 + 11 AS ym1 FROM range(1995, 2001) t(y)
-  UNION ALL SELECT 'INST', y, 4, 0, y * 12 + 11 FROM range(1995, 2001) t(y)
-  UNION ALL SELECT 'JUN', y, 2, y * 12 - 6, y * 12 + 5 FROM range(1996, 1999) t(y)
-  UNION ALL SELECT 'YTD', y, k, y * 12, y * 12 + 3 * k - 1 FROM range(1997, 2002) t(y), range(1, 4) u(k)
-  UNION ALL SELECT 'INST', y, k, 0, y * 12 + 3 * k - 1 FROM range(1997, 2002) t(y), range(1, 4) u(k)
-  UNION ALL SELECT 'QTR', y, k, y * 12 + 3 * k - 3, y * 12 + 3 * k - 1 FROM range(2000, 2002) t(y), range(2, 4) u(k)""")
+  SELECT 'FY' AS kind, y AS yr, 4 AS q, y * 12 AS ym0, y * 12 + 11 AS ym1 FROM each_year WHERE y < y1
+  UNION ALL SELECT 'INST', y, 4, 0, y * 12 + 11 FROM each_year WHERE y < y1
+  UNION ALL SELECT 'JUN', y, 2, y * 12 - 6, y * 12 + 5 FROM each_year WHERE y < y1 AND y BETWEEN y0 + 1 AND y0 + 3
+  UNION ALL SELECT 'YTD', y, k, y * 12, y * 12 + 3 * k - 1 FROM each_year JOIN range(1, 4) u(k) ON TRUE WHERE y >= y0 + 2
+  UNION ALL SELECT 'INST', y, k, 0, y * 12 + 3 * k - 1 FROM each_year JOIN range(1, 4) u(k) ON TRUE WHERE y >= y0 + 2
+  UNION ALL SELECT 'QTR', y, k, y * 12 + 3 * k - 3, y * 12 + 3 * k - 1 FROM each_year JOIN range(2, 4) u(k) ON TRUE WHERE y >= greatest(y0 + 2, y1 - 1)""")
 step("bysm", """
   SELECT cik, ym, sum(cents) AS ra, sum(CASE WHEN rf <> 'R' THEN cents ELSE 0 END) AS rc,
          sum(CASE WHEN ls = 'F' THEN cents ELSE 0 END) AS fa,
@@ -67,21 +69,21 @@ step("spans", """
          CAST(sum(fc) AS BIGINT) AS fc, CAST(sum(qt) AS BIGINT) AS qt
   FROM bysm JOIN asked ON ym BETWEEN ym0 AND ym1
   WHERE NOT ((kind IN ('YTD', 'QTR') OR (kind = 'INST' AND q < 4)) AND cik % 8 = 6)
-    AND NOT (kind = 'FY' AND yr = 1998 AND cik % 15 = 8) AND NOT (kind = 'JUN' AND cik % 6 <> 1)
+    AND NOT (kind = 'FY' AND yr = (SELECT y1 - 3 FROM yrs) AND cik % 15 = 8) AND NOT (kind = 'JUN' AND cik % 6 <> 1)
   GROUP BY cik, kind, yr, q, ym0, ym1""")
 step("filed_in", """
   SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END AS form, make_date(yr + 1, 2, 15) AS filed, 1 AS seq,
          yr + 1 AS ay, FALSE AS cut, 1 AS vn, 1 AS vd, FALSE AS ro FROM spans WHERE kind = 'FY' OR (kind = 'INST' AND q = 4)
   UNION ALL SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END, make_date(yr + 2, 2, 15), 1, yr + 2, cik % 4 = 0, 1, 1, FALSE
-    FROM spans WHERE (kind = 'FY' OR (kind = 'INST' AND q = 4)) AND yr <= 1999
+    FROM spans WHERE (kind = 'FY' OR (kind = 'INST' AND q = 4)) AND yr <= (SELECT y1 - 2 FROM yrs)
   UNION ALL SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END, make_date(yr + 3, 2, 15), 1, yr + 3, cik % 4 = 0, 1, 1, FALSE
-    FROM spans WHERE kind = 'FY' AND yr <= 1998
+    FROM spans WHERE kind = 'FY' AND yr <= (SELECT y1 - 3 FROM yrs)
   UNION ALL SELECT *, 'DEF 14A', make_date(yr + 1, 4, 30), 9, yr + 1, FALSE, 3, 1, TRUE FROM spans WHERE kind = 'FY' AND cik % 5 = 0
-  UNION ALL SELECT *, '10-K/A', DATE '1999-12-01', 8, 1999, FALSE, 1000000, 1, TRUE FROM spans WHERE kind = 'FY' AND cik % 10 = 7 AND yr = 1998
-  UNION ALL SELECT *, '10-K/A', DATE '2001-12-01', 8, 2001, FALSE, 11, 10, TRUE FROM spans WHERE kind = 'FY' AND cik % 10 = 3 AND yr = 1997
+  UNION ALL SELECT *, '10-K/A', make_date((SELECT y1 - 2 FROM yrs), 12, 1), 8, (SELECT y1 - 2 FROM yrs), FALSE, 1000000, 1, TRUE FROM spans WHERE kind = 'FY' AND cik % 10 = 7 AND yr = (SELECT y1 - 3 FROM yrs)
+  UNION ALL SELECT *, '10-K/A', make_date((SELECT y1 FROM yrs), 12, 1), 8, (SELECT y1 FROM yrs), FALSE, 11, 10, TRUE FROM spans WHERE kind = 'FY' AND cik % 10 = 3 AND yr = (SELECT y1 - 4 FROM yrs)
   UNION ALL SELECT *, '10-K', make_date(yr, 9, 1), 6, yr, FALSE, 1, 1, TRUE FROM spans WHERE kind = 'JUN'
   UNION ALL SELECT *, '10-Q', make_date(yr, q * 3 + 2, 10), 1, yr, FALSE, 1, 1, FALSE FROM spans WHERE kind IN ('YTD', 'QTR') OR (kind = 'INST' AND q < 4)
-  UNION ALL SELECT *, '10-Q', make_date(yr + 1, q * 3 + 2, 10), 1, yr + 1, cik % 2 = 0, 1, 1, FALSE FROM spans WHERE kind = 'YTD' AND yr <= 2000""")
+  UNION ALL SELECT *, '10-Q', make_date(yr + 1, q * 3 + 2, 10), 1, yr + 1, cik % 2 = 0, 1, 1, FALSE FROM spans WHERE kind = 'YTD' AND yr < (SELECT y1 FROM yrs)""")
 step("reported", f"""
   SELECT *, unnest(CASE WHEN kind = 'INST' THEN {_lines(BALANCES)} ELSE {_lines(SPANS)} END) AS line FROM filed_in""")
 step("priced", f"""
@@ -208,7 +210,6 @@ def _picking(x, requests, source, ccy):
 _GATE = "(f.uccy IS NULL OR r.ccy IS NULL OR f.uccy = r.ccy)"
 step("fy_requests", "SELECT * FROM requests WHERE (shape = 'I' OR dmin = 358) AND \"end\" IN (SELECT p.\"end\" FROM periods p WHERE p.cik = requests.cik)")
 _picking("", "requests", "TRUE", _GATE)
-_picking("_early", "fy_requests", "f.filed < DATE '2001-01-01'", _GATE)
 _picking("_free", "fy_requests", "TRUE", "TRUE")
 # the pinned cost line
 PIN = ("CostOfGoodsAndServicesSold", "CostOfRevenue", "CostOfServices")
@@ -327,7 +328,17 @@ step("scope", f"""
     LEFT JOIN at_date c ON c.cik = t.cik AND c."end" = t."end" AND c.tag = 'LongTermDebtCurrent'
     WHERE t.tag IN ({names([t for t in _LT if t not in ('LongTermDebtNoncurrent', 'ConvertibleDebtNoncurrent')])}))
   WHERE verdict IS NOT NULL GROUP BY cik, tag""")
-RECURSIVE = {"walk"}
+# the sheet as it stood at the start of the last year: the same steps over the facts filed until then
+_AS_OF = ("anchor_facts annual_anchor ccys cal_all cal_rank cal_pick cal cal_next walk periods matches witnesses amended slips picks offers "
+          "free_all free_slips free_picks whole_part scores run_hits runs pins line_ord").split()
+step("facts_then", "SELECT * FROM facts WHERE filed < make_date((SELECT y1 FROM yrs), 1, 1)")
+step("cols_then", "SELECT cik, industry, 'FY' AS basis, \"end\", fy, gap, ccy FROM periods_then")
+step("requests_then", """
+  SELECT cik, "end", ccy, 'D' AS shape, 358 AS dmin, 400 AS dmax FROM periods_then UNION SELECT cik, "end", ccy, 'I', 0, 0 FROM periods_then""")
+_THEN = re.compile(r"\b(" + "|".join([*_AS_OF, "facts", "cols", "requests"]) + r")\b(?!\()")
+for _n in _AS_OF:
+    step(f"{_n}_then", _THEN.sub(r"\1_then", STEPS[_n]))
+RECURSIVE = {"walk", "walk_then"}
 
 
 _NAMED = re.compile(r"\b(?:FROM|JOIN)\s+(\w+)|,\s*(\w+)(?=\s+\w+\s+WHERE)")

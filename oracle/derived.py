@@ -202,20 +202,39 @@ step("long", f"""
   LEFT JOIN cells c ON c.cik = t.cik AND c.basis = t.basis AND c."end" = t."end" AND c.k = t.k
   LEFT JOIN derived_keys d ON d.industry = t.industry AND d.k = t.k LEFT JOIN na_keys n ON n.industry = t.industry AND n.k = t.k""")
 # comparables
+# typed sets: a moved ticker is led back to the supplier itself, one or two successions away
+step("typed", """
+  SELECT n_name AS set_id, s_suppkey * 10 AS ord, CASE WHEN s_suppkey % 3 = 0 THEN ' ' || lower(ticker) ELSE ticker END AS text
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN filers ON cik = s_suppkey
+  UNION ALL SELECT n_name, s_suppkey * 10 + 1, ticker FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN filers ON cik = s_suppkey WHERE s_suppkey % 10 = 0
+  UNION ALL SELECT n_name, 0, 'nosuch' FROM nation UNION ALL SELECT n_name, 1, '  ' FROM nation""")
+step("live_filer", "SELECT DISTINCT cik FROM annual_anchor")
+step("fixed_list", """
+  SELECT min(cik) AS cik, ticker, arg_min(title, cik) AS title FROM (
+    SELECT t.cik, t.ticker, CASE WHEN f.cik % 25 = 3 THEN 'Corrected ' || t.title ELSE t.title END AS title FROM ticker_list t JOIN filers f USING (ticker)
+    UNION ALL SELECT c_custkey, 'C' || CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY ticker""")
+step("typed_members", """
+  SELECT m.set_id, m.ord, m.ticker, t.title, t.cik, CASE WHEN b.cik IS NOT NULL THEN b.cik ELSE t.cik END AS used_cik,
+         CASE WHEN b.cik IS NULL THEN 0 WHEN b.cik % 50 = 31 THEN 2 ELSE 1 END AS steps, t.cik IS NOT NULL AS known,
+         coalesce(b.cik IS NOT NULL OR o.cik IS NOT NULL, FALSE) AS has_periods
+  FROM (SELECT set_id, upper(trim(text)) AS ticker, min(ord) AS ord FROM typed WHERE trim(text) <> '' GROUP BY ALL) m LEFT JOIN fixed_list t USING (ticker)
+  LEFT JOIN live_filer o ON o.cik = t.cik LEFT JOIN live_filer b ON o.cik IS NULL AND b.cik = t.cik - 1000000 AND b.cik % 25 = 6""")
+step("set_members", """
+  SELECT industry AS set_id, ticker, cik FROM filers UNION ALL SELECT set_id, ticker, used_cik FROM typed_members WHERE known""")
 step("chosen", """
-  SELECT s.industry AS set_id, i.ticker, s.* EXCLUDE (industry) FROM sheet s JOIN filers i USING (cik)
+  SELECT i.set_id, i.ticker, s.* EXCLUDE (industry) FROM sheet s JOIN set_members i USING (cik)
   WHERE s."end" = (SELECT max("end") FROM sheet x WHERE x.cik = s.cik AND x.basis = s.basis)""")
 _CK = [k for _, k, _ in T.COMPS_ROWS]
 step("comp_dim", "SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {list(dict.fromkeys(g for g, _, _ in T.COMPS_ROWS)).index(g)}, {q(g)}, {q(k)}, {q(l)}, {str(k in T.COMPS_MARKET).upper()}, {str(k not in T.COMPS_NO_MEDIAN).upper()})"
     for i, (g, k, l) in enumerate(T.COMPS_ROWS)) + ") v(row_ord, group_ord, grp, k, label, mk, med)")
-step("comp_tall", "SELECT * FROM (SELECT set_id, ticker, cik, \"end\", " + ", ".join(f'CAST("{k}" AS DOUBLE) AS "{k}"' for k in _CK)
-     + " FROM chosen WHERE basis = 'LTM') s UNPIVOT INCLUDE NULLS (value FOR k IN (" + ", ".join(f'"{k}"' for k in _CK) + "))")
+step("comp_tall", "SELECT * FROM (SELECT set_id, basis, ticker, cik, \"end\", " + ", ".join(f'CAST("{k}" AS DOUBLE) AS "{k}"' for k in _CK)
+     + " FROM chosen) s UNPIVOT INCLUDE NULLS (value FOR k IN (" + ", ".join(f'"{k}"' for k in _CK) + "))")
 step("comp_rows", "SELECT t.*, d.row_ord, d.group_ord, d.grp, d.label, d.mk, d.med FROM comp_tall t JOIN comp_dim d USING (k)")
 step("dom", """
-  SELECT set_id, ccy AS dominant, n_ccy > 1 AS mixed FROM (
-    SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY n DESC, (ccy = 'USD') DESC, ccy DESC) AS r, count(*) OVER (PARTITION BY set_id) AS n_ccy
-    FROM (SELECT set_id, ccy, count(*) AS n FROM chosen WHERE basis = 'LTM' AND ccy IS NOT NULL GROUP BY ALL)) WHERE r = 1""")
+  SELECT set_id, basis, ccy AS dominant, n_ccy > 1 AS mixed FROM (
+    SELECT *, row_number() OVER (PARTITION BY set_id, basis ORDER BY n DESC, (ccy = 'USD') DESC, ccy DESC) AS r, count(*) OVER (PARTITION BY set_id, basis) AS n_ccy
+    FROM (SELECT set_id, basis, ccy, count(*) AS n FROM chosen WHERE ccy IS NOT NULL GROUP BY ALL)) WHERE r = 1""")
 step("positions", """
   SELECT cik, "end", row_number() OVER (PARTITION BY cik ORDER BY "end") AS pos FROM (SELECT DISTINCT cik, "end" FROM long WHERE basis = 'FY')""")
 
@@ -303,31 +322,32 @@ FROM long l JOIN sheet0 s ON s.cik = l.cik AND s.basis = 'FY' AND s."end" = l."e
 WHERE l.basis = 'FY' AND l.section = 'ev' AND l.value IS NOT NULL AND l."end" = (SELECT max("end") FROM periods p WHERE p.cik = l.cik)"""
     out["cmp1_2_set"] = "SELECT set_id, ticker, cik, basis, \"end\", CAST(fy AS INTEGER) AS fy, stitched FROM chosen"
     out["cmp1_typed_set"] = """
-SELECT CAST(w.ord AS INTEGER) AS ord, w.ticker, t.cik, t.cik IS NOT NULL AS known
-FROM (VALUES (0, 'SB'), (1, 'SC'), (2, 'SDD'), (3, 'NOSUCH'), (4, 'SBA'), (5, 'SCB'), (6, 'SDC'), (7, 'SED'), (8, 'SFE')) w(ord, ticker)
-LEFT JOIN ticker_list t USING (ticker)"""
-    out["cmp3_metrics"] = "SELECT set_id, ticker, CAST(row_ord AS INTEGER) AS row_ord, grp, k, label, round(value, 6) AS value FROM comp_rows"
-    out["cmp4_median"] = "SELECT set_id, k, count(value) AS n, round(median(value), 6) AS median FROM comp_rows WHERE med AND value IS NOT NULL GROUP BY set_id, k"
+SELECT set_id, ord, ticker, title, cik, used_cik, CAST(steps AS BIGINT) AS steps, known, has_periods FROM typed_members"""
+    out["cmp3_metrics"] = "SELECT set_id, basis, ticker, CAST(row_ord AS INTEGER) AS row_ord, grp, k, label, round(value, 6) AS value FROM comp_rows"
+    out["cmp4_median"] = "SELECT set_id, basis, k, count(value) AS n, round(median(value), 6) AS median FROM comp_rows WHERE med AND value IS NOT NULL GROUP BY ALL"
     out["cmp5_spread"] = """
-SELECT set_id, count(*) AS members, CAST(date_diff('day', min("end"), max("end")) AS INTEGER) AS spread_days FROM chosen WHERE basis = 'LTM' GROUP BY set_id"""
+SELECT set_id, basis, count(*) AS members, CAST(date_diff('day', min("end"), max("end")) AS INTEGER) AS spread_days FROM chosen GROUP BY ALL"""
     out["cmp6_gap_notes"] = """
 SELECT c.set_id, c.ticker, l.status, string_agg(d.label, ', ' ORDER BY d.row_ord) AS metrics
 FROM chosen c JOIN long l ON l.cik = c.cik AND l.basis = 'LTM' AND l."end" = c."end" JOIN comp_dim d ON d.k = l.k
 WHERE c.basis = 'LTM' AND l.status IN ('no-interim', 'restated-basis') AND l.value IS NULL GROUP BY ALL"""
-    out["cmp7_currency"] = """
-SELECT r.set_id, r.ticker, r.cik, r.k, r.value, c.ccy, d.dominant FROM comp_rows r JOIN chosen c ON c.cik = r.cik AND c.basis = 'LTM' JOIN dom d ON d.set_id = r.set_id
+    same = "c.cik = r.cik AND c.basis = r.basis AND c.set_id = r.set_id AND c.ticker = r.ticker"
+    out["cmp7_currency"] = f"""
+SELECT r.set_id, r.basis, r.ticker, r.cik, r.k, r.value, c.ccy, d.dominant FROM comp_rows r JOIN chosen c ON {same} JOIN dom d ON d.set_id = r.set_id AND d.basis = r.basis
 WHERE r.k IN ('revenue', 'ebitda', 'netIncome', 'netDebt') AND r.value IS NOT NULL AND d.mixed AND c.ccy <> d.dominant"""
-    out["cmp8_thin"] = """
-SELECT r.set_id, r.ticker, r.cik, r.k, round(r.value, 6) AS value, round(abs(c.equity / c.totalAssets), 6) AS share
-FROM comp_rows r JOIN chosen c ON c.cik = r.cik AND c.basis = 'LTM' WHERE r.k IN ('roe', 'debtEquity', 'pb') AND r.value IS NOT NULL AND c.thin"""
+    out["cmp8_thin"] = f"""
+SELECT r.set_id, r.basis, r.ticker, r.cik, r.k, round(r.value, 6) AS value, round(abs(c.equity / c.totalAssets), 6) AS share
+FROM comp_rows r JOIN chosen c ON {same} WHERE r.k IN ('roe', 'debtEquity', 'pb') AND r.value IS NOT NULL AND c.thin"""
     out["cmp9_carried"] = "SELECT set_id, ticker, cik, \"end\", CAST(fy AS INTEGER) AS fy FROM chosen WHERE basis = 'LTM' AND NOT stitched"
     out["cmp10_search"] = """
-SELECT query, rank, cik, ticker, title FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY cls, ord) AS rank FROM (
-      SELECT u.query, t.cik, t.ticker, t.title, CAST(right(t.title, 9) AS BIGINT) AS ord,
-        CASE WHEN t.ticker = upper(u.query) THEN 0 WHEN starts_with(t.ticker, upper(u.query)) OR starts_with(upper(t.title), upper(u.query)) THEN 1
-             WHEN contains(upper(t.title), upper(u.query)) THEN 2 END AS cls
-      FROM ticker_list t, (VALUES ('sba'), ('Supplier#00000001'), ('1'), ('#000'), ('zzz')) u(query)) WHERE cls IS NOT NULL) WHERE rank <= 8"""
+SELECT query_id, query, CAST(rank AS INTEGER) AS rank, cik, ticker, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cls, ord) AS rank FROM (
+      SELECT u.query_id, u.query, t.cik, t.ticker, t.title, CAST(right(t.title, 9) AS BIGINT) AS ord,
+        CASE WHEN t.ticker = u.s THEN 0 WHEN starts_with(t.ticker, u.s) OR starts_with(upper(t.title), u.s) THEN 1 WHEN contains(upper(t.title), u.s) THEN 2 END AS cls
+      FROM ticker_list t, (SELECT query_id, query, upper(trim(query)) AS s FROM (
+        SELECT c_custkey AS query_id, CASE WHEN c_custkey % 4 = 0 THEN ' supplier' || substr(c_name, 9) WHEN c_custkey % 4 = 1 THEN substr(c_name, 14)
+          WHEN c_custkey % 4 = 2 THEN lower('S' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ'))
+          WHEN c_custkey % 8 = 3 THEN right(c_name, 1) ELSE right(c_name, 2) END AS query FROM customer)) u) WHERE cls IS NOT NULL) WHERE rank <= 8"""
     cs = ", ".join(f"round(max(value) FILTER (WHERE pos = {i}), 6) AS c{i}" for i in range(1, 9))
     out["snk1_workbook"] = f"""
 SELECT tab, cik, CAST(section_ord AS INTEGER) AS section_ord, section_title, CAST(line_ord AS INTEGER) AS line_ord, k, label, {cs} FROM (
@@ -344,7 +364,7 @@ SELECT tab, cik, CAST(section_ord AS INTEGER) AS section_ord, section_title, CAS
   WHERE basis = 'FY' AND how NOT IN ('manual', 'market') AND tab IS NOT NULL) JOIN positions USING (cik, "end")
 GROUP BY tab, cik, section_ord, section_title, line_ord, k, label"""
     out["snk4_comps"] = """
-SELECT r.set_id, CAST(r.group_ord AS INTEGER) AS group_ord, r.grp, CAST(r.row_ord AS INTEGER) AS row_ord, r.k, r.label, r.ticker, r."end", round(r.value, 6) AS value,
-  round(CASE WHEN r.med THEN median(r.value) OVER (PARTITION BY r.set_id, r.k) END, 6) AS median
-FROM comp_rows r WHERE NOT r.mk OR r.set_id IN (SELECT set_id FROM chosen WHERE basis = 'LTM' AND mstat IS NOT NULL)"""
+SELECT r.set_id, r.basis, CAST(r.group_ord AS INTEGER) AS group_ord, r.grp, CAST(r.row_ord AS INTEGER) AS row_ord, r.k, r.label, r.ticker, r."end", round(r.value, 6) AS value,
+  round(CASE WHEN r.med THEN median(r.value) OVER (PARTITION BY r.set_id, r.basis, r.k) END, 6) AS median
+FROM comp_rows r WHERE NOT r.mk OR (r.set_id, r.basis) IN (SELECT (set_id, basis) FROM chosen WHERE mstat IS NOT NULL)"""
     return out

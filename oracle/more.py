@@ -1,7 +1,8 @@
 """Checking SQL of sources, segments and population checks."""
 
 from ledgerline.dims import template as T
-from ledgerline.sources.star_schema import REPORT_NAMES, _role_rows
+from ledgerline.operators.quality import CHAPTER_11
+from ledgerline.sources.star_schema import _LABELS, REPORT_NAMES, _role_rows
 from oracle.base import names, q, step
 
 step("filing_list", """
@@ -10,19 +11,19 @@ step("filing_list", """
          lower(replace(form, '/', '')) || '.htm' AS doc, period
   FROM (
     SELECT *, period + 46 AS filed FROM (
-      SELECT s_suppkey AS cik, y, kind, (2001 - y) * 4 + kind_ord AS filing_ord,
-             CASE WHEN kind = '10-K' AND y = 2001 AND s_suppkey % 20 <> 5 THEN '10-KT/A' WHEN kind = '10-K' AND s_suppkey % 20 = 5 THEN '20-F' ELSE kind END AS form,
-             last_day(make_date(y, CASE WHEN kind = '10-K' AND y = 2001 AND s_suppkey % 20 <> 5 THEN 5 WHEN kind = '10-K' THEN 12 WHEN kind = '10-Q' THEN 9 ELSE 6 END, 1)) AS period
-      FROM supplier, range(1995, 2002) t(y), (VALUES ('10-K', 0), ('10-Q', 1), ('8-K', 2), ('S-1', 3)) k(kind, kind_ord)
-      WHERE kind <> '10-K' OR y < 2001 OR s_suppkey % 14 = 9 OR s_suppkey % 20 = 5))""")
+      SELECT s_suppkey AS cik, y, kind, (y1 - y) * 4 + kind_ord AS filing_ord,
+             CASE WHEN kind = '10-K' AND y = y1 AND s_suppkey % 20 <> 5 THEN '10-KT/A' WHEN kind = '10-K' AND s_suppkey % 20 = 5 THEN '20-F' ELSE kind END AS form,
+             last_day(make_date(y, CASE WHEN kind = '10-K' AND y = y1 AND s_suppkey % 20 <> 5 THEN 5 WHEN kind = '10-K' THEN 12 WHEN kind = '10-Q' THEN 9 ELSE 6 END, 1)) AS period
+      FROM supplier JOIN each_year ON TRUE, (VALUES ('10-K', 0), ('10-Q', 1), ('8-K', 2), ('S-1', 3)) k(kind, kind_ord)
+      WHERE kind <> '10-K' OR y < y1 OR s_suppkey % 14 = 9 OR s_suppkey % 20 = 5))""")
 step("listed", """
   SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_ord) AS r FROM filing_list
     WHERE regexp_matches(form, '^(10-K|10-Q|20-F|40-F)T?(/A)?$|^8-K$')) WHERE r <= 120""")
 step("ticker_list", """
   SELECT CASE WHEN cik % 25 = 6 THEN cik + 1000000 ELSE cik END AS cik, ticker, name AS title FROM filers""")
 step("quote_rows", """
-  SELECT ticker AS symbol, CASE WHEN cik % 23 = 4 THEN 0 ELSE cik % 97 + 1 END AS price, TIMESTAMP '2001-11-05 00:00:00' AS "at" FROM filers
-  UNION ALL SELECT ticker, 9999, TIMESTAMP '2001-11-04 00:00:00' FROM filers WHERE cik % 2 = 0""")
+  SELECT ticker AS symbol, CASE WHEN cik % 23 = 4 THEN 0 ELSE cik % 97 + 1 END AS price, make_date((SELECT y1 FROM yrs), 11, 5)::TIMESTAMP AS "at" FROM filers
+  UNION ALL SELECT ticker, 9999, make_date((SELECT y1 FROM yrs), 11, 4)::TIMESTAMP FROM filers WHERE cik % 2 = 0""")
 step("last_quote", """
   SELECT symbol, CAST(price AS DOUBLE) AS price, "at" FROM (
     SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "at" DESC, price DESC) AS r FROM quote_rows WHERE price <> 0) WHERE r = 1""")
@@ -39,15 +40,13 @@ _CORP, _ELIM, _BOTH = "us-gaap:CorporateNonSegmentMember", "us-gaap:Intersegment
 step("g_base", """
   SELECT l_suppkey AS cik, year(l_shipdate) AS yr, p_type AS ptype, r_name AS region, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
-  JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE year(l_shipdate) BETWEEN 1998 AND 2000 GROUP BY ALL""")
+  JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""")
+_TYPE = "'x:' || upper(left(ptype, 1)) || lower(substr(ptype, 2)) || 'Member'"
+_REGION = "CASE region WHEN 'MIDDLE EAST' THEN 'x:Middle EastMember' ELSE 'x:' || upper(left(region, 1)) || lower(substr(region, 2)) || 'Member' END"
 step("g_total", "SELECT cik, yr, CAST(sum(cents) AS BIGINT) AS v FROM g_base GROUP BY ALL")
-step("g_type", """SELECT cik, yr, 'x:' || upper(left(ptype, 1)) || lower(substr(ptype, 2)) || 'Member' AS m, CAST(sum(cents) AS BIGINT) AS v FROM g_base GROUP BY ALL""")
-step("g_region", """
-  SELECT cik, yr, CASE region WHEN 'MIDDLE EAST' THEN 'x:Middle EastMember' ELSE 'x:' || upper(left(region, 1)) || lower(substr(region, 2)) || 'Member' END AS m,
-         CAST(sum(cents) AS BIGINT) AS v FROM g_base GROUP BY ALL""")
-step("g_cell", """
-  SELECT cik, yr, 'x:' || upper(left(ptype, 1)) || lower(substr(ptype, 2)) || 'Member' AS m,
-         CASE region WHEN 'MIDDLE EAST' THEN 'x:Middle EastMember' ELSE 'x:' || upper(left(region, 1)) || lower(substr(region, 2)) || 'Member' END AS m2, cents AS v FROM g_base""")
+step("g_type", f"SELECT cik, yr, ptype, {_TYPE} AS m, CAST(sum(cents) AS BIGINT) AS v FROM g_base GROUP BY ALL")
+step("g_region", f"SELECT cik, yr, region, {_REGION} AS m, CAST(sum(cents) AS BIGINT) AS v FROM g_base GROUP BY ALL")
+step("g_cell", f"SELECT cik, yr, ptype, region, {_TYPE} AS m, {_REGION} AS m2, cents AS v FROM g_base")
 step("g_seg", """
   SELECT cik, yr, CASE WHEN ptype IN ('SMALL', 'MEDIUM') THEN 'x:RetailMember' WHEN ptype IN ('LARGE', 'STANDARD') THEN 'x:IndustrialMember' ELSE 'x:SpecialMember' END AS m,
          CAST(sum(cents) AS BIGINT) AS v FROM g_base GROUP BY ALL""")
@@ -55,31 +54,39 @@ step("g_extra", "SELECT cik, yr, CAST(sum(v) AS BIGINT) AS v, CAST(sum(v // 10)
 _P = f"'{_PRO}', m, NULL, NULL"
 _S = f"'{_SEG}', m, NULL, NULL"
 _SQ = f"'{_SEG}', m, '{_QUAL}', '{_OPS}'"
-step("g_dim", f"""
-  SELECT cik, yr, 'Revenues' AS tag, 'C' AS ctx, CAST(NULL AS VARCHAR) AS a1, CAST(NULL AS VARCHAR) AS m1, CAST(NULL AS VARCHAR) AS a2, CAST(NULL AS VARCHAR) AS m2, v AS val, FALSE AS old FROM g_total
-  UNION ALL SELECT cik, yr, 'OperatingIncomeLoss', 'C', NULL, NULL, NULL, NULL, v // 10, FALSE FROM g_total
-  UNION ALL SELECT cik, yr, 'Revenues', 'P-' || m, {_P}, v, FALSE FROM g_type WHERE cik % 3 <> 2
-  UNION ALL SELECT cik, yr, 'Revenues', 'P-' || m, {_P}, v, FALSE FROM g_type WHERE cik % 3 <> 2 AND cik % 2 = 0
-  UNION ALL SELECT cik, yr, 'OperatingIncomeLoss', 'P-' || m, {_P}, v // 10, FALSE FROM g_type WHERE cik % 3 <> 2
-  UNION ALL SELECT cik, yr, 'Revenues', 'F-' || mm, '{_PRO}', mm, NULL, NULL, CAST(sum(v) AS BIGINT), FALSE FROM (
+# what a report says of a year; income is told as the sales that it is a part of
+step("g_told", f"""
+  SELECT cik, yr, 'Revenues' AS tag, 'C' AS ctx, CAST(NULL AS VARCHAR) AS a1, CAST(NULL AS VARCHAR) AS m1, CAST(NULL AS VARCHAR) AS a2, CAST(NULL AS VARCHAR) AS m2, v AS val FROM g_total
+  UNION ALL SELECT cik, yr, 'OperatingIncomeLoss', 'C', NULL, NULL, NULL, NULL, v FROM g_total
+  UNION ALL SELECT cik, yr, 'Revenues', 'P-' || ptype, {_P}, v FROM g_type WHERE cik % 3 <> 2
+  UNION ALL SELECT cik, yr, 'Revenues', 'P-' || ptype, {_P}, v FROM g_type WHERE cik % 3 <> 2 AND cik % 2 = 0
+  UNION ALL SELECT cik, yr, 'OperatingIncomeLoss', 'P-' || ptype, {_P}, v FROM g_type WHERE cik % 3 <> 2
+  UNION ALL SELECT cik, yr, 'Revenues', 'F-' || mm, '{_PRO}', mm, NULL, NULL, CAST(sum(v) AS BIGINT) FROM (
     SELECT *, CASE WHEN m IN ('x:EconomyMember', 'x:StandardMember', 'x:MediumMember') THEN 'us-gaap:ProductMember' ELSE 'us-gaap:ServiceMember' END AS mm FROM g_type)
     WHERE cik % 3 = 0 GROUP BY cik, yr, mm
-  UNION ALL SELECT cik, yr, 'Revenues', 'T', '{_PRO}', 'x:TotalSmallLargeMember', NULL, NULL, CAST(sum(v) AS BIGINT), FALSE FROM g_type
+  UNION ALL SELECT cik, yr, 'Revenues', 'T', '{_PRO}', 'x:TotalSmallLargeMember', NULL, NULL, CAST(sum(v) AS BIGINT) FROM g_type
     WHERE cik % 3 <> 2 AND cik % 4 = 1 AND m IN ('x:SmallMember', 'x:LargeMember') GROUP BY cik, yr
-  UNION ALL SELECT cik, yr, 'Revenues', 'G-' || m, '{_GEO}', m, NULL, NULL, v, FALSE FROM g_region WHERE cik % 3 = 0 AND NOT (cik % 7 = 3 AND m = 'x:AmericaMember')
-  UNION ALL SELECT cik, yr, 'Revenues', 'SO-' || m, {_SQ}, v + v // 10, FALSE FROM g_seg WHERE cik % 5 IN (0, 2)
-  UNION ALL SELECT cik, yr, 'Revenues', 'S-' || m, {_S}, v, FALSE FROM g_seg WHERE cik % 5 IN (1, 3) OR (cik % 5 = 2 AND m = 'x:RetailMember')
-  UNION ALL SELECT cik, yr, 'Revenues', 'SO-' || m, {_SQ}, v * 9 // 10, FALSE FROM g_seg WHERE cik % 5 = 1
-  UNION ALL SELECT cik, yr, 'Revenues', 'RC', '{_QUAL}', '{_CORP}', NULL, NULL, 45800000, FALSE FROM g_total WHERE cik % 5 = 3
-  UNION ALL SELECT cik, yr, 'Revenues', 'RO', '{_QUAL}', '{_OPS}', NULL, NULL, v + x, FALSE FROM g_extra
-  UNION ALL SELECT cik, yr, 'Revenues', 'RE', '{_QUAL}', '{_ELIM}', NULL, NULL, CASE WHEN cik % 10 = 0 THEN 5000000 ELSE 0 END - x, FALSE FROM g_extra
-  UNION ALL SELECT cik, yr, 'Revenues', 'RC', '{_QUAL}', '{_CORP}', NULL, NULL, -5000000, FALSE FROM g_extra WHERE cik % 10 = 0
-  UNION ALL SELECT cik, yr, 'Revenues', 'RS', '{_QUAL}', '{_BOTH}', NULL, NULL, -x, FALSE FROM g_extra WHERE cik % 10 = 0
-  UNION ALL SELECT cik, yr, 'Revenues', 'X-' || m || m2, '{_PRO}', m, '{_GEO}', m2, v, FALSE FROM g_cell WHERE cik % 3 = 2
-  UNION ALL SELECT cik, yr, 'Revenues', 'XW-' || m, '{_PRO}', m, '{_GEO}', 'x:WorldMember', v, FALSE FROM g_type WHERE cik % 6 = 5
-  UNION ALL SELECT cik, yr, 'Revenues', 'A-' || m, '{_SEG}', m, 'us-gaap:AccidentYearAxis', 'x:Year1999Member', v, FALSE FROM g_seg WHERE cik % 2 = 1
-  UNION ALL SELECT cik, yr, 'Revenues', 'C', NULL, NULL, NULL, NULL, v * 2, TRUE FROM g_total""")
-step("g_new", "SELECT DISTINCT cik, yr, tag, ctx, a1, m1, a2, m2, CAST(val AS DOUBLE) AS val FROM g_dim WHERE NOT old")
+  UNION ALL SELECT cik, yr, 'Revenues', 'G-' || region, '{_GEO}', m, NULL, NULL, v FROM g_region WHERE cik % 3 = 0 AND NOT (cik % 7 = 3 AND m = 'x:AmericaMember')
+  UNION ALL SELECT cik, yr, 'Revenues', 'SO-' || m, {_SQ}, v + v // 10 FROM g_seg WHERE cik % 5 IN (0, 2)
+  UNION ALL SELECT cik, yr, 'Revenues', 'S-' || m, {_S}, v FROM g_seg WHERE cik % 5 IN (1, 3) OR (cik % 5 = 2 AND m = 'x:RetailMember')
+  UNION ALL SELECT cik, yr, 'Revenues', 'SO-' || m, {_SQ}, v * 9 // 10 FROM g_seg WHERE cik % 5 = 1
+  UNION ALL SELECT cik, yr, 'Revenues', 'RC', '{_QUAL}', '{_CORP}', NULL, NULL, 45800000 FROM g_total WHERE cik % 5 = 3
+  UNION ALL SELECT cik, yr, 'Revenues', 'RO', '{_QUAL}', '{_OPS}', NULL, NULL, v + x FROM g_extra
+  UNION ALL SELECT cik, yr, 'Revenues', 'RE', '{_QUAL}', '{_ELIM}', NULL, NULL, CASE WHEN cik % 10 = 0 THEN 5000000 ELSE 0 END - x FROM g_extra
+  UNION ALL SELECT cik, yr, 'Revenues', 'RC', '{_QUAL}', '{_CORP}', NULL, NULL, -5000000 FROM g_extra WHERE cik % 10 = 0
+  UNION ALL SELECT cik, yr, 'Revenues', 'RS', '{_QUAL}', '{_BOTH}', NULL, NULL, -x FROM g_extra WHERE cik % 10 = 0
+  UNION ALL SELECT cik, yr, 'Revenues', 'X-' || ptype || '-' || region, '{_PRO}', m, '{_GEO}', m2, v FROM g_cell WHERE cik % 3 = 2
+  UNION ALL SELECT cik, yr, 'Revenues', 'XW-' || ptype, '{_PRO}', m, '{_GEO}', 'x:WorldMember', v FROM g_type WHERE cik % 6 = 5
+  UNION ALL SELECT cik, yr, 'Revenues', 'A-' || m, '{_SEG}', m, 'us-gaap:AccidentYearAxis', 'x:PriorYearMember', v FROM g_seg WHERE cik % 2 = 1""")
+# a year stands in its own report and in the next two; ``back`` counts a filer's newer reports
+step("g_dim", """
+  SELECT cik, yr, tag, ctx || '-' || yr AS ctx, a1, m1, a2, m2, ry, dense_rank() OVER (PARTITION BY cik ORDER BY ry DESC) - 1 AS back,
+         CAST(CASE WHEN tag = 'Revenues' THEN val WHEN cik % 4 = 0 AND ry > yr THEN val // 8 ELSE val // 10 END AS DOUBLE) AS val,
+         lpad(CAST(cik AS VARCHAR), 10, '0') || '-' || lpad(CAST((ry + 1) % 100 AS VARCHAR), 2, '0') || '-000001' AS accn
+  FROM (SELECT t.*, unnest(range(yr, least(yr + 2, (SELECT y1 FROM yrs)) + 1)) AS ry FROM g_told t)""")
+step("g_sent", """
+  SELECT *, cik % 37 = 12 AND ry = min(ry) OVER (PARTITION BY cik) AS cut FROM g_dim""")
+step("g_new", "SELECT DISTINCT cik, accn, yr, tag, ctx, a1, m1, a2, m2, val FROM g_sent WHERE back = 0 AND NOT cut")
 _B3 = f"('{_SEG}', '{_PRO}', '{_GEO}')"
 step("g_one", f"""
   SELECT cik, tag, make_date(yr, 12, 31) AS period_end, a1 AS axis, m1 AS member, coalesce(m2, '') AS qualifier, '' AS along, val
@@ -181,9 +188,20 @@ SELECT p.cik, p.accn, p.cik % 9 <> 4 AS rendered, r.name, p.base || '/R' || CAST
        CAST(r.ord_in AS INTEGER) AS report_ord, coalesce(k.kinds, '') AS kinds
 FROM filing_path p LEFT JOIN reps r USING (cik) LEFT JOIN (SELECT i, string_agg(kind, ',' ORDER BY ko) AS kinds FROM rep_kinds GROUP BY i) k ON k.i = r.i"""
     out["src6_dim_facts"] = """
-SELECT tag, CAST((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT AS INTEGER) AS axes, CAST(yr AS INTEGER) AS yr, count(*) AS facts,
-       count(DISTINCT ctx) AS contexts, CAST(sum(CAST(val AS HUGEINT)) AS DOUBLE) AS total FROM g_dim GROUP BY ALL"""
-    out["src7_form_index"] = "SELECT form, company, cik, filed FROM idx"
+SELECT cik, accn, make_date(ry + 1, 2, 15) AS filed, tag, ctx AS context_id, make_date(yr, 1, 1) AS period_start, make_date(yr, 12, 31) AS period_end,
+       concat_ws(',', a1 || '=' || m1, a2 || '=' || m2) AS cell, val FROM g_sent WHERE NOT cut"""
+    out["src6_rejects"] = """
+SELECT cik, accn, CASE WHEN NOT cut THEN 'Goodwill' END AS tag, CASE WHEN cut THEN NULL WHEN cik % 13 = 8 THEN 'gone' ELSE min(ctx) END AS context_id,
+       CASE WHEN cut THEN 'no document' WHEN cik % 13 = 8 THEN 'no such context' ELSE 'no number' END AS reason
+FROM g_sent WHERE cut OR cik % 13 = 8 OR cik % 17 = 6 GROUP BY cik, accn, cut"""
+    out["src6_role_members"] = "SELECT cik, accn, role, axis, parent AS parent_member, member FROM (SELECT DISTINCT cik, accn FROM g_dim WHERE back = 0) JOIN g_roles ON TRUE"
+    out["src6_member_labels"] = f"""
+SELECT cik, accn, member, label_role, label FROM (SELECT DISTINCT cik, accn FROM g_dim WHERE back = 0),
+  (VALUES {", ".join(f"({q(m)}, {q(r)}, {q(t)})" for m, r, t in _LABELS)}) v(member, label_role, label)"""
+    out["src7_form_index"] = "SELECT form, company, cik, filed FROM idx WHERE NOT (form = '8-K' AND cik % 17 IN (3, 5))"
+    out["src7_rejects"] = """
+SELECT cik AS filer, CASE WHEN cik % 17 = 3 THEN form END AS form, CASE WHEN cik % 17 = 3 THEN cik END AS cik,
+       CASE WHEN cik % 17 = 3 THEN 'filed is no date' ELSE 'columns missing' END AS reason FROM idx WHERE form = '8-K' AND cik % 17 IN (3, 5)"""
     out["prj16_section_links"] = """
 SELECT p.cik, p.accn, s.section, CAST(s.section_ord AS INTEGER) AS section_ord, s.kind, coalesce(x.url, p.base || '/') AS link
 FROM filing_path p JOIN section_kinds s USING (industry)
@@ -193,7 +211,7 @@ LEFT JOIN (SELECT r.cik, k.kind, arg_min(f.base || '/R' || CAST(r.i AS VARCHAR)
 SELECT cik, axis, role, tag, period_end, label || CASE WHEN recon THEN ' (reconciling item)' ELSE '' END AS row_label, val FROM g_named
 UNION ALL SELECT DISTINCT cik, axis, role, tag, period_end, 'Consolidated', consolidated FROM g_named"""
     out["seg1_3_4_breakdown"] = 'SELECT cik, tag, period_end, axis, member, qualifier, val FROM g_one'
-    out["seg2_views"] = "SELECT axis, role, tag, period_end, count(*) AS facts, count(DISTINCT cik) AS filers FROM h_view GROUP BY ALL"
+    out["seg2_views"] = "SELECT cik, axis, role, tag, period_end, member, qualifier, val FROM h_view"
     out["seg5_subtotals"] = "SELECT cik, axis, role, tag, member FROM h_sub"
     out["seg10_lead_view"] = "SELECT cik, axis, role, tag, period_end, member, val, qualifier, lead_q AS lead, others FROM h_lead"
     out["seg6_to_9_reconciling"] = "SELECT cik, axis, role, tag, period_end, member, val FROM h_rec"
@@ -230,33 +248,34 @@ LEFT JOIN (SELECT cik, max(period) AS newest FROM filing_list WHERE regexp_match
         for k, n, d, lo, hi in rng)
     out["qa5_ranges"] = f"""
 SELECT cik, basis, "end", ratio, round(value, 6) AS value, CASE WHEN oe AND thin THEN 'thin equity' WHEN abs(den) < abs(num) THEN 'small denominator' ELSE 'unexplained' END AS cause FROM ({parts})"""
-    moves = lambda a, b, form: f"""
-  SELECT coalesce(x.cik, y.cik) AS cik, CASE WHEN x.val IS NULL THEN 'appeared' WHEN y.val IS NULL THEN 'vanished' WHEN x.val <> y.val THEN 'changed'
-       WHEN {form} THEN 'form moved' END AS change
+    moves = lambda a, b, what, word: f"""
+  SELECT * FROM (SELECT coalesce(x.cik, y.cik) AS cik, 'FY' AS basis, coalesce(x."end", y."end") AS "end", coalesce(x.k, y.k) AS k, x.val AS "before", y.val AS "after",
+       x.{what} AS {what}_before, y.{what} AS {what}_after, CASE WHEN x.val IS NULL THEN 'appeared' WHEN y.val IS NULL THEN 'vanished' WHEN x.val <> y.val THEN 'changed'
+       WHEN x.{what} <> y.{what} THEN '{word}' END AS change
   FROM (SELECT * FROM {a} WHERE r_nz = 1 AND basis = 'FY') x FULL JOIN (SELECT * FROM {b} WHERE r_nz = 1 AND basis = 'FY') y
-    ON x.cik = y.cik AND x."end" = y."end" AND x.k = y.k"""
-    out["qa6_snapshot_diff"] = f"""
-SELECT change, count(*) AS cells, count(DISTINCT cik) AS filers FROM ({moves('offers_early', 'offers', 'x.form <> y.form')}) WHERE change IS NOT NULL GROUP BY change"""
+    ON x.cik = y.cik AND x."end" = y."end" AND x.k = y.k) WHERE change IS NOT NULL"""
+    out["qa6_snapshot_diff"] = moves("offers_then", "offers", "form", "form moved")
+    out["qa8_currency_audit"] = moves("offers", "offers_free", "unit", "unit moved")
     ccy = "CASE WHEN regexp_matches(unit, '^[A-Z]{3}(/shares)?$') THEN left(unit, 3) END"
     mixed = lambda t: f"""SELECT count(*) FROM (SELECT cik, "end" FROM {t} WHERE r_nz = 1 AND basis = 'FY' GROUP BY cik, "end" HAVING count(DISTINCT {ccy}) > 1)"""
-    out["qa8_currency_audit"] = f"""
-SELECT 'cells that differ' AS measure, count(*) AS n FROM ({moves('offers', 'offers_free', 'x.unit <> y.unit')}) WHERE change IS NOT NULL
+    out["qa8_currency_summary"] = f"""
+SELECT 'cells that differ' AS measure, count(*) AS n FROM ({moves('offers', 'offers_free', 'unit', 'unit moved')})
 UNION ALL SELECT 'mixed columns with the gate', ({mixed('offers')}) UNION ALL SELECT 'mixed columns without', ({mixed('offers_free')})
 UNION ALL SELECT 'filers changing currency', (SELECT count(*) FROM (SELECT cik FROM annual_anchor WHERE uccy IS NOT NULL GROUP BY cik HAVING count(DISTINCT uccy) > 1))"""
     nm = lambda c: (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), "
                     "'\\b(inc|corp|corporation|co|company|ltd|llc|plc|holdings|group|the|new|old)\\b', ' ', 'g'), '\\s+', ' ', 'g'))")
-    recent = "regexp_matches(form, '^(10-K|20-F|40-F)T?(/A)?$') AND filed >= DATE '1999-01-01'"
+    recent = "regexp_matches(form, '^(10-K|20-F|40-F)T?(/A)?$') AND filed >= make_date((SELECT y1 - 2 FROM yrs), 1, 1)"
     out["qa14_ticker_suspects"] = f"""
 SELECT t.cik, t.ticker, t.title, o.nm2 AS other_name, o.other_cik, CAST(levenshtein({nm('t.title')}, o.nm2) AS INTEGER) AS edits
 FROM ticker_list t JOIN (SELECT cik AS other_cik, {nm('max(company)')} AS nm2 FROM idx WHERE {recent} GROUP BY cik) o ON nm2 <> '' AND levenshtein({nm('t.title')}, o.nm2) <= 1
 WHERE {nm('t.title')} <> '' AND t.cik NOT IN (SELECT cik FROM idx WHERE {recent})"""
-    cells = """SELECT cik, tag, make_date(yr, 12, 31) AS period_end, concat_ws(',', a1 || '=' || m1, a2 || '=' || m2) AS cell, min(CAST(val AS DOUBLE)) AS v
-  FROM g_dim WHERE {} GROUP BY ALL"""
+    cells = """SELECT cik, tag, make_date(yr, 12, 31) AS period_end, concat_ws(',', a1 || '=' || m1, a2 || '=' || m2) AS cell, min(val) AS v
+  FROM g_sent WHERE NOT cut AND back = {} GROUP BY ALL"""
     out["qa7_segment_diff"] = f"""
 SELECT *, CASE WHEN "before" IS NULL THEN 'appeared' WHEN "after" IS NULL THEN 'vanished' ELSE 'changed' END AS change FROM (
   SELECT coalesce(a.cik, b.cik) AS cik, coalesce(a.tag, b.tag) AS tag, coalesce(a.period_end, b.period_end) AS period_end, coalesce(a.cell, b.cell) AS cell,
          b.v AS "before", a.v AS "after"
-  FROM ({cells.format('NOT old')}) a FULL JOIN ({cells.format('old')}) b ON a.cik = b.cik AND a.tag = b.tag AND a.period_end = b.period_end AND a.cell = b.cell)
+  FROM ({cells.format(0)}) a FULL JOIN ({cells.format(1)}) b ON a.cik = b.cik AND a.tag = b.tag AND a.period_end = b.period_end AND a.cell = b.cell)
 WHERE "before" IS DISTINCT FROM "after\""""
     out["qa9_distribution"] = """
 SELECT basis, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.1), 6) AS p10, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.01), 6) AS p01
@@ -279,11 +298,20 @@ JOIN (VALUES ('CostOfGoodsAndServicesSold', 0), ('CostOfRevenue', 1), ('CostOfSe
 JOIN (VALUES ('CostOfGoodsAndServicesSold', 0), ('CostOfRevenue', 1), ('CostOfServices', 2)) z(tag, o) ON z.tag = b.tag WHERE x.o < z.o AND a.val <> b.val"""
     out["qa15_stride_sample"] = """
 SELECT t.cik, t.ticker, CAST(right(t.title, 9) AS BIGINT) AS ord FROM ticker_list t WHERE CAST(right(t.title, 9) AS BIGINT) % 7 = 2
-AND t.cik IN (SELECT cik FROM filing_list WHERE form = '10-K' AND filed >= DATE '2000-06-01')"""
+AND t.cik IN (SELECT cik FROM filing_list WHERE form = '10-K' AND filed >= make_date((SELECT y1 - 1 FROM yrs), 6, 1))"""
     out["qa16_populations"] = """
 SELECT DISTINCT cik, 'foreign' AS population FROM idx WHERE form IN ('20-F', '20-F/A', '40-F', '40-F/A')
 UNION ALL SELECT DISTINCT cik, 'transition' FROM idx WHERE regexp_matches(form, '^(10-K|10-Q|20-F|40-F)T(/A)?$')
 UNION ALL SELECT DISTINCT cik, 'amended' FROM idx WHERE suffix(form, '/A') UNION ALL SELECT DISTINCT cik, 'spin-off' FROM idx WHERE form IN ('10-12B', '10-12B/A')"""
+    span = "abs(date_diff('day', make_date(year(mid), 1, 1), start)) <= 30"
+    out["qa16_by_concept"] = f"""
+SELECT DISTINCT population, cik, tag, frame FROM (
+  SELECT *, CASE WHEN span AND days BETWEEN 335 AND 395 AND {span} THEN 'CY' || year(mid)
+                 WHEN NOT span AND abs(date_diff('day', qe, "end")) <= 30 THEN 'CY' || year(qe) || 'Q' || quarter(qe) || 'I' END AS frame
+  FROM (SELECT r.cik, r.tag, p.population, p.span, r.start, r."end", date_diff('day', r.start, r."end") AS days,
+               r.start + CAST(date_diff('day', r.start, r."end") // 2 AS INTEGER) AS mid, CAST(date_trunc('quarter', r."end" + 31) AS DATE) - 1 AS qe
+        FROM raw r JOIN (VALUES {", ".join(f"({q(a)}, {q(t)}, {d})" for a, t, d in CHAPTER_11)}) p(population, tag, span) ON p.tag = r.tag AND p.span = (r.start IS NOT NULL)
+        WHERE r.ns = 'us-gaap')) WHERE frame IS NOT NULL"""
     out["qa17_durations"] = f"SELECT days, count(*) AS facts FROM facts WHERE dur AND per AND tag IN ({names(T.anchor_tags())}) GROUP BY ALL"
     out["qa18_amendments"] = """
 SELECT count(*) FILTER (WHERE differs) AS overrides, count(*) FILTER (WHERE differs AND shifted) AS power_of_ten, count(*) FILTER (WHERE shifted AND agreed) AS corroborated,

@@ -7,18 +7,40 @@ from oracle.more import more_sql
 
 SQL = {}
 
-SQL["src1_facts"] = """
-SELECT ns, tag, unit, form, fp, count(*) AS facts, count(DISTINCT accn) AS filings, CAST(sum(CAST(val AS HUGEINT)) AS DOUBLE) AS total
-FROM raw GROUP BY ALL"""
-SQL["src2_filings"] = """
-SELECT cik, CAST(filing_ord AS INTEGER) AS filing_ord, form, filed, accn, doc, period FROM filing_list"""
-SQL["src3_tickers"] = """
-SELECT cik, ticker, title FROM ticker_list"""
+# which facts of the raw table reach the reader unspoiled, and why the others do not
+_SENT = """
+  SELECT *, row_number() OVER (PARTITION BY cik, ns, tag, unit ORDER BY pos, accn, val) - 1 AS nth,
+         CASE WHEN cik % 41 = 7 AND tag = 'Assets' THEN 'no document' WHEN cik % 43 = 5 AND tag = 'InterestExpense' THEN 'start is no date'
+              WHEN cik % 47 = 3 AND tag = 'ProfitLoss' THEN 'filed is no date' WHEN cik % 53 = 2 AND tag = 'Liabilities' THEN 'val is no number' END AS reason
+  FROM raw"""
+SQL["src1_facts"] = f"""
+SELECT cik, ns, tag, unit, CAST(unit_ord AS INTEGER) AS unit_ord, CAST(nth AS BIGINT) AS pos, start, "end", val, accn, CAST(year("end") AS INTEGER) AS fy, fp, form, filed
+FROM ({_SENT}) WHERE reason IS NULL"""
+SQL["src1_rejects"] = f"""
+SELECT cik, ns, tag, unit, reason, count(*) AS n FROM ({_SENT}) WHERE reason IS NOT NULL AND reason <> 'no document' GROUP BY ALL
+UNION ALL SELECT cik, NULL, NULL, NULL, reason, 1 FROM ({_SENT}) WHERE reason = 'no document' GROUP BY cik, reason"""
+_LISTS = """
+  SELECT *, cik % 29 = 8 AS cut, cik % 19 = 4 AND nth = last AS undated, cik % 23 = 6 AND filing_ord % 5 = 2 AS misdated FROM (
+    SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_ord) - 1 AS nth, count(*) OVER (PARTITION BY cik) - 1 AS last FROM filing_list)"""
+SQL["src2_filings"] = f"""
+SELECT cik, CAST(nth AS INTEGER) AS filing_ord, form, filed, accn, doc, period FROM ({_LISTS}) WHERE NOT (cut OR undated OR misdated)"""
+SQL["src2_rejects"] = f"""
+SELECT cik, CAST(nth AS INTEGER) AS filing_ord, form, accn, CASE WHEN undated THEN 'no filing date' ELSE 'filed is no date' END AS reason
+FROM ({_LISTS}) WHERE NOT cut AND (undated OR misdated)
+UNION ALL SELECT cik, NULL, NULL, NULL, CASE WHEN cik % 29 = 8 THEN 'no document' ELSE 'arrays of different lengths' END FROM filers WHERE cik % 29 = 8 OR cik % 19 = 4"""
+_TICKS = """
+  SELECT *, CASE WHEN n % 43 = 9 THEN 'no row' WHEN n % 37 = 5 THEN 'not three values' WHEN n % 31 = 8 THEN 'no filer' END AS reason
+  FROM (SELECT *, CAST(right(title, 9) AS BIGINT) AS n FROM ticker_list)"""
+SQL["src3_tickers"] = f"""
+SELECT cik, ticker, title FROM ({_TICKS}) WHERE reason IS NULL"""
+SQL["src3_rejects"] = f"""
+SELECT CASE WHEN reason = 'no row' OR n % 31 = 8 THEN NULL ELSE cik END AS cik, CASE reason WHEN 'no filer' THEN ticker WHEN 'not three values' THEN title END AS ticker,
+       CASE WHEN reason = 'no filer' THEN title END AS title, reason FROM ({_TICKS}) WHERE reason IS NOT NULL"""
 SQL["src4_quotes"] = """
 SELECT symbol, price, strftime("at", '%Y-%m-%d') AS day FROM last_quote"""
 SQL["src8_concept_frame"] = f"""
 SELECT cik, tag, unit, form, filed, accn, val FROM facts
-WHERE tag IN ({names(T.REVENUE_TAGS)}) AND start = DATE '1999-01-01' AND "end" = DATE '1999-12-31'"""
+WHERE tag IN ({names(T.REVENUE_TAGS)}) AND start = make_date((SELECT y1 - 2 FROM yrs), 1, 1) AND "end" = make_date((SELECT y1 - 2 FROM yrs), 12, 31)"""
 SQL["prj1_keep_counts"] = f"""
 SELECT cik, count(*) FILTER (WHERE kept) AS tags_kept, count(*) FILTER (WHERE ns = 'us-gaap' AND NOT kept) AS tags_dropped FROM (
   SELECT DISTINCT cik, ns, tag, (ns = 'us-gaap' AND tag IN ({names(T.keep_list())})) OR (ns = 'dei' AND tag = 'EntityCommonStockSharesOutstanding') AS kept

@@ -126,76 +126,90 @@ def carried_filers(periods: DataFrame, windows: DataFrame, rungs: DataFrame) ->
             .join(rungs.where("k = 0").select("cik"), "cik", "left_anti").select("cik", "end"))
 
 
-#: Days from the end of a fiscal year to the ends of its first three quarters, and so the lengths of their year-to-date spans.
-SLOTS = ((C.QUARTER_MIN, C.QUARTER_MAX), (170, 195), (262, 284))
+#: Days that a year-to-date span may begin off the end of the year before; interim ends nearer to each other than MERGE_DAYS are one.
+START_SLACK, MERGE_DAYS = 10, 20
 
 
-def quarter_ends(obs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(cik, side, slot, end): where the first three quarters of the newest window's two fiscal years end.
+def interim_ends(obs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(cik, side, slot, end, days, quarter_days): where the interim periods of the newest window's two fiscal years end.
 
-    Ends are those of the filer's own quarters and year-to-date spans; where
-    several fit a quarter, the window's own end goes first, then the most reported.
+    They are read off the filer's own year-to-date spans in their order, so quarters
+    of twelve, thirteen or sixteen weeks are all the same: slot 1 is the first
+    interim period after a year end.  ``days`` is the length of the span to date
+    and ``quarter_days`` that of the period alone.  Of ends a few days apart the
+    most reported stays; the window's own end always does.
     """
     w = windows.where("k = 0")
-    at = lambda days: F.coalesce(*[F.when(days.between(lo, hi), n + 1) for n, (lo, hi) in enumerate(SLOTS)])
-    nth = F.coalesce(at(F.col("cur_days")), F.when(F.col("cur_days").between(260, 290), 3))
-    sides = w.select("cik", nth.alias("nth"), F.inline(F.array(
-        F.struct(F.lit("cur").alias("side"), F.col("fy_end").alias("base"), F.col("cur_end").alias("own")),
-        F.struct(F.lit("prior").alias("side"), F.col("prev_fy_end").alias("base"), F.col("prior_end").alias("own"))))).where("nth IS NOT NULL")
-    fits = F.lit(False)
-    for lo, hi in SLOTS:
-        fits = fits | F.col("days").between(lo, hi)
-    seen = obs.where(F.col("is_duration") & F.col("is_periodic") & fits).groupBy("cik", "end").agg(F.count("*").alias("n"))
-    found = seen.join(sides, "cik").withColumn("slot", F.when(F.col("end") == F.col("own"), F.col("nth")).otherwise(
-        at(F.date_diff("end", "base")))).where("slot IS NOT NULL AND (side = 'prior' OR slot <= nth)")
-    best = F.max(F.struct((F.col("end") == F.col("own")).alias("is_own"), "n", "end"))
-    return found.groupBy("cik", "side", "slot", "nth").agg(best.alias("b")).select("cik", "side", "slot", "nth", "b.end")
+    sides = w.select("cik", F.inline(F.array(
+        F.struct(F.lit("cur").alias("side"), F.col("fy_end").alias("base"), F.col("cur_end").alias("own"), F.col("cur_end").alias("last")),
+        F.struct(F.lit("prior").alias("side"), F.col("prev_fy_end").alias("base"), F.col("prior_end").alias("own"), F.date_sub("fy_end", 30).alias("last")))))
+    spans = obs.where(F.col("is_duration") & F.col("is_periodic") & (F.col("n_10q") > 0) & F.col("days").between(C.YTD_MIN, C.YTD_MAX)).groupBy(
+        "cik", "end", "days").agg(F.sum("n_10q").alias("n"))
+    starts = sides.withColumn("start", F.explode(F.sequence(F.date_add("base", 1 - START_SLACK), F.date_add("base", 1 + START_SLACK))))
+    hit = spans.withColumn("start", F.date_sub("end", F.col("days"))).join(starts, ["cik", "start"]).where("end > base AND end <= last")
+    ends = hit.groupBy("cik", "side", "base", "own", "end").agg(F.sum("n").alias("n"), F.max_by("days", F.struct("n", "days")).alias("days"))
+    # one filer's interim ends of one year: a handful
+    near = Window.partitionBy("cik", "side").orderBy("end")
+    ends = ends.withColumn("apart", F.coalesce((F.date_diff("end", F.lag("end").over(near)) > MERGE_DAYS).cast("int"), F.lit(1))).withColumn("slot", F.sum("apart").over(near).cast("int"))
+    best = F.max_by(F.struct("end", "days"), F.struct((F.col("end") == F.col("own")).alias("is_own"), "n", "end"))
+    one = ends.groupBy("cik", "side", "slot", "base").agg(best.alias("b")).select("cik", "side", "slot", "base", "b.end", "b.days")
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("cik", "side").orderBy("slot")), F.date_sub("end", F.col("days") + 1))
+    return one.withColumn("quarter_days", F.date_diff("end", before) - 1).drop("base")
+
+
+def _spans(end, days):
+    """The request for a span of about so many days."""
+    return F.struct(end.alias("end"), F.lit("D").alias("shape"), (days - C.SPAN_SLACK).alias("dmin"), (days + C.SPAN_SLACK).alias("dmax"), F.lit(True).alias("gate"))
+
+
+def quarter_requests(windows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Requests of ``reconstruct_ltm``: the interim periods and spans to date of two fiscal years, and the year between."""
+    w = windows.where("k = 0")
+    year = F.struct(F.col("fy_end").alias("end"), F.lit("D").alias("shape"), F.lit(C.ANNUAL_MIN).alias("dmin"), F.lit(C.ANNUAL_MAX).alias("dmax"), F.lit(True).alias("gate"))
+    asked = w.select("cik", "ccy", F.inline(F.array(year)))
+    spans = F.array(_spans(F.col("end"), F.col("days")), _spans(F.col("end"), F.col("quarter_days")))
+    asked = asked.unionByName(ends.join(w.select("cik", "ccy"), "cik").select("cik", "ccy", spans.alias("a")).select("cik", "ccy", F.inline("a")))
+    return asked.select("cik", "end", "ccy", "shape", "dmin", "dmax", "gate").distinct()
 
 
 def reconstruct_ltm(picks: DataFrame, windows: DataFrame, ends: DataFrame, tags=None) -> DataFrame:
-    """Rebuild the newest LTM of a tag without the stitch: four discrete quarters.
+    """Rebuild the newest LTM of a tag without the stitch: the interim periods after the window's start and the year's last one.
 
-    Each quarter is the filed one where it exists and otherwise the difference of
-    neighbouring year-to-date figures; the fourth is the year less its nine months.
-    ``picks`` must hold ``quarter_requests``, ``ends`` is ``quarter_ends``.  A tag
-    with a quarter that neither is filed nor is such a difference has no row.
+    Each period's figure is the filed one where it exists and otherwise the
+    difference of neighbouring figures to date; the year's last period is the year
+    less what is to date before it.  ``picks`` must hold ``quarter_requests``,
+    ``ends`` is ``interim_ends``.  A tag with a period that neither is filed nor is
+    such a difference has no row.
     """
     p = picks.where("shape = 'D' AND gate").select("cik", "tag", "end", "dmin", "val")
     if tags:
         p = p.where(F.col("tag").isin(list(tags)))
-    w = windows.where("k = 0").select("cik", "fy_end", "cur_end")
-    hit = p.join(ends, ["cik", "end"])
-    value = lambda side, slot, dmin: F.max(F.when(
-        (F.col("side") == side) & (F.col("slot") == slot) & (F.col("dmin") == dmin), F.col("val")))
-    cells = [value(side, slot, dmin).alias(f"{side}_{name}{slot}") for side in ("cur", "prior")
-             for name, slot, dmin in (*[("q", n, C.QUARTER_MIN) for n in (1, 2, 3)], *[("y", n, SLOTS[n - 1][0]) for n in (2, 3)])]
-    rows = hit.groupBy("cik", "tag", "nth").agg(*cells).join(w, "cik")
-    y = p.where(f"dmin = {C.ANNUAL_MIN}").select("cik", "tag", F.col("end").alias("fy_end"), F.col("val").alias("fy"))
-    rows = rows.join(y, ["cik", "tag", "fy_end"])
-
-    def quarters(side: str) -> tuple:
-        q1, q2, q3, y2, y3 = (F.col(f"{side}_{c}") for c in ("q1", "q2", "q3", "y2", "y3"))
-        first = F.coalesce(q1, y2 - q2)
-        half = F.coalesce(y2, q1 + q2)
-        second, third = F.coalesce(q2, y2 - q1), F.coalesce(q3, y3 - half)
-        return first, second, third, F.coalesce(y3, half + q3)
-
-    a, b, c, _ = quarters("cur")
-    _, second, third, nine = quarters("prior")
-    fourth = F.col("fy") - nine
-    rebuilt = (F.when(F.col("nth") == 3, a + b + c + fourth).when(F.col("nth") == 2, a + b + third + fourth)
-               .when(F.col("nth") == 1, a + second + third + fourth))
-    return rows.select("cik", "tag", F.col("cur_end").alias("end"), rebuilt.alias("rebuilt")).where("rebuilt IS NOT NULL")
-
-
-def quarter_requests(windows: DataFrame, ends: DataFrame) -> DataFrame:
-    """Requests of ``reconstruct_ltm``: the quarters and year-to-date spans of two fiscal years, and the year between."""
-    ask = lambda end, lo, hi: F.struct(end.alias("end"), F.lit("D").alias("shape"), F.lit(lo).alias("dmin"),
-                                       F.lit(hi).alias("dmax"), F.lit(True).alias("gate"))
-    w = windows.where("k = 0")
-    spans = ends.join(w.select("cik", "ccy"), "cik")
-    asked = w.select("cik", "ccy", F.inline(F.array(ask(F.col("fy_end"), C.ANNUAL_MIN, C.ANNUAL_MAX))))
-    for slot, (lo, hi) in enumerate(SLOTS, 1):
-        asks = [ask(F.col("end"), C.QUARTER_MIN, C.QUARTER_MAX)] + ([ask(F.col("end"), lo, hi)] if slot > 1 else [])
-        asked = asked.unionByName(spans.where(F.col("slot") == slot).select("cik", "ccy", F.array(*asks).alias("a")).select("cik", "ccy", F.inline("a")))
-    return asked.select("cik", "end", "ccy", "shape", "dmin", "dmax", "gate").distinct()
+    w = windows.where("k = 0").select("cik", "fy_end", "cur_end", "prior_end")
+    # the interim periods of two years: a handful a filer
+    slots = ends.groupBy("cik").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct(
+            "slot", "end", (F.col("days") - C.SPAN_SLACK).alias("y"), (F.col("quarter_days") - C.SPAN_SLACK).alias("q"))))).alias(side) for side in ("cur", "prior")])
+    told = p.join(w.select("cik"), "cik").groupBy("cik", "tag").agg(F.collect_list(F.struct("end", "dmin", "val")).alias("vals"))
+    rows = told.join(slots, "cik").join(w, "cik")
+    value = lambda end, dmin: F.get(F.filter("vals", lambda v: (v["end"] == end) & (v["dmin"] == dmin)), F.lit(0))["val"]
+
+    def parts(side: str):
+        """(end, figure of the period, figure to date), in order."""
+        known = F.transform(side, lambda s: F.struct(s["end"].alias("end"), value(s["end"], s["y"]).alias("y"), value(s["end"], s["q"]).alias("q")))
+        later = lambda k, i: F.get(k, i + 1)["y"] - F.get(k, i + 1)["q"]
+        seen = F.transform(known, lambda s, i: F.struct(s["end"].alias("end"), F.coalesce(s["y"], F.when(i == 0, s["q"])).alias("y"), s["q"].alias("q"), later(known, i).alias("later")))
+        none = F.filter(F.transform(seen, lambda s: F.struct(s["end"].alias("end"), s["y"].alias("part"), s["y"].alias("to_date"))), lambda s: F.lit(False))
+
+        def step(acc, s):
+            before = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(F.try_element_at(acc, F.lit(-1))["to_date"])
+            to_date = F.coalesce(s["y"], before + s["q"], s["later"])
+            return F.concat(acc, F.array(F.struct(s["end"].alias("end"), F.coalesce(s["q"], to_date - before).alias("part"), to_date.alias("to_date"))))
+
+        return F.aggregate(seen, none, step)
+
+    rows = rows.withColumn("cur_parts", parts("cur")).withColumn("prior_parts", parts("prior")).withColumn("fy", value(F.col("fy_end"), F.lit(C.ANNUAL_MIN)))
+    rows = rows.withColumn("used", F.concat(F.col("cur_parts"), F.filter("prior_parts", lambda s: s["end"] > F.col("prior_end"))))
+    whole = F.forall("used", lambda s: s["part"].isNotNull()) & F.exists("cur_parts", lambda s: s["end"] == F.col("cur_end")) & F.exists("prior_parts", lambda s: s["end"] == F.col("prior_end"))
+    total = F.aggregate("used", F.lit(0.0), lambda a, s: a + s["part"])
+    fourth = F.col("fy") - F.try_element_at("prior_parts", F.lit(-1))["to_date"]
+    return rows.where(whole).select("cik", "tag", F.col("cur_end").alias("end"), (total + fourth).alias("rebuilt")).where("rebuilt IS NOT NULL")

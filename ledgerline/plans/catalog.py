@@ -304,7 +304,7 @@ def _(w):
 
 @query("ltm9_reconstruction")
 def _(w):
-    ends = write_stage(ltm.quarter_ends(w.obs, w.windows), "quarter-ends")
+    ends = write_stage(ltm.interim_ends(w.obs, w.windows), "interim-ends")
     picks = write_stage(select.tag_picks(write_stage(select.candidates(w.obs, ltm.quarter_requests(w.windows, ends)), "quarter-candidates")), "quarter-picks")
     rebuilt = ltm.reconstruct_ltm(picks, w.windows, ends)
     cells = w.cells.where("basis = 'LTM' AND status = 'ltm'").select("cik", "end", "k", "tag", "value")

@@ -102,13 +102,15 @@ BALANCES = [
     ("ShortTermBorrowings", USD, "rev", 1, 30, "cik % 12 = 0"),
     ("ShortTermBorrowings", USD, "rev", 1, 45, "cik % 12 = 2"),
     ("ShortTermBorrowings", USD, "rev", 0, 1, "cik % 12 = 1"),
+    ("ShortTermBorrowings", USD, "rev", -1, 10, "cik % 24 = 7"),
     ("CommercialPaper", USD, "rev", 1, 70, "cik % 12 = 1"),
     ("DebtLongtermAndShorttermCombinedAmount", USD, "rev", 1, 3, "cik % 10 = 2"),
     ("DebtLongtermAndShorttermCombinedAmount", USD, "rev", 1, 50, "cik % 10 = 6"),
     ("NotesPayable", USD, "rev", 1, 4, "industry = 'reit' AND cik % 2 = 0"),
     ("OperatingLeaseLiabilityNoncurrent", USD, "rev", 1, 44, "cik % 3 = 2"),
     (_LOANS, USD, "rev", 1, 2, "industry = 'bank'"),
-    (_ALLOWANCE, USD, "rev", 1, 90, "industry = 'bank'"),
+    (_ALLOWANCE, USD, "rev", 1, 90, "industry = 'bank' AND cik % 28 <> 15"),
+    (_ALLOWANCE, USD, "rev", -1, 90, "industry = 'bank' AND cik % 28 = 15"),
     ("Deposits", USD, "rev", 3, 5, "industry = 'bank'"),
     ("LiabilityForClaimsAndClaimsAdjustmentExpense", USD, "rev", 1, 3, "industry IN ('pc', 'health')"),
     ("ReinsuranceRecoverableForUnpaidClaimsAndClaimsAdjustments", USD, "rev", 1, 20, "industry = 'pc'"),

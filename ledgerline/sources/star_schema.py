@@ -58,43 +58,58 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(kept & done).alias("fin_cut"), F.sum("q").alias("qty"))
 
 
+# Months after which the first three quarters end: thirteen weeks each, or four, three and two months.
+QUARTER_MONTHS, UNEVEN_MONTHS = (3, 6, 9), (4, 7, 9)
+
+
 def _period_rows(y0: int, y1: int) -> list:
-    """(kind, yr, q, start year-month, end year-month) with months counted from year zero.
+    """(kind, yr, q, start year-month, end year-month, of filers with uneven quarters) with months counted from year zero.
 
     Full years are reported from the first on, June years in the second to fourth,
     quarters to date from the third on and single quarters in the last two.
     """
     rows = []
     for y in range(y0, y1):
-        rows.append(("FY", y, 4, y * 12, y * 12 + 11))
-        rows.append(("INST", y, 4, 0, y * 12 + 11))
+        rows.append(("FY", y, 4, y * 12, y * 12 + 11, None))
+        rows.append(("INST", y, 4, 0, y * 12 + 11, None))
     for y in range(y0 + 1, min(y0 + 4, y1)):
-        rows.append(("JUN", y, 2, y * 12 - 6, y * 12 + 5))
-    for y in range(y0 + 2, y1 + 1):
-        for q in (1, 2, 3):
-            rows.append(("YTD", y, q, y * 12, y * 12 + 3 * q - 1))
-            rows.append(("INST", y, q, 0, y * 12 + 3 * q - 1))
-            if q > 1 and y >= y1 - 1:
-                rows.append(("QTR", y, q, y * 12 + 3 * q - 3, y * 12 + 3 * q - 1))
+        rows.append(("JUN", y, 2, y * 12 - 6, y * 12 + 5, None))
+    for uneven, months in ((False, QUARTER_MONTHS), (True, UNEVEN_MONTHS)):
+        for y in range(y0 + 2, y1 + 1):
+            for q, (before, m) in enumerate(zip((0, *months), months), 1):
+                rows.append(("YTD", y, q, y * 12, y * 12 + m - 1, uneven))
+                rows.append(("INST", y, q, 0, y * 12 + m - 1, uneven))
+                if q > 1 and y >= y1 - 1:
+                    rows.append(("QTR", y, q, y * 12 + before, y * 12 + m - 1, uneven))
     return rows
 
 
 def _reported_periods(spark, sf_dir, y0, y1):
-    # the period list is short (some seven a year), so each month picks its periods in place, without a join
+    """Sums of every period that a filer reports, with its dates.
+
+    Filers of one group have quarters of different length, those of another end
+    their year some days before the month does (52 and 53 weeks), and two groups'
+    newest report is of the first or second quarter.
+    """
+    # the period list is short (some ten a year), so each month picks its periods in place, without a join
     listed = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(yr).alias("yr"), F.lit(q).alias("q"), F.lit(a).alias("ym0"), F.lit(b).alias("ym1"))
-        for kind, yr, q, a, b in _period_rows(y0, y1)])
-    hit = F.filter(listed, lambda p: F.col("ym").between(p["ym0"], p["ym1"]))
+        F.struct(F.lit(kind).alias("kind"), F.lit(yr).alias("yr"), F.lit(q).alias("q"), F.lit(a).alias("ym0"), F.lit(b).alias("ym1"), F.lit(odd).cast("boolean").alias("odd"))
+        for kind, yr, q, a, b, odd in _period_rows(y0, y1)])
+    hit = F.filter(listed, lambda p: F.col("ym").between(p["ym0"], p["ym1"]) & (p["odd"].isNull() | (p["odd"] == (F.col("cik") % 9 == 4))))
     sums = monthly(spark, sf_dir).select("*", F.inline(hit)).groupBy("cik", "kind", "yr", "q", "ym0", "ym1").agg(
         *[F.sum(c).alias(c) for c in ("rev_all", "rev_cut", "fin_all", "fin_cut", "qty")])
+    cik, yr, q, kind = F.col("cik"), F.col("yr"), F.col("q"), F.col("kind")
     first_day = F.make_date((F.col("ym0") / 12).cast("int"), (F.col("ym0") % 12 + 1).cast("int"), F.lit(1))
     last_day = F.last_day(F.make_date((F.col("ym1") / 12).cast("int"), (F.col("ym1") % 12 + 1).cast("int"), F.lit(1)))
-    sums = sums.withColumn("start", F.when(F.col("kind") != "INST", first_day)).withColumn("end", last_day)
-    quarterly = F.col("kind").isin("YTD", "QTR") | ((F.col("kind") == "INST") & (F.col("q") < 4))
+    early = lambda y: F.when((cik % 9 == 7) & (kind != "JUN"), y % 5).otherwise(0)
+    opened = early(F.when(kind == "QTR", yr).otherwise(yr - 1))
+    sums = sums.withColumn("start", F.when(kind != "INST", F.date_sub(first_day, opened))).withColumn("end", F.date_sub(last_day, early(yr)))
+    quarterly = kind.isin("YTD", "QTR") | ((kind == "INST") & (q < 4))
     return sums.where(
-        ~(quarterly & (F.col("cik") % 8 == 6))
-        & ~((F.col("kind") == "FY") & (F.col("yr") == y1 - 3) & (F.col("cik") % 15 == 8))
-        & ~((F.col("kind") == "JUN") & (F.col("cik") % 6 != 1)))
+        ~(quarterly & (cik % 8 == 6))
+        & ~(quarterly & (yr == y1) & (((cik % 9 == 1) & (q > 1)) | ((cik % 9 == 2) & (q > 2))))
+        & ~((kind == "FY") & (yr == y1 - 3) & (cik % 15 == 8))
+        & ~((kind == "JUN") & (cik % 6 != 1)))
 
 
 def _versions(y1):
@@ -104,29 +119,31 @@ def _versions(y1):
     yearly = (kind == "FY") | ((kind == "INST") & (q == 4))
     interim = kind.isin("YTD", "QTR") | ((kind == "INST") & (q < 4))
 
-    def filing(cond, form, filed, seq, year, cut, num, den, only_revenue):
+    def filing(cond, form, filed, seq, year, cut, num, den, only=None):
         return F.when(cond, F.struct(
             form.alias("form"), filed.alias("filed"), F.lit(seq).cast("int").alias("seq"),
             year.cast("int").alias("accn_year"), cut.alias("cut"), F.lit(num).cast("long").alias("vnum"),
-            F.lit(den).cast("long").alias("vden"), F.lit(only_revenue).alias("only_revenue")))
+            F.lit(den).cast("long").alias("vden"), F.lit(only).cast("string").alias("only")))
 
     feb = lambda y: F.make_date(y, F.lit(2), F.lit(15))
     qdate = lambda y: F.make_date(y, q * 3 + 2, F.lit(10))
     never, restated_fy, restated_q = F.lit(False), cik % 4 == 0, cik % 2 == 0
     proxy = F.make_date(yr + 1, F.lit(4), F.lit(30))
     out = [
-        filing(yearly, annual_form, feb(yr + 1), 1, yr + 1, never, 1, 1, False),
-        filing(yearly & (yr + 2 <= y1), annual_form, feb(yr + 2), 1, yr + 2, restated_fy, 1, 1, False),
-        filing(yearly & (kind == "FY") & (yr + 3 <= y1), annual_form, feb(yr + 3), 1, yr + 3, restated_fy,
-               1, 1, False),
-        filing((kind == "FY") & (cik % 5 == 0), F.lit("DEF 14A"), proxy, 9, yr + 1, never, 3, 1, True),
+        filing(yearly, annual_form, feb(yr + 1), 1, yr + 1, never, 1, 1),
+        filing(yearly & (yr + 2 <= y1), annual_form, feb(yr + 2), 1, yr + 2, restated_fy, 1, 1),
+        filing(yearly & (kind == "FY") & (yr + 3 <= y1), annual_form, feb(yr + 3), 1, yr + 3, restated_fy, 1, 1),
+        filing((kind == "FY") & (cik % 5 == 0), F.lit("DEF 14A"), proxy, 9, yr + 1, never, 3, 1, "revenue"),
         filing((kind == "FY") & (cik % 10 == 7) & (yr == y1 - 3), F.lit("10-K/A"),
-               F.make_date(F.lit(y1 - 2), F.lit(12), F.lit(1)), 8, F.lit(y1 - 2), never, 1000000, 1, True),
+               F.make_date(F.lit(y1 - 2), F.lit(12), F.lit(1)), 8, F.lit(y1 - 2), never, 1000000, 1, "revenue"),
         filing((kind == "FY") & (cik % 10 == 3) & (yr == y1 - 4), F.lit("10-K/A"),
-               F.make_date(F.lit(y1), F.lit(12), F.lit(1)), 8, F.lit(y1), never, 11, 10, True),
-        filing(kind == "JUN", F.lit("10-K"), F.make_date(yr, F.lit(9), F.lit(1)), 6, yr, never, 1, 1, True),
-        filing(interim, F.lit("10-Q"), qdate(yr), 1, yr, never, 1, 1, False),
-        filing((kind == "YTD") & (yr < y1), F.lit("10-Q"), qdate(yr + 1), 1, yr + 1, restated_q, 1, 1, False),
+               F.make_date(F.lit(y1), F.lit(12), F.lit(1)), 8, F.lit(y1), never, 11, 10, "revenue"),
+        # the newest balance sheet's liabilities are filed again, some of them changed
+        filing((kind == "INST") & (q == 4) & (yr == y1 - 1) & (cik % 22 == 5), F.lit("10-K/A"), F.make_date(F.lit(y1), F.lit(6), F.lit(1)), 8, F.lit(y1), never, 11, 10, "liabilities"),
+        filing((kind == "INST") & (q == 4) & (yr == y1 - 1) & (cik % 22 == 16), F.lit("10-K/A"), F.make_date(F.lit(y1), F.lit(6), F.lit(1)), 8, F.lit(y1), never, 1, 1, "liabilities"),
+        filing(kind == "JUN", F.lit("10-K"), F.make_date(yr, F.lit(9), F.lit(1)), 6, yr, never, 1, 1, "revenue"),
+        filing(interim, F.lit("10-Q"), qdate(yr), 1, yr, never, 1, 1),
+        filing((kind == "YTD") & (yr < y1), F.lit("10-Q"), qdate(yr + 1), 1, yr + 1, restated_q, 1, 1),
     ]
     return F.array_compact(F.array(*out))
 
@@ -150,7 +167,7 @@ def raw_facts(spark: SparkSession, sf_dir: str, span: tuple[int, int]) -> DataFr
     lines = F.when(F.col("kind") == "INST", _reported(BALANCES, y0)).otherwise(_reported(SPANS, y0))
     rows = (p.withColumn("ver", F.explode(_versions(y1))).select("*", "ver.*").drop("ver")
             .withColumn("line", F.explode(lines)).select("*", "line.*").drop("line"))
-    rows = rows.where(~F.col("only_revenue") | F.col("tag").isin(REVENUE_LIKE))
+    rows = rows.where(F.col("only").isNull() | ((F.col("only") == "revenue") & F.col("tag").isin(REVENUE_LIKE)) | ((F.col("only") == "liabilities") & (F.col("tag") == "Liabilities")))
     rev = F.when(F.col("cut"), F.col("rev_cut")).otherwise(F.col("rev_all"))
     fin = F.when(F.col("cut"), F.col("fin_cut")).otherwise(F.col("fin_all"))
     measure = (F.when(F.col("measure") == "rev", rev).when(F.col("measure") == "fin", fin)

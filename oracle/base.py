@@ -47,13 +47,14 @@ step("sales", """
   FROM lineitem""")
 step("yrs", "SELECT min(year(l_shipdate)) AS y0, max(year(l_shipdate)) AS y1 FROM lineitem")
 step("each_year", "SELECT unnest(range(y0, y1 + 1)) AS y, y0, y1 FROM yrs")
+step("quarter_months", "SELECT * FROM (VALUES (1, 0, 3, FALSE), (2, 3, 6, FALSE), (3, 6, 9, FALSE), (1, 0, 4, TRUE), (2, 4, 7, TRUE), (3, 7, 9, TRUE)) v(q, m0, m1, odd)")
 step("asked", """
-  SELECT 'FY' AS kind, y AS yr, 4 AS q, y * 12 AS ym0, y * 12 + 11 AS ym1 FROM each_year WHERE y < y1
-  UNION ALL SELECT 'INST', y, 4, 0, y * 12 + 11 FROM each_year WHERE y < y1
-  UNION ALL SELECT 'JUN', y, 2, y * 12 - 6, y * 12 + 5 FROM each_year WHERE y < y1 AND y BETWEEN y0 + 1 AND y0 + 3
-  UNION ALL SELECT 'YTD', y, k, y * 12, y * 12 + 3 * k - 1 FROM each_year JOIN range(1, 4) u(k) ON TRUE WHERE y >= y0 + 2
-  UNION ALL SELECT 'INST', y, k, 0, y * 12 + 3 * k - 1 FROM each_year JOIN range(1, 4) u(k) ON TRUE WHERE y >= y0 + 2
-  UNION ALL SELECT 'QTR', y, k, y * 12 + 3 * k - 3, y * 12 + 3 * k - 1 FROM each_year JOIN range(2, 4) u(k) ON TRUE WHERE y >= greatest(y0 + 2, y1 - 1)""")
+  SELECT 'FY' AS kind, y AS yr, 4 AS q, y * 12 AS ym0, y * 12 + 11 AS ym1, CAST(NULL AS BOOLEAN) AS odd FROM each_year WHERE y < y1
+  UNION ALL SELECT 'INST', y, 4, 0, y * 12 + 11, NULL FROM each_year WHERE y < y1
+  UNION ALL SELECT 'JUN', y, 2, y * 12 - 6, y * 12 + 5, NULL FROM each_year WHERE y < y1 AND y BETWEEN y0 + 1 AND y0 + 3
+  UNION ALL SELECT 'YTD', y, q, y * 12, y * 12 + m1 - 1, odd FROM each_year JOIN quarter_months ON TRUE WHERE y >= y0 + 2
+  UNION ALL SELECT 'INST', y, q, 0, y * 12 + m1 - 1, odd FROM each_year JOIN quarter_months ON TRUE WHERE y >= y0 + 2
+  UNION ALL SELECT 'QTR', y, q, y * 12 + m0, y * 12 + m1 - 1, odd FROM each_year JOIN quarter_months ON TRUE WHERE q > 1 AND y >= greatest(y0 + 2, y1 - 1)""")
 step("bysm", """
   SELECT cik, ym, sum(cents) AS ra, sum(CASE WHEN rf <> 'R' THEN cents ELSE 0 END) AS rc,
          sum(CASE WHEN ls = 'F' THEN cents ELSE 0 END) AS fa,
@@ -63,34 +64,38 @@ step("spans", """
   SELECT cik, CASE (cik % 7) WHEN 0 THEN 'corporate' WHEN 1 THEN 'bank' WHEN 2 THEN 'pc' WHEN 3 THEN 'life'
               WHEN 4 THEN 'health' WHEN 5 THEN 'advisory' ELSE 'reit' END AS industry,
          kind, CAST(yr AS BIGINT) AS yr, CAST(q AS BIGINT) AS q,
-         CASE WHEN kind <> 'INST' THEN make_date(ym0 // 12, ym0 % 12 + 1, 1) END AS start,
-         last_day(make_date(ym1 // 12, ym1 % 12 + 1, 1)) AS "end",
+         CASE WHEN kind <> 'INST' THEN make_date(ym0 // 12, ym0 % 12 + 1, 1)
+              - CAST(CASE WHEN cik % 9 = 7 AND kind <> 'JUN' THEN (CASE WHEN kind = 'QTR' THEN yr ELSE yr - 1 END) % 5 ELSE 0 END AS INTEGER) END AS start,
+         last_day(make_date(ym1 // 12, ym1 % 12 + 1, 1)) - CAST(CASE WHEN cik % 9 = 7 AND kind <> 'JUN' THEN yr % 5 ELSE 0 END AS INTEGER) AS "end",
          CAST(sum(ra) AS BIGINT) AS ra, CAST(sum(rc) AS BIGINT) AS rc, CAST(sum(fa) AS BIGINT) AS fa,
          CAST(sum(fc) AS BIGINT) AS fc, CAST(sum(qt) AS BIGINT) AS qt
-  FROM bysm JOIN asked ON ym BETWEEN ym0 AND ym1
-  WHERE NOT ((kind IN ('YTD', 'QTR') OR (kind = 'INST' AND q < 4)) AND cik % 8 = 6)
+  FROM bysm JOIN asked ON ym BETWEEN ym0 AND ym1 AND (odd IS NULL OR odd = (cik % 9 = 4))
+  WHERE NOT ((kind IN ('YTD', 'QTR') OR (kind = 'INST' AND q < 4)) AND yr = (SELECT y1 FROM yrs) AND ((cik % 9 = 1 AND q > 1) OR (cik % 9 = 2 AND q > 2)))
+    AND NOT ((kind IN ('YTD', 'QTR') OR (kind = 'INST' AND q < 4)) AND cik % 8 = 6)
     AND NOT (kind = 'FY' AND yr = (SELECT y1 - 3 FROM yrs) AND cik % 15 = 8) AND NOT (kind = 'JUN' AND cik % 6 <> 1)
   GROUP BY cik, kind, yr, q, ym0, ym1""")
 step("filed_in", """
   SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END AS form, make_date(yr + 1, 2, 15) AS filed, 1 AS seq,
-         yr + 1 AS ay, FALSE AS cut, 1 AS vn, 1 AS vd, FALSE AS ro FROM spans WHERE kind = 'FY' OR (kind = 'INST' AND q = 4)
-  UNION ALL SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END, make_date(yr + 2, 2, 15), 1, yr + 2, cik % 4 = 0, 1, 1, FALSE
+         yr + 1 AS ay, FALSE AS cut, 1 AS vn, 1 AS vd, 0 AS ro FROM spans WHERE kind = 'FY' OR (kind = 'INST' AND q = 4)
+  UNION ALL SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END, make_date(yr + 2, 2, 15), 1, yr + 2, cik % 4 = 0, 1, 1, 0
     FROM spans WHERE (kind = 'FY' OR (kind = 'INST' AND q = 4)) AND yr <= (SELECT y1 - 2 FROM yrs)
-  UNION ALL SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END, make_date(yr + 3, 2, 15), 1, yr + 3, cik % 4 = 0, 1, 1, FALSE
+  UNION ALL SELECT *, CASE WHEN cik % 20 = 5 THEN '20-F' ELSE '10-K' END, make_date(yr + 3, 2, 15), 1, yr + 3, cik % 4 = 0, 1, 1, 0
     FROM spans WHERE kind = 'FY' AND yr <= (SELECT y1 - 3 FROM yrs)
-  UNION ALL SELECT *, 'DEF 14A', make_date(yr + 1, 4, 30), 9, yr + 1, FALSE, 3, 1, TRUE FROM spans WHERE kind = 'FY' AND cik % 5 = 0
-  UNION ALL SELECT *, '10-K/A', make_date((SELECT y1 - 2 FROM yrs), 12, 1), 8, (SELECT y1 - 2 FROM yrs), FALSE, 1000000, 1, TRUE FROM spans WHERE kind = 'FY' AND cik % 10 = 7 AND yr = (SELECT y1 - 3 FROM yrs)
-  UNION ALL SELECT *, '10-K/A', make_date((SELECT y1 FROM yrs), 12, 1), 8, (SELECT y1 FROM yrs), FALSE, 11, 10, TRUE FROM spans WHERE kind = 'FY' AND cik % 10 = 3 AND yr = (SELECT y1 - 4 FROM yrs)
-  UNION ALL SELECT *, '10-K', make_date(yr, 9, 1), 6, yr, FALSE, 1, 1, TRUE FROM spans WHERE kind = 'JUN'
-  UNION ALL SELECT *, '10-Q', make_date(yr, q * 3 + 2, 10), 1, yr, FALSE, 1, 1, FALSE FROM spans WHERE kind IN ('YTD', 'QTR') OR (kind = 'INST' AND q < 4)
-  UNION ALL SELECT *, '10-Q', make_date(yr + 1, q * 3 + 2, 10), 1, yr + 1, cik % 2 = 0, 1, 1, FALSE FROM spans WHERE kind = 'YTD' AND yr < (SELECT y1 FROM yrs)""")
+  UNION ALL SELECT *, 'DEF 14A', make_date(yr + 1, 4, 30), 9, yr + 1, FALSE, 3, 1, 1 FROM spans WHERE kind = 'FY' AND cik % 5 = 0
+  UNION ALL SELECT *, '10-K/A', make_date((SELECT y1 - 2 FROM yrs), 12, 1), 8, (SELECT y1 - 2 FROM yrs), FALSE, 1000000, 1, 1 FROM spans WHERE kind = 'FY' AND cik % 10 = 7 AND yr = (SELECT y1 - 3 FROM yrs)
+  UNION ALL SELECT *, '10-K/A', make_date((SELECT y1 FROM yrs), 12, 1), 8, (SELECT y1 FROM yrs), FALSE, 11, 10, 1 FROM spans WHERE kind = 'FY' AND cik % 10 = 3 AND yr = (SELECT y1 - 4 FROM yrs)
+  UNION ALL SELECT *, '10-K/A', make_date((SELECT y1 FROM yrs), 6, 1), 8, (SELECT y1 FROM yrs), FALSE, CASE WHEN cik % 22 = 5 THEN 11 ELSE 1 END, CASE WHEN cik % 22 = 5 THEN 10 ELSE 1 END, 2
+    FROM spans WHERE kind = 'INST' AND q = 4 AND cik % 11 = 5 AND yr = (SELECT y1 - 1 FROM yrs)
+  UNION ALL SELECT *, '10-K', make_date(yr, 9, 1), 6, yr, FALSE, 1, 1, 1 FROM spans WHERE kind = 'JUN'
+  UNION ALL SELECT *, '10-Q', make_date(yr, q * 3 + 2, 10), 1, yr, FALSE, 1, 1, 0 FROM spans WHERE kind IN ('YTD', 'QTR') OR (kind = 'INST' AND q < 4)
+  UNION ALL SELECT *, '10-Q', make_date(yr + 1, q * 3 + 2, 10), 1, yr + 1, cik % 2 = 0, 1, 1, 0 FROM spans WHERE kind = 'YTD' AND yr < (SELECT y1 FROM yrs)""")
 step("reported", f"""
   SELECT *, unnest(CASE WHEN kind = 'INST' THEN {_lines(BALANCES)} ELSE {_lines(SPANS)} END) AS line FROM filed_in""")
 step("priced", f"""
   SELECT cik, line.tag AS tag, line.unit0 AS unit0, start, "end", kind, q, form, filed, seq, ay,
          ((CASE line.measure WHEN 'rev' THEN CASE WHEN cut THEN rc ELSE ra END WHEN 'fin' THEN CASE WHEN cut THEN fc ELSE fa END
                 WHEN 'gp' THEN CASE WHEN cut THEN rc - fc ELSE ra - fa END ELSE qt END) * line.num // line.den) * vn // vd AS whole
-  FROM reported WHERE line IS NOT NULL AND (NOT ro OR line.tag IN ({names(REVENUE_LIKE)}))""")
+  FROM reported WHERE line IS NOT NULL AND (ro = 0 OR (ro = 1 AND line.tag IN ({names(REVENUE_LIKE)})) OR (ro = 2 AND line.tag = 'Liabilities'))""")
 _DUAL = f"(cik % 10 = 0 AND tag IN ({names(DUAL_CURRENCY)}) AND unit0 = 'USD')"
 step("raw", f"""
   SELECT cik, CASE tag WHEN 'EntityCommonStockSharesOutstanding' THEN 'dei' WHEN 'Supplies' THEN 'ext' ELSE 'us-gaap' END AS ns,

@@ -27,11 +27,31 @@ step("quote_rows", """
 step("last_quote", """
   SELECT symbol, CAST(price AS DOUBLE) AS price, "at" FROM (
     SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "at" DESC, price DESC) AS r FROM quote_rows WHERE price <> 0) WHERE r = 1""")
-step("quarter_pick", """
-  SELECT cik, "end", kind, tag, val FROM (
-    SELECT f.cik, f."end", x.kind, f.tag, f.val, row_number() OVER (PARTITION BY f.cik, f."end", x.kind, f.tag ORDER BY f.filed DESC, f.rk DESC, f.unit_ord, f.pos) AS r
-    FROM facts f JOIN (VALUES ('quarter', 80, 100), ('year', 358, 400), ('nine', 262, 284)) x(kind, lo, hi) ON f.days BETWEEN x.lo AND x.hi
-    LEFT JOIN ccys c ON c.cik = f.cik WHERE f.dur AND f.per AND (f.uccy IS NULL OR c.ccy IS NULL OR f.uccy = c.ccy)) WHERE r = 1""")
+# interim periods of the newest window's two years, by the order of the filer's own year-to-date spans
+step("q_side", """
+  SELECT cik, 'cur' AS side, fy_end AS base, cur_end AS own, cur_end AS last FROM windows WHERE k = 0
+  UNION ALL SELECT cik, 'prior', prev_fy_end, prior_end, fy_end - 30 FROM windows WHERE k = 0""")
+step("q_slot", """
+  SELECT *, row_number() OVER (PARTITION BY cik, side ORDER BY "end") AS slot,
+         coalesce(date_diff('day', lag("end") OVER (PARTITION BY cik, side ORDER BY "end"), "end") - 1, days) AS qdays FROM (
+    SELECT s.cik, s.side, s.own, f."end", max(f.days) AS days FROM q_side s JOIN facts f ON f.cik = s.cik AND f.dur AND f.per AND f.form = '10-Q' AND f.days BETWEEN 60 AND 320
+      AND abs(date_diff('day', s.base + 1, f.start)) <= 10 AND f."end" > s.base AND f."end" <= s.last GROUP BY ALL)""")
+_NEWEST = """SELECT {key}, f.tag, f.val, row_number() OVER (PARTITION BY {key}, f.tag ORDER BY f.filed DESC, f.rk DESC, f.unit_ord, f.pos) AS r
+    FROM {src} JOIN facts f ON f.cik = s.cik AND f."end" = s.{end} AND f.dur AND f.per AND f.days BETWEEN {lo} AND {hi}
+    LEFT JOIN ccys c ON c.cik = f.cik WHERE (f.uccy IS NULL OR c.ccy IS NULL OR f.uccy = c.ccy)"""
+step("q_to_date", f"SELECT * FROM ({_NEWEST.format(key='s.cik, s.side, s.slot', src='q_slot s', end='end', lo='s.days - 8', hi='s.days + 8')}) WHERE r = 1".replace("s.end", 's."end"'))
+step("q_alone", f"SELECT * FROM ({_NEWEST.format(key='s.cik, s.side, s.slot', src='q_slot s', end='end', lo='s.qdays - 8', hi='s.qdays + 8')}) WHERE r = 1".replace("s.end", 's."end"'))
+step("q_year", f"SELECT * FROM ({_NEWEST.format(key='s.cik', src='(SELECT * FROM windows WHERE k = 0) s', end='fy_end', lo='358', hi='400')}) WHERE r = 1")
+step("q_sides", """SELECT cik, side, max(slot) AS n, max(slot) FILTER (WHERE "end" = own) AS at FROM q_slot GROUP BY ALL""")
+step("q_parts", """
+  SELECT *, coalesce(q1, t1) AS p1, coalesce(q2, t2 - t1) AS p2, coalesce(q3, t3 - t2) AS p3 FROM (
+    SELECT *, coalesce(y3, t2 + q3) AS t3 FROM (
+      SELECT *, coalesce(y2, t1 + q2, y3 - q3) AS t2 FROM (
+        SELECT *, coalesce(y1, q1, y2 - q2) AS t1 FROM (
+          SELECT v.cik, v.side, v.tag, m.n, m.at, max(val) FILTER (WHERE kind = 'y' AND slot = 1) AS y1, max(val) FILTER (WHERE kind = 'y' AND slot = 2) AS y2,
+                 max(val) FILTER (WHERE kind = 'y' AND slot = 3) AS y3, max(val) FILTER (WHERE kind = 'q' AND slot = 1) AS q1,
+                 max(val) FILTER (WHERE kind = 'q' AND slot = 2) AS q2, max(val) FILTER (WHERE kind = 'q' AND slot = 3) AS q3
+          FROM (SELECT *, 'y' AS kind FROM q_to_date UNION ALL SELECT *, 'q' FROM q_alone) v JOIN q_sides m ON m.cik = v.cik AND m.side = v.side GROUP BY ALL))))""")
 
 
 _SEG, _PRO, _GEO = "us-gaap:StatementBusinessSegmentsAxis", "srt:ProductOrServiceAxis", "srt:StatementGeographicalAxis"

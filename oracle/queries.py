@@ -118,14 +118,13 @@ SELECT cik, "end" FROM periods WHERE idx = 0 AND cik NOT IN (SELECT cik FROM win
 SQL["ltm9_reconstruction"] = """
 SELECT r.cik, r."end", c.k, r.rebuilt, c.value, round(abs((r.rebuilt - c.value) / nullif(c.value, 0)), 6) AS gap
 FROM (
-  SELECT w.cik, w.cur_end AS "end", y.tag, sum(qv.val) + max(y.val) - max(n.val) AS rebuilt
-  FROM windows w
-  JOIN quarter_pick y ON y.cik = w.cik AND y."end" = w.fy_end AND y.kind = 'year'
-  JOIN quarter_pick n ON n.cik = w.cik AND n."end" = w.prior_end AND n.kind = 'nine' AND n.tag = y.tag
-  JOIN quarter_pick qv ON qv.cik = w.cik AND qv.kind = 'quarter' AND qv.tag = y.tag AND qv."end" > w.fy_end AND qv."end" <= w.cur_end
-  WHERE w.k = 0 AND w.cur_days BETWEEN 260 AND 290
-  GROUP BY ALL HAVING count(*) = 3) r
-JOIN cells c ON c.cik = r.cik AND c."end" = r."end" AND c.tag = r.tag AND c.basis = 'LTM' AND c.status = 'ltm'"""
+  SELECT w.cik, w.cur_end AS "end", y.tag,
+         a.p1 + CASE WHEN a.n >= 2 THEN a.p2 ELSE 0 END + CASE WHEN a.n >= 3 THEN a.p3 ELSE 0 END
+         + CASE WHEN b.at < 2 AND b.n >= 2 THEN b.p2 ELSE 0 END + CASE WHEN b.at < 3 AND b.n >= 3 THEN b.p3 ELSE 0 END
+         + y.val - CASE b.n WHEN 1 THEN b.t1 WHEN 2 THEN b.t2 ELSE b.t3 END AS rebuilt
+  FROM windows w JOIN q_year y ON y.cik = w.cik JOIN q_parts a ON a.cik = w.cik AND a.side = 'cur' AND a.tag = y.tag AND a.at IS NOT NULL
+  JOIN q_parts b ON b.cik = w.cik AND b.side = 'prior' AND b.tag = y.tag AND b.at IS NOT NULL WHERE w.k = 0) r
+JOIN cells c ON c.cik = r.cik AND c."end" = r."end" AND c.tag = r.tag AND c.basis = 'LTM' AND c.status = 'ltm' WHERE r.rebuilt IS NOT NULL"""
 
 
 def oracle_sql() -> dict:

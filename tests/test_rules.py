@@ -303,7 +303,9 @@ def test_reconstruction_of_every_quarter_and_calendar(spark):
     sizes = [10.0, 20.0, 30.0, 40.0, 11.0, 22.0, 33.0]
     months = [dt.date(2022, 12, 31)] + [dt.date(2023 + i // 4, *((3, 31), (6, 30), (9, 30), (12, 31))[i % 4]) for i in range(7)]
     weeks = [dt.date(2022, 12, 25) + dt.timedelta(91 * i) for i in range(8)]
-    for cik, (nth, ends, filed) in enumerate((n, e, f) for n in (1, 2, 3) for e in (months, weeks) for f in (True, False)):
+    # a first period of sixteen weeks and three of twelve
+    uneven = [dt.date(2022, 12, 25) + dt.timedelta(7 * w) for w in (0, 16, 28, 40, 52, 68, 80, 92)]
+    for cik, (nth, ends, filed) in enumerate((n, e, f) for n in (1, 2, 3) for e in (months, weeks, uneven) for f in (True, False)):
         for i in range(4 + nth):
             start = 4 * (i // 4)
             spans = {(start, sum(sizes[start:i + 1]))} | ({(i, sizes[i])} if filed and i != 3 else set())
@@ -311,9 +313,9 @@ def test_reconstruction_of_every_quarter_and_calendar(spark):
         day0 = lambda i: ends[i] + dt.timedelta(1)
         windows.append((cik, 0, "USD", day0(4), ends[4 + nth], (ends[4 + nth] - ends[4]).days - 1, day0(0), ends[nth], ends[4], ends[0]))
         want[cik] = sum(sizes[nth:4 + nth])
-    obs = spark.createDataFrame(facts, "cik bigint, tag string, end date, days int, val double").selectExpr("*", "true AS is_duration", "true AS is_periodic")
+    obs = spark.createDataFrame(facts, "cik bigint, tag string, end date, days int, val double").selectExpr("*", "true AS is_duration", "true AS is_periodic", "1L AS n", "if(days < 320, 1L, 0L) AS n_10q")
     windows = spark.createDataFrame(windows, "cik bigint, k int, ccy string, cur_start date, cur_end date, cur_days int, prior_start date, prior_end date, fy_end date, prev_fy_end date")
-    ends = ltm.quarter_ends(obs, windows)
+    ends = ltm.interim_ends(obs, windows)
     asked = ltm.quarter_requests(windows, ends)
     picks = obs.join(asked, ["cik", "end"]).where("days BETWEEN dmin AND dmax").select("cik", "tag", "end", "shape", "gate", "dmin", "dmax", "val", F.lit("USD").alias("unit"))
     assert {r.cik: r.rebuilt for r in ltm.reconstruct_ltm(picks, windows, ends).collect()} == want

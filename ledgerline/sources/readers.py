@@ -121,11 +121,12 @@ def read_filers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tickers(spark: SparkSession, path: str) -> DataFrame:
-    """Usable rows ``[cik, ticker, title]``: one JSON array of rows, or one row per line.
+    """Rows ``[cik, ticker, title]``: one JSON array of rows, or one row per line.
 
-    The list of all tickers is one small document, so a file may be read whole.
+    The list of all tickers is one small document, so a file may be read whole.  A
+    number that does not parse is null, so that the row can be counted.
     """
-    return checked_tickers(spark.read.text(path, wholetext=True)).where("reason IS NULL").drop("reason")
+    return checked_tickers(spark.read.text(path, wholetext=True)).where("reason IS NULL OR reason = 'no filer'").drop("reason")
 
 
 def checked_tickers(texts: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ SAMPLE = ("src2_filings", "src3_tickers", "src4_quotes", "src5_reports", "src7_f
           "prj12_display", "prj16_section_links", "prj17_identifiers", "sel1_picks", "sel5_currency", "sel7_runs", "sel8_identity", "cal2_chosen", "cal10_stale",
           "ltm1_2_rungs", "ltm9_reconstruction", "note5_header", "note6_gaps", "cmp1_typed_set", "cmp10_search", "snk1_header", "snk2_tab", "seg5_subtotals",
           "seg10_lead_view", "qa1_identities", "qa4_calendar", "qa8_currency_audit", "src1_facts", "sel3_scale_slips", "cells_all", "cal3_to_6_periods", "ltm4_5_stitched", "der2_corporate", "val1_multiples",
-          "note1_status_chips", "cmp4_median", "snk1_workbook", "seg11_13_14_tables", "qa6_snapshot_diff", "qa9_distribution", "qa14_ticker_suspects")
+          "note1_status_chips", "cmp4_median", "snk1_workbook", "seg11_13_14_tables", "qa6_snapshot_diff", "qa9_distribution", "qa14_ticker_suspects",
+          "src1_rejects", "src2_rejects", "src3_rejects", "src6_dim_facts", "src6_rejects", "src6_role_members", "src7_rejects", "qa2_impossible", "qa7_segment_diff",
+          "qa8_currency_summary", "qa11_leg_sources", "qa16_by_concept", "cmp3_metrics", "snk4_comps", "seg12_crosstab")
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +60,6 @@ def test_sinks_write_what_they_show(spark, tmp_path):
     export.export_segments(w.segment_tables, str(tmp_path / "seg"))
     chosen = comps.comps_set(w.sheet, w.comps_members)
     rows = comps.comps_rows(chosen)
-    named = chosen.where("market_status IS NOT NULL").select("set_id")
+    named = chosen.where("market_status IS NOT NULL")
     export.export_comps(rows, comps.comps_median(rows), named, str(tmp_path / "comps"))
     assert spark.read.parquet(str(tmp_path / "comps")).where("label = 'Revenue'").count() == chosen.count()

@@ -319,3 +319,28 @@ def test_reconstruction_of_every_quarter_and_calendar(spark):
     asked = ltm.quarter_requests(windows, ends)
     picks = obs.join(asked, ["cik", "end"]).where("days BETWEEN dmin AND dmax").select("cik", "tag", "end", "shape", "gate", "dmin", "dmax", "val", F.lit("USD").alias("unit"))
     assert {r.cik: r.rebuilt for r in ltm.reconstruct_ltm(picks, windows, ends).collect()} == want
+
+
+def test_sheet_as_of_a_day_knows_nothing_filed_later(spark):
+    """Calendar, currency and cells of a day are those of the facts filed until then."""
+    b = Book()
+    for y in (2018, 2019, 2020):
+        b.year(1, "Revenues", y, 100.0 + y, unit="USD")
+        b.at(1, "Assets", y, 7.0, unit="USD")
+    b.year(1, "Revenues", 2019, 5.0, filed="2022-01-10", accn="late")  # restated
+    for y in (2021, 2022):
+        b.year(1, "Revenues", y, 100.0 + y, unit="EUR")
+    facts, filers = b.frames(spark)
+    plan = SheetPlan(facts, filers)
+    then = plan.as_of("2021-03-01")
+    assert [(r.end.year, r.ccy) for r in then.periods.orderBy("idx").collect()] == [(2020, "USD"), (2019, "USD"), (2018, "USD")]
+    assert [(r.end.year, r.ccy) for r in plan.periods.orderBy("idx").collect()] == [(y, "EUR") for y in (2022, 2021, 2020, 2019, 2018)]
+    early = {r.end.year: r.pick.val for r in then.annual_picks.where("k = 'revenue' AND pick IS NOT NULL").collect()}
+    assert early == {2018: 2118.0, 2019: 2119.0, 2020: 2120.0}
+    now = plan.read_cells.where("basis = 'FY' AND k = 'revenue' AND value IS NOT NULL")
+    assert {r.end.year: r.value for r in now.collect()} == {2021: 2121.0, 2022: 2122.0}
+    # without the gate the dollar years are there, the restated one as restated
+    from ledgerline.operators import select
+    free = select.any_currency(plan.cands)
+    vals = {(r.end.year, r.val) for r in select.tag_picks(free).where("tag = 'Revenues' AND shape = 'D'").collect()}
+    assert vals == {(2018, 2118.0), (2019, 5.0), (2020, 2120.0)}

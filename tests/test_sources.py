@@ -9,6 +9,7 @@ import pytest
 from ledgerline.functions import columns as C
 from ledgerline.functions.quantiles import exact_percentiles
 from ledgerline.operators import calendar, comps, export, quality
+from ledgerline.plans.stage import write_stage
 from ledgerline.sources import readers
 
 
@@ -110,15 +111,52 @@ def test_ticker_rules(spark):
     hit = {(r["ticker"], r["other_cik"], r["edits"]) for r in quality.ticker_suspects(t, idx, "2024-01-01").collect()}
     assert hit == {("BB", 50, 0), ("CC", 51, 1)}
     ordered = t.withColumn("ord", t.cik)
-    found = {(r["query"], r["rank"]): r["ticker"] for r in comps.search(ordered, ["bb", "a", "  "]).collect()}
-    assert found == {("bb", 1): "BB", ("a", 1): "AA", ("a", 2): "BB", ("a", 3): "CC"}
+    asked = spark.createDataFrame([(1, "bb"), (2, "a"), (3, "  "), (4, "A")], "query_id bigint, query string")
+    found = {(r["query_id"], r["rank"]): r["ticker"] for r in comps.search(comps.search_index(ordered, write_stage), asked).collect()}
+    assert found == {(1, 1): "BB", (2, 1): "AA", (2, 2): "BB", (2, 3): "CC", (4, 1): "AA", (4, 2): "BB", (4, 3): "CC"}
 
 
-def test_search_ranks_every_hit(spark):
-    rows = [(i, i, f"T{i}", "ABC") for i in range(500)] + [(500, 500, "ABC", "exact")]
+def test_search_is_brute_force(spark):
+    """Every query length, prefixes, parts, ties, titles and tickers that are empty, and queries without a hit."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("AB1 "), n))
+    rows = [(i, i, word(3).strip().replace(" ", ""), word(int(rng.integers(0, 9)))) for i in range(300)] + [(500, 500, "ABC", "exact title"), (501, 501, "X", "Abcdefgh")]
+    queries = [(i, word(int(rng.integers(1, 7)))) for i in range(200)] + [(900, "abc"), (901, "bcdefg"), (902, "zzzz"), (903, " exact T")]
     t = spark.createDataFrame(rows, "ord bigint, cik bigint, ticker string, title string")
-    best = comps.search(t, ["abc"]).where("rank = 1").first()
-    assert (best["ticker"], best["cik"]) == ("ABC", 500)
+    index = comps.search_index(t, write_stage)
+    found = comps.search(index, spark.createDataFrame(queries, "query_id bigint, query string"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["cik"], r["cls"])
+    for i, q in queries:
+        s, hits = q.strip().upper(), []
+        for o, c, tic, title in rows if s else []:
+            up = title.upper()
+            cls = 0 if tic == s else 1 if tic.startswith(s) or up.startswith(s) else 2 if s in up else None
+            hits += [(cls, o)] if cls is not None else []
+        assert got.get(i, {}) == {k: (o, c) for k, (c, o) in enumerate(sorted(hits)[:8], 1)}, q
+
+
+def test_typed_set_has_no_limit(spark):
+    t = spark.createDataFrame([(i, f"T{i}", "x") for i in range(30)], "cik bigint, ticker string, title string")
+    typed = spark.createDataFrame([("s", i, f"t{i}") for i in range(12)], "set_id string, ord bigint, text string")
+    none = spark.createDataFrame([], "cik bigint, used_cik bigint, steps bigint")
+    assert comps.build_sets(typed, t, none, t.selectExpr("cik", "true AS has_periods")).where("known AND has_periods").count() == 12
+
+
+def test_sets_follow_successions(spark):
+    """One step, two, three, a filer with periods of its own, an end without periods, a ring, and a ticker that nobody lists."""
+    tickers = spark.createDataFrame([(10, "ONE", "a"), (20, "TWO", "b"), (30, "THREE", "c"), (40, "OWN", "d"), (50, "DEAD", "e"), (60, "RING", "f"), (1, "LIVE", "g")], "cik bigint, ticker string, title string")
+    links = [(10, 1), (20, 21), (21, 2), (30, 31), (31, 32), (32, 3), (40, 4), (50, 51), (60, 61), (61, 62), (62, 60), (20, 99)]
+    alive = spark.createDataFrame([(i, i in (1, 2, 3, 4, 40)) for i in (1, 2, 3, 4, 40, 10, 20, 50)], "cik bigint, has_periods boolean")
+    followed = comps.follow_successions(alive, spark.createDataFrame(links, "cik bigint, pred_cik bigint"), write_stage)
+    assert {r.cik: (r.used_cik, r.steps) for r in followed.collect()} == {10: (1, 1), 20: (2, 2), 21: (2, 1), 30: (3, 3), 31: (3, 2), 32: (3, 1)}
+    typed = [("s", 1, " one "), ("s", 2, "two"), ("s", 3, "THREE"), ("s", 4, "Own"), ("s", 5, "dead"), ("s", 6, "ring"), ("s", 7, "live"), ("s", 8, "ONE"), ("s", 9, "  "), ("s", 10, "nosuch"), ("t", 1, "One")]
+    sets = comps.build_sets(spark.createDataFrame(typed, "set_id string, ord bigint, text string"), tickers, followed, alive).collect()
+    assert {(r.set_id, r.ticker): (r.ord, r.cik, r.used_cik, r.steps, r.known, r.has_periods) for r in sets} == {
+        ("s", "ONE"): (1, 10, 1, 1, True, True), ("s", "TWO"): (2, 20, 2, 2, True, True), ("s", "THREE"): (3, 30, 3, 3, True, True), ("s", "OWN"): (4, 40, 40, 0, True, True),
+        ("s", "DEAD"): (5, 50, 50, 0, True, False), ("s", "RING"): (6, 60, 60, 0, True, False), ("s", "LIVE"): (7, 1, 1, 0, True, True),
+        ("s", "NOSUCH"): (10, None, None, 0, False, False), ("t", "ONE"): (1, 10, 1, 1, True, True)}
 
 
 def test_suspects_of_short_and_shared_names(spark):
@@ -136,11 +174,6 @@ def test_rules_about_all_filings_read_past_the_page(spark):
     assert calendar.stale_sheets(p, readers.listed(f)).count() == 1
 
 
-def test_typed_set_has_no_limit(spark):
-    t = spark.createDataFrame([(i, f"T{i}", "x") for i in range(30)], "cik bigint, ticker string, title string")
-    assert comps.build_set(t, [f"t{i}" for i in range(12)]).where("known").count() == 12
-
-
 def test_snapshot_diff(spark):
     a = spark.createDataFrame([(1, "x", 1.0, "10-K"), (1, "y", 2.0, "10-K"), (1, "z", 3.0, "10-K"), (2, "x", 1.0, "10-K")], "cik int, k string, value double, form string")
     b = spark.createDataFrame([(1, "x", 1.5, "10-K"), (1, "z", 3.0, "10-K/A"), (1, "w", 4.0, "10-K"), (2, "x", 1.0, "10-K")], "cik int, k string, value double, form string")

@@ -5,15 +5,20 @@ side; the common prefix ends at the first turn whose messages are not the same
 on both sides.  What lies before it is the prompt.  The rest is each side's
 completion, in which only the assistant's words and their closing mark bear loss.
 
-Parts are cut every CHUNK turn numbers, so that a conversation of any length is
-rendered in groups of bounded size; most have one chunk.  A null turn stands
-last, null roles and texts count as empty, repeated messages count once, several
-messages of one turn are ordered by role and text, a null pair id is a pair.
-Identical sides are all prompt; an empty side gives no rows of its own.
+The messages of a part are numbered, and a chunk holds CHUNK of them, so that a
+conversation of any length, or a turn of any number of messages, is rendered in
+groups of bounded size; most parts have one chunk.  A null turn stands last, null
+roles and texts count as empty, repeated messages count once, several messages of
+one turn are ordered by role and text, a null pair id is a pair.  Identical sides
+are all prompt; an empty side gives no rows of its own.  ``complete`` says whether
+the pair has a chosen and a rejected completion: only such pairs can be learned from.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerline.llm.ranks import numbered
+
+#: Messages of a chunk, as a power of two; turns of a block within which messages are numbered.
 CHUNK_BITS = 8
 OPEN, HEAD, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
@@ -39,25 +44,34 @@ def _spans(pieces: Column) -> Column:
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """(pair_id, part, chunk, n_turns, text, loss_spans): part is prompt, chosen or rejected.
+    """(pair_id, part, chunk, n_turns, complete, text, loss_spans): part is prompt, chosen or rejected.
 
     Inputs: (pair_id, turn, role, text).  The first aggregation combines before
-    its shuffle and its keys are single messages, so no pair is gathered whole.
+    its shuffle and its keys are single messages, so no pair is gathered whole;
+    messages are numbered by a window over a block of turns, which streams.
     """
     messages = (_messages(chosen, "chosen").unionByName(_messages(rejected, "rejected")).groupBy("pair_id", "turn", "role", "text")
                 .agg(F.max("in_chosen").alias("in_chosen"), F.max("in_rejected").alias("in_rejected")))
-    parting = messages.groupBy(F.col("pair_id").alias("_pair")).agg(F.min(F.when(~(F.col("in_chosen") & F.col("in_rejected")), F.col("turn"))).alias("_parting"))
+    apart = ~(F.col("in_chosen") & F.col("in_rejected"))
+    parting = messages.groupBy(F.col("pair_id").alias("_pair")).agg(
+        F.min(F.when(apart, F.col("turn"))).alias("_parting"),
+        F.max(F.when(F.col("in_chosen"), F.col("turn"))).alias("_chosen"), F.max(F.when(F.col("in_rejected"), F.col("turn"))).alias("_rejected"))
+    # a side's completion is what it says from the parting on
+    complete = F.coalesce((F.col("_chosen") >= F.col("_parting")) & (F.col("_rejected") >= F.col("_parting")), F.lit(False))
     common = F.col("_parting").isNull() | (F.col("turn") < F.col("_parting"))
     parts = F.when(common, F.array(F.lit("prompt"))).otherwise(F.filter(F.array(
         F.when(F.col("in_chosen"), F.lit("chosen")), F.when(F.col("in_rejected"), F.lit("rejected"))), lambda p: p.isNotNull()))
     placed = messages.join(parting, F.col("pair_id").eqNullSafe(F.col("_pair"))).select(
-        "pair_id", F.explode(parts).alias("part"), F.shiftright("turn", chunk_bits).alias("chunk"), F.struct("turn", "role", "text").alias("m"))
-    grouped = placed.groupBy("pair_id", "part", "chunk").agg(F.array_sort(F.collect_list("m")).alias("m"))
+        "pair_id", F.explode(parts).alias("part"), complete.alias("complete"), "turn", "role", "text")
+    placed = numbered(placed, ["pair_id", "part"], F.shiftright("turn", CHUNK_BITS), ["turn", "role", "text"], "_n")
+    placed = placed.select("pair_id", "part", "complete", F.shiftright("_n", chunk_bits).alias("chunk"), F.struct("turn", "role", "text").alias("m"))
+    # at most 2^chunk_bits messages
+    grouped = placed.groupBy("pair_id", "part", "complete", "chunk").agg(F.array_sort(F.collect_list("m")).alias("m"))
     pieces = F.flatten(F.transform("m", lambda m: F.array(
         F.struct(F.concat(F.lit(OPEN), m.role, F.lit(HEAD)).alias("text"), F.lit(False).alias("train")),
         F.struct(F.concat(m.text, F.lit(CLOSE)).alias("text"), ((F.col("part") != "prompt") & (m.role == TRAINED)).alias("train")))))
-    return grouped.select("pair_id", "part", "chunk", F.size("m").alias("n_turns"), pieces.alias("p")).select(
-        "pair_id", "part", "chunk", "n_turns", F.array_join("p.text", "").alias("text"), _spans(F.col("p")).alias("loss_spans"))
+    return grouped.select("pair_id", "part", "chunk", F.size("m").alias("n_turns"), "complete", pieces.alias("p")).select(
+        "pair_id", "part", "chunk", "n_turns", "complete", F.array_join("p.text", "").alias("text"), _spans(F.col("p")).alias("loss_spans"))
 
 
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

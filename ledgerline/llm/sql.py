@@ -163,17 +163,18 @@ rejected AS (
 messages AS (
     SELECT pair_id, turn, role, text, bool_or(side = 'chosen') AS c, bool_or(side = 'rejected') AS r
     FROM (SELECT *, 'chosen' AS side FROM turns UNION ALL SELECT *, 'rejected' AS side FROM rejected) GROUP BY ALL),
-parting AS (SELECT pair_id, min(turn) FILTER (WHERE NOT (c AND r)) AS differ FROM messages GROUP BY pair_id),
+parting AS (
+    SELECT pair_id, min(turn) FILTER (WHERE NOT (c AND r)) AS differ, max(turn) FILTER (c) AS last_c, max(turn) FILTER (r) AS last_r FROM messages GROUP BY pair_id),
 placed AS (
-    SELECT m.*, unnest(CASE WHEN differ IS NULL OR turn < differ THEN ['prompt'] WHEN c AND r THEN ['chosen', 'rejected'] WHEN c THEN ['chosen'] ELSE ['rejected'] END) AS part
+    SELECT m.*, coalesce(last_c >= differ AND last_r >= differ, false) AS complete, unnest(CASE WHEN differ IS NULL OR turn < differ THEN ['prompt'] WHEN c AND r THEN ['chosen', 'rejected'] WHEN c THEN ['chosen'] ELSE ['rejected'] END) AS part
     FROM messages m JOIN parting USING (pair_id)),
 pieces AS (
-    SELECT *, turn // 256 AS chunk, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body FROM placed),
+    SELECT *, (row_number() OVER (PARTITION BY pair_id, part ORDER BY turn, role, text) - 1) // 256 AS chunk, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body FROM placed),
 run AS (
     SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part, chunk ORDER BY turn, role, text) AS stop FROM pieces)
-SELECT pair_id, part, chunk, count(*)::INTEGER AS n_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+SELECT pair_id, part, chunk, count(*)::INTEGER AS n_turns, complete, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
        coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY turn, role, text) FILTER (WHERE part <> 'prompt' AND role = 'assistant'), '') AS loss_spans
-FROM run GROUP BY pair_id, part, chunk
+FROM run GROUP BY pair_id, part, chunk, complete
 """
 
 

@@ -13,9 +13,13 @@ what is ordinary is equally long under both.  Windows of ordinary texts that sti
 gain are added to the ordinary dictionary before the thresholds are fitted.
 
 Training takes at most TOXIC and ORDINARY labelled texts of at most TRAIN_CHARS
-characters, in the order of a hash of the id, without near repeats.  Null and
-empty texts have no windows and get the score of the fit's constant.  If one class
-has no labelled text, every score is 0.  Repeated rows are scored alike.
+characters, in the order of a hash of the id, without near repeats; of rows that
+share an id one, with the smallest text.  The ordinary dictionary is trained on
+TEXT_PIECES pieces of PIECE bytes of each text, spread evenly from its beginning to
+its end, and on PIECES of them in all, spread evenly over the texts.  An id that is labelled both ways counts as toxic.  Null and empty
+texts have no windows and get the score of the fit's constant.  If one class has no
+labelled text, every score is 0.  Repeated rows are scored alike; an empty table
+gives no rows.  Only the id and text columns are read.
 """
 
 import math
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 TOXIC, ORDINARY, TRAIN_CHARS = 900, 1800, 20_000
 WINDOW, GRAM = 96, 5
 BASE_BYTES, TOXIC_BYTES, HARD_BYTES = 16_384, 4_096, 8_192
+#: Bytes of a piece of ordinary text, and pieces of one text and of all that the ordinary dictionary is trained on.
+PIECE, TEXT_PIECES, PIECES = 256, 16, 20_000
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.7
 _GAINS = ((2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1 << 30))
@@ -148,12 +154,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _spread(items: list, most: int) -> list:
+    """At most so many of the items, at equal distances."""
+    most = min(most, len(items))
+    return [items[i * len(items) // most] for i in range(most)]
+
+
+def spread_pieces(texts: list[str], of_text: int | None = None, most: int | None = None) -> list[bytes]:
+    """Pieces of every text, from its beginning to its end."""
+    pieces = [x for t in texts for b in [t.lower().encode()] for x in _spread([b[i:i + PIECE] for i in range(0, len(b), PIECE)], of_text or TEXT_PIECES)]
+    return _spread(pieces, most or PIECES)
+
+
 def train(toxic: list[str], ordinary: list[str]) -> Model:
     toxic, ordinary = _unlike(toxic, TOXIC), _unlike(ordinary, ORDINARY)
     if not toxic or not ordinary:
         return Model(b"", b"", None)
-    pieces = [b[i:i + 256] for t in ordinary for b in [t.lower().encode()[:4096]] for i in range(0, len(b), 256)]
-    base = _dictionary(BASE_BYTES, pieces[:20_000], 64)
+    base = _dictionary(BASE_BYTES, spread_pieces(ordinary), 64)
     words = toxic_words(toxic, ordinary)
     content = _dictionary(TOXIC_BYTES, [b"".join(words[i:i + 8]) for i in range(0, len(words), 8)], 20) if words else b""
     third = max(1, len(ordinary) // 3)
@@ -180,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     likely = marks.join(F.broadcast(counts), "y").where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) * F.col("n") <= 2.0 * most)
     chosen = likely.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(order, "id"))).where(F.col("r") <= most).select("id", "y", "r")
     texts = docs.select(F.col(id_column).alias("id"), F.substring(text_column, 1, TRAIN_CHARS).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "id").collect()  # at most 3 (TOXIC + ORDINARY) texts
+    # one text of an id, so that at most 3 (TOXIC + ORDINARY) texts are collected
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y", "r").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["r"], r["text"]))
     return train([r["text"] for r in rows if r["y"] == 1], [r["text"] for r in rows if r["y"] == 0])
 

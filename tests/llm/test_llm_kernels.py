@@ -150,15 +150,21 @@ def test_one_bit_codes_find_the_nearest():
     x[100:140] = x[7]  # ties
     ids, centre, turn = np.arange(3000), x.mean(axis=0), onebit.rotation(48)
     code, norm, own = onebit.codes(x, centre, turn)
-    q, v, d = onebit.best_in_block(ids, x, code, norm, own, ids[:60], x[:60], centre, turn, 10)
+    asked = onebit.ask(x[:60], centre, turn)
+    left, limits = onebit.survivors(ids, ids, code, norm, own, ids[:60], asked, np.full(60, np.inf), 10)
     hits = 0
     for i in range(60):
         exact = onebit.distances(x, x[i])
         want = [j for j in np.lexsort((ids, exact)) if j != i][:10]
-        hits += len(set(want) & set(v[q == i].tolist()))
-        assert np.array_equal(d[q == i], np.sort(d[q == i]))
-    assert hits >= 0.99 * 600
-    assert v[q == 7].tolist() == list(range(100, 110))
+        near = left[i][np.lexsort((left[i], exact[left[i]]))][:10]
+        hits += len(set(want) & set(near.tolist()))
+        assert i not in left[i] and exact[want[-1]] ** 2 <= limits[i] + 0.05
+        if i == 7:
+            assert near.tolist() == list(range(100, 110))
+    assert hits >= 0.99 * 600 and np.mean([len(r) for r in left]) < 0.25 * len(x)
+    # a lower limit from elsewhere leaves fewer, never others
+    again, _ = onebit.survivors(ids, ids, code, norm, own, ids[:60], asked, limits / 2, 10)
+    assert all(set(b) <= set(a) for a, b in zip(left, again))
 
 
 def test_toxicity_learns_words_and_scores_anything():

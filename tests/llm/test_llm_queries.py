@@ -40,6 +40,16 @@ def test_toxicity_scores_every_row(spark):
     assert len(rows) == read(spark, SF, "documents").count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """On sf0.01, with few labels to learn from: toxic held-out texts found, hardly any other marked."""
+    big = SF.replace("sf0.001", "sf0.01")
+    toxic = {r.doc_id: r.toxic for r in read(spark, big, "labels").collect()}
+    held = [r for r in QUERIES["op1_toxicity"](spark, big).collect() if r.held_out and r.doc_id in toxic]
+    found = [r.predicted for r in held if toxic[r.doc_id] == 1]
+    marked = [r.predicted for r in held if toxic[r.doc_id] == 0]
+    assert len(found) >= 5 and sum(found) >= 0.5 * len(found) and sum(marked) <= 0.02 * len(marked)
+
+
 def test_pipeline_stages(spark):
     docs, given = read(spark, SF, "documents"), {}
     for name, stage in corpus_pipeline.STAGES:

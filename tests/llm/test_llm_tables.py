@@ -233,8 +233,9 @@ def test_preferences(spark):
         assert r.n_turns == 1 and r.text[span.start:span.end] == f"{word}<|im_end|>\n"
     assert got[2, "prompt", 0].n_turns == 1 and (2, "chosen", 0) not in got
     assert got[3, "chosen", 0].text == f"{head('')}only<|im_end|>\n" and (3, "rejected", 0) not in got
-    assert got[None, "chosen", 0].n_turns == 1 and any(k[0] is None and k[2] > 0 for k in got)
-    assert [got[4, "prompt", c].n_turns for c in (0, 1)] == [256, 43] and got[4, "chosen", 1].n_turns == 1
+    # chunks hold numbered messages, whatever the turns' numbers
+    assert got[None, "chosen", 0].n_turns == 2 and not any(k[0] is None and k[2] > 0 for k in got)
+    assert [got[4, "prompt", c].n_turns for c in (0, 1)] == [256, 43] and got[4, "chosen", 0].n_turns == 1
     assert preferences.format_pairs(frame(left).limit(0), frame(right).limit(0)).count() == 0
 
 
@@ -245,6 +246,27 @@ def test_swapped_replies(spark):
     assert sorted((r.pair_id, r.turn, r.text) for r in rejected.collect()) == [(0, 0, "q"), (0, 1, "b"), (1, 0, "r"), (1, 1, "a"), (1, 2, "z")]
 
 
+def test_toxicity_of_odd_tables(spark):
+    """Repeated ids, contradicting labels, nulls, clashing columns, no rows, and one class only."""
+    workers_find_us(spark)
+    texts = [(i, ("vile scum filth " if i % 2 else "calm green field ") * 20 + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)]
+    rows = texts + [texts[0]] * 50 + [(0, "another text of this id"), (None, "no id"), (100, None), (101, "")]
+    docs = spark.createDataFrame([(i, t, 9.0, "x") for i, t in rows], "doc_id long, text string, score double, id string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (5, None), (6, 7)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model)
+    assert scored.columns == ["doc_id", "score"]
+    got = scored.collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got) == sorted((i is None, i) for i, _ in rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (100, 101)}) == 1
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    one = toxicity.fit(docs, labels.where("toxic = 0"))
+    assert {r.score for r in toxicity.score(docs, one).collect()} == {0.0}
+    pieces = toxicity.spread_pieces(["a" * 600, "b" * 300_000 + "e" * 300, "c"], 8)
+    assert [p[:1] for p in pieces] == [b"a"] * 3 + [b"b"] * 8 + [b"c"] and max(map(len, pieces)) <= toxicity.PIECE
+    assert toxicity.spread_pieces(["a" * 600, "b" * 300_000, "c"], 8, 4) == [b"a" * 256, b"b" * 256, b"b" * 256, b"b" * 256]
+
+
 def test_vectors(spark):
     rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 9)], "x") for i in range(60)]
     rows += [(100, None, "x"), (101, [0.0] * 8, "x"), (102, [float("nan")] + [1.0] * 7, "x"), (103, [None] + [1.0] * 7, "x"), (104, [1.0, 2.0], "x"), (None, [1.0] * 8, "x"),
@@ -314,3 +336,42 @@ def test_a_repeated_query_keeps_its_neighbours(spark):
     table = spark.createDataFrame(rows + [rows[19]], "vec_id long, embedding array<double>")
     got = onebit.search(table, every=20, k=10).collect()
     assert len(got) == len({r.vec_id for r in got}) == 10 and {r.query_id for r in got} == {20}
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_vectors_in_blocks_with_other_ids(spark, monkeypatch, kind):
+    """Several blocks of rows and queries, limits from a sample, ids of other types; against brute force."""
+    import numpy as np
+
+    for name, value in (("BLOCK_ROWS", 300), ("BLOCK_QUERIES", 20), ("LIMIT_SAMPLE", 400)):
+        monkeypatch.setattr(onebit, name, value)
+    x = np.random.default_rng(2).normal(size=(1500, 24))
+    rows = [(str(i) if kind == "string" else i, [float(c) for c in v], "x") for i, v in enumerate(x)]
+    rows += [("n/a", [0.5] * 24, "x")] if kind == "string" else []
+    table = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>, row string").repartition(4)
+    got = collections.defaultdict(list)
+    for r in onebit.search(table, every=30, k=10).collect():
+        got[int(r.query_id)].append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 1500, 30))
+    ids, vectors, hits = [r[0] for r in rows], np.array([r[1] for r in rows]), 0
+    for q, found in got.items():
+        exact = onebit.distances(vectors, x[q])
+        want = [i for _, i in sorted((d, i) for d, i in zip(exact.tolist(), ids) if i != (str(q) if kind == "string" else q))[:10]]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 11)) and [d for _, _, d in sorted(found)] == sorted(d for _, _, d in found)
+        hits += len(set(want) & {i for _, i, _ in found})
+    assert hits >= 0.99 * 10 * len(got)
+
+
+def test_preferences_of_many_messages_and_missing_sides(spark):
+    """One turn of many messages is cut into chunks of bounded size, null turns too; a side that is missing leaves its pair incomplete."""
+    schema = "pair_id long, turn long, role string, text string"
+    many = spark.range(3000).selectExpr("9L AS pair_id", "IF(id < 2000, 5L, NULL) AS turn", "'user' AS role", "CAST(id AS string) AS text")
+    few = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (3, 0, "user", "same")], schema)
+    other = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "b"), (3, 0, "user", "same"), (5, 0, "user", "r")], schema)
+    rows = preferences.format_pairs(many.unionByName(few), other).collect()
+    big = sorted((r.chunk, r.n_turns, r.text) for r in rows if r.pair_id == 9)
+    assert [c for c, _, _ in big] == list(range(12)) and [n for _, n, _ in big] == [256] * 11 + [3000 - 11 * 256]
+    told = [t for _, _, x in big for t in re.findall(r"user\n(\d+)<", x)]
+    assert told == sorted(map(str, range(2000))) + sorted(map(str, range(2000, 3000)))
+    assert {(r.pair_id, r.part, r.complete) for r in rows} == {(9, "chosen", False), (1, "prompt", True), (1, "chosen", True), (1, "rejected", True), (2, "chosen", False),
+                                                               (3, "prompt", False), (5, "rejected", False)}

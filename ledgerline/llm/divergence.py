@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerline.llm.tables import WORD, words
 from ledgerline.plans.stage import write_stage
 
-#: Patterns of the character classes; a text's other characters are the last class.
+#: Patterns of the character classes; a text's other characters are the last class.  No character is in two of them.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'()\-]", r"[\x20\x09-\x0D]")
 #: Twelve of the most common words of each language.
 COMMON = {
@@ -45,20 +45,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Different repeated windows up to which their places are found by looking each window up among them.
+FEW_REPEATED = 8
+
+
 def repeat_words(text_words: Column) -> Column:
     """Words that lie in a 3-word window found at least twice in the text.
 
-    Windows are sorted by hash with their place, so that equal ones are neighbours.
+    Sorted hashes of the windows tell which ones repeat.  If these are few, their
+    places are looked up; else windows are sorted by hash with their place, so that
+    equal ones are neighbours.
     """
-    def covered(s: Column) -> Column:
-        same = lambda i, j: F.coalesce(F.get(s, i).x == F.get(s, j).x, F.lit(False))
-        twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i - 1) | same(i, i + 1))
-        places = F.transform(twice, lambda i: F.get(s, i).i)
-        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
+    def by_sorting(w: Column) -> Column:
+        def of(s: Column) -> Column:
+            same = lambda i, j: F.coalesce(F.get(s, i).x == F.get(s, j).x, F.lit(False))
+            twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i - 1) | same(i, i + 1))
+            return F.array_sort(F.transform(twice, lambda i: F.get(s, i).i))
+        return let(F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), of)
+
+    def places(w: Column) -> Column:
+        follows = lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.when(a == b, a))
+        repeated = let(F.sort_array(w), lambda s: F.array_distinct(F.array_compact(follows(s))))
+        look = lambda r: F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(r, x), i)), lambda i: i.isNotNull())
+        return let(repeated, lambda r: F.when(F.size(r) <= FEW_REPEATED, look(r)).otherwise(by_sorting(w)))
+
+    def covered(p: Column) -> Column:
+        # each window covers three words, less those that the next one covers too
+        steps = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+        return F.aggregate(steps, F.lit(0), lambda n, x: n + x)
 
     def of_windows(w: Column) -> Column:
-        placed = F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(let(F.array_sort(placed), covered))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(let(places(w), covered))
 
     def of_hashes(h: Column) -> Column:
         windows = F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
@@ -67,12 +84,13 @@ def repeat_words(text_words: Column) -> Column:
     return let(F.transform(text_words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def base_columns(text: Column, text_words: Column) -> dict[str, Column]:
+def base_columns(text: Column, text_words: Column, rest: Column) -> dict[str, Column]:
+    """The counts of the base rules; rest is the text without its lower-case letters, which are no symbols."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return {
         "n_words": F.size(text_words).cast("long"),
         "word_chars": F.length(F.array_join(text_words, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_symbols": F.regexp_count(rest, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeat_words(text_words).cast("long"),
     }
@@ -86,9 +104,14 @@ def _is(word: str) -> Callable[[Column], Column]:
     return lambda w: w == word
 
 
-def histograms(text: Column, text_words: Column, lang: Column) -> dict[str, Column]:
-    """chars: six class counts; common: twelve word counts (null for an unlisted language)."""
-    classes = [F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES]
+def histograms(text: Column, text_words: Column, lang: Column, rest: Column) -> dict[str, Column]:
+    """classes: five class counts; common: twelve word counts (null for an unlisted language).
+
+    Most characters are of the first class: they are taken out of the text in runs,
+    and the others are counted in the rest, which is a fifth of it.
+    """
+    classes = [(F.length(text) - F.length(rest)).cast("long"), *[F.regexp_count(rest, F.lit(c)).cast("long") for c in CLASSES[1:-1]],
+               (F.length(text) - F.length(F.array_join(text_words, ""))).cast("long")]  # blanks are what no word holds
     common = None
     low = F.transform(text_words, F.lower)
     for name, wanted in COMMON.items():
@@ -119,10 +142,10 @@ def js_distance(p: Column, q: Column) -> Column:
 def measure(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """(id, lang, text_hash, base counts, chars and common histograms) for every row; one pass over the texts."""
     slim = df.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), F.col(lang_column).alias("lang"))
-    slim = slim.withColumn("words", words(F.col("text")))
-    text, found = F.col("text"), F.col("words")
-    counted = slim.select("id", "lang", F.xxhash64("text").alias("text_hash"), F.length("text").cast("long").alias("n_chars"), *[c.alias(n) for n, c in base_columns(text, found).items()],
-                          *[c.alias(n) for n, c in histograms(text, found, F.col("lang")).items()])
+    slim = slim.withColumn("words", words(F.col("text"))).withColumn("rest", F.regexp_replace("text", f"{CLASSES[0]}+", ""))
+    text, found, rest = F.col("text"), F.col("words"), F.col("rest")
+    counted = slim.select("id", "lang", F.xxhash64("text").alias("text_hash"), F.length("text").cast("long").alias("n_chars"), *[c.alias(n) for n, c in base_columns(text, found, rest).items()],
+                          *[c.alias(n) for n, c in histograms(text, found, F.col("lang"), rest).items()])
     return counted.select("id", "lang", "text_hash", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           with_rest(F.col("classes"), F.col("n_chars")).alias("chars"), with_rest(F.col("common"), F.col("n_words")).alias("common"))
 

@@ -8,14 +8,17 @@ largest sum of marginals over words that hold a letter.
 
 Training learns every label.  It takes at most PER_LANGUAGE labelled texts of each
 (the least hashes of the text), and fewer, but LEAST_TEXTS, where the labels are so
-many that this makes more than MOST_TEXTS in all; at most TRAIN_WORDS words of each.
-The driver holds about 2 MB of weights a label while it trains, a worker 0.25 MB.
-Words of a text carry the
-text's label, so a text's foreign passages are noise; weights decay against it.
+many that this makes more than MOST_TEXTS in all; at most TRAIN_WORDS words and
+TRAIN_CHARS characters of each.  The driver holds about 2 MB of weights a label while
+it trains, a worker 0.25 MB.  Words of a text carry the text's label, so a text's
+foreign passages are noise; weights decay against it.  Every SPLICE_EVERY-th text is
+joined to the beginning of a text of another label, each half with its own, so that
+transitions learn that a language may change.
 
 Null texts and texts without a letter give "und" with score 0.  With no labelled
 text at all every text is "und".  Ties go to the language that is first in order.
-Rows are kept one to one with all their columns.
+Rows are kept one to one with all their columns, but for columns that are named like
+a result: the result takes their place.
 """
 
 from collections.abc import Iterator
@@ -25,12 +28,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ledgerline.llm.textbuf import Spans, mix, pieces_of_batch, text_buffer, word_spans
 from ledgerline.plans.stage import write_stage
 
 PER_LANGUAGE, TRAIN_WORDS, EPOCHS = 250, 400, 3
+#: Characters of a training text that are read for its words, and texts of which one is joined to another label's.
+TRAIN_CHARS, SPLICE_EVERY = 40 * TRAIN_WORDS, 4
 #: Training texts of all labels together, and of one label however many labels there are.
 MOST_TEXTS, LEAST_TEXTS = 16000, 25
 BITS = 16
@@ -202,6 +207,19 @@ def emissions(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(texts: list[str], target: np.ndarray, rng: np.random.Generator) -> list[list[tuple[str, int]]]:
+    """(words, label) of each training sequence: a text's first words, or half as many and those of a text of another label."""
+    out = []
+    for i, text in enumerate(texts):
+        words, other = text.split(), int(rng.integers(len(texts)))
+        if i % SPLICE_EVERY == 0 and target[other] != target[i]:
+            half = TRAIN_WORDS // 2
+            out.append([(" ".join(words[:half]), int(target[i])), (" ".join(texts[other].split()[:half]), int(target[other]))])
+        else:
+            out.append([(" ".join(words[:TRAIN_WORDS]), int(target[i]))])
+    return out
+
+
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> Model:
     """Adagrad on the log-likelihood of the label sequences, in batches of whole texts."""
     languages = tuple(sorted(set(labels)))
@@ -210,17 +228,17 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     seen_w, seen_t = np.full((1 << BITS, k), 1e-2), np.full((k, k), 1e-2)
     target = np.array([languages.index(x) for x in labels], np.int64)
     rng = np.random.default_rng(7)
+    parts = _parts(texts, target, rng)
     for _ in range(epochs if k > 1 else 0):
         shuffled = rng.permutation(len(texts))
         for begin in range(0, len(texts), 64):
-            pick = shuffled[begin:begin + 64]
-            short = [" ".join(texts[i].split()[:TRAIN_WORDS]) for i in pick]
-            rows, of, first, full = word_features(*text_buffer(pa.array(short, pa.string())))
+            pick = [parts[i] for i in shuffled[begin:begin + 64]]
+            rows, of, bounds, full = word_features(*text_buffer(pa.array([t for p in pick for t, _ in p], pa.string())))
             if not len(of):
                 continue
-            count = np.diff(first)
-            truth = np.repeat(target[pick], count)
-            inside = np.arange(len(of)) != np.repeat(first[:-1], count)
+            truth = np.repeat(np.array([x for p in pick for _, x in p], np.int64), np.diff(bounds))
+            first = bounds[np.append(0, np.cumsum([len(p) for p in pick]))]
+            inside = np.arange(len(of)) != np.repeat(first[:-1], np.diff(first))
             score = emissions(rows, weights)[of] * full[of][:, None]
             seen = marginals(score, transitions, first)
             gold = np.zeros_like(seen)
@@ -248,26 +266,54 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     return Model(languages, weights.astype(np.float32), transitions)
 
 
+def _word_marginals(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals of every word, zero for words without a letter; first word of each text; whether a word has letters)."""
+    rows, of, first, full = word_features(data, offsets)
+    if not len(of):
+        return np.zeros((0, len(model.languages))), first, np.zeros(0, bool)
+    score = emissions(rows, model.weights).astype(float) * full[:, None]
+    return marginals(score[of], model.transitions, first) * full[of][:, None], first, full[of]
+
+
 def label_texts(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(index of each text's language or -1, its share of the marginals)."""
     n, k = len(offsets) - 1, len(model.languages)
     best, share = np.full(n, -1, np.int64), np.zeros(n)
     if not k or not len(data):
         return best, share
-    rows, of, first, full = word_features(data, offsets)
-    if not len(of):
+    seen, first, full = _word_marginals(data, offsets, model)
+    if not len(full):
         return best, share
-    score = emissions(rows, model.weights).astype(float) * full[:, None]
-    seen = marginals(score[of], model.transitions, first) * full[of][:, None]
     run = np.vstack([np.zeros(k), np.cumsum(seen, axis=0)])
     sums = run[first[1:]] - run[first[:-1]]
-    spoken = np.append(0, np.cumsum(full[of]))
+    spoken = np.append(0, np.cumsum(full))
     lettered = spoken[first[1:]] > spoken[first[:-1]]
     best[lettered] = sums[lettered].argmax(axis=1)
     share[lettered] = np.clip(sums[lettered].max(axis=1) / sums[lettered].sum(axis=1), 0, 1)
     return best, share
 
 
+def label_spans(data: np.ndarray, offsets: np.ndarray, model: Model) -> list[list[dict]]:
+    """Of each text the runs of words in one language: start and end in code points, language, mean marginal."""
+    out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
+    if not len(model.languages) or not len(data):
+        return out
+    seen, first, full = _word_marginals(data, offsets, model)
+    start, end, _ = word_spans(data, offsets)
+    point = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    for t in range(len(out)):
+        words = np.flatnonzero(full[first[t]:first[t + 1]]) + first[t]
+        if not len(words):
+            continue
+        best = seen[words].argmax(axis=1)
+        cuts = np.append(0, np.flatnonzero(np.diff(best)) + 1)
+        for a, b in zip(cuts, np.append(cuts[1:], len(words))):
+            run, base = words[a:b], point[offsets[t]]
+            out[t].append({"start": int(point[start[run[0]]] - base), "end": int(point[end[run[-1]]] - base), "lang": model.languages[best[a]],
+                           "score": float(seen[run, best[a]].mean())})
+    return out
+
+
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_column: str = "text", label_column: str = "lang") -> Model:
     """A model from a bounded sample of labelled texts: the least hashes of each language's texts."""
     rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("text is not null and label is not null")
@@ -280,21 +326,42 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_column: str
     taken = taken.where(F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30))
     taken = taken.dropDuplicates(["label", "text"])
     top = taken.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(order, "text"))).where(F.col("r") <= per_language)
-    found = top.select("label", F.substring("text", 1, 40 * TRAIN_WORDS).alias("text")).collect()
+    found = top.select("label", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
     found.sort(key=lambda r: (r["label"], r["text"]))
     return train([r["text"] for r in found], [r["label"] for r in found])
 
 
-def identify(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """df with lang_pred and score for every row."""
+def _labelled(df: DataFrame, model: Model, text_column: str, fields: list[StructField], label) -> DataFrame:
+    """df with the columns that label makes of a batch's texts; columns of df with their names give way."""
+    df = df.drop(*[f.name for f in fields if f.name != text_column])
     at = df.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             for part in pieces_of_batch(batch, text_column, PIECE * MOST_CHAINED // max(MOST_CHAINED, len(model.languages))):
-                best, share = label_texts(*text_buffer(part.column(at)), model)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(share, pa.float64())],
-                                                 names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *label(*text_buffer(part.column(at)))], names=[*part.schema.names, *[f.name for f in fields]])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *fields]))
+
+
+def identify(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """df with lang_pred and score for every row."""
+    def label(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        best, share = label_texts(data, offsets, model)
+        return [pa.array(np.array([*model.languages, UNKNOWN], object)[best], pa.string()), pa.array(share, pa.float64())]
+
+    return _labelled(df, model, text_column, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], label)
+
+
+def label_words(df: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """df with lang_spans: the runs of words in one language, (start, end, lang, score), in code points, end exclusive.
+
+    Words without a letter belong to no run of their own; a text without letters has no runs.
+    """
+    span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType()), StructField("score", DoubleType())])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def label(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        return [pa.array(label_spans(data, offsets, model), kind)]
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return _labelled(df, model, text_column, [StructField("lang_spans", ArrayType(span))], label)

@@ -127,7 +127,7 @@ counted AS (
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
         len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))
             - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS n_dup_lines,
-        coalesce(cov.n, 0) AS n_repeat_words, list_transform(ws, lambda x: lower(x)) AS low,
+        coalesce(cov.n, 0) AS n_repeat_words, md5(text) AS text_key, list_transform(ws, lambda x: lower(x)) AS low,
         [length(regexp_replace(text, '\\P{{Ll}}', '', 'g')), length(regexp_replace(text, '\\P{{Lu}}', '', 'g')), length(regexp_replace(text, '\\P{{Nd}}', '', 'g')),
          length(regexp_replace(text, '[^.,;:!?''()\\-]', '', 'g')), length(regexp_replace(text, '{WORD}', '', 'g'))] AS five
     FROM w LEFT JOIN cov USING (r)),
@@ -135,10 +135,25 @@ measured AS (
     SELECT * EXCLUDE (five, low), list_concat(five, [n_chars - list_sum(five)]) AS chars, list_concat(c, [n_words - list_sum(c)]) AS common,
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
     FROM (SELECT *, {_common()} AS c FROM counted)),
-every AS ({_reference('measured')}),
-first_look AS ({_distances('measured', 'every')}),
+votes AS (
+    SELECT DISTINCT lang, text_key, CASE WHEN n_chars >= 300 THEN chars END AS chars, CASE WHEN n_words >= 100 THEN common END AS common FROM measured WHERE NOT base_failed),
+shares AS (
+    SELECT lang, i, round(chars[i + 1] * 2000 / list_sum(chars))::BIGINT AS step FROM votes, range(0, 6) AS t(i) WHERE chars IS NOT NULL
+    UNION ALL SELECT lang, 6 + i, round(common[i + 1] * 2000 / list_sum(common))::BIGINT FROM votes, range(0, 13) AS t(i) WHERE common IS NOT NULL),
+half AS (
+    SELECT lang, i, step, sum(n) OVER (PARTITION BY lang, i ORDER BY step) AS run, sum(n) OVER (PARTITION BY lang, i) AS whole
+    FROM (SELECT lang, i, step, count(*) AS n FROM shares GROUP BY ALL)),
+medians AS (SELECT lang, i, min(step) AS m FROM half WHERE 2 * run >= whole GROUP BY ALL),
+first_reference AS (
+    SELECT lang, [{", ".join(f"coalesce(max(m) FILTER (i = {i}), 0)" for i in range(6))}] AS chars, [{", ".join(f"coalesce(max(m) FILTER (i = {i}), 0)" for i in range(6, 19))}] AS common
+    FROM medians GROUP BY lang),
+first_look AS ({_distances('measured', 'first_reference')}),
 ordinary AS ({_reference("(SELECT * FROM first_look WHERE NOT base_failed AND coalesce(dc, 0) <= 0.25 AND coalesce(dw, 0) <= 0.25)")}),
-told AS ({_distances('measured', 'ordinary')})
+reference AS (
+    SELECT CASE WHEN o.chars IS NOT NULL THEN o.lang ELSE f.lang END AS lang, CASE WHEN list_max(o.chars) > 0 THEN o.chars ELSE coalesce(f.chars, o.chars) END AS chars,
+           CASE WHEN list_max(o.common) > 0 THEN o.common ELSE coalesce(f.common, o.common) END AS common
+    FROM ordinary o FULL JOIN first_reference f ON o.lang IS NOT DISTINCT FROM f.lang),
+told AS ({_distances('measured', 'reference')})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(dc <= 0.15 + 50.0 / n_chars, true) AND coalesce(dw <= 0.3, true) AS kept
 FROM told

@@ -184,6 +184,68 @@ def test_quality(docs, nothing):
     assert divergence.judge(nothing).count() == 0
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """Medians of the first look, the references and both distances, in plain Python; a third of the rows are copies of one junk text."""
+    import math
+    import random
+
+    import regex
+
+    workers_find_us(spark)
+    rng = random.Random(2)
+    vocabulary = {"en": [*divergence.COMMON["en"], "house", "river", "stone", "Window"], "xx": ["plok", "mira", "Senu", "tova"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[g]) + rng.choice(["", "", ",", "."]) + f"{rng.randint(0, 99) if rng.random() < 0.02 else ''}" for _ in range(rng.randint(20, 260))), g)
+            for i, g in enumerate(["en"] * 60 + ["xx"] * 30)]
+    junk = " ".join(str(rng.randint(10**5, 10**6)) for _ in range(400))
+    rows += [(200 + i, junk, "en") for i in range(40)] + [(300 + i, " ".join(str(rng.randint(0, 9999)) for _ in range(150)), None) for i in range(5)] + [(400, None, "en"), (401, "", "zz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def counts(t, lang):
+        n = [len(regex.findall(c, t)) for c in divergence.CLASSES]
+        w = [x.lower() for x in WORDS.findall(t)]
+        common = [w.count(c) for c in divergence.COMMON[lang]] if lang in divergence.COMMON else None
+        return n + [len(t) - sum(n)], common and common + [len(w) - sum(common)]
+
+    def failed(t):
+        w = WORDS.findall(t)
+        at = collections.defaultdict(list)
+        for i in range(len(w) - 2):
+            at[tuple(w[i:i + 3])].append(i)
+        return len(w) < 50 or 100 * len({i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}) > 50 * len(w)
+
+    def distance(p, q):
+        if not p or not q or not sum(p) or not sum(q):
+            return None
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return math.sqrt(max(0, sum((x * math.log2(x / ((x + y) / 2)) if x else 0) + (y * math.log2(y / ((x + y) / 2)) if y else 0) for x, y in zip(p, q)) / 2))
+
+    def both(t, lang, reference):
+        c, w = counts(t, lang)
+        rc, rw = reference.get(lang, (None, None))
+        return distance(c, rc) if len(t) >= 300 else None, distance(w, rw) if len(WORDS.findall(t)) >= 100 else None
+
+    given = [(i, t or "", g) for i, t, g in rows]
+    first, final = {}, {}
+    for lang in {g for _, _, g in given}:
+        votes = [counts(t, lang) + (len(t), len(WORDS.findall(t))) for t in {t for _, t, g in given if g == lang and not failed(t)}]
+        median = lambda xs: sorted(xs)[(len(xs) - 1) // 2]
+        steps = lambda n, total: math.floor(n * divergence.SHARE_STEPS / total + 0.5)
+        chars = [[steps(x, sum(c)) for x in c] for c, _, n, _ in votes if n >= 300]
+        words = [[steps(x, sum(w)) for x in w] for _, w, _, n in votes if w and n >= 100]
+        if chars or words:
+            first[lang] = ([median(x) for x in zip(*chars)] if chars else [0] * 6, [median(x) for x in zip(*words)] if words else [0] * 13)
+    for lang in {g for _, _, g in given}:
+        near = [counts(t, lang) for _, t, g in given if g == lang and not failed(t) and all((d or 0) <= 0.25 for d in both(t, lang, first))]
+        sums = ([sum(x) for x in zip(*(c for c, _ in near))], [sum(x) for x in zip(*(w for _, w in near if w))])
+        final[lang] = tuple(s if any(s) else f for s, f in zip(sums, first.get(lang, (None, None))))
+    want = {}
+    for i, t, lang in given:
+        dc, dw = both(t, lang, final)
+        want[i] = not failed(t) and (dc is None or dc <= 0.15 + 50 / len(t)) and (dw is None or dw <= 0.3)
+    got = {r.doc_id: r.kept for r in divergence.judge(table).collect()}
+    assert got == want and not any(got[200 + i] for i in range(40)) and sum(got.values()) > 50
+
+
 def test_divergence_is_the_formula(spark):
     import math
     p, q = [3.0, 0.0, 1.0], [1.0, 1.0, 2.0]
@@ -246,6 +308,28 @@ def test_swapped_replies(spark):
     assert sorted((r.pair_id, r.turn, r.text) for r in rejected.collect()) == [(0, 0, "q"), (0, 1, "b"), (1, 0, "r"), (1, 1, "a"), (1, 2, "z")]
 
 
+def test_languages_of_passages(spark):
+    """Runs of words in one language within a text, beside columns that are named like results."""
+    workers_find_us(spark)
+    import random
+
+    rng = random.Random(1)
+    words = {"aa": ["katu", "milo", "sanu", "tirok", "belu"], "zz": ["wqrth", "blxsch", "ngrft", "schtz", "prkst"]}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice(["", "a", "e"]) for _ in range(n))
+    train = [(say(g, 60), g) for g in ("aa", "zz") for _ in range(60)]
+    model = crf.fit(spark.createDataFrame(train, "text string, lang string"))
+    first, second = say("aa", 40), "é12 " + say("zz", 40)
+    texts = [f"{first}, 77 {second}", first, None, "", "12 !!", second]
+    table = spark.createDataFrame([(i, t, 5, "x", "y") for i, t in enumerate(texts)], "score int, text string, n int, lang_pred string, lang_spans string")
+    told = crf.identify(table.withColumn("id", F.col("score")), model)
+    assert told.columns == ["text", "n", "lang_spans", "id", "lang_pred", "score"]
+    assert {r.id: r.lang_pred for r in told.collect()} == {0: told.where("id = 0").first().lang_pred, 1: "aa", 2: "und", 3: "und", 4: "und", 5: "zz"}
+    spans = {r["score"]: [tuple(x) for x in r.lang_spans] for r in crf.label_words(table, model).collect()}
+    assert [s[2] for s in spans[0]] == ["aa", "zz"] and spans[2] == spans[3] == spans[4] == [] and [s[2] for s in spans[1]] == ["aa"]
+    (a, b, _, p), (c, d, _, q) = spans[0]
+    assert (a, d) == (0, len(texts[0])) and abs(b - len(first)) <= 12 and b < c and p > 0.5 and q > 0.5
+
+
 def test_toxicity_of_odd_tables(spark):
     """Repeated ids, contradicting labels, nulls, clashing columns, no rows, and one class only."""
     workers_find_us(spark)

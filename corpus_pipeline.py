@@ -1,10 +1,13 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
-All but the last return the columns of documents.
+All but the last return the columns of documents; other columns of the input are not
+carried along, whatever their names.  Null and repeated ids are rows like others, a
+repeated row is judged like its twin, texts are read whole, and an empty table gives
+an empty table.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.llm import bpe, crf, divergence, mixing, parity
 from ledgerline.llm.components import MOST_BROADCAST, of_ids
@@ -38,7 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the counting rules or lie far from their language's histograms go."""
+    """Documents that fail the counting rules or lie far from their language's histograms go; null and empty texts fail them."""
     rows = _rows(docs)
     return _without(rows, divergence.judge(rows, "_row").where("not kept").select("_row")).select(*COLUMNS)
 
@@ -60,14 +63,21 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = _rows(docs)
     mixed = write_stage(mixing.mix(rows, id_column="_row").groupBy("id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mixed")
     # one copy each is the rule, only the others are joined; equal rows share their copies
-    others = mixed.where("copies <> rows").select(F.col("id").alias("_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("_copies"))
+    others = mixed.where("copies <> rows").select(F.col("id").alias("_id"), "copies", "rows")
     few = others.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     joined = rows.join(F.broadcast(others) if few else others, F.col("_row").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1))))).select(*COLUMNS)
+    share = F.coalesce(F.floor(F.col("copies") / F.col("rows")), F.lit(1)).cast("int")
+    even, uneven = joined.withColumn("_copies", share), F.coalesce(F.col("copies") % F.col("rows") != 0, F.lit(False))
+    if others.where(uneven).limit(1).count():
+        # equal rows whose copies do not divide among them: the first ones take one more
+        nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
+        more = F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+        even = even.where(~uneven).unionByName(even.where(uneven).withColumn("_copies", F.col("_copies") + more))
+    return even.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and digests of them and of the text that they decode to."""
+    """The token ids of every document, and digests of them and of the text that they decode to; a null text is an empty one."""
     workers_find_us(spark)
     return bpe.round_trip(docs, RANK_FILE, with_ids=True)
 

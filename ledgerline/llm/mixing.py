@@ -62,13 +62,16 @@ def _rate(t: Column, n: Column, most: int) -> Column:
 
 
 def balance(counts: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, t, full) from counts (source, size, docs): t is the multiplier; full sources take most copies of all they have."""
+    """(source, t, full) from counts (source, size, docs): t is the multiplier; full sources take most copies of all they have.
+
+    Newton steps inside the bracket found so far; what STEPS of them leave is halved on.
+    """
     means = counts.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("docs") * F.col("size")) / F.sum("docs")).alias("mean"))
     state = targets.join(means, targets["source"].eqNullSafe(F.col("s"))).select(
         "source", "target", "mean", F.lit(0.0).alias("t"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (F.col("target") >= F.col("n") * most).alias("full"),
         (F.col("target") <= 0).alias("done")).withColumn("done", F.col("done") | F.col("full"))
     state = write_stage(state, "tilt-0")
-    for step in range(1, STEPS + 1):
+    for step in range(1, 3 * STEPS + 1):
         s = state.select(*[F.col(c).alias(f"_{c}") for c in ("source", "t", "mean", "done")])
         x = counts.join(s, F.col("source").eqNullSafe(F.col("_source"))).where("not _done")
         z = F.col("size") / F.col("_mean")
@@ -81,15 +84,15 @@ def balance(counts: DataFrame, targets: DataFrame, most: int = MOST) -> DataFram
         lo, hi = F.when(gap > 0, F.col("t")).otherwise(F.col("lo")), F.when(gap < 0, F.col("t")).otherwise(F.col("hi"))
         newton = F.col("t") + F.greatest(F.lit(-8.0), F.least(F.lit(8.0), gap / F.greatest("slope", F.lit(1e-12))))
         near = state.join(sums, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("lo", lo).withColumn("hi", hi)
-        inside = (newton > F.col("lo")) & (newton < F.col("hi"))
+        inside = (newton > F.col("lo")) & (newton < F.col("hi")) & F.lit(step <= STEPS)
         bounded = (F.col("lo") > -1e6) & (F.col("hi") < 1e6)
         moved = F.when(inside, newton).when(bounded, (F.col("lo") + F.col("hi")) / 2).otherwise(F.when(gap > 0, F.col("t") * 2 + 1).otherwise(F.col("t") * 2 - 1))
         over = F.col("done") | (F.abs(gap) <= TOLERANCE * F.col("target"))
         state = write_stage(near.select("source", "target", "mean", F.when(over, F.col("t")).otherwise(moved).alias("t"),
                                         "lo", "hi", "full", over.alias("done")), f"tilt-{step}")
         if state.where("not done").limit(1).count() == 0:
-            break
-    return state
+            return state
+    raise RuntimeError("the dual of some sources is not solved; their targets cannot be met")
 
 
 def copies_by_size(counts: DataFrame, state: DataFrame, most: int = MOST) -> DataFrame:

@@ -86,3 +86,72 @@ def test_pipeline_stages(spark):
     got = docs.collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in given["byte_bpe"])
     assert all(list(r.ids) == TIK.encode_ordinary(text[r.doc_id]) for r in got)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, size string, _row string, kept string"
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Nulls, empty and long texts, repeated rows and ids, copies, and columns that are named like results."""
+    import random
+
+    rng = random.Random(3)
+    syllables = "the an er on re he in ed nd ha at en es of or nt ea ti to it".split()
+    prose = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    texts = [prose(rng.randint(60, 150)) for _ in range(40)]
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)] + [(100 + i, texts[i], "en", None) for i in range(5)]
+    rows += [(200, None, "en", "a"), (201, "", None, "a"), (202, " \n\t", "en", "b"), (203, "12 34 !!", None, None), (None, prose(80), None, "a"), (None, None, None, None)]
+    rows += [(300, prose(30_000), "en", "c"), (301, texts[0] + " " + prose(2), None, "c")] + [(302, texts[7], "en", "b")] * 3 + [(303, prose(90), "zz", "b")] * 2
+    return spark.createDataFrame([(*r, 0, 1.0, "x", "x", "x", "x") for r in rows], ODD).repartition(3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_on_odd_rows(spark, odd_docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    given, out = odd_docs.collect(), stage(spark, odd_docs, "")
+    got = out.collect()
+    empty = stage(spark, odd_docs.limit(0), "")
+    assert empty.count() == 0 and empty.columns == out.columns
+    key = lambda r: (r.doc_id, r.text)
+    before, after = collections.Counter(map(key, given)), collections.Counter(map(key, got)) if name != "byte_bpe" else None
+    if name == "byte_bpe":
+        assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in given)
+        assert {tuple(r.ids) for r in got if r.doc_id in (200, 201)} == {()}
+        text = {r.doc_id: r.text for r in given if r.doc_id is not None}
+        assert all(list(r.ids) == TIK.encode_ordinary(text[r.doc_id] or "") for r in got if r.doc_id is not None)
+        return
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS and set(after) <= set(before)
+    gone = set(before) - set(after)
+    if name == "mixing":  # each row at most three times
+        assert all(after[k] <= 3 * before[k] for k in before)
+        return
+    if name == "language_id":
+        assert gone == {k for k in before if not any(c.isalpha() for c in k[1] or "")} and all(r.lang for r in got)
+    elif name == "quality_rules":
+        assert {k for k in before if len(WORDS.findall(k[1] or "")) < 50} <= gone and (300, [t for i, t in before if i == 300][0]) not in gone
+    else:  # of each group one row, the least id; texts without words stay
+        assert {k for k in before if k[0] in (200, 201, 202)} <= set(after)
+        assert {k[0] for k in gone} >= {100, 101, 102, 103, 104, 301, 302} and not any(k[0] is not None and k[0] < 40 for k in gone)
+    if name != "ngram_jaccard":
+        assert all(after[k] == before[k] for k in after)
+    else:
+        assert set(after.values()) == {1}
+
+
+def test_copies_of_equal_rows_are_shared(spark, monkeypatch):
+    """Equal rows take together the copies that were drawn for them."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 4 + [(2, "c d", "en", "s", 3)] * 3 + [(3, "e", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    drawn = {1: (0, 3), 2: (2, 2), 3: (2, 0)}  # copies of the first row of an id, and of each of the others together
+    def mix(rows, id_column):
+        nth = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(id_column).orderBy(F.lit(0)))
+        first = F.create_map(*[F.lit(x) for i, (a, _) in drawn.items() for x in (i, a)])
+        second = F.create_map(*[F.lit(x) for i, (_, b) in drawn.items() for x in (i, b)])
+        told = rows.withColumn("n", nth).withColumn("copies", F.when(F.col("n") == 1, first[F.col("doc_id")]).when(F.col("n") == 2, second[F.col("doc_id")]).otherwise(0))
+        return told.select(F.col(id_column).alias("id"), "copies")
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", mix)
+    got = collections.Counter(r.doc_id for r in corpus_pipeline.mixing_sources(spark, docs, "").collect())
+    assert got == {1: 3, 2: 4, 3: 2}

@@ -39,19 +39,20 @@ COVER_SHARES = "dei:EntityCommonStockSharesOutstanding"
 
 # Rows that do not exist for an industry.
 _CARRIER = (
-    "cogs grossProfit grossMargin inventory dso dio dpo ccc currentRatio quickRatio curAssets curLiab "
-    "prepaid ap totalOpex ebit ebitda ebitdaSbc ebitMargin ebitdaMargin ebitdaGrowth netLev grossLev "
-    "intCover fccr nwc nwcPctRev assetTurn capexPctRev ev evRev evEbitda evEbit evFcf ufcf nopat roic "
-    "investedCap"
+    "cogs", "grossProfit", "grossMargin", "inventory", "dso", "dio", "dpo", "ccc", "currentRatio", "quickRatio",
+    "curAssets", "curLiab", "prepaid", "ap", "totalOpex", "ebit", "ebitda", "ebitdaSbc", "ebitMargin",
+    "ebitdaMargin", "ebitdaGrowth", "netLev", "grossLev", "intCover", "fccr", "nwc", "nwcPctRev", "assetTurn",
+    "capexPctRev", "ev", "evRev", "evEbitda", "evEbit", "evFcf", "ufcf", "nopat", "roic", "investedCap",
 )
 NOT_APPLICABLE = {
-    "bank": (
-        "cogs grossProfit inventory dio dpo ccc currentRatio quickRatio curAssets curLiab totalOpex ebit "
-        "ebitda ebitdaSbc ebitMargin ebitdaMargin ebitdaGrowth netLev grossLev intCover fccr nwc nwcPctRev "
-        "assetTurn capexPctRev prepaid ap evEbitda evEbit ufcf nopat roic investedCap"
-    ).split(),
-    "pc": _CARRIER.split(),
-    "life": _CARRIER.split(),
+    "bank": [
+        "cogs", "grossProfit", "inventory", "dio", "dpo", "ccc", "currentRatio", "quickRatio", "curAssets",
+        "curLiab", "totalOpex", "ebit", "ebitda", "ebitdaSbc", "ebitMargin", "ebitdaMargin", "ebitdaGrowth",
+        "netLev", "grossLev", "intCover", "fccr", "nwc", "nwcPctRev", "assetTurn", "capexPctRev", "prepaid", "ap",
+        "evEbitda", "evEbit", "ufcf", "nopat", "roic", "investedCap",
+    ],
+    "pc": list(_CARRIER),
+    "life": list(_CARRIER),
     "health": ["inventory", "dio", "ccc"],
     "advisory": ["inventory", "dio", "dpo", "ccc"],
     "reit": ["inventory", "dio", "dpo", "ccc"],
@@ -62,17 +63,18 @@ INSTANT_SECTIONS = ("bs", "debtlike", "dilution")
 
 # How a key is displayed.
 PERCENT_KEYS = (
-    "grossMargin ebitdaMargin ebitMargin netMargin fcfMargin taxRate cashTaxRate revGrowth ebitdaGrowth "
-    "epsGrowth revCagr3 revCagr5 roic roe roa nwcPctRev capexPctRev daPctRev sbcPctRev fcfConv debtCap "
-    "fcfYield divYield premium1d efficiency niiOnAssets allowanceToLoans provisionToLoans depositsToAssets "
-    "equityToAssets lossRatio expenseRatio combinedRatio pyDevRatio cededRatio investmentYield benefitRatio "
-    "creditingRate mlr healthSgaRatio premiumMix ffoPayout noiMargin accumDepPct debtToGrossRE compRatio "
-    "pretaxMargin rote"
-).split()
+    "grossMargin", "ebitdaMargin", "ebitMargin", "netMargin", "fcfMargin", "taxRate", "cashTaxRate", "revGrowth",
+    "ebitdaGrowth", "epsGrowth", "revCagr3", "revCagr5", "roic", "roe", "roa", "nwcPctRev", "capexPctRev",
+    "daPctRev", "sbcPctRev", "fcfConv", "debtCap", "fcfYield", "divYield", "premium1d", "efficiency", "niiOnAssets",
+    "allowanceToLoans", "provisionToLoans", "depositsToAssets", "equityToAssets", "lossRatio", "expenseRatio",
+    "combinedRatio", "pyDevRatio", "cededRatio", "investmentYield", "benefitRatio", "creditingRate", "mlr",
+    "healthSgaRatio", "premiumMix", "ffoPayout", "noiMargin", "accumDepPct", "debtToGrossRE", "compRatio",
+    "pretaxMargin", "rote",
+)
 MULTIPLE_KEYS = (
-    "netLev grossLev intCover fccr debtEquity currentRatio quickRatio assetTurn evRev evEbitda evEbit evFcf "
-    "pe pb loansToDeposits premiumLeverage reserveLeverage"
-).split()
+    "netLev", "grossLev", "intCover", "fccr", "debtEquity", "currentRatio", "quickRatio", "assetTurn", "evRev",
+    "evEbitda", "evEbit", "evFcf", "pe", "pb", "loansToDeposits", "premiumLeverage", "reserveLeverage",
+)
 DAY_KEYS = "dso dio dpo ccc daysClaimsPayable".split()
 
 # Comparables rows (group, key, label) and where a median means something.

@@ -14,6 +14,7 @@ from ledgerline.plans.workspace import workspace
 from ledgerline.sources import instances, readers, star_schema as S
 
 QUERIES: dict = {}
+KEYS = ["cik", "basis", "end"]
 
 
 def query(name):
@@ -126,9 +127,8 @@ def _(w):
 
 @query("prj3_to_7_annotated")
 def _(w):
-    return w.facts.groupBy("form", "unit", "unit_ccy", "is_periodic", "is_amendment", "form_rank", "is_duration",
-                           C.is_annual().alias("is_annual")).agg(
-        F.count("*").alias("facts"), F.sum(F.col("days").cast("bigint")).alias("days"))
+    return w.facts.select("cik", "tag", "unit", "unit_ord", "start", "end", "val", "form", "filed", "accn", "unit_ccy", "is_periodic", "is_amendment", "form_rank", "is_duration",
+                          F.col("days").cast("bigint").alias("days"), C.is_annual().alias("is_annual"))
 
 
 @query("prj8_industry")
@@ -138,8 +138,7 @@ def _(w):
 
 @query("prj9_10_11_sheet_layout")
 def _(w):
-    return w.long.groupBy("industry", "section", "section_ord", "k", "line_ord", "label", "how").agg(
-        F.count("*").alias("cells"), F.count("value").alias("filled"))
+    return w.long.select(*KEYS, "industry", "section", "section_ord", "k", "line_ord", "label", "how", F.col("value").isNotNull().alias("filled"))
 
 
 @query("prj12_display")
@@ -150,7 +149,7 @@ def _(w):
 
 @query("prj14_links")
 def _(w):
-    return w.long.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("cells"))
+    return w.long.where("url IS NOT NULL").select(*KEYS, "section", "k", "url")
 
 
 @query("prj16_section_links")
@@ -187,7 +186,7 @@ def _(w):
 
 @query("sel4_statuses")
 def _(w):
-    return w.read_cells.groupBy("industry", "basis", "k", "status").agg(F.count("*").alias("cells"))
+    return w.read_cells.select(*KEYS, "industry", "k", "status")
 
 
 @query("sel5_currency")
@@ -314,9 +313,6 @@ def _(w):
 
 # ---- derived rows --------------------------------------------------------------------------------
 
-KEYS = ["cik", "basis", "end"]
-
-
 def _derived(w, keys, industry=None):
     s = w.stitched_sheet if industry is None else w.stitched_sheet.where(F.col("industry") == industry)
     return s.select(*KEYS, *r6(*keys))
@@ -355,8 +351,7 @@ def _(w):
 
 @query("der14_not_applicable")
 def _(w):
-    return w.long.where("status = 'not-applicable'").groupBy("industry", "basis", "k").agg(
-        F.count("*").alias("cells"), F.count("value").alias("filled"))
+    return w.long.where("status = 'not-applicable'").select(*KEYS, "industry", "section", "k", "value")
 
 
 @query("win1_growth")
@@ -371,8 +366,7 @@ def _(w):
 
 @query("win3_growth_status")
 def _(w):
-    return w.long.where("k IN ('revGrowth', 'ebitdaGrowth', 'epsGrowth', 'revCagr3', 'revCagr5')").groupBy(
-        "industry", "basis", "k", "status").agg(F.count("*").alias("cells"), F.count("value").alias("filled"))
+    return w.long.where("k IN ('revGrowth', 'ebitdaGrowth', 'epsGrowth', 'revCagr3', 'revCagr5')").select(*KEYS, "k", "status", *r6("value"))
 
 
 @query("val1_multiples")

@@ -257,12 +257,11 @@ def derived_sql() -> dict:
     out["der11_12_13_15_flags"] = f"""
 SELECT {KEYS}, dup_debt AS "stDebtIsLtdCur", thin AS "equityThin", parent AS "equityIsParent", d_nciDerived AS "nciDerived",
        grossProfit IS NOT NULL AND NOT gp_fetched AS "grossProfitDerived" FROM sheet0"""
-    out["der14_not_applicable"] = "SELECT industry, basis, k, count(*) AS cells, count(value) AS filled FROM long WHERE status = 'not-applicable' GROUP BY ALL"
+    out["der14_not_applicable"] = f"SELECT {KEYS}, industry, section, k, value FROM long WHERE status = 'not-applicable'"
     out["win1_growth"] = f"SELECT cik, \"end\", {r6('revGrowth', 'ebitdaGrowth', 'epsGrowth')} FROM sheet0 WHERE basis = 'FY'"
     out["win2_cagr"] = f"SELECT cik, \"end\", {r6('revCagr3', 'revCagr5')} FROM sheet0 WHERE basis = 'FY'"
-    out["win3_growth_status"] = """
-SELECT industry, basis, k, status, count(*) AS cells, count(value) AS filled FROM long
-WHERE k IN ('revGrowth', 'ebitdaGrowth', 'epsGrowth', 'revCagr3', 'revCagr5') GROUP BY ALL"""
+    out["win3_growth_status"] = f"""
+SELECT {KEYS}, k, status, round(value, 6) AS value FROM long WHERE k IN ('revGrowth', 'ebitdaGrowth', 'epsGrowth', 'revCagr3', 'revCagr5')"""
     out["val1_multiples"] = f"SELECT {KEYS}, {r6(*MARKET)} FROM sheet0 WHERE mstat IS NOT NULL"
     out["val2_mismatch"] = f"SELECT {KEYS}, k, ccy AS status_ccy, value FROM long WHERE status = 'currency-mismatch'"
     out["ext_declared_rows"] = f"""
@@ -271,9 +270,8 @@ SELECT {KEYS}, round(CASE WHEN gap = 0 THEN nwc - lag(nwc) OVER (PARTITION BY ci
   round(CASE WHEN basis = 'LTM' THEN revenue END, 6) AS "ltmRevenue",
   round(CASE WHEN price IS NOT NULL THEN sharesOut + coalesce(optionsOut, 0) - coalesce(optionsOut * optionsStrike / nullif(price, 0), 0) + coalesce(rsuOut, 0) END, 6) AS "treasuryMethod",
   CAST(NULL AS DOUBLE) AS "premium1d" FROM sheet0"""
-    out["prj9_10_11_sheet_layout"] = """
-SELECT industry, section, CAST(section_ord AS INTEGER) AS section_ord, k, CAST(line_ord AS INTEGER) AS line_ord, label, how, count(*) AS cells, count(value) AS filled
-FROM long GROUP BY ALL"""
+    out["prj9_10_11_sheet_layout"] = f"""
+SELECT {KEYS}, industry, section, CAST(section_ord AS INTEGER) AS section_ord, k, CAST(line_ord AS INTEGER) AS line_ord, label, how, value IS NOT NULL AS filled FROM long"""
     pct, mult, days = names(T.PERCENT_KEYS), names(T.MULTIPLE_KEYS), names(T.DAY_KEYS)
     out["prj12_display"] = f"""
 SELECT cik, basis, "end", k, CASE WHEN k IN ({pct}) THEN printf('%.1f', value * 100) || '%' WHEN k IN ({mult}) THEN printf('%.2f', value) || 'x'
@@ -281,9 +279,9 @@ SELECT cik, basis, "end", k, CASE WHEN k IN ({pct}) THEN printf('%.1f', value *
   WHEN abs(value) < 1000 OR coalesce(unit = 'pure', FALSE) THEN regexp_replace(regexp_replace(format('{{:,.2f}}', floor(value * 100 + 0.5) / 100), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')
   ELSE format('{{:,}}', CAST(floor(value + 0.5) AS BIGINT)) END AS shown
 FROM long WHERE value IS NOT NULL"""
-    out["prj14_links"] = """
-SELECT 'https://www.sec.gov/Archives/edgar/data/' || CAST(cik AS VARCHAR) || '/' || replace(accn, '-', '') || '/' || accn || '-index.htm' AS url, count(*) AS cells
-FROM long WHERE status IN ('reported', 'ltm') AND accn IS NOT NULL GROUP BY ALL"""
+    out["prj14_links"] = f"""
+SELECT {KEYS}, section, k, 'https://www.sec.gov/Archives/edgar/data/' || CAST(cik AS VARCHAR) || '/' || replace(accn, '-', '') || '/' || accn || '-index.htm' AS url
+FROM long WHERE status IN ('reported', 'ltm') AND accn IS NOT NULL"""
     na = "CASE industry " + " ".join(f"WHEN {q(i)} THEN {q('n/a for a ' + t)}" for i, t in T.INDUSTRY_LABEL.items()) + " ELSE 'n/a' END"
     out["note1_status_chips"] = f"""
 SELECT cik, k, CASE WHEN filled > 0 THEN NULL WHEN oldest = 'not-applicable' THEN {na}

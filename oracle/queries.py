@@ -48,8 +48,8 @@ SELECT cik, count(*) FILTER (WHERE kept) AS tags_kept, count(*) FILTER (WHERE ns
 SQL["prj2_listed_filings"] = """
 SELECT cik, CAST(filing_ord AS INTEGER) AS filing_ord, form, filed, accn, doc, period FROM listed"""
 SQL["prj3_to_7_annotated"] = """
-SELECT form, unit, uccy AS unit_ccy, per AS is_periodic, suffix(form, '/A') AS is_amendment, rk AS form_rank, dur AS is_duration,
-       days BETWEEN 358 AND 400 AS is_annual, count(*) AS facts, CAST(sum(days) AS BIGINT) AS days FROM facts GROUP BY ALL"""
+SELECT cik, tag, unit, CAST(unit_ord AS INTEGER) AS unit_ord, start, "end", val, form, filed, accn, uccy AS unit_ccy, per AS is_periodic, suffix(form, '/A') AS is_amendment,
+       rk AS form_rank, dur AS is_duration, days, days BETWEEN 358 AND 400 AS is_annual FROM facts"""
 SQL["prj8_industry"] = """
 SELECT cik, name, ticker, sic_code, industry FROM filers"""
 SQL["prj17_identifiers"] = """
@@ -65,7 +65,7 @@ SQL["sel3_scale_slips"] = """
 SELECT s.cik, s."end", s.tag, s.agreed, m.val AS rival, m.accn AS rival_accn FROM slips s
 LEFT JOIN matches m ON m.cik = s.cik AND m."end" = s."end" AND m.shape = s.shape AND m.dmin = s.dmin AND m.tag = s.tag AND m.r = s.rival_r"""
 SQL["sel4_statuses"] = """
-SELECT industry, basis, k, status, count(*) AS cells FROM read_cells GROUP BY ALL"""
+SELECT cik, basis, "end", industry, k, status FROM read_cells"""
 SQL["sel5_currency"] = """
 SELECT cik, ccy FROM ccys"""
 SQL["sel6_latest"] = """

@@ -36,6 +36,29 @@ def test_query_matches_sql(spark, con, name):
     assert same
 
 
+def test_ticker_list_is_whole(spark, tmp_path):
+    """No row of the list is left out, whatever its number, and titles come back as they are."""
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    (tmp_path / "supplier.parquet").unlink()
+    named = {k: f"Supplier#{k:09d}" for k in (1, 5, 6, 8, 9, 31, 42, 52, 79)}  # 5 and 42, 8, 9 and 52 were spoiled
+    odd = {100: None, 101: 'A "q" \\ ], [B1', 102: "two\nlines 2"}
+    kinds = spark.read.parquet(f"{SF}/supplier.parquet")
+    rows = [(*kinds.first(),)] * (len(named) + len(odd) + 1)
+    at, name = kinds.columns.index("s_suppkey"), kinds.columns.index("s_name")
+    rows = [[k if i == at else t if i == name else v for i, v in enumerate(r)] for r, (k, t) in zip(rows, [*named.items(), *odd.items(), (1, named[1])])]
+    spark.createDataFrame(rows, kinds.schema).coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "supplier.parquet").symlink_to(next((tmp_path / "made").glob("*.parquet")))
+    got = E.queries()["src3_tickers"](spark, str(tmp_path))
+    spelled = lambda k: "S" + str(k).translate(str.maketrans("0123456789", "ABCDEFGHIJ"))
+    want = [(k + 1000000 if k % 25 == 6 else k, spelled(k), t) for k, t in [*named.items(), *odd.items(), (1, named[1])]]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    with duckdb.connect() as c:
+        for t in TABLES:
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        assert sorted(c.execute(E.oracle_sql()["src3_tickers"]).fetchall(), key=repr) == sorted(want, key=repr)
+
+
 def test_every_query_has_checking_sql():
     from ledgerline.plans.catalog import QUERIES
     assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import ltm, select
-from ledgerline.plans.stage import write_stage
+from ledgerline.plans.stage import CLEANUP, write_stage
+from ledgerline.sources import layout
 from ledgerline.sources.readers import annotate_facts
 from tests.conftest import Book
 
@@ -55,3 +56,35 @@ def test_long_stages_of_small_files_are_not_broadcast(spark, limit):
     assert "BroadcastHashJoin" in plan_of(joined[50])
     assert "BroadcastHashJoin" not in plan_of(joined[40000])
     assert {n: df.count() for n, df in joined.items()} == {50: 50, 40000: 40000}
+
+
+def test_readings_are_folded_after_one_shuffle_of_plain_facts(spark):
+    b = Book()
+    b.year(1, "Revenues", 2020, 5, accn="a-1")
+    b.year(1, "Revenues", 2020, 5, accn="a-2", filed="2022-02-15")
+    b.year(1, "Revenues", 2020, 6, accn="a-2", filed="2022-02-15")
+    b.at(1, "Assets", 2020, 9, form="10-K/A", accn="a-3")
+    b.year(2, "Revenues", 2020, 5, accn="b-1")
+    facts = annotate_facts(b.frames(spark)[0])
+    obs = select.observations(facts)
+    lines = plan_of(obs.sortWithinPartitions(layout.PART, "tag", "cik", "end")).splitlines()
+    at = lambda word: [i for i, x in enumerate(lines) if word in x]
+    # nothing is folded below the exchange; both halves of the fold sort, the writing does not
+    assert len(at("Exchange")) == 1 and max(at("Aggregate")) < at("Exchange")[0] and len(at("Sort [")) == 2
+    got = {(r.cik, r.tag, r.val): r for r in obs.collect()}
+    assert sorted((k, r.n) for k, r in got.items()) == [((1, "Assets", 9.0), 1), ((1, "Revenues", 5.0), 2), ((1, "Revenues", 6.0), 1), ((2, "Revenues", 5.0), 1)]
+    five, assets = got[(1, "Revenues", 5.0)], got[(1, "Assets", 9.0)]
+    assert (five.best.accn, five.first.accn, five.accn_lo, five.accn_hi) == ("a-2", "a-1", "a-1", "a-2")
+    assert assets.best.accn == "a-3" and assets.best_plain is None and assets.accn_lo is None
+    table = layout.write_by_tag(obs, "test-readings", ["cik", "end"])
+    assert sorted((r.cik, r.tag, r.val) for r in layout.of_tags(table, ["Revenues"]).collect()) == [(1, "Revenues", 5.0), (1, "Revenues", 6.0), (2, "Revenues", 5.0)]
+
+
+def test_shuffle_files_of_a_written_stage_are_released(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    known = lambda: set(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files()).keySet())
+    before, set_before = known(), spark.conf.get(CLEANUP, None)
+    table = write_stage(spark.range(100000).repartition(3).groupBy((F.col("id") % 50000).alias("k")).count(), "test-release")
+    # a count of the rows that were written may be left
+    assert len(known() - before) <= 1 and spark.conf.get(CLEANUP, None) == set_before
+    assert table.count() == 50000

@@ -1,13 +1,14 @@
 """What plans do with tables that grow with the number of filers."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import ltm, select
 from ledgerline.plans.stage import CLEANUP, write_stage
-from ledgerline.sources import layout
+from ledgerline.sources import layout, star_schema as S
 from ledgerline.sources.readers import annotate_facts
 from tests.conftest import Book
 
@@ -88,3 +89,52 @@ def test_shuffle_files_of_a_written_stage_are_released(spark):
     # a count of the rows that were written may be left
     assert len(known() - before) <= 1 and spark.conf.get(CLEANUP, None) == set_before
     assert table.count() == 50000
+
+
+def shuffles(df):
+    return plan_of(df).count("Exchange hashpartitioning")
+
+
+def test_documents_are_made_where_their_filer_lies(spark):
+    rows = [(cik, y, t, r, 1000 * cik + y) for cik in (0, 1, 2, 9) for y in (1998, 1999, 2000) for t in ("SMALL", "LARGE", None) for r in ("ASIA", "EUROPE", None)]
+    base = spark.createDataFrame(rows, "cik bigint, yr int, ptype string, region string, cents bigint")
+    cells = S.report_cells(base, (1998, 2000))
+    docs = S.instance_documents(cells)
+    assert shuffles(docs) == 1
+    whole = {(r.cik, r.period_end.year): r.val for r in cells.where("tag = 'Revenues' AND context_id LIKE 'C-%'").collect()}
+    assert whole == {(cik, y): 9.0 * (1000 * cik + y) for cik, y, *_ in rows}
+    asia = cells.where("context_id = 'G-ASIA-1999'").select("cik", "val").distinct().collect()
+    assert sorted(map(tuple, asia)) == [(cik, 3.0 * (1000 * cik + 1999)) for cik in (0, 9)]
+    assert docs.count() == 4 * 3
+
+
+def test_company_documents_need_one_shuffle(spark):
+    b = Book()
+    for y in (2019, 2020):
+        b.year(1, "Revenues", y, y)
+        b.year(1, "Revenues", y, 2 * y, unit="EUR", unit_ord=1)
+    docs = S.company_documents(b.frames(spark)[0])
+    assert shuffles(docs) == 1
+    units = json.loads(docs.first().value)["facts"]["us-gaap"]["Revenues"]["units"]
+    assert {u: [f["val"] for f in fs] for u, fs in units.items()} == {"USD": ["2019", "2020"], "EUR": ["4038", "4040"]}
+
+
+def test_lines_and_months_are_shuffled_once_each(spark, tmp_path):
+    day = dt.datetime(1999, 3, 5)
+    tables = {
+        "lineitem": spark.createDataFrame([(1, 1, 1, 10.0, 2.0, "N", "F", day)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "part": spark.createDataFrame([(1, "SMALL")], "p_partkey bigint, p_type string"),
+        "orders": spark.createDataFrame([(1, 1)], "o_orderkey bigint, o_custkey bigint"),
+        "customer": spark.createDataFrame([(1, 1)], "c_custkey bigint, c_nationkey int"),
+        "nation": spark.createDataFrame([(1, 1)], "n_nationkey int, n_regionkey int"),
+        "region": spark.createDataFrame([(1, "ASIA")], "r_regionkey int, r_name string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    base = S.segment_base(spark, str(tmp_path))
+    assert [tuple(r) for r in base.collect()] == [(1, 1999, "SMALL", "ASIA", 1000)]
+    # customers meet orders, and not the lines
+    assert "l_orderkey" in next(x for x in plan_of(base).splitlines() if "Join" in x)
+    periods = S._reported_periods(spark, str(tmp_path), 1998, 2000)
+    # months are shuffled to their sums and to their filer, what they are fanned out to is not
+    assert shuffles(periods) == 2 and not any("kind" in x for x in plan_of(periods).splitlines() if "Exchange" in x)
+    assert periods.where("kind = 'FY'").select("yr", "rev_all").collect() == [(1999, 1000)]
